@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash, substrings, tokens
+from . import chat, decontaminate, language, mixing, neighbours, quality, simhash, substrings, tokens, urls
 
 QUERIES = {
+    "op1_urls": urls.op1_urls,
+    "op2_language": language.op2_language,
+    "op3_chat": chat.op3_chat,
     "op4_tokens": tokens.op4_tokens,
     "op5_substrings": substrings.op5_substrings,
+    "op6_quality": quality.op6_quality,
+    "op7_neighbours": neighbours.op7_neighbours,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL: dict[str, str] = {}
+SQL = {"op1_urls": urls.op1_sql()}
