@@ -42,7 +42,7 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most
     upto, whole = W.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
     left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
     weight = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(upto), F.lit(0.0))
-    w = w.withColumn("share", left / weight)
+    w = w.withColumn("share", F.try_divide(left, weight))
     # the first source that its share does not fill to its cap
     w = w.withColumn("nth", F.when(F.col("share") <= F.col("level"), F.row_number().over(W.orderBy("level", F.col("source").asc_nulls_last()))))
     fill = F.min_by("share", "nth").over(whole)
@@ -68,10 +68,10 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int
         done = F.col("got").isNull() | (F.abs(gap) <= near * F.greatest(F.col("target"), F.lit(1.0)))
         lo, hi = F.when(gap > 0, F.col("l")).otherwise(F.col("lo")), F.when(gap < 0, F.col("l")).otherwise(F.col("hi"))
         d = d.select("source", "source_size", "docs", "target", "l", lo.alias("lo"), hi.alias("hi"), "slope", "least_x", gap.alias("gap"), done.alias("done"))
-        step = F.col("l") + F.col("gap") / F.col("slope")
+        step = F.col("l") + F.try_divide(F.col("gap"), F.col("slope"))
         # beyond top every document is at the limit; without a bracket the step is kept short, with one it stays inside
         top = F.lit(most).cast("double")
-        top = F.log(top) / F.col("least_x")
+        top = F.try_divide(F.log(top), F.col("least_x"))
         inside = F.when(F.col("slope") <= 0, F.lit(None).cast("double")).when(step < F.coalesce("lo", step), F.lit(None)).when(step > F.coalesce("hi", step), F.lit(None)).otherwise(step)
         half = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).when(F.col("gap") > 0, F.least(top, F.abs("l") * 2 + 1)).otherwise(-(F.abs("l") * 2 + 1))
         moved = F.least(top, F.coalesce(inside, half))
@@ -85,7 +85,7 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int
 def rounded(groups: DataFrame, duals: DataFrame, most: float = 3.0, fixes: int = 12) -> DataFrame:
     """(source, size, n, base, extra): each document of the group gets base copies and ``extra`` of them one more."""
     g = join_nulls(groups, duals, "source")
-    x = F.col("size") * F.col("docs") / F.col("source_size")
+    x = F.try_divide(F.col("size") * F.col("docs"), F.col("source_size"))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(most), F.exp(F.least(F.col("l") * x, F.lit(700.0)))))
     g = g.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("long")).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
     falling = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, W.currentRow)

@@ -55,14 +55,14 @@ def shrunk(level: DataFrame, key: str, above: DataFrame, above_key: str, most: f
     """level: (key, above_key, good, n). Adds a, b of the beta posterior. above: (above_key, mean)."""
     j = level.join(above.select(above_key, F.col("mean").alias("prior")), above_key)
     # between-group variance beyond the binomial's share, over all groups: strength = m (1 - m) / variance - 1
-    rate = F.col("good") / F.col("n")
+    rate = F.try_divide(F.col("good"), F.col("n"))
     spread = j.agg(
         F.sum("n").alias("total"), F.count("*").alias("groups"), F.sum(F.col("n") * F.pow(rate - F.col("prior"), 2)).alias("ss"),
         F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum(F.col("n") * F.col("prior") * (1 - F.col("prior"))).alias("pq"),
     )
-    noise = F.col("pq") / F.col("total")
-    variance = (F.col("ss") - F.col("groups") * noise) / F.greatest(F.col("total") - F.col("sq") / F.col("total"), F.lit(1.0))
-    strength = spread.select(F.when(F.col("total") > 0, F.when(variance > noise / (most + 1), noise / variance - 1).otherwise(F.lit(most))).alias("k"))
+    noise = F.try_divide(F.col("pq"), F.col("total"))
+    variance = (F.col("ss") - F.col("groups") * noise) / F.greatest(F.col("total") - F.try_divide(F.col("sq"), F.col("total")), F.lit(1.0))
+    strength = spread.select(F.when(F.col("total") > 0, F.when(variance > noise / (most + 1), F.try_divide(noise, variance) - 1).otherwise(F.lit(most))).alias("k"))
     strength = strength.select(F.greatest(F.lit(1.0), F.least(F.lit(most), F.coalesce("k", F.lit(1.0)))).alias("k"))
     j = j.join(F.broadcast(strength))  # one row
     a, b = F.col("good") + F.col("k") * F.col("prior"), F.col("n") - F.col("good") + F.col("k") * (1 - F.col("prior"))
