@@ -9,9 +9,9 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession | None = None) -> None:
     """Send the package's source to the executors, once for each Spark application."""
-    sc = spark.sparkContext
+    sc = (spark or SparkSession.active()).sparkContext
     if getattr(sc, "_colorjobs_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
