@@ -84,32 +84,44 @@ def hex_to_rgb(hex_: Column) -> Column:
     return F.struct(r.alias("r"), g.alias("g"), b.alias("b"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def linear(c: Column) -> Column:
     a = c / 255.0
     return F.when(a <= 0.04045, a / 12.92).otherwise(F.pow((a + 0.055) / 1.055, F.lit(2.4)))
 
 
-def lab_columns(hex_: Column) -> tuple[Column, Column, Column]:
-    """M2: L, a, b (CIE 1976, D65)."""
-    lin = [linear(c) for c in channels(hex_)]
+def lab_of_rgb(rgb: Column) -> Column:
+    """rgb: array of three channels. Struct L, a, b."""
+    lin = F.transform(rgb, linear)
 
-    def f(row, white) -> Column:
-        t = (lin[0] * row[0] + lin[1] * row[1] + lin[2] * row[2]) * 100.0 / white
-        return F.when(t > (6 / 29) ** 3, F.pow(t, F.lit(1 / 3))).otherwise(t / (3 * (6 / 29) ** 2) + 4 / 29)
+    def axes(v: Column) -> Column:
+        t = F.array(*((v[0] * row[0] + v[1] * row[1] + v[2] * row[2]) * 100.0 / w for row, w in zip(TO_XYZ, WHITE, strict=True)))
+        return F.transform(t, lambda x: F.when(x > (6 / 29) ** 3, F.pow(x, F.lit(1 / 3))).otherwise(x / (3 * (6 / 29) ** 2) + 4 / 29))
 
-    x, y, z = (f(row, w) for row, w in zip(TO_XYZ, WHITE, strict=True))
-    return y * 116.0 - 16.0, (x - y) * 500.0, (y - z) * 200.0
+    return let(let(lin, axes), lambda f: F.struct((f[1] * 116.0 - 16.0).alias("L"), ((f[0] - f[1]) * 500.0).alias("a"), ((f[1] - f[2]) * 200.0).alias("b")))
 
 
 def hex_to_lab(hex_: Column) -> Column:
-    L, a, b = lab_columns(hex_)
-    return F.struct(L.alias("L"), a.alias("a"), b.alias("b"))
+    """M2: struct L, a, b (CIE 1976, D65)."""
+    return lab_of_rgb(let(hex_, lambda h: F.array(*channels(h))))
+
+
+def lab_columns(hex_: Column) -> tuple[Column, Column, Column]:
+    lab = hex_to_lab(hex_)
+    return lab["L"], lab["a"], lab["b"]
+
+
+def _length(parts) -> Column:
+    return let(F.array(*parts), lambda d: F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2]))
 
 
 def lab_distance(p: Column, q: Column) -> Column:
     """M3 on two Lab structs."""
-    d = [p[k] - q[k] for k in ("L", "a", "b")]
-    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    return let(F.struct(p.alias("p"), q.alias("q")), lambda x: _length([x["p"][k] - x["q"][k] for k in ("L", "a", "b")]))
 
 
 def delta_e76(one: Column, other: Column) -> Column:
@@ -118,8 +130,7 @@ def delta_e76(one: Column, other: Column) -> Column:
 
 def rgb_distance(one: Column, other: Column) -> Column:
     """M4."""
-    d = [(x - y).cast("double") for x, y in zip(channels(one), channels(other), strict=True)]
-    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+    return _length([(x - y).cast("double") for x, y in zip(channels(one), channels(other), strict=True)])
 
 
 def color_distance(one: Column, other: Column, metric: str = "lab") -> Column:
@@ -141,45 +152,63 @@ def gray_value(hex_: Column) -> Column:
     return F.rint(r * LUMA[0] + g * LUMA[1] + b * LUMA[2]).cast("int")
 
 
+def family_of(lab: Column) -> Column:
+    """M8 on a Lab struct."""
+    bins = (("red", 50), ("orange", 80), ("yellow", 115), ("green", 200), ("cyan", 250), ("blue", 310), ("purple", 340))
+
+    def by_angle(angle: Column) -> Column:
+        out = F.when(angle.isNull(), F.lit(None).cast("string"))
+        for name, below in bins:
+            out = out.when(angle < below, name)
+        return out.otherwise("red")
+
+    angle = F.pmod(F.degrees(F.atan2(lab["b"], lab["a"])), F.lit(360.0))
+    return F.when(F.sqrt(lab["a"] * lab["a"] + lab["b"] * lab["b"]) < 8, "neutral").otherwise(let(angle, by_angle))
+
+
 def hue_family(hex_: Column) -> Column:
     """M8."""
-    _, a, b = lab_columns(hex_)
-    angle = F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0))
-    return F.when(F.sqrt(a * a + b * b) < 8, "neutral").when((angle < 50) | (angle >= 340), "red").when(angle < 80, "orange").when(angle < 115, "yellow").when(angle < 200, "green").when(angle < 250, "cyan").when(angle < 310, "blue").when(angle.isNotNull(), "purple")
+    return let(hex_to_lab(hex_), family_of)
+
+
+def label_of(lab: Column) -> Column:
+    neutral = F.when(lab["L"] > 85, "near white").when(lab["L"] < 15, "near black").otherwise("neutral gray")
+    tint = F.when(lab["L"] > 75, "light ").when(lab["L"] < 35, "dark ").otherwise("")
+    return let(family_of(lab), lambda f: F.when(f == "neutral", neutral).otherwise(F.concat(tint, f)))
 
 
 def auto_label(hex_: Column) -> Column:
     """M9."""
-    light, family = lab_columns(hex_)[0], hue_family(hex_)
-    neutral = F.when(light > 85, "near white").when(light < 15, "near black").otherwise("neutral gray")
-    tint = F.when(light > 75, "light ").when(light < 35, "dark ").otherwise("")
-    return F.when(family == "neutral", neutral).otherwise(F.concat(tint, family))
+    return let(hex_to_lab(hex_), label_of)
 
 
-def color_sort_key(hex_: Column) -> tuple[Column, ...]:
-    """Family index, L, a, b."""
-    index = F.array_position(F.array(*map(F.lit, FAMILIES)), hue_family(hex_))
-    return index, *lab_columns(hex_)
+def color_sort_key(hex_: Column) -> Column:
+    """Struct of family index, L, a, b."""
+    index = lambda lab: F.array_position(F.array(*map(F.lit, FAMILIES)), family_of(lab))
+    return let(hex_to_lab(hex_), lambda lab: F.struct(index(lab).alias("family"), lab["L"].alias("L"), lab["a"].alias("a"), lab["b"].alias("b")))
 
 
-def simulate_cb(hex_: Column, kind: str, severity: float = 1.0) -> Column:
-    """The colour as seen with a colour-vision deficiency. Double precision throughout."""
+def simulate_rgb(rgb: Column, kind: str, severity: float = 1.0) -> Column:
+    """M11 on an array of three channels: the channels seen. Double precision throughout."""
     s = min(1.0, max(0.0, float(severity)))
-    rgb = channels(hex_)
+    clip = lambda x, top: F.greatest(F.lit(0.0), F.least(F.lit(top), x))
     if kind == "normal":
-        return F.upper(F.when(rgb[0].isNotNull(), hex_))
+        return F.transform(rgb, lambda c: c.cast("double"))
     if kind == "achromat":
-        luma = rgb[0] * LUMA[0] + rgb[1] * LUMA[1] + rgb[2] * LUMA[2]
-        return format_hex(*(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), c * (1 - s) + luma * s))) for c in rgb))
+        luma = lambda v: v[0] * LUMA[0] + v[1] * LUMA[1] + v[2] * LUMA[2]
+        return let(rgb, lambda v: F.transform(v, lambda c: F.rint(clip(c * (1 - s) + luma(v) * s, 255.0))))
     if kind not in MACHADO:
         raise ValueError(f"unknown kind {kind!r}")
-    lin, out = [linear(c) for c in rgb], []
-    for i, row in enumerate(MACHADO[kind]):
-        m = [(1 - s) * (i == j) + s * row[j] for j in range(3)]
-        c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), lin[0] * m[0] + lin[1] * m[1] + lin[2] * m[2]))
-        gamma = F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
-        out.append(F.rint(F.greatest(F.lit(0.0), F.least(F.lit(255.0), gamma * 255.0))))
-    return F.when(rgb[0].isNotNull(), format_hex(*out))
+    rows = [[(1 - s) * (i == j) + s * row[j] for j in range(3)] for i, row in enumerate(MACHADO[kind])]
+    seen = let(F.transform(rgb, linear), lambda v: F.array(*(clip(v[0] * m[0] + v[1] * m[1] + v[2] * m[2], 1.0) for m in rows)))
+    gamma = lambda c: F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
+    return F.transform(seen, lambda c: F.rint(clip(gamma(c) * 255.0, 255.0)))
+
+
+def simulate_cb(hex_: Column, kind: str, severity: float = 1.0) -> Column:
+    """The colour as seen with a colour-vision deficiency."""
+    rgb = let(hex_, lambda h: F.array(*channels(h)))
+    return let(simulate_rgb(rgb, kind, severity), lambda v: F.when(v[0].isNotNull(), format_hex(v[0], v[1], v[2])))
 
 
 def delta_band(d: Column, scale: str = "palette") -> Column:

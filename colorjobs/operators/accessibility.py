@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from colorjobs.functions.colors import CB_TYPES, hex_to_lab, lab_distance, simulate_cb
+from colorjobs.functions.colors import CB_TYPES, channels, lab_distance, lab_of_rgb, simulate_cb, simulate_rgb
 from colorjobs.functions.svg import recolored
 
 
@@ -17,9 +17,9 @@ def cb_collapsed_pairs(usage: DataFrame, severity: float = 1.0, distinct: float
     colours = usage.select("file", "hex").distinct()
     a, b = colours.withColumnRenamed("hex", "hex_a"), colours.withColumnRenamed("hex", "hex_b")
     pairs = a.join(b, "file").where("hex_a < hex_b")
-    lab = lambda c: hex_to_lab(c)
-    seen = F.array(*(lab(simulate_cb(F.col("hex"), k, severity)) for k in CB_TYPES))
-    known = colours.select("hex").distinct().select("hex", lab(F.col("hex")).alias("p"), seen.alias("s"))
+    rgb = F.array(*channels(F.col("hex")))
+    seen = F.array(*(lab_of_rgb(simulate_rgb(F.col("rgb"), k, severity)) for k in CB_TYPES))
+    known = colours.select("hex").distinct().select("hex", rgb.alias("rgb")).select("hex", lab_of_rgb(F.col("rgb")).alias("p"), seen.alias("s"))
     ka, kb = (known.select(F.col("hex").alias(f"hex_{x}"), F.col("p").alias(f"p{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
     far = pairs.join(ka, "hex_a").join(kb, "hex_b").withColumn("de_orig", lab_distance(F.col("pa"), F.col("pb"))).where(F.col("de_orig") >= distinct)
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("cb"), lab_distance(F.col("sa")[i], F.col("sb")[i]).alias("de_sim")) for i, k in enumerate(CB_TYPES))))

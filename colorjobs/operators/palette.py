@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from colorjobs.functions.colors import auto_label, lab_columns
+from colorjobs.functions.colors import auto_label, hex_to_lab
 from colorjobs.sources.shared import cut
 
 
@@ -27,8 +27,7 @@ def kmeans_members(colors: DataFrame, k: int, most_rounds: int = 50, still: floa
 def _clusters(colors: DataFrame, k: int, most_rounds: int, still: float) -> tuple[DataFrame, DataFrame]:
     if k < 1:
         raise ValueError("k must be at least 1")
-    L, a, b = lab_columns(F.col("hex"))
-    points = cut(colors.select("hex").distinct().select("hex", L.alias("L"), a.alias("a"), b.alias("b"), F.sha2("hex", 256).alias("h")), "points")
+    points = cut(colors.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("p")).select("hex", "p.L", "p.a", "p.b", F.sha2("hex", 256).alias("h")), "points")
     reserve = points.orderBy("h").limit(2 * k).select("L", "a", "b").collect()  # bounded by k
     centres = [tuple(r) for r in reserve[:k]]
     spare = [tuple(r) for r in reserve[k:]]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from colorjobs.functions.colors import FAMILIES, color_sort_key, hue_family, lab_columns
+from colorjobs.functions.colors import FAMILIES, color_sort_key, family_of, hex_to_lab
 
 
 def color_usage(tokens: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def top_colors(usage: DataFrame, n: int = 10) -> DataFrame:
 
 def sort_colors(usage: DataFrame) -> DataFrame:
     """Perceptual order inside a file."""
-    keyed = usage.select("hex").distinct().select("hex", F.struct(*color_sort_key(F.col("hex"))).alias("key"))
+    keyed = usage.select("hex").distinct().select("hex", color_sort_key(F.col("hex")).alias("key"))
     return usage.select("file", "hex").join(keyed, "hex").select("file", "hex", F.row_number().over(W.partitionBy("file").orderBy("key", "hex")).alias("position"))
 
 
@@ -72,8 +72,8 @@ def hue_lightness_histogram(usage: DataFrame, bins: int = 6) -> DataFrame:
     the formula runs once a colour; files are counted exactly over (cell, file)."""
     if bins < 2:
         raise ValueError("bins must be at least 2")
-    cell = lambda c: F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(lab_columns(c)[0] / 100 * bins))).cast("int")
-    cells = usage.select("hex").distinct().select("hex", hue_family(F.col("hex")).alias("family"), cell(F.col("hex")).alias("bin"))
+    bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("lab.L") / 100 * bins))).cast("int")
+    cells = usage.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("lab")).select("hex", family_of(F.col("lab")).alias("family"), bin_.alias("bin"))
     per_file = usage.join(cells, "hex").groupBy("family", "bin", "file").agg(F.sum("n").alias("n"))
     sums = per_file.groupBy("family", "bin").agg(F.sum("n").alias("tokens"), F.count("*").alias("files"))
     colours = cells.groupBy("family", "bin").agg(F.count("*").alias("colors"))

@@ -167,10 +167,13 @@ def color_math(spark, d):
     return T(spark, d).colors.select("hex", r.alias("r"), g.alias("g"), b.alias("b"), *(F.round(x, 6).alias(n) for x, n in zip(lab, ("lab_l", "lab_a", "lab_b"), strict=True)), C.gray_value(h).alias("gray"), C.is_grayscale(h).alias("is_gray"), C.hue_family(h).alias("family"), C.auto_label(h).alias("label"))
 
 
-@query(", p AS (SELECT hex, L, a, b, '#808080' AS other, 53.58501345216902e0 AS l2 FROM lab) SELECT hex, round(sqrt(pow(L - l2, 2) + pow(a - 0.00000000000e0, 2) + pow(b - 0.0e0, 2)), 3) AS delta_e, round(sqrt(pow({0} - 128, 2) + pow({1} - 128, 2) + pow({2} - 128, 2)), 6) AS rgb FROM p".format(*_RGB))
+_GRAY = S.lab("'#808080'")
+
+
+@query(f"SELECT hex, round(sqrt(pow(L - {_GRAY[0]}, 2) + pow(a - {_GRAY[1]}, 2) + pow(b - {_GRAY[2]}, 2)), 6) AS delta_e, round(sqrt(pow({_RGB[0]} - 128, 2) + pow({_RGB[1]} - 128, 2) + pow({_RGB[2]} - 128, 2)), 6) AS rgb FROM lab")
 def color_distances(spark, d):
     h, gray = F.col("hex"), F.lit("#808080")
-    return T(spark, d).colors.select("hex", F.round(C.color_distance(h, gray, "lab"), 3).alias("delta_e"), F.round(C.color_distance(h, gray, "rgb"), 6).alias("rgb"))
+    return T(spark, d).colors.select("hex", F.round(C.color_distance(h, gray, "lab"), 6).alias("delta_e"), F.round(C.color_distance(h, gray, "rgb"), 6).alias("rgb"))
 
 
 @query("SELECT hex, " + ", ".join(f"{S.simulated('hex', k)} AS {k}" for k in C.CB_TYPES) + " FROM colors")
@@ -384,7 +387,7 @@ def suggest_from_history(spark, d):
     return mapping.suggest_from_history(mapping.mapping_history(t.gmap, t.ovr))
 
 
-@query("SELECT pipeline, status, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(['grayscale', 'cmyk']) AS pipeline), (SELECT unnest(['pending', 'in_progress', 'reviewed', 'exported']) AS status) LEFT JOIN (SELECT 'grayscale' AS pipeline, status, count(*) AS n FROM illus GROUP BY ALL UNION ALL SELECT 'cmyk', cmyk_status, count(*) FROM illus GROUP BY ALL) USING (pipeline, status)")
+@query("SELECT pipeline, status, CAST(coalesce(n, 0) AS BIGINT) AS n FROM (SELECT unnest(['grayscale', 'cmyk']) AS pipeline) CROSS JOIN (SELECT unnest(['pending', 'in_progress', 'reviewed', 'exported']) AS status) LEFT JOIN (SELECT 'grayscale' AS pipeline, status, count(*) AS n FROM illus GROUP BY ALL UNION ALL SELECT 'cmyk', cmyk_status, count(*) FROM illus GROUP BY ALL) USING (pipeline, status)")
 def status_counts(spark, d):
     return mapping.status_counts(T(spark, d).illus)
 
@@ -431,11 +434,11 @@ def replace_preflight(spark, d):
     return mapping.replace_preflight(t.gmap, t.ovr, t.swatches)
 
 
-_PAIRS = f""", sim AS (SELECT hex, {", ".join(f"{S.simulated('hex', k)} AS {k}" for k in C.CB_TYPES)} FROM colors),
+_PAIRS = f""", sim AS MATERIALIZED (SELECT hex, {", ".join(f"{S.simulated('hex', k)} AS {k}" for k in C.CB_TYPES)} FROM colors),
 allhex AS (SELECT hex FROM colors UNION SELECT unnest([{', '.join(C.CB_TYPES)}]) FROM sim),
-al AS (SELECT hex, {_L} AS L, {_a} AS a, {_b} AS b FROM allhex),
-seen AS (SELECT s.hex, cb, l.L, l.a, l.b FROM (SELECT hex, unnest(['deutan', 'protan', 'tritan', 'achromat']) AS cb, unnest([deutan, protan, tritan, achromat]) AS shown FROM sim) s JOIN al l ON s.shown = l.hex),
-far AS (SELECT x.file, x.hex AS hex_a, y.hex AS hex_b, sqrt(pow(p.L - q.L, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) AS de_orig FROM usage x JOIN usage y ON x.file = y.file AND x.hex < y.hex JOIN al p ON p.hex = x.hex JOIN al q ON q.hex = y.hex),
+al AS MATERIALIZED (SELECT hex, {_L} AS L, {_a} AS a, {_b} AS b FROM allhex),
+seen AS MATERIALIZED (SELECT s.hex, cb, l.L, l.a, l.b FROM (SELECT hex, unnest(['deutan', 'protan', 'tritan', 'achromat']) AS cb, unnest([deutan, protan, tritan, achromat]) AS shown FROM sim) s JOIN al l ON s.shown = l.hex),
+far AS MATERIALIZED (SELECT x.file, x.hex AS hex_a, y.hex AS hex_b, sqrt(pow(p.L - q.L, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) AS de_orig FROM usage x JOIN usage y ON x.file = y.file AND x.hex < y.hex JOIN al p ON p.hex = x.hex JOIN al q ON q.hex = y.hex),
 pairs AS (SELECT * FROM (SELECT file, p.cb, hex_a, hex_b, de_orig, sqrt(pow(p.L - q.L, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2)) AS de_sim FROM far JOIN seen p ON p.hex = hex_a JOIN seen q ON q.hex = hex_b AND q.cb = p.cb WHERE de_orig >= 25) WHERE de_sim < 10)"""
 
 
