@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from colorjobs.functions.colors import delta_e76, parse_length_pt, user_units_per_pt, viewbox
@@ -93,8 +95,6 @@ def diff_regions(mask: DataFrame, least: int = 16, most: int | None = 6) -> Data
     """4-connected blobs of at least ``least`` pixels, the largest ``most`` of a page (a report; None for all).
 
     A page's runs (one row for each run of pixels in a line) meet in one small union-find; a page is bounded by its size."""
-    import pyarrow as pa
-
     ship(mask.sparkSession)
 
     def of(group: pa.Table) -> pa.Table:
@@ -168,10 +168,6 @@ TOKENS = ("stem", "chapter", "figure", "description", "slug")
 
 def slug_column(text: Column) -> Column:
     """Lower-case ASCII words joined by single dashes, diacritics dropped."""
-    import unicodedata
-
-    import pyarrow as pa
-
     @F.arrow_udf("string")
     def plain(texts: pa.Array) -> pa.Array:
         return pa.array([None if t.as_py() is None else "".join(c for c in unicodedata.normalize("NFKD", t.as_py()) if not unicodedata.combining(c)) for t in texts], pa.string())

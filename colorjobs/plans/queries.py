@@ -562,12 +562,12 @@ def tac_report(spark, d):
 
 def page_pixels(spark, d) -> tuple[DataFrame, DataFrame]:
     rows = A.read(spark, d, "lineitem")
-    px = rows.select(F.col("l_suppkey").cast("string").alias("page"), (F.col("l_partkey") % 64).cast("int").alias("x"), (F.col("l_orderkey") % 64).cast("int").alias("y"), F.col("l_linenumber").alias("alpha")).groupBy("page", "x", "y").agg(F.max("alpha").alias("alpha"))
-    pages = rows.select(F.col("l_suppkey").cast("string").alias("page")).distinct().select("page", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(640.0).alias("vw"), F.lit(640.0).alias("vh"), F.lit(64).alias("px_w"), F.lit(64).alias("px_h"))
+    px = rows.select(F.col("l_suppkey").cast("string").alias("page"), (F.col("l_partkey") % 8).cast("int").alias("x"), (F.col("l_orderkey") % 8).cast("int").alias("y"), F.col("l_linenumber").alias("alpha")).groupBy("page", "x", "y").agg(F.min("alpha").alias("alpha"))
+    pages = rows.select(F.col("l_suppkey").cast("string").alias("page")).distinct().select("page", F.lit(0.0).alias("vx"), F.lit(0.0).alias("vy"), F.lit(80.0).alias("vw"), F.lit(80.0).alias("vh"), F.lit(8).alias("px_w"), F.lit(8).alias("px_h"))
     return pages, px
 
 
-@query("SELECT CAST(l_suppkey AS VARCHAR) AS page, true AS had_content, round((max(l_partkey % 64) + 1 - min(l_partkey % 64)) * 10e0 / 96e0, 6) AS width_in, round((max(l_orderkey % 64) + 1 - min(l_orderkey % 64)) * 10e0 / 96e0, 6) AS height_in FROM lineitem WHERE l_linenumber > 0 GROUP BY l_suppkey")
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS page, true AS had_content, round((max(l_partkey % 8) + 1 - min(l_partkey % 8)) * 10e0 / 96e0, 6) AS width_in, round((max(l_orderkey % 8) + 1 - min(l_orderkey % 8)) * 10e0 / 96e0, 6) AS height_in FROM lineitem WHERE l_linenumber > 0 GROUP BY l_suppkey")
 def content_bbox(spark, d):
     pages, px = page_pixels(spark, d)
     return preflight.content_bbox(pages, px).select("page", "had_content", F.round("width_in", 6).alias("width_in"), F.round("height_in", 6).alias("height_in"))
@@ -577,15 +577,15 @@ def content_bbox(spark, d):
 def render_diff(spark, d):
     pages, px = page_pixels(spark, d)
     white = px.select("page", "x", "y", *(F.lit(255).alias(c) for c in "rgb"))
-    ink = px.select("page", "x", "y", *(F.when(F.col("alpha") <= 5, 0).otherwise(255).alias(c) for c in "rgb"))
+    ink = px.select("page", "x", "y", *(F.when(F.col("alpha") <= 2, 0).otherwise(255).alias(c) for c in "rgb"))
     mask = cut(preflight.diff_mask(white, ink), "mask")
     return preflight.diff_regions(preflight.eroded(mask, pages), least=1)
 
 
-@query("SELECT page, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT CAST(l_suppkey AS VARCHAR) AS page, l_partkey % 64 AS x, l_orderkey % 64 AS y, max(l_linenumber) AS alpha FROM lineitem GROUP BY ALL) WHERE alpha <= 5")
+@query("SELECT page, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT CAST(l_suppkey AS VARCHAR) AS page, l_partkey % 8 AS x, l_orderkey % 8 AS y, min(l_linenumber) AS alpha FROM lineitem GROUP BY ALL) WHERE alpha <= 2")
 def render_mask(spark, d):
     _, px = page_pixels(spark, d)
-    return preflight.diff_mask(px.select("page", "x", "y", *(F.lit(255).alias(c) for c in "rgb")), px.select("page", "x", "y", *(F.when(F.col("alpha") <= 5, 0).otherwise(255).alias(c) for c in "rgb")))
+    return preflight.diff_mask(px.select("page", "x", "y", *(F.lit(255).alias(c) for c in "rgb")), px.select("page", "x", "y", *(F.when(F.col("alpha") <= 2, 0).otherwise(255).alias(c) for c in "rgb")))
 
 
 @query()
@@ -705,7 +705,7 @@ def stream_status(spark, d):
 
     kinds = A.read(spark, d, "events").schema
     raw = spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
-    events = raw.select(F.col("user_id").cast("string").alias("file"), "ts", F.expr(_STATUS).alias("status"))
+    events = raw.select(F.col("user_id").cast("string").alias("file"), F.col("ts").cast("timestamp").alias("ts"), F.expr(_STATUS).alias("status"))
     name = f"latest_{uuid.uuid4().hex}"
     target = f"{shared_dir(spark)}/{name}"
     put = lambda batch, _: batch.write.mode("overwrite").parquet(target)  # noqa: E731  complete mode: each batch is the whole result
