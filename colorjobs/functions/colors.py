@@ -208,7 +208,8 @@ def simulate_rgb(rgb: Column, kind: str, severity: float = 1.0) -> Column:
 def simulate_cb(hex_: Column, kind: str, severity: float = 1.0) -> Column:
     """The colour as seen with a colour-vision deficiency."""
     rgb = let(hex_, lambda h: F.array(*channels(h)))
-    return let(simulate_rgb(rgb, kind, severity), lambda v: F.when(v[0].isNotNull(), format_hex(v[0], v[1], v[2])))
+    shown = lambda c: let(simulate_rgb(c, kind, severity), lambda v: format_hex(v[0], v[1], v[2]))
+    return let(rgb, lambda c: F.when(c[0].isNotNull(), shown(c)))
 
 
 def delta_band(d: Column, scale: str = "palette") -> Column:
