@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colorjobs.session import ship
+from colorjobs.sources.shared import cut, shared_dir
+
+__all__ = ["LOWER", "WORD", "crc_mod", "cut", "fresh_path", "join_nulls", "small_batches", "table"]
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -20,28 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines share, from ``spark.checkpoint.dir``; where unset (tests), a temporary one is set."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = spark.sparkContext.getCheckpointDir()
-        if not at:
-            at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-            spark.sparkContext.setCheckpointDir(at)
-    return at.rstrip("/")
-
-
 def fresh_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, what: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: ends the lineage, survives lost executors, is computed once."""
-    path = fresh_path(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """For Python workers: the package itself, and (texts may be long) fewer rows in an Arrow batch."""
     ship(spark)

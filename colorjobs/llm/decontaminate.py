@@ -102,6 +102,23 @@ def merged(spans) -> list[int]:
     return out
 
 
+def hits_column(held, text):
+    """held: broadcast prefix index of one block."""
+
+    @F.arrow_udf(HITS)
+    def hits(texts: pa.Array) -> pa.Array:
+        n, spans, found = [], [], []
+        for t in texts:
+            words = tokens(t.as_py())
+            s, i = scan(words, held.value)
+            n.append(len(words))
+            spans.append(s)
+            found.append(sorted(i))
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+
+    return hits(text)
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = 32_000_000, prefix: str = "_hit") -> DataFrame:
     """``docs`` with one more column for each benchmark block: struct(n_words, spans, items). No row moves."""
     spark = docs.sparkSession
@@ -113,18 +130,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_cha
         counts = word_counts(docs, {x for _, w in items for x in w})
         held = spark.sparkContext.broadcast(prefix_index(items, window, counts))
 
-        @F.arrow_udf(HITS)
-        def hits(texts: pa.Array) -> pa.Array:
-            n, spans, found = [], [], []
-            for text in texts:
-                words = tokens(text.as_py())
-                s, i = scan(words, held.value)
-                n.append(len(words))
-                spans.append(s)
-                found.append(sorted(i))
-            return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["n_words", "spans", "items"])
-
-        out = out.withColumn(f"{prefix}{k}", hits(F.col("text")))
+        out = out.withColumn(f"{prefix}{k}", hits_column(held, F.col("text")))
     return out
 
 
