@@ -5,8 +5,7 @@ is delta-encoded or dictionary-encoded as asked; row groups are bounded in bytes
 page indexes of each file let a reader fetch a range of doc_ids, or only the metadata columns, without the other pages.
 Spark's own Parquet writer makes the files under its commit protocol, so lost executors leave no half-written shard.
 
-Word-level cache: the tokenizer is called once for each distinct run of non-blank characters that a Python worker meets
-(a bounded cache); its pre-tokenizer never joins characters across white space, so ids are those of the whole text.
+The tokenizer is called for distinct pieces of text only (see Encoder); the ids are those of the whole text.
 
 Defined cases: null text is empty and yields the end id alone; equal doc_ids are ordered by text; null doc_id comes first;
 an empty table gives an empty file set that reads back as no rows.
@@ -14,40 +13,83 @@ an empty table gives an empty file set that reads back as no rows.
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import fresh_path, small_batches, table
 
-#: Blanks on which a text may be cut without changing its ids.
-RUN = re.compile("[^ \t\n\r]+")
-CACHE = 300_000
+#: The pre-token pattern of the tokenizers that this fast path serves (a fixed value, from the tokenizer's file), and the
+#: same for Python's re on texts without the characters of ODD, where the two differ.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Numerals that are no decimal digits, separators that only Python counts as blank, the letter whose lower case depends on
+#: its place, and one that becomes two characters.
+ODD = regex.compile(r"[\p{Nl}\p{No}\x1c-\x1f\u03a3\u0130]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+CACHE = 250_000
 _encoders: dict = {}
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit integers."""
+    """Ids of texts as little-endian unsigned 32-bit integers.
+
+    The tokenizer sees each distinct pre-token about once: texts are cut by its own pre-token pattern, the pieces of a batch
+    that are not cached go to it as one text, and the ids are dealt back by the end-of-word mark. Where that would not be
+    exact (another pattern or normalizer, odd characters, special tokens in the text) the text itself is encoded."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
-
-    def ids(self, text: str) -> bytes:
-        runs, known = RUN.findall(text), self.known
-        if new := [r for r in set(runs) if r not in known]:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(set(runs))
-            for run, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[run] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[r] for r in runs])
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.special = [t["content"] for t in told["added_tokens"]]
+        patterns = [p["pattern"].get("Regex") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", ()) if p["type"] == "Split"]
+        steps = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", ())]
+        suffix = told["model"].get("end_of_word_suffix")
+        self.cuts = patterns == [PATTERN] and steps == ["NFC", "Replace", "Lowercase"] and bool(suffix)
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for text, k in self.tokenizer.get_vocab().items():
+            self.ends[k] = bool(suffix) and text.endswith(suffix)
+
+    def plain(self, text: str) -> bool:
+        if not self.cuts or any(x in text for x in self.special):
+            return False
+        return not SEPARATORS.search(text) if text.isascii() else unicodedata.is_normalized("NFC", text) and not ODD.search(text)
+
+    def learn(self, unseen: list[str]) -> None:
+        """Fill the cache with these pieces."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(unseen) or ends[-1] != len(ids):
+            raise RuntimeError("the tokenizer does not end each piece with its end-of-word mark")
+        raw, at, known = ids.tobytes(), 0, self.known
+        for p, e in zip(unseen, (4 * ends).tolist(), strict=True):
+            known[p] = raw[at:e]
+            at = e
+
+    def ids(self, texts: list[str]) -> list[bytes]:
+        fine = [self.plain(t) for t in texts]
+        pieces = [PIECE.findall(t.lower()) for t, ok in zip(texts, fine, strict=True) if ok]
+        seen = set().union(*pieces)
+        unseen = [p for p in seen if p not in self.known]
+        if len(self.known) + len(unseen) > CACHE:
+            self.known.clear()
+            unseen = list(seen)
+        if unseen:
+            self.learn(unseen)
+        of, cut = self.known.__getitem__, iter(pieces)
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, fine, strict=True) if not ok], add_special_tokens=False))
+        return [b"".join(map(of, next(cut))) if ok else np.array(next(whole).ids, "<u4").tobytes() for ok in fine]
 
 
 def encoder(path: str) -> Encoder:
@@ -66,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, en
         own, at, end = encoder(tokenizer), 0, np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
         for b in batches:
-            ids = [own.ids(t.as_py() or "") + end for t in b.column(1)]
+            ids = [x + end for at_ in range(0, b.num_rows, 250) for x in own.ids([t or "" for t in b.column(1)[at_ : at_ + 250].to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
