@@ -93,13 +93,25 @@ def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out[:-1], int(out[-1])
 
 
+def leading(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
+    """The right singular vectors of the ``rank`` largest singular values, by subspace iteration (no n-by-n matrix)."""
+    width = min(rank + 16, *x.shape)
+    if not width:
+        return np.zeros((x.shape[1], 1), np.float32)
+    q = np.linalg.qr(x.T @ np.random.default_rng(11).standard_normal((len(x), width)).astype(np.float32))[0]
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    return q @ np.linalg.svd(x @ q, full_matrices=False)[2].T[:, :rank]
+
+
 class NearestVote:
     def __init__(self, idf: np.ndarray, texts: list[str | None], labels: list[int], rank: int, k: int):
         self.idf, self.k, self.labels = idf, k, np.array(labels, np.float64)
-        x = np.stack([self.row(t) for t in texts]).astype(np.float32) if texts else np.zeros((0, DIMENSIONS), np.float32)
-        value, vector = np.linalg.eigh((x @ x.T).astype(np.float64))
-        keep = np.argsort(-value)[: max(1, min(rank, int((value > 1e-6).sum())))]
-        self.basis = (x.T @ (vector[:, keep] / np.sqrt(np.maximum(value[keep], 1e-9))).astype(np.float32)) if texts else np.zeros((DIMENSIONS, 1), np.float32)
+        x = np.zeros((len(texts), DIMENSIONS), np.float32)
+        for i, t in enumerate(texts):
+            columns, weights = terms(t)
+            x[i, columns] = self.weigh(columns, weights)
+        self.basis = leading(x, rank)
         self.known = self.unit(x @ self.basis)
 
     @staticmethod
@@ -113,12 +125,6 @@ class NearestVote:
             w[a:b] /= max(1e-9, np.sqrt((w[a:b] ** 2).sum()))
         return w
 
-    def row(self, text: str | None) -> np.ndarray:
-        columns, weights = terms(text)
-        out = np.zeros(DIMENSIONS)
-        out[columns] = self.weigh(columns, weights)
-        return out
-
     def scores(self, texts) -> np.ndarray:
         """A block of documents."""
         if not len(self.labels) or self.labels.min() == self.labels.max():
@@ -134,7 +140,7 @@ class NearestVote:
         return np.clip((w * self.labels[best]).sum(axis=1) / w.sum(axis=1), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 1500, rank: int = 64, k: int = 15) -> NearestVote:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 1000, rank: int = 64, k: int = 15) -> NearestVote:
     """docs (doc_id, text); labels (doc_id, label 0/1); learn: condition on doc_id of the rows to learn from.
 
     At most ``sample`` documents of each label are fitted to, the same ones on every run."""
