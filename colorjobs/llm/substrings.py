@@ -9,9 +9,10 @@ minimizers and always meet. Neighbouring windows with the same minimizer form a
 Minimizers seen once cannot hold a repeat and are dropped by a count; segments with equal words are folded to their
 earliest occurrence by a map-side aggregate, so copies, however many, stay one row.
 
-Shards. What is left for a minimizer is a list of different segments that share a passage. A shard is a slice of that
-list, at most ``shard_rows`` segments, so that an automaton is bounded whatever the data; the task that owns the shard
-builds the automaton over its segments, earliest first, and streams the segments through it for matching statistics.
+Shards. What is left for a minimizer is a list of different segments that share a passage. A shard holds the lists of
+many minimizers, about ``shard_rows`` / 2 segments; a list of more than ``shard_rows`` is cut into shards of its own, so an
+automaton is bounded whatever the data. The task that owns a shard builds the automaton over its segments, earliest
+first, and streams the segments through it for matching statistics.
 Where the match is at least a window long, the automaton's state names the earliest start of that window in the shard.
 A minimizer with several shards has the shards' answers merged by window hash, again map-side first.
 
@@ -43,128 +44,122 @@ class SuffixAutomaton:
     def __init__(self):
         self.next, self.link, self.length, self.first = [{}], [-1], [0], [None]
 
-    def add(self, words, at) -> None:
-        """Add one sequence. at: its order; earlier sequences must be added before later ones."""
+    def add(self, words, row: int) -> None:
+        """Add one sequence; earlier sequences come before later ones."""
+        nxt, link, length, first = self.next, self.link, self.length, self.first
         last = 0
-        for i, w in enumerate(words):
-            last = self._extend(last, w, (at, i))
-
-    def _extend(self, last: int, w, where) -> int:
-        nxt, link, length = self.next, self.link, self.length
-        if w in nxt[last]:
-            q = nxt[last][w]
-            return q if length[q] == length[last] + 1 else self._clone(last, w, q)
-        cur = len(nxt)
-        nxt.append({})
-        link.append(0)
-        length.append(length[last] + 1)
-        self.first.append(where)
-        p = last
-        while p >= 0 and w not in nxt[p]:
-            nxt[p][w] = cur
-            p = link[p]
-        if p >= 0:
-            q = nxt[p][w]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
-        return cur
+        for end, w in enumerate(words):
+            q = nxt[last].get(w)
+            if q is not None:
+                last = q if length[q] == length[last] + 1 else self._clone(last, w, q)
+                continue
+            cur = len(nxt)
+            nxt.append({})
+            length.append(length[last] + 1)
+            first.append((row, end))
+            link.append(0)
+            p = last
+            while p >= 0:
+                q = nxt[p].get(w)
+                if q is not None:
+                    link[cur] = q if length[q] == length[p] + 1 else self._clone(p, w, q)
+                    break
+                nxt[p][w] = cur
+                p = link[p]
+            last = cur
 
     def _clone(self, p: int, w, q: int) -> int:
-        new = len(self.next)
-        self.next.append(dict(self.next[q]))
-        self.link.append(self.link[q])
+        nxt, link = self.next, self.link
+        new = len(nxt)
+        nxt.append(nxt[q].copy())
+        link.append(link[q])
         self.length.append(self.length[p] + 1)
         self.first.append(self.first[q])
-        self.link[q] = new
-        while p >= 0 and self.next[p].get(w) == q:
-            self.next[p][w] = new
-            p = self.link[p]
+        link[q] = new
+        while p >= 0 and nxt[p].get(w) == q:
+            nxt[p][w] = new
+            p = link[p]
         return new
 
-    def statistics(self, words):
-        """For each position: (length of the longest match that ends there, its state)."""
-        state, n = 0, 0
-        for w in words:
-            while state and w not in self.next[state]:
-                state = self.link[state]
-                n = self.length[state]
-            if w in self.next[state]:
-                state, n = self.next[state][w], n + 1
-            else:
-                state, n = 0, 0
-            yield n, state
-
-    def shorten(self, state: int, n: int) -> int:
-        """The state of the last n words of a match that ended in ``state``."""
-        while self.length[self.link[state]] >= n:
-            state = self.link[state]
-        return state
-
-
-def word_hashes(words: list[str], known: dict) -> np.ndarray:
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            if len(known) > 500_000:
-                known.clear()
-            h = known[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
-
-
-def rolling(h: np.ndarray, n: int, odd: int) -> np.ndarray:
-    """Hash of each n consecutive values."""
-    m, out = len(h) - n + 1, np.zeros(max(0, len(h) - n + 1), np.uint64)
-    k = np.uint64(odd)
-    for j in range(n):
-        out = out * k + h[j : j + m]
-    out ^= out >> np.uint64(29)
-    out *= _ODD
+    def matches(self, words, least: int):
+        """Matching statistics of a sequence, as far as they reach ``least``: (end, earliest (row, end)) of the last ``least``
+        words wherever the longest match that ends there is at least that long."""
+        nxt, link, length, first = self.next, self.link, self.length, self.first
+        state, n, out = 0, 0, []
+        for end, w in enumerate(words):
+            q = nxt[state].get(w)
+            while q is None and state:
+                state = link[state]
+                n = length[state]
+                q = nxt[state].get(w)
+            if q is None:
+                continue
+            state, n = q, n + 1
+            if n >= least:
+                s = state
+                while length[link[s]] >= least:
+                    s = link[s]
+                out.append((end, first[s]))
+        return out
+
+
+class WordHashes(dict):
+    """word -> 64-bit hash, bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        return h
+
+    def of(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+_BASE = 0xD6E8FEB86659FD93
+_powers = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64, at least n of each."""
+    if len(_powers.get("up", ())) < n:
+        size = max(4096, 2 * n)
+        _powers["up"] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, _BASE, np.uint64))])
+        _powers["down"] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, pow(_BASE, -1, 1 << 64), np.uint64))])
+    return _powers["up"], _powers["down"]
+
+
+def span_hashes(sums: np.ndarray, first: np.ndarray, n) -> np.ndarray:
+    """A hash of n words from each first word; sums: prefix sums of the words' hashes times powers of the base."""
+    out = (sums[first + n] - sums[first]) * powers(len(sums))[1][first]
+    out = (out ^ (out >> np.uint64(29))) * _ODD + np.asarray(n).astype(np.uint64)
     return out ^ (out >> np.uint64(32))
 
 
-def minimizers(words: list[str], window: int, gram: int, known: dict):
-    """Word hashes, minimizer of each run of windows that share its occurrence, first window and number of words of each run."""
-    h = word_hashes(words, known)
-    g, w = rolling(h, gram, 0xD6E8FEB86659FD93), window - gram + 1
-    least = np.lib.stride_tricks.sliding_window_view(g, w).argmin(axis=1) + np.arange(len(words) - window + 1)
+def minimizers(words: list[str], window: int, gram: int, known: WordHashes):
+    """Prefix sums of word hashes; minimizer of each run of windows that share its occurrence, the run's first window and
+    number of words."""
+    h = known.of(words)
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * powers(len(h))[0][: len(h)], out=sums[1:])
+    g, w = span_hashes(sums, np.arange(len(h) - gram + 1), gram), window - gram + 1
+    least = np.lib.stride_tricks.sliding_window_view(g, w).argmin(axis=1) + np.arange(len(h) - window + 1)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
     n = np.concatenate([first[1:], [len(least)]]) - 1 - first + window
-    return h, g[least[first]], first, n
-
-
-def span_hashes(h: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A hash of the words of each span."""
-    mixed, out = h * _ODD ^ (h >> np.uint64(31)), np.zeros(len(first), np.uint64)
-    for j in range(int(n.max())):
-        ok = j < n
-        out[ok] = (out[ok] ^ mixed[first[ok] + j]) * np.uint64(0xA24BAED4963EE407)
-        out[ok] ^= out[ok] >> np.uint64(32)
-    return out
-
-
-def repeated_minimizers(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    def of(batches):
-        known: dict = {}
-        for b in batches:
-            parts = [minimizers(w, window, gram, known)[1] for t in b.column(0) if len(w := WORD.findall(t.as_py() or "")) >= window]
-            m, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(n.astype(np.int32))], ["m", "c"])
-
-    return docs.select("text").mapInArrow(of, "m long, c int").groupBy("m").agg(F.sum("c").alias("c")).where("c > 1").select("m")
+    return sums, g[least[first]], first, n
 
 
 def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
     """m: minimizer, a: hash of the words, doc, start: row's high bits and first word, n: words."""
 
     def of(batches):
-        known: dict = {}
+        known = WordHashes()
         for b in batches:
             parts = []
             for doc, high, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if len(words := WORD.findall(text.as_py() or "")) >= window:
-                    h, m, first, n = minimizers(words, window, gram, known)
-                    parts.append((m.view(np.int64), span_hashes(h, first, n).view(np.int64), np.full(len(m), doc, np.int64), first + (high << 32), n.astype(np.int32)))
+                    sums, m, first, n = minimizers(words, window, gram, known)
+                    parts.append((m.view(np.int64), span_hashes(sums, first, n).view(np.int64), np.full(len(m), doc, np.int64), first + (high << 32), n.astype(np.int32)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["m", "a", "doc", "start", "n"])
 
@@ -185,14 +180,14 @@ def with_words(segments: DataFrame, docs: DataFrame) -> DataFrame:
                     at = s["start"] & 0xFFFFFFFF
                     out.append(s | {"doc": doc, "words": " ".join(words[at : at + s["n"]])})
             if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shard", pa.int32()), ("shards", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.string())]))
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shard", pa.int64()), ("shards", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.string())]))
 
     rows = docs.dropDuplicates(["doc", "high"]) if "high_used" in docs.columns else docs
-    return rows.select("doc", "high", "text").join(wanted, ["doc", "high"]).select("doc", "text", "s").mapInArrow(of, "m long, a long, shard int, shards int, doc long, start long, words string")
+    return rows.select("doc", "high", "text").join(wanted, ["doc", "high"]).select("doc", "text", "s").mapInArrow(of, "m long, a long, shard long, shards int, doc long, start long, words string")
 
 
 def automaton_starts(window: int):
-    """For one shard of one minimizer: the earliest (doc, start) of every window of every segment."""
+    """For one shard: the earliest (doc, start) of every window of every segment."""
 
     def of(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: (r["doc"], r["start"]))
@@ -201,14 +196,10 @@ def automaton_starts(window: int):
             automaton.add(words, k)
         out = []
         for r, words in zip(rows, texts, strict=True):
-            docs, starts, hashes = [], [], []
-            for end, (n, state) in enumerate(automaton.statistics(words)):
-                if end >= window - 1 and n >= window:
-                    k, i = automaton.first[automaton.shorten(state, window)]
-                    docs.append(rows[k]["doc"])
-                    starts.append(rows[k]["start"] + i - window + 1)
-                    if r["shards"] > 1:
-                        hashes.append(xxhash.xxh3_64_intdigest(" ".join(words[end - window + 1 : end + 1])) - (1 << 63))
+            found = automaton.matches(words, window)
+            docs = [rows[k]["doc"] for _, (k, _) in found]
+            starts = [rows[k]["start"] + i - window + 1 for _, (k, i) in found]
+            hashes = [xxhash.xxh3_64_intdigest(" ".join(words[e - window + 1 : e + 1])) - (1 << 63) for e, _ in found] if r["shards"] > 1 else []
             out.append({"m": r["m"], "a": r["a"], "shards": r["shards"], "docs": docs, "starts": starts, "hashes": hashes})
         return pa.Table.from_pylist(out, pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shards", pa.int32()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))]))
 
@@ -217,10 +208,13 @@ def automaton_starts(window: int):
 
 def earliest_starts(content: DataFrame, docs: DataFrame, window: int, shard_rows: int) -> DataFrame:
     """(m, a, docs, starts): for segments whose minimizer has several different segments, the earliest start of each window."""
-    kinds = content.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = cut(content.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
+    buckets = max(1, -(-2 * (kinds.agg(F.sum("kinds")).first()[0] or 0) // shard_rows))
     shards = F.ceil(F.col("kinds") / shard_rows).cast("int")
-    mixed = content.join(kinds, "m").withColumn("shards", shards).withColumn("shard", F.pmod("a", "shards").cast("int")).select("m", "a", "shard", "shards", "rep.doc", "rep.start", "n")
-    found = cut(with_words(mixed, docs).groupBy("m", "shard").applyInArrow(automaton_starts(window), "m long, a long, shards int, docs array<long>, starts array<long>, hashes array<long>"), "starts")
+    mixed = content.join(kinds, "m").withColumn("shards", shards)
+    shard = F.when(F.col("shards") == 1, F.pmod(F.xxhash64("m"), F.lit(buckets))).otherwise(F.xxhash64("m", F.pmod("a", "shards")))
+    mixed = mixed.select("m", "a", shard.alias("shard"), "shards", "rep.doc", "rep.start", "n")
+    found = cut(with_words(mixed, docs).groupBy("shard").applyInArrow(automaton_starts(window), "m long, a long, shards int, docs array<long>, starts array<long>, hashes array<long>"), "starts")
     many = found.where("shards > 1").select("m", "a", F.posexplode(F.arrays_zip("docs", "starts", "hashes")).alias("i", "w")).select("m", "a", "i", "w.*")
     least = many.groupBy("m", "hashes").agg(F.min(F.struct("docs", "starts")).alias("least"))
     merged = many.join(least, ["m", "hashes"]).groupBy("m", "a").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))
@@ -230,7 +224,7 @@ def earliest_starts(content: DataFrame, docs: DataFrame, window: int, shard_rows
 
 def removable(occurrences: DataFrame, content: DataFrame, starts: DataFrame, window: int) -> DataFrame:
     """(doc, high, spans): flat [start, end) word spans that repeats cover."""
-    answer = content.select("m", "a", "rep").join(starts, ["m", "a"], "left")
+    answer = cut(content.select("m", "a", "rep").join(starts, ["m", "a"], "left"), "answers")
     at = F.struct(F.col("doc").alias("doc"), F.col("start").alias("start"))
     joined = occurrences.join(answer, ["m", "a"])
     whole = F.when(at > F.col("rep"), F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))))
@@ -260,7 +254,9 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, shard_rows:
         raise ValueError("gram must lie between 1 and window")
     small_batches(docs.sparkSession)
     rows = keyed(docs)
-    occurrences = cut(segment_rows(rows, window, gram).join(repeated_minimizers(rows, window, gram), "m", "left_semi"), "segments")
+    found = cut(segment_rows(rows, window, gram), "segments")
+    repeated = cut(found.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "repeated")
+    occurrences = cut(found.join(repeated, "m", "left_semi"), "occurrences")
     content = cut(occurrences.groupBy("m", "a").agg(F.min(F.struct("doc", "start")).alias("rep"), F.first("n").alias("n")), "content")
     spans = removable(occurrences, content, earliest_starts(content, rows, window, shard_rows), window)
     return rows.join(spans, ["doc", "high"], "left").select("doc_id", "text", "spans")
