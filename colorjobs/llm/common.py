@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from colorjobs.session import ship
 from colorjobs.sources.shared import cut, shared_dir
 
-__all__ = ["LOWER", "WORD", "crc_mod", "cut", "fresh_path", "join_nulls", "small_batches", "table"]
+__all__ = ["WORD", "crc_mod", "cut", "fresh_path", "join_nulls", "lower_ascii", "small_batches", "table"]
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
-#: Lower-cases A-Z and leaves every other character as it is.
-LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def lower_ascii(text: str) -> str:
+    """A-Z in lower case, every other character as it is (bytes.lower knows ASCII letters only)."""
+    return text.encode().lower().decode()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -23,7 +23,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import LOWER, small_batches, table
+from .common import lower_ascii, small_batches, table
 
 #: Words of the contamination rule: ASCII letters and digits, and everything beyond ASCII.
 TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -31,7 +31,7 @@ HITS = "struct<n_words: long, spans: array<int>, items: array<string>>"
 
 
 def tokens(text: str | None) -> list[str]:
-    return TOKEN.findall(text.translate(LOWER)) if text else []
+    return TOKEN.findall(lower_ascii(text)) if text else []
 
 
 def windows_of(words: list[str], window: int) -> list[tuple[str, ...]]:
@@ -59,7 +59,7 @@ def word_counts(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
         total: Counter = Counter()
         for b in batches:
             for text in b.column(0):
-                total.update(w for w in tokens(text.as_py()) if w in known.value)
+                total.update(filter(known.value.__contains__, tokens(text.as_py())))
         yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
 
     rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -83,6 +83,8 @@ def scan(words: list[str], index: dict) -> tuple[list[int], set[str]]:
     """Flat list of [start, end) spans of occurring windows, merged, and the ids of their items."""
     spans: list[list[int]] = []
     items: set[str] = set()
+    if index.keys().isdisjoint(words):
+        return [], items
     for p in [p for p, w in enumerate(words) if w in index]:
         for offset, window, ids in index[words[p]]:
             start, end = p - offset, p - offset + len(window)

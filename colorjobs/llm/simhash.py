@@ -25,13 +25,13 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import LOWER, WORD, cut, small_batches, table
+from .common import WORD, cut, lower_ascii, small_batches, table
 
 BITS = 64
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
-    words = WORD.findall(text.translate(LOWER)) if text else []
+    words = WORD.findall(lower_ascii(text)) if text else []
     if not words:
         return 0
     raw = [w.encode() for w in words]
