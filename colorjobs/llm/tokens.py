@@ -34,7 +34,7 @@ PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 #: its place, and one that becomes two characters.
 ODD = regex.compile(r"[\p{Nl}\p{No}\x1c-\x1f\u03a3\u0130]")
 SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE = 250_000
+CACHE = 500_000
 _encoders: dict = {}
 
 
@@ -108,7 +108,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, en
         own, at, end = encoder(tokenizer), 0, np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
         for b in batches:
-            ids = [x + end for at_ in range(0, b.num_rows, 250) for x in own.ids([t or "" for t in b.column(1)[at_ : at_ + 250].to_pylist()])]
+            ids = [x + end for at_ in range(0, b.num_rows, 500) for x in own.ids([t or "" for t in b.column(1)[at_ : at_ + 500].to_pylist()])]
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
