@@ -2,7 +2,7 @@
 
 Labelled page outcomes (1 good, 0 bad) are counted by host, registered domain (last two labels of the host) and suffix
 (last label). Each level's rate is shrunk to the level above by a beta-binomial prior whose strength is estimated from the
-spread of that level's own rates (method of moments over all its groups, weighted by outcomes): suffix to the overall
+spread of that level's own rates (method of moments over its groups with outcomes, weighted by them): suffix to the overall
 rate, domain to suffix, host to domain. A page passes if the lower bound of its host's posterior good rate, mean minus
 ``z`` standard deviations of the beta posterior, reaches ``least``. Explicit rules come first: the longest that fits wins.
 
@@ -54,10 +54,10 @@ def suffix_of(host: Column) -> Column:
 def shrunk(level: DataFrame, key: str, above: DataFrame, above_key: str, most: float = 1000.0) -> DataFrame:
     """level: (key, above_key, good, n). Adds a, b of the beta posterior. above: (above_key, mean)."""
     j = level.join(above.select(above_key, F.col("mean").alias("prior")), above_key)
-    # between-group variance beyond the binomial's share, over all groups: strength = m (1 - m) / variance - 1
+    # between-group variance beyond the binomial's share, over groups with outcomes: strength = m (1 - m) / variance - 1
     rate = F.try_divide(F.col("good"), F.col("n"))
     spread = j.agg(
-        F.sum("n").alias("total"), F.count("*").alias("groups"), F.sum(F.col("n") * F.pow(rate - F.col("prior"), 2)).alias("ss"),
+        F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("groups"), F.sum(F.col("n") * F.pow(rate - F.col("prior"), 2)).alias("ss"),
         F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum(F.col("n") * F.col("prior") * (1 - F.col("prior"))).alias("pq"),
     )
     noise = F.try_divide(F.col("pq"), F.col("total"))

@@ -26,6 +26,15 @@ def test_urls_edges(spark):
     assert urls.judge_urls(pages, outcomes.limit(0)).count() == len(rows) and urls.judge_urls(pages.limit(0), outcomes).count() == 0
 
 
+def test_urls_unlabelled_hosts(spark):
+    """Hosts without outcomes say nothing about the spread: one bad host among many of them is still blocked."""
+    hosts = [f"x://h{h}.com/" for h in range(10) for _ in range(30)] + [f"x://u{h}.com/" for h in range(500)]
+    pages = spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i >= 30)) for i in range(300)], "page_id long, good int")
+    out = {r.host: r.verdict for r in urls.judge_urls(pages, outcomes).collect()}
+    assert out.pop("h0.com") == "block" and set(out.values()) == {"allow"}
+
+
 def test_mixing(spark):
     rows = [(i, " ".join("w" * (i % 17 + 1)), [None, "a", "b", "B", "ä", "tiny"][i % 5 if i > 3 else 5]) for i in range(600)] + [(1000, None, "a"), (1001, "", "zero"), (7, " ".join("w" * 8), "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(-1))
