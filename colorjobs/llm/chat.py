@@ -186,9 +186,11 @@ def parse(transcripts: DataFrame, model: Model, block: int = 64) -> DataFrame:
     """transcripts (conv_id, piece, text): raw text in pieces. Returns one row for each recovered turn."""
     small_batches(transcripts.sparkSession)
     size, matrix, ends = len(model.states), "conv long, part long, m array<double>", "conv long, part long, entry int, leave int"
-    pieces = transcripts.where("text != ''").select(F.col("conv_id").cast("long").alias("conv"), F.col("piece").cast("long").alias("piece"), F.coalesce(F.floor(F.col("piece") / block), F.lit(-(1 << 40))).cast("long").alias("part"), F.xxhash64("text").alias("h"), "text")
-    opening = pieces.groupBy("conv").agg(F.min("part").alias("opening"))
-    pieces = join_nulls(pieces, opening, "conv").withColumn("opens", F.col("part") == F.col("opening")).drop("opening")
+    pieces = transcripts.where("text != ''").select(F.col("conv_id").cast("long").alias("conv"), F.col("piece").cast("long").alias("piece"), F.floor(F.col("piece") / block).cast("long").alias("part"), F.xxhash64("text").alias("h"), "text")
+    # parts count from 0 in each conversation, the null part first: floor(part / block) then ends at 0 for all of them
+    least = pieces.groupBy("conv").agg(F.min("part").alias("least"), F.max(F.col("part").isNull().cast("long")).alias("nulls"))
+    part = F.coalesce(F.col("part") - F.col("least") + F.col("nulls"), F.lit(0))
+    pieces = join_nulls(pieces, least, "conv").withColumn("part", part).withColumn("opens", F.col("part") == 0).drop("least", "nulls")
     lines = cut(lines_of(pieces, "conv", "piece", "part", "h", "opens"), "lines")
     levels = [cut(lines.groupBy("conv", "part").applyInArrow(_sums(model), matrix), "blocks")]
     while levels[-1].groupBy("conv").count().where("count > 1").take(1):

@@ -114,6 +114,22 @@ def test_chat_blocks_change_nothing(spark):
     assert [x for x in large if x in set(begun)] == begun
 
 
+def test_chat_null_and_negative_turns(spark):
+    model = chat.fit(chat.spoken_turns(spark, SF))
+    numbers = [None, -200, -1, 0, 1, 70, 5000]
+    said = [(c, p, f"{mark}: text {p}\nand more?") for c, ps in ((1, numbers), (2, [None, 3]), (3, [-1, 0]), (None, numbers)) for p, mark in zip(ps, ["User", "AI"] * 4)]
+    df = spark.createDataFrame(said, "conv_id long, piece long, text string")
+    place = lambda piece, line: (piece is not None, piece or 0, line)
+    lines, out = chat.lines_of(df, "conv_id", "piece").collect(), chat.parse(df, model).collect()
+    assert sum(r.n_lines for r in out) == len(lines)
+    for conv in (1, 2, 3, None):
+        own = sorted((r for r in lines if r.conv_id == conv), key=lambda r: place(r.piece, r.line))
+        path = plain.viterbi(model.first, model.step, model.scores([r.symbol for r in own]))
+        begun = [(r.piece, r.line, model.states[s][0]) for r, s in zip(own, path, strict=True) if model.states[s][1]]
+        got = sorted((r for r in out if r.conv_id == conv and not r.continued), key=lambda r: place(r.piece, r.line))
+        assert [(r.piece, r.line, r.role) for r in got] == begun and got[0].piece == own[0].piece
+
+
 def test_chat_edges(spark):
     df = spark.createDataFrame([(1, None, "User: hi\nAI: yo"), (1, 2, None), (2, 1, ""), (None, 1, "hello")], "conv_id long, piece long, text string")
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
