@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
-from .common import WORD, cut, lower_ascii, small_batches, table
+from .common import WORD, cut, join_nulls, lower_ascii, small_batches, table
 
 BITS = 64
 
@@ -172,13 +172,18 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most} rounds")
 
 
+def rooted(firsts: DataFrame, radius: int = 4, cap: int = 2_000_000) -> DataFrame:
+    """fp, first and root: the smallest fingerprint of its component. firsts: (fp, first), one row a fingerprint."""
+    roots = components(ball_links(firsts.select("fp"), radius, cap))
+    return firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, cap: int = 2_000_000) -> DataFrame:
     """doc_id, fp (signed long), component_id: the smallest doc_id that links of at most ``radius`` bits reach. One row for each row of docs."""
     small_batches(docs.sparkSession)
     own = cut(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "fingerprints")
     firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(ball_links(firsts.select("fp"), radius, cap))
-    tree = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    tree = rooted(firsts, radius, cap)
     lowest = tree.groupBy("root").agg(F.min("first").alias("component_id"))
     member = tree.join(lowest, "root").select("fp", "component_id")
     return own.join(member, "fp").select("doc_id", "fp", "component_id")
@@ -190,8 +195,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the row with the smallest doc_id stays; of rows that repeat that id, one stays."""
-    groups = near_duplicates(docs.select("doc_id", "text"))
-    stay = groups.where("doc_id <=> component_id").select("doc_id").distinct()
-    one = W.partitionBy("doc_id").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    return docs.join(stay, docs.doc_id.eqNullSafe(stay.doc_id), "left_semi").withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    """Of each group one row stays: the smallest doc_id (null last), then the smallest hash of the text (null first), then
+    the other columns. Rows with equal ids in different groups do not compete."""
+    small_batches(spark)
+    digest = F.sha2("text", 256)
+    own = cut(docs.select("doc_id", digest.alias("h"), fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
+    firsts = cut(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")).alias("first")), "distinct")
+    stay = rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.h").alias("_h"))
+    one = W.partitionBy("doc_id", "_h").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
+    kept = join_nulls(docs.withColumn("_h", digest), stay, "doc_id", "_h", how="left_semi")
+    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_h")

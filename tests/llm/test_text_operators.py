@@ -116,6 +116,14 @@ def test_near_dedup_stage_keeps_one(spark, docs):
     assert sorted(out) == sorted(set(plain.components({i: plain.fingerprint(t) for i, t in corpus()}).values()))
 
 
+def test_near_dedup_stage_null_and_repeated_ids(spark):
+    """One row stays for each group, whatever its ids: unrelated texts with null or equal ids do not compete."""
+    x, y, z, u, v = (" ".join(f"{c}{i * 37 % 101}" for i in range(60)) for c in "xyzuv")
+    rows = [(3, x, "p"), (7, x, "a"), (7, y, "z"), (None, z, "a"), (None, z, "b"), (None, u, "a"), (None, v, "a"), (9, v, "c"), (9, v, "b"), (None, None, "a"), (None, "", "a")]
+    out = simhash.stage_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(3, x, "p"), (7, y, "z"), (None, z, "a"), (None, u, "a"), (9, v, "b"), (None, None, "a")], key=str)
+
+
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_tokens_round_trip(spark, docs, encoding, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
