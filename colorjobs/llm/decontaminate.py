@@ -11,7 +11,8 @@ characters; documents are streamed once for each block and the blocks' findings
 the benchmark.
 
 Defined cases: a null or empty text has no words, is never contaminated and gets the digest of the empty string; items
-with no words have no windows; repeated documents are judged one by one; item ids that repeat count once.
+with no words have no windows; repeated documents are judged one by one; item ids that repeat count once; an item with
+a null id contaminates like any other, but is not among the ids that are listed and counted.
 """
 
 from __future__ import annotations
@@ -66,12 +67,12 @@ def word_counts(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
     return {r.word: r.n for r in rows.collect()}
 
 
-def prefix_index(items: list[tuple[str, list[str]]], window: int, counts: dict[str, int]) -> dict:
-    """Rarest word -> [(its offset, the window, ids of the items that hold it)]."""
+def prefix_index(items: list[tuple[str | None, list[str]]], window: int, counts: dict[str, int]) -> dict:
+    """Rarest word -> [(its offset, the window, ids of the items that hold it; a null id is none)]."""
     holders: dict[tuple[str, ...], set[str]] = defaultdict(set)
     for item_id, words in items:
         for w in windows_of(words, window):
-            holders[w].add(item_id)
+            holders[w].update(() if item_id is None else (item_id,))
     index: dict[str, list] = defaultdict(list)
     for w, ids in holders.items():
         rarest = min(w, key=lambda x: (counts.get(x, 0), x))

@@ -1,4 +1,5 @@
 import functools
+import hashlib
 import random
 import zlib
 
@@ -86,6 +87,15 @@ def test_decontaminate(spark, docs):
     assert decontaminate.decontaminate(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [32_000_000, 30])
+def test_decontaminate_null_item(spark, block):
+    docs = spark.createDataFrame([(1, "x one two y"), (2, "three four"), (3, "five six"), (4, "clean")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "one two"), ("a", "one two"), (None, "three four"), ("b", "five six"), (None, "five six"), ("", "one two")], "item_id string, text string")
+    out = decontaminate.decontaminate(docs, bench, block_chars=block).select("doc_id", "_verdict.*").collect()
+    digest = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((1, ",a"), (2, ""), (3, "b"), (4, ""))}
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out} == {1: (2, 2, digest[1], True), 2: (2, 0, digest[2], True), 3: (2, 1, digest[3], True), 4: (0, 0, digest[4], False)}
+
+
 @pytest.mark.parametrize("cap", [2_000_000, 3000])
 def test_simhash(spark, docs, cap):
     fps = {i: plain.fingerprint(t) for i, t in corpus()}
