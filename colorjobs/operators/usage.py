@@ -27,12 +27,12 @@ def svg_facts(rows: DataFrame) -> DataFrame:
 
 
 def color_files(usage: DataFrame) -> DataFrame:
-    """C7 in normal form: (hex, file), distinct. The form to use where one colour may be in most files."""
+    """(hex, file), distinct; every file, one row each, so a colour may be in most files."""
     return usage.select("hex", "file").distinct()
 
 
 def files_by_color(usage: DataFrame, listed: int = 1000) -> DataFrame:
-    """Hex -> number of files and the first ``listed`` of them by name (a top-k report; color_files has all)."""
+    """Preview of C7: hex -> number of files and the first ``listed`` of them by name; color_files has all."""
     pairs = color_files(usage)
     ranked = pairs.withColumn("k", F.row_number().over(W.partitionBy("hex").orderBy("file"))).where(F.col("k") <= listed)
     lists = ranked.groupBy("hex").agg(F.array_sort(F.collect_list("file")).alias("files"))

@@ -111,6 +111,11 @@ def color_usage(spark, d):
     return usage.color_usage(T(spark, d).tokens).select("file", "hex", "n", F.array_join("contexts", ",").alias("contexts"), F.array_join("raw_forms", ",").alias("raw_forms"))
 
 
+@query("SELECT DISTINCT hex, file FROM usage")
+def color_files(spark, d):
+    return usage.color_files(T(spark, d).usage)
+
+
 @query("SELECT hex, count(*) AS n_files, array_to_string(list(file ORDER BY file)[1:1000], ',') AS files FROM usage GROUP BY hex")
 def files_by_color(spark, d):
     return usage.files_by_color(T(spark, d).usage).select("hex", "n_files", F.array_join("files", ",").alias("files"))

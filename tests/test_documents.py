@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from colorjobs.functions.svg import extract, recolored, rows_of
 from colorjobs.operators import accessibility, mapping, palette, preflight, usage
+from colorjobs.plans import queries
 from colorjobs.sources import tables
 from colorjobs.streaming import streams
 
@@ -91,6 +92,13 @@ def test_print_safety(spark):
     assert w.sources == ["#00FF00", "#FF0000"] and "lighter" in w.reason
 
 
+def test_color_files_has_every_file(spark, tmp_path):
+    row = "cast(id as int) as l_orderkey, 1 as l_linenumber, 7 as l_partkey, 1 as l_suppkey, 1.0d as l_extendedprice, 'O' as l_linestatus, 1.0d as l_quantity"
+    spark.range(1200).selectExpr(*row.split(", ")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = queries.QUERIES["color_files"](spark, str(tmp_path)).collect()
+    assert len(out) == 1200 == len({r.file for r in out}) and len({r.hex for r in out}) == 1
+
+
 def test_empty_tables(spark):
     u = spark.createDataFrame([], "file string, hex string, n long")
     g = spark.createDataFrame([], "pipeline string, source string, target string, label string, notes string, ord long")
