@@ -284,6 +284,18 @@ def resolve_palette(spark, d):
     return mapping.resolve_palette(suggested, manual)
 
 
+@query(
+    ", near AS (" + _NEAR.format(d=_DLAB, colors="lab")
+    + """) SELECT u.file, u.hex, coalesce(o.target, g.target, CASE WHEN near.d <= 10 THEN near.m.target END) AS target, CASE WHEN length(u.file) % 2 = 1 THEN substring(o.target, 1, 4) END AS rejected
+FROM usage u LEFT JOIN ovr o ON u.file = o.file AND u.hex = o.source LEFT JOIN gmap g ON u.hex = g.source LEFT JOIN near ON u.hex = near.hex"""
+)
+def resolve_palette_whole(spark, d):
+    """J7 with every step: pick, override, exact, nearest. A file's picks are its overrides, cut short where its name has odd length."""
+    t = T(spark, d)
+    manual = t.ovr.withColumn("target", F.when(F.length("file") % 2 == 0, F.col("target")).otherwise(F.substring("target", 1, 4)))
+    return mapping.resolve_palette(mapping.suggest(t.usage, t.gmap, t.ovr), manual)
+
+
 @query("SELECT o.file, o.source, o.target FROM ovr o LEFT JOIN gmap g ON o.source = g.source WHERE o.target <> o.source AND (g.target IS NULL OR o.target <> g.target)")
 def persistable_overrides(spark, d):
     t = T(spark, d)
