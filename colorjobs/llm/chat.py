@@ -222,9 +222,9 @@ def spoken_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turns of every conversation, written as raw transcripts in pieces of up to four turns, parsed back.
 
-    The model learns from conversations whose hash mod 4 is not 0."""
+    The model learns from all of them."""
     turns = spoken_turns(spark, sf_dir)
-    model = fit(turns.where(F.pmod(F.xxhash64("conv_id"), F.lit(4)) != 0))
+    model = fit(turns)
     said = F.array_sort(F.collect_list(F.struct("turn", "text")))
     pieces = turns.where("text is not null").groupBy("conv_id", F.floor(F.col("turn") / 4).alias("piece")).agg(F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"))
     return parse(pieces, model)

@@ -130,6 +130,13 @@ def test_chat_null_and_negative_turns(spark):
         assert [(r.piece, r.line, r.role) for r in got] == begun and got[0].piece == own[0].piece
 
 
+def test_chat_query_learns_from_all_turns(spark, monkeypatch):
+    seen, fit = [], chat.fit
+    monkeypatch.setattr(chat, "fit", lambda turns, *a: seen.append(turns.count()) or fit(turns, *a))
+    chat.op3_chat(spark, "/root/testdata/sf0.001")
+    assert seen == [spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").count()]
+
+
 def test_chat_edges(spark):
     df = spark.createDataFrame([(1, None, "User: hi\nAI: yo"), (1, 2, None), (2, 1, ""), (None, 1, "hello")], "conv_id long, piece long, text string")
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
