@@ -1,28 +1,47 @@
 """Operator 1: url filtering by an empirical-Bayes host reputation. DataFrame functions only.
 
-Labelled page outcomes (1 good, 0 bad) are counted by host, registered domain (last two labels of the host) and suffix
-(last label). Each level's rate is shrunk to the level above by a beta-binomial prior whose strength is estimated from the
-spread of that level's own rates (method of moments over its groups with outcomes, weighted by them): suffix to the overall
-rate, domain to suffix, host to domain. A page passes if the lower bound of its host's posterior good rate, mean minus
-``z`` standard deviations of the beta posterior, reaches ``least``. Explicit rules come first: the longest that fits wins.
+Labelled page outcomes (1 good, 0 bad) are counted by host, registered domain and suffix. Each level's rate is shrunk to
+the level above by a beta-binomial prior: suffix to the overall rate, domain to suffix, host to domain. The strength of a
+level's prior comes from the spread of its own rates, by moments over its groups with outcomes. With prior rate p, n
+outcomes and intra-group correlation c, the expectation of n (rate - p)^2 is p (1 - p) (1 + (n - 1) c), so
 
-Outcomes are aggregated before anything is joined; the join back to the pages is a plain equi-join on the host, so a host
-with a third of all pages is split by adaptive execution, and no table is broadcast unchecked.
+    c = (sum n (rate - p)^2 - sum p (1 - p)) / sum p (1 - p) (n - 1),        strength = 1 / c - 1.
+
+A c below its own standard error under c = 0, sqrt(2 sum (p (1 - p))^2) / sum p (1 - p) (n - 1), cannot be told from none
+and is taken as that error: this bounds the strength by what the data can tell, with no fixed limit. A prior counts as one
+page at least, and as one where no group has two outcomes. A page passes if the lower bound of its host's posterior good
+rate, mean minus ``z`` standard deviations of the beta posterior, reaches ``least``. Explicit rules come first: the
+longest that fits wins.
+
+Levels are read off the host without user part, port and closing dot. An address (IPv4, or bracketed IPv6) is its own
+domain, and all addresses share one suffix. The suffix is the last label, or the last two where a country's label follows
+one of SECOND; the registered domain has one label more.
+
+Outcomes are aggregated before anything is joined and the host table is written once; the join back to the pages is a
+plain equi-join on the host, so a host with a third of all pages is split by adaptive execution. What comes to the driver
+is one row a level.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is judged as host '';
 a host without labels gets its domain's, suffix's or the overall posterior; without any outcome at all the rate is that
-of one good and one bad page; a page with several outcomes counts each; repeated pages are judged one by one.
+of one good and one bad page; a page with several outcomes counts each; outcomes other than 0 and 1, nulls included, count
+nothing; repeated pages are judged one by one; other columns of pages are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import cut, table
 
 #: (action, host, start of path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 UPPER, LOWERED = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Labels that form a suffix together with a country's two letters (fixed values).
+SECOND = ("ac", "co", "com", "edu", "gov", "net", "ne", "or", "org")
+TWO_LABELS = rf"(^|\.)({'|'.join(SECOND)})\.[a-z][a-z]\z"
+ADDRESS = r"^(\[.*|\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})\z"
 
 
 def host_of(url: Column) -> Column:
@@ -43,42 +62,52 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,action:string>")
 
 
-def domain_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+def name_of(host: Column) -> Column:
+    """The host without user part, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r"\.?(:\d*)?\z", "")
+
+
+def domain_of(name: Column) -> Column:
+    two = F.when(name.rlike(TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return F.when(name.rlike(ADDRESS), name).otherwise(two)
+
+
+def suffix_of(name: Column) -> Column:
+    two = F.when(name.rlike(TWO_LABELS), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return F.when(name.rlike(ADDRESS), "(address)").otherwise(two)
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def strength(level: DataFrame) -> float:
+    """level: (good, n, prior), one row a group. See the module's text."""
+    pq, n = F.col("prior") * (1 - F.col("prior")), F.col("n")
+    found = level.where("n > 0").agg(
+        F.sum(n * F.pow(F.col("good") / n - F.col("prior"), 2)).alias("ss"), F.sum(pq).alias("pq"), F.sum(pq * pq).alias("pq2"), F.sum(pq * (n - 1)).alias("free"),
+    ).first()
+    if not found.free:
+        return 1.0
+    c = max((found.ss - found.pq) / found.free, math.sqrt(2 * found.pq2) / found.free)
+    return max(1.0, 1 / c - 1)
 
 
-def shrunk(level: DataFrame, key: str, above: DataFrame, above_key: str, most: float = 1000.0) -> DataFrame:
-    """level: (key, above_key, good, n). Adds a, b of the beta posterior. above: (above_key, mean)."""
-    j = level.join(above.select(above_key, F.col("mean").alias("prior")), above_key)
-    # between-group variance beyond the binomial's share, over groups with outcomes: strength = m (1 - m) / variance - 1
-    rate = F.try_divide(F.col("good"), F.col("n"))
-    spread = j.agg(
-        F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("groups"), F.sum(F.col("n") * F.pow(rate - F.col("prior"), 2)).alias("ss"),
-        F.sum(F.col("n") * F.col("n")).alias("sq"), F.sum(F.col("n") * F.col("prior") * (1 - F.col("prior"))).alias("pq"),
-    )
-    noise = F.try_divide(F.col("pq"), F.col("total"))
-    variance = (F.col("ss") - F.col("groups") * noise) / F.greatest(F.col("total") - F.try_divide(F.col("sq"), F.col("total")), F.lit(1.0))
-    strength = spread.select(F.when(F.col("total") > 0, F.when(variance > noise / (most + 1), F.try_divide(noise, variance) - 1).otherwise(F.lit(most))).alias("k"))
-    strength = strength.select(F.greatest(F.lit(1.0), F.least(F.lit(most), F.coalesce("k", F.lit(1.0)))).alias("k"))
-    j = j.join(F.broadcast(strength))  # one row
-    a, b = F.col("good") + F.col("k") * F.col("prior"), F.col("n") - F.col("good") + F.col("k") * (1 - F.col("prior"))
-    return j.select(key, above_key, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
+def shrunk(level: DataFrame, *keep: str) -> DataFrame:
+    """level: (*keep, good, n, prior) -> (*keep, a, b, mean) of the beta posterior."""
+    k = strength(level)
+    a, b = F.col("good") + k * F.col("prior"), F.col("n") - F.col("good") + k * (1 - F.col("prior"))
+    return level.select(*keep, a.alias("a"), b.alias("b"), (a / (a + b)).alias("mean"))
 
 
 def reputations(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """pages (page_id, host), outcomes (page_id, good 0/1) -> host, a, b, for every host of pages."""
+    """pages (page_id, name), outcomes (page_id, good 0/1) -> name, a, b, for every name of pages."""
     labelled = pages.join(outcomes.where(F.col("good").isin(0, 1)), "page_id", "left")
-    hosts = labelled.groupBy("host").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.count("good").cast("double").alias("n"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host")))
-    total = hosts.agg(F.sum("good").alias("good"), F.sum("n").alias("n")).select(F.lit(0).alias("all"), ((F.coalesce("good", F.lit(0.0)) + 1) / (F.coalesce("n", F.lit(0.0)) + 2)).alias("mean"))
+    names = labelled.groupBy("name").agg(F.coalesce(F.sum("good"), F.lit(0)).cast("double").alias("good"), F.count("good").cast("double").alias("n"))
+    names = cut(names.withColumn("domain", domain_of(F.col("name"))).withColumn("suffix", suffix_of(F.col("name"))), "hosts")
     sums = F.sum("good").alias("good"), F.sum("n").alias("n")
-    suffixes = shrunk(hosts.groupBy("suffix").agg(*sums).withColumn("all", F.lit(0)), "suffix", total, "all")
-    domains = shrunk(hosts.groupBy("domain", "suffix").agg(*sums), "domain", suffixes, "suffix")
-    return shrunk(hosts.select("host", "domain", "good", "n"), "host", domains, "domain").select("host", "a", "b")
+    total = names.agg(*sums).first()
+    overall = ((total.good or 0.0) + 1) / ((total.n or 0.0) + 2)
+    suffixes = shrunk(names.groupBy("suffix").agg(*sums).withColumn("prior", F.lit(overall)), "suffix")
+    domains = names.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", F.col("mean").alias("prior")), "suffix")
+    domains = cut(shrunk(domains, "domain"), "domains")
+    return shrunk(names.join(domains.select("domain", F.col("mean").alias("prior")), "domain"), "name").select("name", "a", "b")
 
 
 def lower_bound(a: Column, b: Column, z: float) -> Column:
@@ -88,44 +117,51 @@ def lower_bound(a: Column, b: Column, z: float) -> Column:
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, least: float = 0.5, z: float = 1.645) -> DataFrame:
     """pages (page_id, url) -> page_id, host, path, rule, verdict, reputation (the posterior bound)."""
-    named = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    known = reputations(named.select("page_id", "host"), outcomes).select("host", lower_bound(F.col("a"), F.col("b"), z).alias("reputation"))
-    ruled = named.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(known, "host", "left")
+    host = host_of(F.col("url"))
+    named = pages.select("page_id", host.alias("host"), path_of(F.col("url")).alias("path"), name_of(host).alias("name"))
+    known = reputations(named.select("page_id", "name"), outcomes).select("name", lower_bound(F.col("a"), F.col("b"), z).alias("reputation"))
+    ruled = named.withColumn("r", rule_of(F.col("host"), F.col("path"), rules)).join(known, "name", "left")
     method = F.when(F.col("reputation") >= least, F.lit("allow")).otherwise(F.lit("block"))
     return ruled.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.action", method).alias("verdict"), "reputation")
 
 
 def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page; its outcome is the quality label of the document with the same number, where there is one."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     return judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), outcomes).select("page_id", "host", "path", "rule", "verdict")
 
 
 _LEVEL = """
-{name}_j AS (SELECT l.*, u.mean AS prior FROM ({rows}) l JOIN {above} u ON l.{above_key} = u.{above_key}),
-{name}_s AS (SELECT sum(n) AS total, count(*) AS grps, sum(n * pow(good / n - prior, 2)) FILTER (n > 0) AS ss, sum(n * n) AS sq, sum(n * prior * (1 - prior)) AS pq FROM {name}_j),
-{name}_v AS (SELECT total, pq / total AS noise, (ss - grps * (pq / total)) / greatest(total - sq / total, 1e0) AS variance FROM {name}_s WHERE total > 0),
-{name}_k AS (SELECT greatest(1e0, least(1000e0, coalesce((SELECT CASE WHEN variance > noise / 1001e0 THEN noise / variance - 1 ELSE 1000e0 END FROM {name}_v), 1e0))) AS k),
-{name} AS (SELECT {key}, {above_key}, good + k * prior AS a, n - good + k * (1 - prior) AS b, (good + k * prior) / (n + k) AS mean FROM {name}_j, {name}_k)"""
+{name}_j AS (SELECT l.*, u.mean AS prior FROM ({rows}) l JOIN {above} u USING ({above_key})),
+{name}_m AS (SELECT sum(n * pow(good / n - prior, 2)) AS ss, sum(prior * (1 - prior)) AS pq, sum(pow(prior * (1 - prior), 2)) AS pq2, sum(prior * (1 - prior) * (n - 1)) AS free
+  FROM {name}_j WHERE n > 0),
+{name}_k AS (SELECT CASE WHEN coalesce(free, 0) = 0 THEN 1e0 ELSE greatest(1e0, 1 / greatest((ss - pq) / free, sqrt(2 * pq2) / free) - 1) END AS k FROM {name}_m),
+{name} AS (SELECT {key}, good + k * prior AS a, n - good + k * (1 - prior) AS b, (good + k * prior) / (n + k) AS mean FROM {name}_j, {name}_k)"""
 
 
 def op1_sql() -> str:
-    rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for _, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
+    longest = sorted(RULES, key=lambda r: -len(r[1] + r[2]))
+    rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for _, h, p in longest) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{h + p}' THEN '{a}'" for a, h, p in RULES) + " END"
     levels = ",".join((
         _LEVEL.format(name="suffixes", key="suffix", above="overall", above_key="al", rows="SELECT suffix, 0 AS al, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY suffix"),
         _LEVEL.format(name="domains", key="domain", above="suffixes", above_key="suffix", rows="SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY domain, suffix"),
-        _LEVEL.format(name="host_posteriors", key="host", above="domains", above_key="domain", rows="SELECT host, domain, good, n FROM hosts"),
+        _LEVEL.format(name="posteriors", key="name", above="domains", above_key="domain", rows="SELECT name, domain, good, n FROM hosts"),
     ))
     return f"""
 WITH named AS (
-  SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{LOWERED}') AS host,
-         coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', '', 's'), '\\.?(:\\d*)?\\z', '') AS name FROM (
+    SELECT page_id, translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), '{UPPER}', '{LOWERED}') AS host,
+           coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages)),
+counted AS (
+  SELECT name, CAST(coalesce(sum(quality), 0) AS DOUBLE) AS good, CAST(count(quality) AS DOUBLE) AS n, string_split(name, '.') AS parts,
+         regexp_matches(name, '{ADDRESS}') AS address, regexp_matches(name, '{TWO_LABELS}') AS two
+  FROM named LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)) ON page_id = doc_id GROUP BY name),
 hosts AS (
-  SELECT host, CAST(coalesce(sum(quality), 0) AS DOUBLE) AS good, CAST(count(quality) AS DOUBLE) AS n,
-         array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix
-  FROM named LEFT JOIN (SELECT doc_id, quality FROM labels WHERE quality IN (0, 1)) ON page_id = doc_id GROUP BY host),
+  SELECT name, good, n, CASE WHEN address THEN name WHEN two THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+         CASE WHEN address THEN '(address)' WHEN two THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix FROM counted),
 overall AS (SELECT 0 AS al, (coalesce(sum(good), 0) + 1e0) / (coalesce(sum(n), 0) + 2e0) AS mean FROM hosts),{levels},
-bounds AS (SELECT host, greatest(0e0, mean - 1.645e0 * sqrt(mean * (1 - mean) / (a + b + 1))) AS reputation FROM host_posteriors),
+bounds AS (SELECT name, greatest(0e0, mean - 1.645e0 * sqrt(mean * (1 - mean) / (a + b + 1))) AS reputation FROM posteriors),
 ruled AS (SELECT *, {rule} AS rule FROM named)
 SELECT page_id, host, path, rule, coalesce({action}, CASE WHEN reputation >= 0.5e0 THEN 'allow' ELSE 'block' END) AS verdict
-FROM ruled LEFT JOIN bounds USING (host)"""
+FROM ruled LEFT JOIN bounds USING (name)"""
