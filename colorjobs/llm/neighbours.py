@@ -1,47 +1,68 @@
 """Operator 7: nearest neighbours by multi-index hashing of learned, rotated binary codes.
 
 Fit (bounded): principal axes of a documented sample of vectors, then the rotation that loses least when coordinates are
-cut to signs (iterative quantization). The search radius is learned too: over sampled queries, the Hamming distance
-within which the share ``recall`` of their true nearest lies.
+cut to signs (iterative quantization). The relation of cosine and Hamming distance is learned from the sample too:
+``reach[c]`` is the distance within which the share ``recall`` of the pairs with cosine c or more lie.
 
-Index and search: every vector's code is split into substrings of ``sub_bits`` bits. Two codes within the radius agree in
-some substring up to radius // substrings bits (pigeonhole), so probing each substring's table within that many bits
-retrieves every code within the radius. The codes found are checked by full Hamming distance and reranked by the exact
-cosine of the original vectors in double precision.
+Index: every row's code is split into substrings of ``sub_bits`` bits, and each substring has its table of values. Two
+codes at distance r agree in some substring up to r // substrings bits (pigeonhole), so probing each table with all values
+that close to the query's finds every code within r.
 
-Distribution: rows and queries are dealt into blocks of bounded size and every block of queries meets every block of rows
-(a stated query set against all rows, in blocks); a block pair is one group with its own substring tables, and only the
-best ``k`` of each query in each block move on. A query whose radius holds fewer than ``k`` codes is searched again with
-the whole range as radius, so no query goes short.
+Search: the radius is each query's own. What its k best in the sample have in cosine is a floor for what its k best have,
+so ``reach`` of that floor is the most it can need; inside a block of rows the radius grows step by step from the nearest
+codes and ends as soon as ``reach`` of the k-th cosine found is within it. Codes found are reranked by the exact cosine of
+the original vectors in double precision. The more rows, the nearer the neighbours and the smaller the radii.
+
+Distribution: queries are broadcast in blocks of a fixed number (a stated query set against all rows, in blocks), and rows
+are streamed past them where they lie: no row is copied or shuffled. A task indexes ``row_block`` rows at a time, keeps
+the best ``k`` of each query, and only those move on. A query that found fewer than ``k`` is searched again with the whole
+range as radius, so no query goes short.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ in length from the most common
-length take no part; equal cosines go to the smaller id; repeated ids are vectors of their own, and a query never meets
-rows with its own id.
+length take no part; vectors are scaled by a power of two before norms, which changes no cosine, so very large and very
+small components are as good as others; equal cosines go to the smaller id; repeated ids are vectors of their own, and a
+query never meets rows with its own id; a null id takes part as a row of its own, last among equals; extra columns are
+not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from .common import cut, small_batches, table
 
+#: Stands for a null id inside a task: no row of a table has to give way to it, ids are compared with validity.
+NO_ID = np.iinfo(np.int64).max
+
+
+def fine(v: Column) -> Column:
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+
 
 def usable(vectors: DataFrame) -> DataFrame:
     """id, v (array of double): only what can take part."""
-    v = F.col("v")
-    fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = vectors.where(fine)
+    good = vectors.where(fine(F.col("v")))
     size = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     return good.where(F.size("v") == (size[0].d if size else 0))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row times a power of two that brings its largest component near one. Exact."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
 class Codes:
-    """Centre, rotation and radius."""
+    """Centre, rotation, and the learned relation of cosine and distance."""
 
-    def __init__(self, sample: np.ndarray, bits: int, k: int, recall: float, rounds: int = 40):
-        x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    def __init__(self, sample: np.ndarray, bits: int, k: int, recall: float, rounds: int = 40, steps: int = 64):
+        x = self.known = unit(sample)
         self.mean = x.mean(axis=0)
         _, _, axes = np.linalg.svd(x - self.mean, full_matrices=True)
         self.bits = min(bits, axes.shape[0])
@@ -50,114 +71,188 @@ class Codes:
         for _ in range(rounds):
             u, _, w = np.linalg.svd(np.where(projected @ rotation > 0, 1.0, -1.0).T @ projected)
             rotation = (u @ w).T
-        self.map = axes[: self.bits].T @ rotation
-        codes = self.of(sample)
-        q = np.arange(min(len(x), 300))
-        near = x[q] @ x.T
+        self.map, self.k = axes[: self.bits].T @ rotation, k
+        self.least, self.reach = self.relation(recall, steps)
+
+    def relation(self, recall: float, steps: int, pairs: int = 200) -> tuple[np.ndarray, np.ndarray]:
+        """Rising cosines, and for each the distance that ``recall`` of the sample's pairs with at least that cosine keep
+        to. A level with under ``pairs`` pairs above it takes those of the level below, which reach farther."""
+        q = np.arange(min(len(self.known), 400))
+        near = self.known[q] @ self.known.T
         near[q, q] = -np.inf
-        best = np.argsort(-near, axis=1)[:, : min(k, max(1, len(x) - 1))]
-        away = np.bitwise_count(codes[q][:, None] ^ codes[best])
-        self.radius = int(np.ceil(np.quantile(away, recall))) if len(x) > 1 else self.bits
+        code = self.signs(self.known)
+        away = np.bitwise_count(code[q][:, None] ^ code).ravel()
+        cosine, order = near.ravel(), np.argsort(-near.ravel(), kind="stable")
+        levels, out = np.linspace(-1.0, 1.0, steps + 1), np.full(steps + 1, self.bits)
+        sorted_cosine, sorted_away = cosine[order], away[order]
+        for i, level in enumerate(levels):
+            n = int((sorted_cosine >= level).sum())
+            out[i] = int(np.ceil(np.quantile(sorted_away[:n], recall))) if n >= pairs else out[i - 1] if i else self.bits
+        return levels, np.minimum.accumulate(out)
 
-    def of(self, vectors: np.ndarray) -> np.ndarray:
-        """Unsigned 64-bit codes."""
-        x = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
-        signs = ((x - self.mean) @ self.map > 0).astype(np.uint64)
-        return (signs << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+    def radius(self, cosine: np.ndarray) -> np.ndarray:
+        """How far a neighbour with at least this cosine may be; the whole range where none is known."""
+        at = np.clip(np.searchsorted(self.least, np.nan_to_num(cosine, neginf=-1.0), side="right") - 1, 0, len(self.least) - 1)
+        return np.where(np.isfinite(cosine), self.reach[at], self.bits)
+
+    def signs(self, x: np.ndarray) -> np.ndarray:
+        """Unsigned 64-bit codes of unit vectors."""
+        on = ((x - self.mean) @ self.map > 0).astype(np.uint64)
+        return (on << np.arange(self.bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+
+    def floors(self, queries: np.ndarray) -> np.ndarray:
+        """The k-th cosine of each query (unit vectors) in the sample. A query may be in the sample itself: one more is taken."""
+        if len(self.known) <= self.k:
+            return np.full(len(queries), -np.inf)
+        near = queries @ self.known.T
+        return np.partition(near, near.shape[1] - self.k - 1, axis=1)[:, near.shape[1] - self.k - 1]
+
+
+def masks(width: int, ones: int) -> np.ndarray:
+    """All numbers of ``width`` bits with exactly so many ones."""
+    every = np.arange(1 << width, dtype=np.uint32)
+    return every[np.bitwise_count(every) == ones]
 
 
 class SubstringTables:
-    """For each substring its values with the rows that hold them."""
+    """For each substring of the codes a table from its value to the rows that hold it."""
 
     def __init__(self, codes: np.ndarray, bits: int, sub_bits: int):
         self.codes, self.tables = codes, []
         for low in range(0, bits, sub_bits):
-            value = (codes >> np.uint64(low)) & np.uint64((1 << min(sub_bits, bits - low)) - 1)
-            order = np.argsort(value, kind="stable")
-            keys, first = np.unique(value[order], return_index=True)
-            self.tables.append((low, np.uint64((1 << min(sub_bits, bits - low)) - 1), keys, order, np.append(first, len(codes))))
-
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """All rows within the radius of a code. Of the probes code ^ mask, those present are the keys within reach."""
-        seen = np.zeros(len(self.codes), bool)
-        for low, mask, keys, order, first in self.tables:
-            hit = np.flatnonzero(np.bitwise_count(keys ^ ((code >> np.uint64(low)) & mask)) <= radius // len(self.tables))
-            n = first[hit + 1] - first[hit]
-            if len(n):
-                at = np.repeat(first[hit] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                seen[order[at]] = True
-        rows = np.flatnonzero(seen)
-        return rows[np.bitwise_count(self.codes[rows] ^ code) <= radius]
-
-
-def block_search(codes: Codes, k: int, sub_bits: int, radius: int | None = None):
-    """For one block of queries and one of rows: the k best rows of each query that its radius holds."""
-    reach = codes.radius if radius is None else radius
-
-    def of(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple[np.ndarray, ...]] = []
-        if left.num_rows and right.num_rows:
-            qid, rid = left.column("id").to_numpy(), right.column("id").to_numpy()
-            q, r = (np.array(t.column("v").combine_chunks().flatten(), np.float64).reshape(t.num_rows, -1) for t in (left, right))
-            tables, rnorm, qnorm = SubstringTables(codes.of(r), codes.bits, sub_bits), np.sqrt((r * r).sum(axis=1)), np.sqrt((q * q).sum(axis=1))
-            for i, code in enumerate(codes.of(q)):
-                at = tables.within(code, reach)
-                at = at[rid[at] != qid[i]]
-                if not len(at):
-                    continue
-                rough = (r[at] @ q[i]) / rnorm[at]
-                if len(at) > 4 * k:  # the exact value is worked out for what can be among the best only
-                    line = np.partition(rough, len(at) - k)[len(at) - k]
-                    at = at[rough >= line - 1e-9 * qnorm[i]]
-                score = (r[at] * q[i]).sum(axis=1) / (rnorm[at] * qnorm[i])
-                best = np.lexsort((rid[at], -score))[:k]
-                out.append((np.full(len(best), qid[i]), np.full(len(best), left.column("n").to_numpy()[i]), rid[at][best], score[best]))
-        cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        return pa.table({"query_id": pa.array(cols[0], pa.int64()), "n": pa.array(cols[1], pa.int64()), "vec_id": pa.array(cols[2], pa.int64()), "score": pa.array(cols[3], pa.float64())})
-
-    return of
-
-
-FOUND = "query_id long, n long, vec_id long, score double"
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 64, sub_bits: int = 16, sample: int = 4000, recall: float = 0.985, row_block: int = 8192, query_block: int = 2048) -> DataFrame:
+            width = min(sub_bits, bits - low)
+            value = ((codes >> np.uint64(low)) & np.uint64((1 << width) - 1)).astype(np.int64)
+            first = np.zeros((1 << width) + 1, np.int64)
+            np.cumsum(np.bincount(value, minlength=1 << width), out=first[1:])
+            self.tables.append((low, width, np.argsort(value, kind="stable"), first))
+        self.flips = {(w, n): masks(w, n) for w in {t[1] for t in self.tables} for n in range(w + 1)}
+
+    def probe(self, code: np.uint64, ones: int, only: int) -> np.ndarray:
+        """Rows whose substring ``only`` differs from the code's in exactly ``ones`` bits."""
+        low, width, order, first = self.tables[only]
+        if ones > width:
+            return np.zeros(0, np.int64)
+        values = (np.uint32((int(code) >> low) & ((1 << width) - 1)) ^ self.flips[width, ones]).astype(np.int64)
+        begin, n = first[values], first[values + 1] - first[values]
+        begin, n = begin[n > 0], n[n > 0]
+        if not len(n):
+            return np.zeros(0, np.int64)
+        return order[np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+
+    def rings(self, code: np.uint64):
+        """Rows by growing radius: (radius, rows at exactly that distance). Radius r adds substring r mod m at r // m bits:
+        with it every code within r has been met in some table."""
+        m, seen = len(self.tables), np.zeros(len(self.codes), bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        for r in range(sum(t[1] for t in self.tables) + 1):
+            new = self.probe(code, r // m, r % m)
+            new = new[~seen[new]]
+            seen[new] = True
+            away = np.bitwise_count(self.codes[new] ^ code)
+            for d in np.unique(away):
+                waiting.setdefault(int(d), []).append(new[away == d])
+            yield r, np.concatenate(waiting.pop(r, [np.zeros(0, np.int64)]))
+
+
+class Best:
+    """The k best rows of every query of a block, over all rows seen so far."""
+
+    def __init__(self, codes: Codes, ids: np.ndarray, queries: np.ndarray, sub_bits: int, whole: bool):
+        self.model, self.k, self.sub_bits, self.ids = codes, codes.k, sub_bits, ids
+        self.q = scaled(queries)
+        self.norm = np.sqrt((self.q * self.q).sum(axis=1))
+        directions = self.q / self.norm[:, None]
+        self.code = codes.signs(directions)
+        self.most = np.full(len(ids), codes.bits) if whole else codes.radius(codes.floors(directions))
+        self.score, self.row = np.full((len(ids), self.k), -np.inf), np.full((len(ids), self.k), NO_ID)
+
+    def see(self, rid: np.ndarray, rows: np.ndarray) -> None:
+        r = scaled(rows)
+        norm = np.sqrt((r * r).sum(axis=1))
+        tables = SubstringTables(self.model.signs(r / norm[:, None]), self.model.bits, self.sub_bits)
+        for i, code in enumerate(self.code):
+            score, row, radius = self.score[i], self.row[i], self.most[i]
+            for at_radius, new in tables.rings(code):
+                new = new[rid[new] != self.ids[i]]
+                if len(new):
+                    cosine = (r[new] * self.q[i]).sum(axis=1) / (norm[new] * self.norm[i])
+                    score, row = np.concatenate([score, cosine]), np.concatenate([row, rid[new]])
+                    best = np.lexsort((row, -score))[: self.k]
+                    score, row = score[best], row[best]
+                    radius = min(radius, int(self.model.radius(score[-1:])[0]))
+                if at_radius >= radius:
+                    break
+            self.score[i], self.row[i] = score, row
+
+
+FOUND = "n long, vec_id long, score double"
+
+
+def search_block(rows: DataFrame, codes: Codes, block: list, sub_bits: int, row_block: int, whole: bool) -> DataFrame:
+    """block: (n, id, v) of some queries. Rows stream past them; a task yields its best of each query."""
+    held = rows.sparkSession.sparkContext.broadcast((codes, np.array([r.n for r in block], np.int64), np.array([NO_ID if r.id is None else r.id for r in block], np.int64), np.array([r.v for r in block], np.float64)))
+
+    def of(batches):
+        model, n, ids, queries = held.value
+        best, waiting, count = Best(model, ids, queries, sub_bits, whole), [], 0
+
+        def flush() -> None:
+            if waiting:
+                best.see(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                waiting.clear()
+
+        for b in batches:
+            rid = b.column(0).fill_null(NO_ID).to_numpy()
+            if b.num_rows:
+                waiting.append((rid, b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)))
+                count += b.num_rows
+            if count >= row_block:
+                flush()
+                count = 0
+        flush()
+        i, j = np.nonzero(np.isfinite(best.score))
+        row = best.row[i, j]
+        yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(row, mask=row == NO_ID), pa.array(best.score[i, j])], ["n", "vec_id", "score"])
+
+    return rows.select("id", "v").mapInArrow(of, FOUND)
+
+
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 64, sub_bits: int = 16, sample: int = 4000, recall: float = 0.985, row_block: int = 16_384, query_block: int = 8192) -> DataFrame:
     """vectors and queries: (id, v). Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     small_batches(spark)
-    rows = cut(usable(vectors.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))), "vectors")
-    asked = queries.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"))
-    asked = asked.join(rows.select(F.size("v").alias("d")).limit(1), F.size("v") == F.col("d"), "left_semi")
-    asked = cut(asked.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)).withColumn("n", F.monotonically_increasing_id()), "queries")
-    fitted = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("v").collect()  # the bounded sample
+    plain = F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")
+    rows = cut(usable(vectors.select(*plain)), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    fitted = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("v").collect()  # the bounded sample
     if not fitted:
         return empty
     codes = Codes(np.array([r.v for r in fitted], np.float64), bits, k, recall)
-    n_rows, n_queries = rows.count(), asked.count()
-    row_blocks, query_blocks = -(-n_rows // row_block), -(-n_queries // query_block)
-    if not n_queries:
-        return empty
-
-    def blocks(df: DataFrame, own: str, n: int, other: str, m: int, key: str) -> DataFrame:
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    asked = queries.select(*plain).where(fine(F.col("v")) & (F.size("v") == len(fitted[0].v)))
+    asked = cut(asked.withColumn("n", F.monotonically_increasing_id()), "queries")
+    nearest = W.partitionBy("n").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
 
-    by_row = blocks(rows.select("id", "v"), "rb", row_blocks, "qb", query_blocks, "id").groupBy("qb", "rb")
+    def meet(some: DataFrame, whole: bool) -> DataFrame | None:
+        blocks, found = -(-some.count() // query_block), None
+        for b in range(blocks):
+            block = some.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b).collect()  # about query_block rows
+            if block:
+                best = cut(search_block(rows, codes, block, sub_bits, row_block, whole).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "found")
+                found = best if found is None else found.unionByName(best)
+        return found
 
-    def meet(some: DataFrame, radius: int | None) -> DataFrame:
-        by_query = blocks(some.select("id", "v", "n"), "qb", query_blocks, "rb", row_blocks, "n").groupBy("qb", "rb")
-        return by_query.cogroup(by_row).applyInArrow(block_search(codes, k, sub_bits, radius), FOUND)
-
-    nearest = W.partitionBy("n").orderBy(F.desc("score"), "vec_id")
-    found = cut(meet(asked, None).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "found")
-    full = found.groupBy("n").agg(F.count("*").alias("c")).where(F.col("c") >= min(k, n_rows - 1)).select("n")
+    found = meet(asked, False)
+    if found is None:
+        return empty
+    full = found.groupBy("n").agg(F.count("*").alias("c")).where(F.col("c") >= k).select("n")
     short = cut(asked.join(full, "n", "left_anti"), "short")
-    if short.take(1):
-        again = meet(short, codes.bits).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    again = meet(short, True)
+    if again is not None:
         found = found.join(full, "n", "left_semi").unionByName(again)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.join(asked.select("n", F.col("id").alias("query_id")), "n").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against all the others."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return search(vectors, vectors.where(F.col("id") % 50 == 0))
