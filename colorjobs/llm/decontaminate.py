@@ -1,98 +1,147 @@
 """Operator 8: benchmark decontamination as a prefix-filtered set join.
 
-Every benchmark item is cut into windows of ``window`` consecutive words (a shorter item is one window). A window is
-contained in a document only if all of its words are, so by the prefix principle for containment 1.0 one word is a
-sufficient prefix: the rarest one, by its count over all documents. A document word is looked up among the prefix words
-(the join); positional and length bounds say where the window would have to start and whether it fits; then the words
-themselves are compared.
-
-The benchmark is the broadcast side. Its size is summed first and it is split into blocks of at most ``block_chars``
-characters; documents are streamed once for each block and the blocks' findings are merged, so no broadcast grows with
-the benchmark.
+Every benchmark item is cut into windows of ``window`` consecutive words (a shorter item is one window). The tokens of the
+join are shingles of ``gram`` words (the whole window where it is shorter). A window is contained in a document only if
+all of its shingles are, so by the prefix principle for containment 1.0 a prefix of one shingle is enough: its rarest. The
+rarity of a shingle is its count over all documents, kept in 2**20 hashed buckets, one pass for all of the benchmark; it
+decides the order only, never the result. The join looks document shingles up among the prefix shingles; the shingle's
+position in the window says where the window would have to start (positional bound) and whether it fits into the document
+(length bound), and the words themselves are compared at the end, so hashes never decide.
+
+The benchmark is the broadcast side. Long items are cut into pieces that overlap by a window less one word, the pieces'
+size is summed, and they are dealt into blocks of about ``block_chars`` characters; documents are streamed once for each
+block and the blocks' findings are merged, so no broadcast grows with the benchmark. Equal windows of a block are one.
 
 Defined cases: a null or empty text has no words, is never contaminated and gets the digest of the empty string; items
 with no words have no windows; repeated documents are judged one by one; item ids that repeat count once; an item with
-a null id contaminates like any other, but is not among the ids that are listed and counted.
+a null id contaminates like any other, but is not among the ids that are listed and counted; columns of documents are kept
+whatever their names; an empty table of documents gives no rows, an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import lower_ascii, small_batches, table
+from .common import WordHashes, cut, lower_ascii, small_batches, table, unused
 
 #: Words of the contamination rule: ASCII letters and digits, and everything beyond ASCII.
 TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 HITS = "struct<n_words: long, spans: array<int>, items: array<string>>"
+BUCKETS, PIECE = 1 << 20, 20_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def tokens(text: str | None) -> list[str]:
     return TOKEN.findall(lower_ascii(text)) if text else []
 
 
-def windows_of(words: list[str], window: int) -> list[tuple[str, ...]]:
-    if not words:
-        return []
-    return [tuple(words[i : i + window]) for i in range(max(1, len(words) - window + 1))]
+def shingles(hashes: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of ``size`` words."""
+    n = max(0, len(hashes) - size + 1)
+    out = np.zeros(n, np.uint64)
+    for i in range(size):
+        out = (out ^ hashes[i : i + n]) * _ODD
+        out ^= out >> np.uint64(31)
+    return out
+
+
+def buckets(shingle_hashes: np.ndarray) -> np.ndarray:
+    return (shingle_hashes >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int) -> list[DataFrame]:
-    """The benchmark in blocks of at most about ``block_chars`` characters, dealt by a hash of the item."""
+def item_pieces(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item_id, text): the words of items, joined by one space, in pieces that share no window."""
+
+    def of(batches):
+        for b in batches:
+            ids, texts = [], []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                words = tokens(text.as_py())
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, PIECE):
+                    ids.append(item)
+                    texts.append(" ".join(words[at : at + PIECE + window - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(texts, pa.string())], ["item_id", "text"])
+
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-chars // block_chars)
-    if n <= 1:
-        return [items]
-    block = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [items.where(block == i) for i in range(n)]
+    return cut(items.mapInArrow(of, "item_id string, text string").distinct(), "items")
+
 
+def item_blocks(pieces: DataFrame, block_chars: int) -> list[DataFrame]:
+    """Pieces in blocks of about ``block_chars`` characters, dealt by a hash."""
+    chars = pieces.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // block_chars))
+    return [pieces.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) for i in range(n)]
 
-def word_counts(docs: DataFrame, vocabulary: set[str]) -> dict[str, int]:
-    """Over all documents, the count of each word of a bounded vocabulary."""
-    known = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
-    def count(batches):
-        total: Counter = Counter()
+def bucket_counts(texts: DataFrame, size: int, only: np.ndarray | None) -> np.ndarray:
+    """How many shingles of ``text`` fall into each bucket (of ``only``, if given). One row a bucket moves."""
+    wanted = None if only is None else texts.sparkSession.sparkContext.broadcast(np.packbits(only))
+
+    def of(batches):
+        known, total = WordHashes(), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for text in b.column(0):
-                total.update(filter(known.value.__contains__, tokens(text.as_py())))
-        yield pa.RecordBatch.from_pydict({"word": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())})
-
-    rows = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r.word: r.n for r in rows.collect()}
-
-
-def prefix_index(items: list[tuple[str | None, list[str]]], window: int, counts: dict[str, int]) -> dict:
-    """Rarest word -> [(its offset, the window, ids of the items that hold it; a null id is none)]."""
-    holders: dict[tuple[str, ...], set[str]] = defaultdict(set)
-    for item_id, words in items:
-        for w in windows_of(words, window):
-            holders[w].update(() if item_id is None else (item_id,))
-    index: dict[str, list] = defaultdict(list)
-    for w, ids in holders.items():
-        rarest = min(w, key=lambda x: (counts.get(x, 0), x))
-        index[rarest].append((w.index(rarest), w, tuple(sorted(ids, key=str))))
-    return dict(index)
-
-
-def scan(words: list[str], index: dict) -> tuple[list[int], set[str]]:
-    """Flat list of [start, end) spans of occurring windows, merged, and the ids of their items."""
-    spans: list[list[int]] = []
-    items: set[str] = set()
-    if index.keys().isdisjoint(words):
-        return [], items
-    for p in [p for p, w in enumerate(words) if w in index]:
-        for offset, window, ids in index[words[p]]:
-            start, end = p - offset, p - offset + len(window)
-            if start >= 0 and end <= len(words) and tuple(words[start:end]) == window:
-                items.update(ids)
-                spans.append([start, end])
-    return merged(spans), items
+                h = known.of(tokens(text.as_py()))
+                if len(h):
+                    np.add.at(total, buckets(shingles(h, min(size, len(h)))), 1)
+        if wanted is not None:
+            total *= np.unpackbits(wanted.value, count=BUCKETS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["k", "n"])
+
+    out = np.zeros(BUCKETS, np.int64)
+    for r in texts.select("text").mapInArrow(of, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():  # at most BUCKETS rows
+        out[r.k] = r.n
+    return out
+
+
+class PrefixIndex:
+    """Windows of a block by the hash of their rarest shingle. Arrays, sorted by that hash, one set for each shingle size."""
+
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int, gram: int, counts: np.ndarray):
+        holders: dict[tuple[str, ...], set[str]] = defaultdict(set)
+        entries: dict[int, list[tuple]] = defaultdict(list)
+        self.words: list[str] = []
+        known = WordHashes()
+        for item_id, words in items:
+            length, size = min(window, len(words)), min(gram, len(words))
+            s = shingles(known.of(words), size)
+            rare = np.lib.stride_tricks.sliding_window_view(counts[buckets(s)], length - size + 1).argmin(axis=1)
+            base, new = len(self.words), False
+            for i, offset in enumerate(rare.tolist()):
+                w = tuple(words[i : i + length])
+                if w not in holders:
+                    entries[size].append((int(s[i + offset]), offset, base + i, length, w))
+                    new = True
+                holders[w].update(() if item_id is None else (item_id,))
+            if new:
+                self.words += words
+        self.tables = {}
+        for size, found in entries.items():
+            found.sort(key=lambda e: e[:4])
+            self.tables[size] = (np.array([e[0] for e in found], np.uint64), *(np.array([e[i] for e in found], np.int64) for i in (1, 2, 3)), [tuple(sorted(holders[e[4]])) for e in found])
+
+    def scan(self, words: list[str], hashes: np.ndarray) -> tuple[list[int], set[str]]:
+        """Flat list of [start, end) spans of occurring windows, merged, and the ids of their items."""
+        spans: list[tuple[int, int]] = []
+        items: set[str] = set()
+        for size, (keys, offsets, ats, lengths, ids) in self.tables.items():
+            s = shingles(hashes, size)
+            low, high = np.searchsorted(keys, s, side="left"), np.searchsorted(keys, s, side="right")
+            for p in np.flatnonzero(high > low).tolist():
+                for e in range(low[p], high[p]):
+                    start = p - int(offsets[e])
+                    end = start + int(lengths[e])
+                    if start >= 0 and end <= len(words) and words[start:end] == self.words[ats[e] : ats[e] + end - start]:
+                        items.update(ids[e])
+                        spans.append((start, end))
+        return merged(spans), items
 
 
 def merged(spans) -> list[int]:
@@ -105,7 +154,10 @@ def merged(spans) -> list[int]:
     return out
 
 
-def hits_column(held, text):
+_known = WordHashes()
+
+
+def hits_column(held, text: Column) -> Column:
     """held: broadcast prefix index of one block."""
 
     @F.arrow_udf(HITS)
@@ -113,7 +165,7 @@ def hits_column(held, text):
         n, spans, found = [], [], []
         for t in texts:
             words = tokens(t.as_py())
-            s, i = scan(words, held.value)
+            s, i = held.value.scan(words, _known.of(words)) if words else ([], ())
             n.append(len(words))
             spans.append(s)
             found.append(sorted(i))
@@ -122,45 +174,52 @@ def hits_column(held, text):
     return hits(text)
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, window: int = 13, block_chars: int = 32_000_000, prefix: str = "_hit") -> DataFrame:
-    """``docs`` with one more column for each benchmark block: struct(n_words, spans, items). No row moves."""
+def hit_columns(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 3, block_chars: int = 2_000_000) -> list[Column]:
+    """One column for each benchmark block: struct(n_words, spans, items). No row of documents moves."""
     spark = docs.sparkSession
     small_batches(spark)
-    out = docs
-    for k, block in enumerate(item_blocks(benchmark, block_chars)):
-        # bounded: item_blocks has summed the size
-        items = [(r.item_id, w) for r in block.distinct().collect() if (w := tokens(r.text))]
-        counts = word_counts(docs, {x for _, w in items for x in w})
-        held = spark.sparkContext.broadcast(prefix_index(items, window, counts))
-
-        out = out.withColumn(f"{prefix}{k}", hits_column(held, F.col("text")))
+    pieces = item_pieces(benchmark, window)
+    counts = bucket_counts(docs, gram, bucket_counts(pieces, gram, None) > 0)
+    out = []
+    for block in item_blocks(pieces, block_chars):
+        items = [(r.item_id, r.text.split(" ")) for r in block.collect()]  # about block_chars characters
+        held = spark.sparkContext.broadcast(PrefixIndex(items, window, gram, counts))
+        out.append(hits_column(held, F.col("text")))
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_chars: int = 32_000_000, name: str = "_verdict") -> DataFrame:
-    """``docs`` with struct ``name``(n_words, n_hit, n_items, items, spans, contaminated); contaminated: any word is hit
-    and at least one in ``share`` words is."""
-    marked = find_hits(docs, benchmark, window, block_chars)
-    blocks = [c for c in marked.columns if c not in docs.columns]
+def verdict(blocks: list[Column], share: int) -> Column:
+    """struct(n_words, n_hit, n_items, items_sha256, spans, contaminated) of all blocks' findings."""
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.int32())), ("contaminated", pa.bool_())])
 
     @F.arrow_udf("struct<n_words: long, n_hit: long, n_items: long, items_sha256: string, spans: array<int>, contaminated: boolean>")
-    def verdict(*parts: pa.Array) -> pa.Array:
+    def of(*parts: pa.Array) -> pa.Array:
         rows = []
         for found in zip(*(p.to_pylist() for p in parts), strict=True):
-            spans = merged([s for f in found for s in zip(f["spans"][::2], f["spans"][1::2], strict=True)]) if len(found) > 1 else found[0]["spans"]
+            spans = merged([s for f in found for s in zip(f["spans"][::2], f["spans"][1::2], strict=True)])
             items = sorted({i for f in found for i in f["items"]})
             n, hit = found[0]["n_words"], sum(spans[1::2]) - sum(spans[::2])
-            rows.append({"n_words": n, "n_hit": hit, "n_items": len(items), "items_sha256": hashlib.sha256(",".join(items).encode()).hexdigest(), "spans": spans, "contaminated": hit > 0 and share * hit >= n})
-        return pa.array(rows, pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.int32())), ("contaminated", pa.bool_())]))
+            digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+            rows.append({"n_words": n, "n_hit": hit, "n_items": len(items), "items_sha256": digest, "spans": spans, "contaminated": hit > 0 and share * hit >= n})
+        return pa.array(rows, kind)
+
+    return of(*blocks)
+
 
-    return marked.withColumn(name, verdict(*blocks)).drop(*blocks)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, gram: int = 3, block_chars: int = 2_000_000, name: str = "verdict") -> DataFrame:
+    """``docs`` with struct ``name``(n_words, n_hit, n_items, items_sha256, spans, contaminated); contaminated: any word is
+    hit and at least one in ``share`` words is. ``name`` must not be a column of ``docs``."""
+    return docs.withColumn(name, verdict(hit_columns(docs, benchmark, window, gram, block_chars), share))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against every benchmark item."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id", *(f"_verdict.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *(f"verdict.{c}" for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")))
 
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go."""
-    return decontaminate(docs, table(spark, sf_dir, "benchmark")).where("not _verdict.contaminated").drop("_verdict")
+    name = unused(docs.columns, "verdict")
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"), name=name).where(~F.col(f"{name}.contaminated")).drop(name)
