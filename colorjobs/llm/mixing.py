@@ -9,20 +9,23 @@ held at ``most``. Newton steps, kept inside a bracket, solve it for all sources
 number of documents of each (source, size), so documents are aggregated once and the loop runs on that table.
 
 Copies: within a source, documents of equal size are interchangeable. The fractional parts of the rates are rounded
-systematically along falling sizes, which keeps the sum within one document of its target at every size; then single
-documents are added or taken back, the one that fits best first, until nothing gets nearer. Which documents of a size get
+systematically along falling sizes, which keeps the sum within one document of its target at every size; then documents of
+one size are added or taken back, as many as fit best, the best size first, until nothing gets nearer. Which documents of a size get
 the extra copy is settled by a hash of the id, so reruns agree.
 
+Both loops run until they are done: Newton until every source is at its target or at its limit (an error if ``rounds`` do
+not get there), documents of one size until no size gets nearer.
+
 Defined cases: null or blank text has size 0 and takes 0 (it keeps one copy); null source is a source of its own, last;
-no documents: no rows; all sizes zero: all targets zero. Rows that repeat are dealt with one by one (equal hashes are
-ordered by the text).
+no documents: no rows; all sizes zero: all targets zero. Rows that repeat are dealt with one by one; null ids are like
+others. Other columns are not read by the mix; the stage keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, join_nulls, table
+from .common import cut, drop, join_nulls, row_text, table, unused
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -49,40 +52,44 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most
     return w.withColumn("fill", fill).select("source", "source_size", F.coalesce(F.least("cap", F.col("w") * F.col("fill")), F.col("cap")).alias("target"))
 
 
-def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int = 60, near: float = 1e-9) -> DataFrame:
-    """groups: (source, size, n); targets: (source, source_size, docs, target). Adds column l, the dual of each source.
+def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int = 200, near: float = 1e-9) -> DataFrame:
+    """groups: (source, size, n); targets: (source, source_size, docs, target, start). Adds column l, the dual of each
+    source, found from its value at the start.
 
     rate(l, x) = min(most, exp(l * x)), x = size / mean size; sum(n * size * rate) rises with l from 0 to most * source_size.
     """
-    duals = targets.select("source", "source_size", "docs", "target", F.lit(0.0).alias("l"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(False).alias("done"))
+    null = F.lit(None).cast("double")
+    duals = targets.select("source", "source_size", "docs", "target", F.col("start").alias("l"), null.alias("lo"), null.alias("hi"), F.lit(False).alias("done"))
+    top = F.try_divide(F.log(F.lit(float(most))), F.col("least_x"))  # beyond it every document is at the limit
     for _ in range(rounds):
         x = F.col("size") * F.col("docs") / F.col("source_size")
         free = F.exp(F.least(F.col("l") * x, F.lit(700.0)))
         rate = F.least(F.lit(most), free)
-        g = (
-            join_nulls(groups.where("size > 0"), duals.select("source", "source_size", "docs", "l"), "source")
-            .groupBy("source").agg(F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.when(free < most, F.col("n") * F.col("size") * x * free).otherwise(0.0)).alias("slope"), F.min(x).alias("least_x"))
+        g = join_nulls(groups.where("size > 0"), duals.select("source", "source_size", "docs", "l"), "source").groupBy("source").agg(
+            F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.when(free < most, F.col("n") * F.col("size") * x * free).otherwise(0.0)).alias("slope"), F.min(x).alias("least_x"),
         )
-        d = join_nulls(duals, g, "source", how="left")
         gap = F.col("target") - F.col("got")
-        done = F.col("got").isNull() | (F.abs(gap) <= near * F.greatest(F.col("target"), F.lit(1.0)))
+        met = F.col("got").isNull() | (F.abs(gap) <= near * F.greatest(F.col("target"), F.lit(1.0)))
+        done = met | ((gap > 0) & (F.col("l") >= top))
         lo, hi = F.when(gap > 0, F.col("l")).otherwise(F.col("lo")), F.when(gap < 0, F.col("l")).otherwise(F.col("hi"))
-        d = d.select("source", "source_size", "docs", "target", "l", lo.alias("lo"), hi.alias("hi"), "slope", "least_x", gap.alias("gap"), done.alias("done"))
+        # a bracket that has come down to neighbouring doubles cannot be halved
+        d = join_nulls(duals, g, "source", how="left").select("source", "source_size", "docs", "target", "l", lo.alias("lo"), hi.alias("hi"), "slope", "least_x", gap.alias("gap"), done.alias("done"))
+        done = F.col("done") | F.coalesce(F.col("hi") - F.col("lo") <= 1e-15 * F.abs("hi"), F.lit(False))
         step = F.col("l") + F.try_divide(F.col("gap"), F.col("slope"))
-        # beyond top every document is at the limit; without a bracket the step is kept short, with one it stays inside
-        top = F.lit(most).cast("double")
-        top = F.try_divide(F.log(top), F.col("least_x"))
-        inside = F.when(F.col("slope") <= 0, F.lit(None).cast("double")).when(step < F.coalesce("lo", step), F.lit(None)).when(step > F.coalesce("hi", step), F.lit(None)).otherwise(step)
-        half = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).when(F.col("gap") > 0, F.least(top, F.abs("l") * 2 + 1)).otherwise(-(F.abs("l") * 2 + 1))
-        moved = F.least(top, F.coalesce(inside, half))
-        stuck = (F.col("gap") > 0) & (F.col("l") >= top)
-        duals = cut(d.select("source", "source_size", "docs", "target", F.when(F.col("done") | stuck, F.col("l")).otherwise(moved).alias("l"), "lo", "hi", (F.col("done") | stuck).alias("done")).coalesce(1), "duals")
+        # without a bracket the step is kept short, with one it stays inside
+        inside = F.when((F.col("slope") > 0) & (step >= F.coalesce("lo", step)) & (step <= F.coalesce("hi", step)), step)
+        far = F.abs("l") * 2 + 1
+        half = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).when(F.col("gap") > 0, F.least(top, far)).otherwise(-far)
+        now = d.select("source", "source_size", "docs", "target", F.when(done, F.col("l")).otherwise(F.least(top, F.coalesce(inside, half))).alias("l"), "lo", "hi", done.alias("done"))
+        now = cut(now.coalesce(1), "duals")  # one row a source
+        drop(duals)
+        duals = now
         if not duals.where("not done").take(1):
-            break
-    return duals.select("source", "source_size", "docs", "target", "l")
+            return duals.select("source", "source_size", "docs", "target", "l")
+    raise RuntimeError(f"no convergence in {rounds} Newton steps")
 
 
-def rounded(groups: DataFrame, duals: DataFrame, most: float = 3.0, fixes: int = 12) -> DataFrame:
+def rounded(groups: DataFrame, duals: DataFrame, most: float = 3.0) -> DataFrame:
     """(source, size, n, base, extra): each document of the group gets base copies and ``extra`` of them one more."""
     g = join_nulls(groups, duals, "source")
     x = F.try_divide(F.col("size") * F.col("docs"), F.col("source_size"))
@@ -92,26 +99,41 @@ def rounded(groups: DataFrame, duals: DataFrame, most: float = 3.0, fixes: int =
     g = g.withColumn("sum", F.sum(F.col("part") * F.col("n")).over(falling))
     g = g.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.col("sum") + 0.5) - F.floor(F.col("sum") - F.col("part") * F.col("n") + 0.5))).cast("long"))
     g = cut(g.select("source", "size", "n", "target", "base", "extra"), "copies")
-    for _ in range(fixes):
+    while True:  # every round brings the gap of some source nearer to zero, and sizes are whole numbers
         gap = g.groupBy("source").agg((F.max("target") - F.sum((F.col("base") * F.col("n") + F.col("extra")) * F.col("size"))).alias("gap"))
         h = join_nulls(g, gap, "source")
-        can = F.col("size") * F.signum("gap")
-        able = (F.col("size") > 0) & F.when(F.col("gap") > 0, (F.col("extra") < F.col("n")) & (F.col("base") < most)).otherwise(F.col("extra") > 0)
-        best = h.where(able & (F.abs(F.col("gap") - can) < F.abs("gap"))).groupBy("source").agg(F.min_by("size", F.struct(F.abs(F.col("gap") - can), "size")).alias("pick"), F.max(F.signum("gap")).cast("long").alias("sign"))
+        free = F.when(F.col("gap") > 0, F.when(F.col("base") < most, F.col("n") - F.col("extra"))).otherwise(F.col("extra"))
+        # of each size as many as fit best; the size that leaves the smallest gap
+        many = F.least(free, F.greatest(F.lit(1), F.rint(F.try_divide(F.abs("gap"), F.col("size"))))).cast("long")
+        rest = F.abs(F.abs("gap") - many * F.col("size"))
+        nearer = h.where((F.col("size") > 0) & (free > 0)).withColumn("many", many).withColumn("rest", rest).where(F.col("rest") < F.abs("gap"))
+        pick = F.min_by(F.struct("size", (F.col("many") * F.signum("gap")).cast("long").alias("more")), F.struct("rest", "size"))
+        best = nearer.groupBy("source").agg(pick.alias("p")).select("source", "p.size", "p.more")
         best = cut(best, "fix")
         if not best.take(1):
-            break
-        g = cut(join_nulls(g, best.withColumnRenamed("pick", "size"), "source", "size", how="left").select("source", "size", "n", "target", "base", (F.col("extra") + F.coalesce("sign", F.lit(0).cast("long"))).alias("extra")), "copies")
-    return g
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken: one row for each row of docs."""
-    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h")), "sizes")
+            drop(best)
+            return g
+        fixed = join_nulls(g, best, "source", "size", how="left")
+        fixed = cut(fixed.select("source", "size", "n", "target", "base", (F.col("extra") + F.coalesce("more", F.lit(0).cast("long"))).alias("extra")), "copies")
+        drop(g, best)
+        g = fixed
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, key: Column | None = None) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken, key: one row for each row of docs. ``key`` (a long, by
+    default a hash of id and text) settles which of equally long documents get a copy more."""
+    key = F.xxhash64(F.col("doc_id").cast("string"), "text") if key is None else key
+    sized = cut(docs.select("doc_id", "source", size_of(F.col("text")).alias("size"), key.alias("h")), "sizes")
     groups = cut(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "groups")
-    totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
+    docs_ = F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0))
+    squares = F.sum(F.col("n") * F.col("size").cast("double") * F.col("size"))
+    totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), docs_.alias("docs"), squares.alias("squares"))
     named = source_targets(totals.select("source", "source_size"), weights, most)
-    targets = cut(join_nulls(totals.select("source", "docs"), named, "source").select("source", "source_size", "docs", "target").coalesce(1), "targets")
+    # the dual if all documents had the mean x of a word
+    ratio = F.least(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.99 * most))
+    start = F.coalesce(F.when(ratio > 0, F.try_divide(F.log(F.nullif(ratio, F.lit(0.0))), F.col("squares") * F.col("docs") / F.pow(F.nullif("source_size", F.lit(0)), F.lit(2)))), F.lit(0.0))
+    targets = join_nulls(totals.select("source", "docs", "squares"), named, "source").select("source", "source_size", "docs", "target", start.alias("start"))
+    targets = cut(targets.coalesce(1), "targets")  # one row a source
     plan = rounded(groups, tilts(groups, targets, most), most)
     # the extra-th smallest hash of a group: found by counts of 1/256th parts first, so only one part of a group is ranked
     part = F.shiftrightunsigned("h", 56)
@@ -125,21 +147,23 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     ranked = whole.where(open_).withColumn("nth", nth)
     dealt = whole.where(~open_).withColumn("nth", F.lit(1)).unionByName(ranked)
     copies = F.col("base") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)
-    dealt = dealt.select("doc_id", "source", "size", F.col("h").alias("_h"), copies.cast("long").alias("copies"))
+    dealt = dealt.select("doc_id", "source", "size", F.col("h").alias("key"), copies.cast("long").alias("copies"))
     named = targets.select("source", "source_size", "target")
-    return join_nulls(dealt, F.broadcast(named) if named.count() <= 100_000 else named, "source").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "_h")
+    return join_nulls(dealt, named, "source").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it."""
     return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def stage_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as many times as the mix takes it (none, once, or more)."""
-    plan = mix(docs.select("doc_id", "text", "source")).groupBy(F.col("doc_id").alias("_id"), "_h").agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
-    one = W.partitionBy("doc_id", "_hash").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    hashed = docs.withColumn("_hash", F.xxhash64(F.col("doc_id").cast("string"), "text"))
-    joined = hashed.join(plan, hashed.doc_id.eqNullSafe(plan._id) & (hashed._hash == plan._h))
-    # rows that repeat share the copies of their group
-    share = F.floor(F.col("copies") / F.col("n")) + F.when(F.row_number().over(one) <= F.col("copies") % F.col("n"), 1).otherwise(0)
-    return joined.withColumn("_k", share.cast("int")).where("_k > 0").withColumn("_k", F.explode(F.array_repeat(F.lit(0), F.col("_k")))).select(*docs.columns)
+    """Every document as many times as the mix takes it (none, once, or more).
+
+    Rows are known by a hash of all their columns. Rows that are equal in every column become one (before they move, where
+    they lie together) with the copies of them all; documents move once, to their copies."""
+    key, copies, nth = (unused(docs.columns, c) for c in ("key", "copies", "nth"))
+    own, names = F.xxhash64(row_text(docs)), [f"`{c}`" for c in docs.columns]
+    plan = mix(docs, key=own).groupBy(F.col("key").alias(key)).agg(F.sum("copies").alias(copies)).where(F.col(copies) > 0)
+    joined = docs.withColumn(key, own).dropDuplicates([key]).join(plan, key)
+    return joined.select(*names, F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))).alias(nth)).select(*names)
