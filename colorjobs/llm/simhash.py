@@ -15,7 +15,9 @@ forests are joined into components by alternating large-star and small-star step
 Equal fingerprints are folded to one before anything else.
 
 Defined cases: no words (null or blank text) gives fingerprint zero, linked like any other; fewer words than a shingle:
-the whole sequence is the one shingle; a null doc_id takes part but never names a component unless all its ids are null.
+the whole sequence is the one shingle; a null doc_id takes part but never names a component unless all its ids are null,
+and then the component's id is null; rows that repeat are members like others; other columns are not read by the operator,
+and the stage keeps them, whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +25,9 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import WORD, cut, join_nulls, lower_ascii, small_batches, table
+from .common import WORD, cut, drop, lower_ascii, row_text, small_batches, table, unused
 
 BITS = 64
 
@@ -160,11 +162,14 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     now, seen = cut(links.select("u", "v"), "links"), None
     for _ in range(most):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # cut, so that both sides of the join are plain exchanges: a node with very many links is split by adaptive execution
+        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u > v").distinct()
-        now = cut(small, "links")
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        pair = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = cut(large.join(least, "u").select(F.explode(pair).alias("e")).select("e.*").where("u > v").distinct(), "links")
+        drop(now, low)
+        now = small
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
         if state == seen:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
@@ -183,25 +188,30 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, cap: int
     small_batches(docs.sparkSession)
     own = cut(docs.select("doc_id", fingerprint_column(F.col("text"), shingle).alias("fp")), "fingerprints")
     firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    tree = rooted(firsts, radius, cap)
-    lowest = tree.groupBy("root").agg(F.min("first").alias("component_id"))
+    tree = cut(rooted(firsts, radius, cap), "tree")
+    lowest = cut(tree.groupBy("root").agg(F.min("first").alias("component_id")), "lowest")
     member = tree.join(lowest, "root").select("fp", "component_id")
     return own.join(member, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component."""
     out = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row stays: the smallest doc_id (null last), then the smallest hash of the text (null first), then
-    the other columns. Rows with equal ids in different groups do not compete."""
+    the other columns as text. Rows with equal ids in different groups do not compete.
+
+    The choice is made on ids and hashes. Rows that are equal in every column become one (before they move, where they lie
+    together), and documents move once, to meet the chosen keys."""
     small_batches(spark)
-    digest = F.sha2("text", 256)
-    own = cut(docs.select("doc_id", digest.alias("h"), fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
-    firsts = cut(own.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h")).alias("first")), "distinct")
-    stay = rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select("first.doc_id", F.col("first.h").alias("_h"))
-    one = W.partitionBy("doc_id", "_h").orderBy(*(F.col(f"`{c}`") for c in docs.columns if c != "doc_id"))
-    kept = join_nulls(docs.withColumn("_h", digest), stay, "doc_id", "_h", how="left_semi")
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n", "_h")
+    names, key = [f"`{c}`" for c in docs.columns], unused(docs.columns, "key")
+    digest, rest = F.sha2("text", 256), row_text(docs, leave_out=("doc_id", "text"))
+    own = F.sha2(row_text(docs), 256)
+    seen = cut(docs.select("doc_id", digest.alias("h"), rest.alias("rest"), own.alias("key"), fingerprint_column(F.col("text")).alias("fp")), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "h", "rest", "key")
+    firsts = cut(seen.groupBy("fp").agg(F.min(order).alias("first")), "distinct")
+    stay = rooted(firsts).groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.key").alias(key))
+    return docs.withColumn(key, own).dropDuplicates([key]).join(cut(stay, "stay"), key).select(*names)
