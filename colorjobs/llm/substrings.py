@@ -3,25 +3,27 @@
 A window is ``window`` consecutive words. A window whose word sequence also starts earlier (smaller doc_id, or earlier in
 the same document) is a repeat, and the words of repeats are removed.
 
-Routing. One automaton over everything cannot be broadcast, because the reference is the corpus itself. So windows are
-routed to shards by their minimizer, the smallest hash among the ``gram``-word sequences inside: equal windows have equal
-minimizers and always meet. Neighbouring windows with the same minimizer form a segment (at most 2 * window - gram words).
-Minimizers seen once cannot hold a repeat and are dropped by a count; segments with equal words are folded to their
-earliest occurrence by a map-side aggregate, so copies, however many, stay one row.
-
-Shards. What is left for a minimizer is a list of different segments that share a passage. A shard holds the lists of
-many minimizers, about ``shard_rows`` / 2 segments; a list of more than ``shard_rows`` is cut into shards of its own, so an
-automaton is bounded whatever the data. The task that owns a shard builds the automaton over its segments, earliest
-first, and streams the segments through it for matching statistics.
-Where the match is at least a window long, the automaton's state names the earliest start of that window in the shard.
-A minimizer with several shards has the shards' answers merged by window hash, again map-side first.
+Routing. One automaton over everything cannot be broadcast, because the reference is the corpus itself, and every shard's
+automaton against every document would be quadratic. So windows are routed to shards by their minimizer, the smallest hash
+among the ``gram``-word sequences inside: equal windows have equal minimizers and always meet. Neighbouring windows with the
+same minimizer form a segment (at most 2 * window - gram words). Minimizers seen once cannot hold a repeat and are dropped
+by a count; segments with equal words have equal matching statistics, so they are streamed once, for their earliest
+occurrence (a map-side aggregate: copies, however many, stay one row), and the answer holds for all.
+
+Shards. A shard holds all segments of many minimizers, about ``shard_rows`` / 2 segments; a minimizer with more than
+``shard_rows`` different segments is cut into shards of its own, so an automaton is bounded whatever the data. The task that
+owns a shard builds the automaton over its segments, earliest first, and streams every one of them through it for matching
+statistics. Where the match is at least a window long, the automaton's state names the earliest start of that window in the
+shard; segments that are themselves the earliest in all their windows need no more than that word. A minimizer with
+several shards has the shards' answers merged by window hash, again map-side first.
 
 The earliest start of each window of each different segment is then joined back to the occurrences, maximal removable
 spans are gathered for each document, and the texts are cut.
 
-Defined cases: null text has no words; a null doc_id sorts first; rows that share a doc_id are ordered by a hash of
+Defined cases: null text has no words; a null doc_id sorts first; rows that share a doc_id are ordered by a 64-bit hash of
 their text, and rows that repeat both are one document (each keeps what the first would keep). Two segments count as
-equal when both their minimizers and their word hashes, 64 bits each, are equal.
+equal when both their minimizers and their word hashes, 64 bits each, are equal. Other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +33,9 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD, cut, small_batches, table
+from .common import WORD, WordHashes, cut, drop, small_batches, table
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -103,19 +105,6 @@ class SuffixAutomaton:
         return out
 
 
-class WordHashes(dict):
-    """word -> 64-bit hash, bounded."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 _BASE = 0xD6E8FEB86659FD93
 _powers = {}
 
@@ -150,7 +139,7 @@ def minimizers(words: list[str], window: int, gram: int, known: WordHashes):
 
 
 def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """m: minimizer, a: hash of the words, doc, start: row's high bits and first word, n: words."""
+    """m: minimizer, a: hash of the words, doc and high: the row, start: first word, n: words."""
 
     def of(batches):
         known = WordHashes()
@@ -159,92 +148,109 @@ def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
             for doc, high, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
                 if len(words := WORD.findall(text.as_py() or "")) >= window:
                     sums, m, first, n = minimizers(words, window, gram, known)
-                    parts.append((m.view(np.int64), span_hashes(sums, first, n).view(np.int64), np.full(len(m), doc, np.int64), first + (high << 32), n.astype(np.int32)))
+                    a = span_hashes(sums, first, n).view(np.int64)
+                    parts.append((m.view(np.int64), a, np.full(len(m), doc, np.int64), np.full(len(m), high, np.int64), first.astype(np.int32), n.astype(np.int32)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["m", "a", "doc", "start", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["m", "a", "doc", "high", "start", "n"])
 
-    return docs.select("doc", "high", "text").mapInArrow(of, "m long, a long, doc long, start long, n int")
+    return docs.select("doc", "high", "text").mapInArrow(of, "m long, a long, doc long, high long, start int, n int")
+
+
+WORDS = "m long, a long, shard long, shards int, doc long, high long, start int, words string"
 
 
 def with_words(segments: DataFrame, docs: DataFrame) -> DataFrame:
-    """segments (m, a, shard, shards, doc, start, n) with their words, joined by one space."""
-    fields = ("m", "a", "shard", "shards", "start", "n")
-    wanted = segments.groupBy("doc", F.shiftright("start", 32).alias("high")).agg(F.collect_list(F.struct(*fields)).alias("s"))
+    """segments (m, a, shard, shards, doc, high, start, n) with their words, joined by one space."""
+    kind = pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shard", pa.int64()), ("shards", pa.int32()), ("doc", pa.int64()), ("high", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
+    wanted = segments.groupBy("doc", "high").agg(F.collect_list(F.struct("m", "a", "shard", "shards", "start", "n")).alias("s"))  # a row's own segments
 
     def of(batches):
         for b in batches:
             out = []
-            for doc, text, segs in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+            for doc, high, text, segs in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 words = WORD.findall(text.as_py())
                 for s in segs:
-                    at = s["start"] & 0xFFFFFFFF
-                    out.append(s | {"doc": doc, "words": " ".join(words[at : at + s["n"]])})
+                    out.append(s | {"doc": doc, "high": high, "words": " ".join(words[s["start"] : s["start"] + s["n"]])})
             if out:
-                yield pa.RecordBatch.from_pylist(out, pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shard", pa.int64()), ("shards", pa.int32()), ("doc", pa.int64()), ("start", pa.int64()), ("words", pa.string())]))
+                yield pa.RecordBatch.from_pylist(out, kind)
 
     rows = docs.dropDuplicates(["doc", "high"]) if "high_used" in docs.columns else docs
-    return rows.select("doc", "high", "text").join(wanted, ["doc", "high"]).select("doc", "text", "s").mapInArrow(of, "m long, a long, shard long, shards int, doc long, start long, words string")
+    return rows.select("doc", "high", "text").join(wanted, ["doc", "high"]).select("doc", "high", "text", "s").mapInArrow(of, WORDS)
+
+
+STARTS = "m long, a long, shards int, docs array<long>, highs array<long>, starts array<int>, hashes array<long>"
 
 
 def automaton_starts(window: int):
-    """For one shard: the earliest (doc, start) of every window of every segment."""
+    """For one shard: the earliest (doc, high, start) of every window of every segment. Of a minimizer with one shard only
+    segments are named that have a window which starts earlier in another one."""
+    kind = pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shards", pa.int32()), ("docs", pa.list_(pa.int64())), ("highs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
     def of(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["doc"], r["start"]))
+        rows = sorted(group.to_pylist(), key=lambda r: (r["doc"], r["high"], r["start"]))
         automaton, texts = SuffixAutomaton(), [r["words"].split(" ") for r in rows]
         for k, words in enumerate(texts):
             automaton.add(words, k)
         out = []
-        for r, words in zip(rows, texts, strict=True):
+        for k, (r, words) in enumerate(zip(rows, texts, strict=True)):
             found = automaton.matches(words, window)
-            docs = [rows[k]["doc"] for _, (k, _) in found]
-            starts = [rows[k]["start"] + i - window + 1 for _, (k, i) in found]
+            if r["shards"] == 1 and all(at == (k, end) for end, at in found):
+                continue
+            first = [rows[at[0]] for _, at in found]
             hashes = [xxhash.xxh3_64_intdigest(" ".join(words[e - window + 1 : e + 1])) - (1 << 63) for e, _ in found] if r["shards"] > 1 else []
-            out.append({"m": r["m"], "a": r["a"], "shards": r["shards"], "docs": docs, "starts": starts, "hashes": hashes})
-        return pa.Table.from_pylist(out, pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shards", pa.int32()), ("docs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int64())), ("hashes", pa.list_(pa.int64()))]))
+            out.append({"m": r["m"], "a": r["a"], "shards": r["shards"], "docs": [x["doc"] for x in first], "highs": [x["high"] for x in first], "starts": [x["start"] + at[1] - window + 1 for x, (_, at) in zip(first, found, strict=True)], "hashes": hashes})
+        return pa.Table.from_pylist(out, kind)
 
     return of
 
 
 def earliest_starts(content: DataFrame, docs: DataFrame, window: int, shard_rows: int) -> DataFrame:
-    """(m, a, docs, starts): for segments whose minimizer has several different segments, the earliest start of each window."""
-    kinds = cut(content.groupBy("m").agg(F.count("*").alias("kinds")).where("kinds > 1"), "kinds")
-    buckets = max(1, -(-2 * (kinds.agg(F.sum("kinds")).first()[0] or 0) // shard_rows))
-    shards = F.ceil(F.col("kinds") / shard_rows).cast("int")
-    mixed = content.join(kinds, "m").withColumn("shards", shards)
-    shard = F.when(F.col("shards") == 1, F.pmod(F.xxhash64("m"), F.lit(buckets))).otherwise(F.xxhash64("m", F.pmod("a", "shards")))
-    mixed = mixed.select("m", "a", shard.alias("shard"), "shards", "rep.doc", "rep.start", "n")
-    found = cut(with_words(mixed, docs).groupBy("shard").applyInArrow(automaton_starts(window), "m long, a long, shards int, docs array<long>, starts array<long>, hashes array<long>"), "starts")
-    many = found.where("shards > 1").select("m", "a", F.posexplode(F.arrays_zip("docs", "starts", "hashes")).alias("i", "w")).select("m", "a", "i", "w.*")
-    least = many.groupBy("m", "hashes").agg(F.min(F.struct("docs", "starts")).alias("least"))
-    merged = many.join(least, ["m", "hashes"]).groupBy("m", "a").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))
-    merged = merged.select("m", "a", F.transform("w", lambda x: x["least"]["docs"]).alias("docs"), F.transform("w", lambda x: x["least"]["starts"]).alias("starts"))
-    return found.where("shards = 1").select("m", "a", "docs", "starts").unionByName(merged)
+    """(m, a, docs, highs, starts): the earliest start of each window, for segments with a window that starts earlier in another segment."""
+    large = cut(content.groupBy("m").agg(F.count("*").alias("kinds")).where(F.col("kinds") > shard_rows), "large")
+    buckets = max(1, -(-2 * content.count() // shard_rows))
+    shards = F.coalesce(F.ceil(F.col("kinds") / shard_rows).cast("int"), F.lit(1))
+    shared = F.when(F.col("kinds").isNull(), F.pmod(F.xxhash64("m"), F.lit(buckets))).otherwise(F.xxhash64("m", F.pmod("a", shards)))
+    dealt = content.join(large, "m", "left").select("m", "a", shared.alias("shard"), shards.alias("shards"), "rep.doc", "rep.high", "rep.start", "n")
+    found = cut(with_words(dealt, docs).groupBy("shard").applyInArrow(automaton_starts(window), STARTS), "starts")
+    if not large.take(1):
+        return found.select("m", "a", "docs", "highs", "starts")
+    many = found.where("shards > 1").select("m", "a", F.posexplode(F.arrays_zip("docs", "highs", "starts", "hashes")).alias("i", "w")).select("m", "a", "i", "w.*")
+    least = cut(many.groupBy("m", "hashes").agg(F.min(F.struct("docs", "highs", "starts")).alias("least")), "least")
+    merged = many.join(least, ["m", "hashes"]).groupBy("m", "a").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))  # a segment's windows
+    merged = merged.select("m", "a", *(F.col(f"w.least.{c}").alias(c) for c in ("docs", "highs", "starts")))
+    return found.where("shards = 1").select("m", "a", "docs", "highs", "starts").unionByName(merged)
 
 
 def removable(occurrences: DataFrame, content: DataFrame, starts: DataFrame, window: int) -> DataFrame:
     """(doc, high, spans): flat [start, end) word spans that repeats cover."""
     answer = cut(content.select("m", "a", "rep").join(starts, ["m", "a"], "left"), "answers")
-    at = F.struct(F.col("doc").alias("doc"), F.col("start").alias("start"))
     joined = occurrences.join(answer, ["m", "a"])
-    whole = F.when(at > F.col("rep"), F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))))
-    each = F.transform(F.arrays_zip("docs", "starts"), lambda x, i: F.when((x["docs"] < F.col("doc")) | ((x["docs"] == F.col("doc")) & (x["starts"] < F.col("start") + i)), F.struct(i.alias("from"), (i + window).alias("to"))))
-    spans = joined.select("doc", "start", F.when(F.col("docs").isNull(), whole).otherwise(F.array_compact(each)).alias("s")).where(F.size("s") > 0)
-    # runs of neighbouring windows as one span
-    word = F.col("start").bitwiseAND(F.lit(0xFFFFFFFF))
-    runs = F.aggregate(
-        "s", F.expr("cast(array() as array<struct<from:int,to:int>>)"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x["from"] <= F.element_at(acc, -1)["to"]), F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["from"].alias("from"), x["to"].alias("to"))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    flat = spans.select("doc", F.shiftright("start", 32).alias("high"), word.alias("word"), F.explode(runs).alias("r"))
-    return flat.groupBy("doc", "high").agg(F.collect_list(F.struct((F.col("word") + F.col("r.from")).alias("from"), (F.col("word") + F.col("r.to")).alias("to"))).alias("spans"))
+    # a segment with no answer is the earliest in all its windows: they are repeats wherever else it occurs
+    whole = F.when(F.struct("doc", "high", "start") > F.col("rep"), F.array(F.struct(F.lit(0).alias("from"), F.col("n").alias("to"))))
+
+    def repeat(x: Column, i: Column) -> Column:
+        earlier = (x["highs"] < F.col("high")) | ((x["highs"] == F.col("high")) & (x["starts"] < F.col("start") + i))
+        return F.when((x["docs"] < F.col("doc")) | ((x["docs"] == F.col("doc")) & earlier), F.struct(i.alias("from"), (i + window).alias("to")))
+
+    each = F.transform(F.arrays_zip("docs", "highs", "starts"), repeat)
+    spans = joined.select("doc", "high", "start", F.when(F.col("docs").isNull(), whole).otherwise(F.array_compact(each)).alias("s")).where(F.size("s") > 0)
+
+    def joined_to(acc: Column, x: Column) -> Column:  # runs of neighbouring windows as one span
+        last = F.element_at(acc, -1)
+        longer = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["from"].alias("from"), x["to"].alias("to"))))
+        return F.when((F.size(acc) > 0) & (x["from"] <= last["to"]), longer).otherwise(F.concat(acc, F.array(x)))
+
+    runs = F.aggregate("s", F.expr("cast(array() as array<struct<from:int,to:int>>)"), joined_to)
+    flat = spans.select("doc", "high", "start", F.explode(runs).alias("r"))
+    span = F.struct((F.col("start") + F.col("r.from")).alias("from"), (F.col("start") + F.col("r.to")).alias("to"))
+    return flat.groupBy("doc", "high").agg(F.collect_list(span).alias("spans"))  # a row's own spans
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, doc (never null), high (tells rows of one doc_id apart; 0 where ids are unique), text."""
+    """doc_id, doc (never null), high (a hash that tells rows of one doc_id apart; 0 where ids are unique), text."""
     base = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc"), "text")
     if base.groupBy("doc").count().where("count > 1").take(1):
-        return base.withColumn("high", F.xxhash64("text").bitwiseAND(F.lit(0x3FFFFFFF)).cast("long")).withColumn("high_used", F.lit(True))
+        return base.withColumn("high", F.xxhash64("text")).withColumn("high_used", F.lit(True))
     return base.withColumn("high", F.lit(0).cast("long"))
 
 
@@ -257,7 +263,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, gram: int = 6, shard_rows:
     found = cut(segment_rows(rows, window, gram), "segments")
     repeated = cut(found.groupBy("m").agg(F.count("*").alias("c")).where("c > 1").select("m"), "repeated")
     occurrences = cut(found.join(repeated, "m", "left_semi"), "occurrences")
-    content = cut(occurrences.groupBy("m", "a").agg(F.min(F.struct("doc", "start")).alias("rep"), F.first("n").alias("n")), "content")
+    drop(found, repeated)
+    content = cut(occurrences.groupBy("m", "a").agg(F.min(F.struct("doc", "high", "start")).alias("rep"), F.first("n").alias("n")), "content")
     spans = removable(occurrences, content, earliest_starts(content, rows, window, shard_rows), window)
     return rows.join(spans, ["doc", "high"], "left").select("doc_id", "text", "spans")
 
@@ -276,6 +283,7 @@ def kept_words(text: str | None, spans) -> tuple[int, list[str]]:
 
 
 def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: its words, how many are repeats, and a digest of what is kept."""
     found = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept_sha256: string>")
