@@ -4,12 +4,15 @@ Terms of a document, hashed into ``DIMENSIONS`` columns: its words, the three-ch
 classes (case, digits, each punctuation mark), and bins of a few whole-text shares (distinct words, most frequent word,
 upper case, punctuation, word length). Weights: (1 + log count) times inverse document frequency over all documents, each
 kind of term scaled to unit length. A truncated singular value decomposition of a bounded sample of labelled documents
-(``sample`` rows a label, those with the smallest hash of the id) gives the latent space; the sample's vectors and labels
-are broadcast (sample * labels * rank floats, a fixed bound). Every document's vector is compared with all of them by
-exact cosine in blocks, and its ``k`` nearest vote for their labels, weighted by similarity.
+(``sample`` rows a label, those with the smallest hash of the id) gives the latent space. Their term vectors come to the
+driver, not their texts: at most 2 * sample * DIMENSIONS pairs of 8 bytes, however long the texts are. The sample's latent
+vectors and labels are broadcast (sample * labels * rank floats, a fixed bound). Every document's vector is compared with
+all of them by exact cosine in blocks, and its ``k`` nearest vote for their labels, weighted by similarity.
 
 Defined cases: null and empty texts have the bins only and get a score like any other; a document with several labels
-teaches the smallest; null labels teach nothing; with no label, or one label only, every score is that label (0.5 for none).
+teaches the smallest; null labels teach nothing; with no label, or one label only, every score is that label (0.5 for none);
+equal similarities at the last place are settled by the order of the sample; rows that repeat are scored one by one, and
+each teaches as far as the sample's bound goes; the stage keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD, crc_mod, small_batches, table
+from .common import WORD, crc_mod, small_batches, table, unused
 
 WORDS, SHAPES, BINS = 2048, 2048, 64
 DIMENSIONS = WORDS + SHAPES + BINS
@@ -75,6 +78,16 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return columns, weights
 
 
+def terms_column(text: Column) -> Column:
+    @F.arrow_udf("struct<columns: array<int>, weights: array<double>>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = [terms(t.as_py()) for t in texts]
+        columns = pa.array([c.astype(np.int32) for c, _ in found], pa.list_(pa.int32()))
+        return pa.StructArray.from_arrays([columns, pa.array([w for _, w in found], pa.list_(pa.float64()))], ["columns", "weights"])
+
+    return of(text)
+
+
 def document_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     """In how many documents each column occurs, over all documents, and the number of documents."""
 
@@ -105,11 +118,11 @@ def leading(x: np.ndarray, rank: int, rounds: int = 8) -> np.ndarray:
 
 
 class NearestVote:
-    def __init__(self, idf: np.ndarray, texts: list[str | None], labels: list[int], rank: int, k: int):
+    def __init__(self, idf: np.ndarray, documents: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rank: int, k: int):
+        """documents: what terms() says of each."""
         self.idf, self.k, self.labels = idf, k, np.array(labels, np.float64)
-        x = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for i, t in enumerate(texts):
-            columns, weights = terms(t)
+        x = np.zeros((len(documents), DIMENSIONS), np.float32)
+        for i, (columns, weights) in enumerate(documents):
             x[i, columns] = self.weigh(columns, weights)
         self.basis = leading(x, rank)
         self.known = self.unit(x @ self.basis)
@@ -125,22 +138,24 @@ class NearestVote:
             w[a:b] /= max(1e-9, np.sqrt((w[a:b] ** 2).sum()))
         return w
 
+    def latent(self, text: str | None) -> np.ndarray:
+        columns, weights = terms(text)
+        return self.weigh(columns, weights).astype(np.float32) @ self.basis[columns]
+
     def scores(self, texts) -> np.ndarray:
         """A block of documents."""
         if not len(self.labels) or self.labels.min() == self.labels.max():
             return np.full(len(texts), self.labels[0] if len(self.labels) else 0.5)
-        x = np.empty((len(texts), self.basis.shape[1]), np.float32)
-        for i, t in enumerate(texts):
-            columns, weights = terms(t)
-            x[i] = self.weigh(columns, weights).astype(np.float32) @ self.basis[columns]
-        near = self.unit(x) @ self.known.T
+        if not len(texts):
+            return np.zeros(0)
+        near = self.unit(np.stack([self.latent(t) for t in texts])) @ self.known.T
         k = min(self.k, near.shape[1])
         best = np.argpartition(-near, k - 1, axis=1)[:, :k]
         w = np.maximum(np.take_along_axis(near, best, axis=1), 1e-6).astype(np.float64) ** 4
         return np.clip((w * self.labels[best]).sum(axis=1) / w.sum(axis=1), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 1000, rank: int = 64, k: int = 15) -> NearestVote:
+def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 1500, rank: int = 64, k: int = 15) -> NearestVote:
     """docs (doc_id, text); labels (doc_id, label 0/1); learn: condition on doc_id of the rows to learn from.
 
     At most ``sample`` documents of each label are fitted to, the same ones on every run."""
@@ -150,8 +165,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 1000, r
     by_hash = [F.xxhash64("doc_id", F.lit(6)), F.col("doc_id")]
     chosen = [known.where(F.col("label") == v).orderBy(*by_hash).limit(sample) for v in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
-    rows = docs.join(few, "doc_id").select("doc_id", "text", "label").orderBy(*by_hash, F.xxhash64("text")).limit(2 * sample).collect()
-    return NearestVote(np.log((1 + n) / (1 + seen)) + 1e-3, [r.text for r in rows], [r.label for r in rows], rank, k)
+    found = docs.join(few, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), terms_column(F.col("text")).alias("t"))
+    rows = found.orderBy(*by_hash, "h").limit(2 * sample).select("label", "t").collect()
+    documents = [(np.array(r.t.columns, np.int64), np.array(r.t.weights, np.float64)) for r in rows]
+    return NearestVote(np.log((1 + n) / (1 + seen)) + 1e-3, documents, [r.label for r in rows], rank, k)
 
 
 def score_column(spark: SparkSession, model: NearestVote, text: Column) -> Column:
@@ -172,6 +189,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Column:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document; labels of documents with remainder 1 teach nothing."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = docs.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), quality_scores(spark, docs, sf_dir).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
@@ -179,4 +197,5 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below 0.5 go."""
-    return docs.withColumn("_score", quality_scores(spark, docs, sf_dir)).where("_score >= 0.5").drop("_score")
+    score = unused(docs.columns, "score")
+    return docs.withColumn(score, quality_scores(spark, docs, sf_dir)).where(F.col(score) >= 0.5).drop(score)
