@@ -1,18 +1,21 @@
 """Operator 3: transcript parsing with a hidden Markov model, then canonical turn rendering.
 
-States: each role, beginning a turn or going on with it. A line shows one symbol, made of its speaker marker, length and
-closing question mark. Emissions and transitions are counts over all labelled turns, smoothed. Viterbi recovers the roles
-of the lines of a transcript, and each recovered turn is rendered as ``<|role|>``, its text without the marker,
-``<|end|>``.
-
-A conversation may be longer than any task: it is cut into blocks of ``block`` pieces, each block is summed up as the
-matrix of its best path scores between states (max-plus), blocks are combined ``block`` at a time until one is left, and
-the best states at the block borders are handed down again, so the result is that of one Viterbi run over the whole.
-
-Defined cases: null or empty pieces have no lines and no turns; pieces with equal numbers are ordered by text; a null
-piece number sorts first; unknown or null roles teach nothing; without any labelled turn all states are equally likely
-and the first role by name, or ``user``, wins. A turn that goes on over a block border comes as a second row with
-``continued`` true. Transitions are counted inside blocks.
+States: each role, beginning a turn or going on with it. A line shows several features: its speaker marker, its length
+class, how it ends, how it opens, and the class of its words. Emissions are the product of one table for each feature, and
+they and the transitions are counts over all labelled turns, smoothed. Viterbi recovers the roles of the lines of a
+transcript, and each recovered turn is rendered as ``<|role|>``, its text without the marker, ``<|end|>``.
+
+A conversation may be longer than any task: its lines are numbered (by ranges, no task sees them all) and cut into blocks
+of ``block`` lines. Each block is summed up as the matrix of its best path scores between states (max-plus), blocks are
+combined ``block`` at a time until one is left, and the best states at the block borders are handed down again, so the
+result is that of one Viterbi run over the whole, and no task holds more than ``block`` lines or matrices of one group,
+whether a conversation has very many pieces, one very long piece, or pieces that all share a number.
+
+Defined cases: null or empty pieces have no lines and no turns; pieces with equal numbers are ordered by a hash of the
+text; a null piece number sorts first; a null conversation is one like any other; rows that repeat are said twice; unknown
+or null roles teach nothing; without any labelled turn all states are equally likely and the first role by name, or
+``user``, wins; other columns are not read; an empty table gives no rows. A turn that goes on over a block border comes as
+a second row with ``continued`` true. Transitions are counted inside blocks of ``block`` turns.
 """
 
 from __future__ import annotations
@@ -21,11 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from .common import cut, join_nulls, small_batches, table
+from .common import cut, join_nulls, numbered, small_batches, table
 
 #: Speaker markers at the start of a line (fixed values, ours).
 MARKERS = {"user": ("user", "human", "customer", "q"), "assistant": ("assistant", "ai", "bot", "a"), "system": ("system", "sys")}
-LENGTHS = (20, 120)
+LENGTHS = (1, 20, 50, 90, 150, 250, 400, 700)
+#: Words by which people ask and answer (fixed values, ours); other words say nothing.
+ASKING = ("what", "why", "how", "who", "when", "where", "which", "can", "could", "please", "i", "my", "me", "help")
+ANSWERING = ("sure", "here", "yes", "no", "you", "your", "first", "then", "because", "therefore", "sorry", "certainly", "of course")
 
 
 def marker_pattern(names) -> str:
@@ -36,13 +42,20 @@ ANY_MARKER = marker_pattern([n for names in MARKERS.values() for n in names])
 
 
 def symbol(line: Column) -> Column:
-    """Marker's role, or none; length class; question."""
+    """Features of a line, joined by slashes: marker's role, or none; length class; end; opening; kind of words. All but
+    the first are those of the line without its marker."""
     mark = F.lit("none")
     for role, names in MARKERS.items():
         mark = F.when(line.rlike(marker_pattern(names)), F.lit(role)).otherwise(mark)
-    n = F.length(line)
-    size = F.when(F.trim(line) == "", "blank").when(n < LENGTHS[0], "short").when(n < LENGTHS[1], "middle").otherwise("long")
-    return F.concat_ws("/", mark, size, F.when(F.rtrim(line).endswith("?"), "ask").otherwise("say"))
+    said = F.trim(F.regexp_replace(line, ANY_MARKER, ""))
+    size = F.lit(len(LENGTHS))
+    for k, limit in reversed(list(enumerate(LENGTHS))):
+        size = F.when(F.length(said) < limit, F.lit(k)).otherwise(size)
+    last = F.right(said, F.lit(1))
+    end = F.when(last == "?", "ask").when(last.isin(".", "!"), "stop").when(last.isin(":", ";", ",", "{"), "open").otherwise("other")
+    begin = F.when(said.rlike(r"^(?:[-*+•]|\d+[.)])\s"), "list").when(said.rlike(r"^(?:```|    |[{}<$#/])|[;{}]$"), "code").when(said.rlike(r"^\p{Lu}"), "upper").otherwise("other")
+    words = F.when(said.rlike(rf"(?i)\b(?:{'|'.join(ASKING)})\b"), "asking").when(said.rlike(rf"(?i)\b(?:{'|'.join(ANSWERING)})\b"), "answering").otherwise("other")
+    return F.concat_ws("/", mark, size.cast("string"), end, begin, words)
 
 
 def lines_of(pieces: DataFrame, *keep: str) -> DataFrame:
@@ -56,11 +69,17 @@ class Model:
         self.roles = sorted(roles) or ["user"]
         self.states = [(r, begin) for r in self.roles for begin in (True, False)]
         at = {s: k for k, s in enumerate(self.states)}
-        self.symbols = sorted({s for _, _, s, _ in emissions})
-        emit = np.full((len(self.states), len(self.symbols) + 1), smooth)
+        # one table a feature: its values are columns, one more stands for values not seen
+        counts: list[dict] = []
         for role, begin, sym, n in emissions:
-            emit[at[role, begin], self.symbols.index(sym)] += n
-        self.emit = np.log(emit / emit.sum(axis=1, keepdims=True))
+            for f, value in enumerate(sym.split("/")):
+                if f == len(counts):
+                    counts.append({})
+                counts[f].setdefault(value, np.zeros(len(self.states)))[at[role, begin]] += n
+        self.emit = []
+        for values in counts:
+            table = np.array([*values.values(), np.zeros(len(self.states))]) + smooth
+            self.emit.append(({v: k for k, v in enumerate(values)}, np.log(table / table.sum(axis=0))))
         first = np.array([smooth if begin else 1e-9 for _, begin in self.states])
         for role, n in starts:
             first[at[role, True]] += n
@@ -73,21 +92,26 @@ class Model:
         for (r, rb), (s, sb), n in transitions:
             step[at[r, rb], at[s, sb]] += n
         self.step = np.log(step / step.sum(axis=1, keepdims=True))
-        self.column = {s: k for k, s in enumerate(self.symbols)}
 
     def scores(self, symbols) -> np.ndarray:
-        return self.emit[:, [self.column.get(s, len(self.symbols)) for s in symbols]].T
+        """Log-likelihood of each line in each state."""
+        out = np.zeros((len(symbols), len(self.states)))
+        for f, (column, table) in enumerate(self.emit):
+            out += table[[column.get(s.split("/")[f], len(column)) for s in symbols]]
+        return out
 
 
 def fit(turns: DataFrame, block: int = 64) -> Model:
     """turns (conv_id, turn, role, text): labelled turns as they look in transcripts."""
-    known = turns.where(F.col("role").isin(*MARKERS)).withColumn("part", F.floor(F.col("turn") / block))
+    known = turns.where(F.col("role").isin(*MARKERS)).select("conv_id", "turn", "role", "text")
     found = cut(lines_of(known, "role").groupBy("role", (F.col("line") == 0).alias("begin"), "symbol").agg(F.count("*").alias("n")), "emissions")
-    emissions = [tuple(r) for r in found.select("role", "begin", "symbol", "n").collect()]  # states times symbols rows
-    order = W.partitionBy("conv_id", "part").orderBy("turn", "text")
+    emissions = [tuple(r) for r in found.select("role", "begin", "symbol", "n").orderBy("role", "begin", "symbol").collect()]  # states times symbols rows
+    placed = numbered(known.where("text != ''"), "conv_id", F.col("turn").asc_nulls_first(), F.xxhash64("text"))
+    order = W.partitionBy("conv_id", F.floor(F.col("nth") / block)).orderBy("nth")
     n = F.size(F.split("text", "\n"))
-    steps = known.where("text != ''").select("conv_id", "role", n.alias("n"), F.lag("role").over(order).alias("before"), F.lag(n).over(order).alias("n_before"))
-    rows = steps.groupBy("role", "before", (F.col("n_before") > 1).alias("long_before")).agg(F.count("*").alias("turns"), F.sum((F.col("n") > 1).cast("long")).alias("begun"), F.sum(F.greatest(F.col("n") - 2, F.lit(0))).alias("on")).collect()
+    steps = placed.select("conv_id", "role", n.alias("n"), F.lag("role").over(order).alias("before"), F.lag(n).over(order).alias("n_before"))
+    sums = F.count("*").alias("turns"), F.sum((F.col("n") > 1).cast("long")).alias("begun"), F.sum(F.greatest(F.col("n") - 2, F.lit(0))).alias("on")
+    rows = steps.groupBy("role", "before", (F.col("n_before") > 1).alias("long_before")).agg(*sums).collect()  # pairs of roles
     starts, transitions = [], []
     for r in rows:
         transitions += [((r.role, True), (r.role, False), r.begun), ((r.role, False), (r.role, False), r.on)]
@@ -127,7 +151,7 @@ def _line_matrices(model: Model, symbols, first: bool) -> list[np.ndarray]:
 
 
 def _in_order(table: pa.Table) -> list[dict]:
-    return sorted(table.to_pylist(), key=lambda r: (r["piece"] is not None, r["piece"] or 0, r["h"], r["line"]))
+    return sorted(table.to_pylist(), key=lambda r: r["nth"])
 
 
 def _sums(model: Model):
@@ -186,12 +210,10 @@ def parse(transcripts: DataFrame, model: Model, block: int = 64) -> DataFrame:
     """transcripts (conv_id, piece, text): raw text in pieces. Returns one row for each recovered turn."""
     small_batches(transcripts.sparkSession)
     size, matrix, ends = len(model.states), "conv long, part long, m array<double>", "conv long, part long, entry int, leave int"
-    pieces = transcripts.where("text != ''").select(F.col("conv_id").cast("long").alias("conv"), F.col("piece").cast("long").alias("piece"), F.floor(F.col("piece") / block).cast("long").alias("part"), F.xxhash64("text").alias("h"), "text")
-    # parts count from 0 in each conversation, the null part first: floor(part / block) then ends at 0 for all of them
-    least = pieces.groupBy("conv").agg(F.min("part").alias("least"), F.max(F.col("part").isNull().cast("long")).alias("nulls"))
-    part = F.coalesce(F.col("part") - F.col("least") + F.col("nulls"), F.lit(0))
-    pieces = join_nulls(pieces, least, "conv").withColumn("part", part).withColumn("opens", F.col("part") == 0).drop("least", "nulls")
-    lines = cut(lines_of(pieces, "conv", "piece", "part", "h", "opens"), "lines")
+    pieces = transcripts.where("text != ''").select(F.col("conv_id").cast("long").alias("conv"), F.col("piece").cast("long").alias("piece"), F.xxhash64("text").alias("h"), "text")
+    placed = numbered(lines_of(pieces, "conv", "piece", "h"), "conv", F.col("piece").asc_nulls_first(), F.col("h"), F.col("line"))
+    part = F.floor(F.col("nth") / block).cast("long")
+    lines = cut(placed.select("conv", "piece", "nth", "line", "text", "symbol", part.alias("part"), (part == 0).alias("opens")), "lines")
     levels = [cut(lines.groupBy("conv", "part").applyInArrow(_sums(model), matrix), "blocks")]
     while levels[-1].groupBy("conv").count().where("count > 1").take(1):
         up = levels[-1].withColumn("up", F.floor(F.col("part") / block).cast("long"))
@@ -225,6 +247,7 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     The model learns from all of them."""
     turns = spoken_turns(spark, sf_dir)
     model = fit(turns)
-    said = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    pieces = turns.where("text is not null").groupBy("conv_id", F.floor(F.col("turn") / 4).alias("piece")).agg(F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"))
+    placed = numbered(turns.where("text is not null"), "conv_id", F.col("turn").asc_nulls_first(), F.xxhash64("text"))
+    said = F.array_sort(F.collect_list(F.struct("nth", "text")))  # four at most
+    pieces = placed.groupBy("conv_id", F.floor(F.col("nth") / 4).alias("piece")).agg(F.array_join(F.transform(said, lambda x: x["text"]), "\n").alias("text"))
     return parse(pieces, model)
