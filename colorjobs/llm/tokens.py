@@ -7,8 +7,11 @@ Spark's own Parquet writer makes the files under its commit protocol, so lost ex
 
 The tokenizer is called for distinct pieces of text only (see Encoder); the ids are those of the whole text.
 
-Defined cases: null text is empty and yields the end id alone; equal doc_ids are ordered by text; null doc_id comes first;
-an empty table gives an empty file set that reads back as no rows.
+Shards are ranges of (doc_id, first characters of the text), so a doc_id that very many rows share is not one task.
+
+Defined cases: null text is empty and yields the end id alone; equal doc_ids are ordered by text (null first); null doc_id
+comes first; rows that repeat are encoded one by one; other columns are not read; an empty table gives an empty file set
+that reads back as no rows.
 """
 
 from __future__ import annotations
@@ -99,7 +102,9 @@ def encoder(path: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 32 << 20, page_rows: int = 500) -> None:
-    """Columns doc_id, shard, at (ids before the document in its shard), n_tokens, tokens."""
+    """Columns doc_id, shard, at (ids before the document in its shard), n_tokens, tokens.
+
+    delta: DELTA_BINARY_PACKED ids; dictionary: RLE_DICTIONARY ids, which falls back to plain where a row group has too many."""
     small_batches(docs.sparkSession)
 
     def encode(batches):
@@ -116,7 +121,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, en
             at += int(ends[-1]) if len(n) else 0
 
     schema = "doc_id long, shard int, at long, n_tokens long, tokens array<int>"
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    by_id = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(by_id, F.substring("text", 1, 40).asc_nulls_first())
+    ordered = ordered.sortWithinPartitions(by_id, F.col("text").asc_nulls_first())
     writer = ordered.mapInArrow(encode, schema).write.option("parquet.block.size", row_group_bytes).option("parquet.page.row.count.limit", page_rows)
     if encoding == "delta":
         writer = writer.option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "false")
@@ -161,8 +168,10 @@ def token_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 
 def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: written as token ids, read back from the files."""
     return token_table(spark, table(spark, sf_dir, "documents"))
 
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: every row of docs (copies too) written as token ids, then what the files say of each."""
     return token_table(spark, docs)
