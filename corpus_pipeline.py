@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colorjobs.llm.common import cut
+from colorjobs.llm.common import cut, drop
 from colorjobs.llm.decontaminate import stage_decontaminate
 from colorjobs.llm.mixing import stage_mix
 from colorjobs.llm.quality import stage_quality
 from colorjobs.llm.simhash import stage_near_dedup
 from colorjobs.llm.tokens import stage_tokens
+from colorjobs.sources.shared import keep, scratch
 
 STAGES = [
     ("quality classifier", stage_quality),
@@ -23,9 +24,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after the other. What a stage writes on its way goes with it, its result with the next stage's."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = cut(docs, "stage")
-    return docs
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            after = keep(cut(stage(spark, docs, sf_dir), "stage"))
+        drop(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)
