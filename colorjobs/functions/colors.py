@@ -9,8 +9,11 @@ from pyspark.sql import Column, functions as F
 
 from .css_names import NAMES, NO_COLOUR
 
-NUMBER = r"-?\d+(?:\.\d+)?%?"
-RGB = rf"rgba?\(\s*({NUMBER})\s*,?\s*({NUMBER})\s*,?\s*({NUMBER})(?:\s*[,/]\s*{NUMBER})?\s*\)"
+#: The functional notation: three channels, each a number or a percentage, set apart by a comma, blanks or nothing; then
+#: perhaps an alpha value after a comma or a slash.
+NUMBER = r"-?[0-9]+(?:[.][0-9]+)?%?"
+_GAP = r"\s*,?\s*"
+RGB = r"rgba?[(]\s*" + _GAP.join([f"({NUMBER})"] * 3) + rf"(?:\s*[,/]\s*{NUMBER})?\s*[)]"
 FAMILIES = ("red", "orange", "yellow", "green", "cyan", "blue", "purple", "neutral")
 CB_TYPES = ("deutan", "protan", "tritan", "achromat")
 #: Machado et al. 2009, severity 1.0, on linear RGB. Fixed values.
@@ -39,7 +42,8 @@ def normalize_hex(raw: Column) -> Column:
     low = F.lower(v)
     body = F.upper(F.substring(v, 2, 8))
     short = F.concat(F.lit("#"), *(F.repeat(F.substring(body, i, 1), 2) for i in (1, 2, 3)))
-    hexed = F.when(v.rlike("^#([0-9a-fA-F]{3}|[0-9a-fA-F]{4})$"), short).when(v.rlike("^#([0-9a-fA-F]{6}|[0-9a-fA-F]{8})$"), F.concat(F.lit("#"), F.substring(body, 1, 6)))
+    hexed = F.when(v.rlike("^#([0-9a-fA-F]{3}|[0-9a-fA-F]{4})$"), short).when(v.rlike("^#([0-9a-fA-F]{6}|[0-9a-fA-F]{8})$"),
+        F.concat(F.lit("#"), F.substring(body, 1, 6)))
 
     def channel(i: int) -> Column:
         text = F.regexp_extract(v, f"(?i)^{RGB}$", i)
@@ -69,7 +73,8 @@ def css_color_tokens(text: Column) -> Column:
 def parse_style(text: Column) -> Column:
     """Array of struct(prop, value) of an inline style, in order."""
     parts = F.filter(F.split(text, ";"), lambda p: F.contains(p, F.lit(":")))
-    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("prop"), F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value")))
+    pairs = F.transform(parts, lambda p: F.struct(F.lower(F.trim(F.substring_index(p, ":", 1))).alias("prop"),
+        F.trim(F.regexp_replace(p, "^[^:]*:", "")).alias("value")))
     return F.filter(pairs, lambda x: (x["prop"] != "") & (x["value"] != ""))
 
 
@@ -228,16 +233,30 @@ def cmyk_struct(c: Column, m: Column, y: Column, k: Column) -> Column:
 
 
 def parse_cmyk(text: Column) -> Column:
-    """M13: "c/m/y/k" or "c,m,y,k"."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(text, ",", "/"), " ", ""), "/")
-    four = [F.get(parts, F.lit(i)).try_cast("double") for i in range(4)]
-    return F.when(F.size(parts) == 4, cmyk_struct(*four))
+    """M13: "c/m/y/k" or "c,m,y,k", or the same as JSON: a text, a list of four, or an object (what it lacks is 0)."""
+    plain = F.coalesce(F.when(text.rlike(r'^\s*"'), F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"]), text)
+    parts = F.split(F.translate(plain, ", []", "/"), "/")
+    listed = F.when(F.size(parts) == 4, cmyk_struct(*(F.get(parts, F.lit(i)).try_cast("double") for i in range(4))))
+    named = F.from_json(text, "map<string,string>")
+    return F.when(text.rlike(r"^\s*[{]"), parse_cmyk_map(named)).otherwise(listed)
+
+
+def parse_cmyk_map(parts: Column) -> Column:
+    """M13 on a map with keys c, m, y, k in either case; missing ones are 0."""
+    value = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)), F.try_element_at(parts, F.lit(k.upper())), F.lit("0")).try_cast("double")
+    return F.when(parts.isNotNull(), cmyk_struct(*map(value, "cmyk")))
+
+
+def parse_cmyk_array(parts: Column) -> Column:
+    """M13 on an array of four numbers."""
+    return F.when(F.size(parts) == 4, cmyk_struct(*(F.get(parts, F.lit(i)).cast("double") for i in range(4))))
 
 
 def cmyk_label(quad: Column) -> Column:
     def text(x: Column) -> Column:
         whole = F.abs(x - F.rint(x)) < 1e-9
-        return F.when(whole, F.rint(x).cast("long").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), "0+$", ""), r"\.$", ""))
+        return F.when(whole, F.rint(x).cast("long").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), "0+$",
+            ""), r"\.$", ""))
 
     return F.concat_ws("/", *(text(quad[n]) for n in ("c", "m", "y", "k")))
 
@@ -246,7 +265,8 @@ def parse_length_pt(raw: Column, per_pt: Column) -> Column:
     """An SVG length in points."""
     pattern = r"^\s*(-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?)([a-zA-Z%]*)\s*$"
     n, unit = F.regexp_extract(raw, pattern, 1).try_cast("double"), F.lower(F.regexp_extract(raw, pattern, 2))
-    known = F.when(unit.isin("", "px"), F.when(per_pt > 0, F.try_divide(n, per_pt))).when(unit == "pt", n).when(unit == "mm", n * 72.0 / 25.4).when(unit == "cm", n * 72.0 / 2.54).when(unit == "in", n * 72.0)
+    known = F.when(unit.isin("", "px"), F.when(per_pt > 0, F.try_divide(n, per_pt))).when(unit == "pt", n).when(unit == "mm",
+        n * 72.0 / 25.4).when(unit == "cm", n * 72.0 / 2.54).when(unit == "in", n * 72.0)
     return F.when(raw.rlike(pattern), known)
 
 
