@@ -1,13 +1,16 @@
 """Mapping resolution: suggestions, layers, history, corrections, and changes of the mapping tables.
 
-Small sides (global maps, slots, themes) are left to the optimizer, which broadcasts them by their size in bytes.
+Small sides (global maps, slots, themes) are left to the optimizer, which broadcasts them by their size in bytes. A source
+that occurs more than once in a map, or in a file's overrides, counts once: the last one (see usage.folded).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from colorjobs.functions.colors import channels, color_distance, delta_e76, gray_value, hex_to_lab, is_grayscale, normalize_hex
+from colorjobs.functions.colors import channels, delta_e76, gray_value, hex_to_lab, hex_to_rgb, is_grayscale, normalize_hex
+from colorjobs.operators.usage import folded
+from colorjobs.sources.shared import cut
 from colorjobs.sources.tables import STATUSES
 
 
@@ -22,49 +25,64 @@ def first_by(df: DataFrame, key: str, order: str = "ord", last: bool = False) ->
 
 
 def nearest_color(colors: DataFrame, keys: DataFrame, metric: str = "lab", block_rows: int = 50_000) -> DataFrame:
-    """Colors (hex), keys (source, ord): hex, via, distance of the nearest key; ties to the smallest ord.
-
-    Every distinct colour has to see every key: the keys are the broadcast side, in blocks of bounded size, so one block is
-    one broadcast nested loop with a map-side minimum."""
+    """Colors (hex), keys (source, ord): hex, via, distance of the nearest key; ties to the smallest ord, then source.
+
+    Every distinct colour has to see every key. Keys are one array (in blocks of at most ``block_rows``), in order, that a
+    scalar subquery brings into the colour's own row: the first place of the smallest distance is the answer, so no pair
+    is ever a row, and nothing is joined, sorted or aggregated. The colours are dealt evenly over the shuffle partitions."""
+    if metric not in ("lab", "rgb"):
+        raise ValueError(f"metric must be lab or rgb, not {metric!r}")
+    axes = ("L", "a", "b") if metric == "lab" else ("r", "g", "b")
+    place = hex_to_lab(F.col("hex")) if metric == "lab" else hex_to_rgb(F.col("hex")).cast("struct<r:double,g:double,b:double>")
     n = keys.count()
     blocks = max(1, -(-n // block_rows))
-    lab = hex_to_lab(F.col("source")) if metric == "lab" else F.lit(None)
-    keyed = keys.select("source", "ord", lab.alias("q"))
-    own = colors.select("hex").distinct().withColumn("p", hex_to_lab(F.col("hex")) if metric == "lab" else F.lit(None))
-    if metric == "lab":
-        d = F.sqrt(sum(((F.col(f"p.{k}") - F.col(f"q.{k}")) * (F.col(f"p.{k}") - F.col(f"q.{k}")) for k in ("L", "a", "b")), F.lit(0.0)))
-    else:
-        d = color_distance(F.col("hex"), F.col("source"), metric)
-    best = None
+    keyed = cut(keys.select("ord", F.col("source").alias("hex")).distinct().select("ord", F.col("hex").alias("source"),
+        place.alias("q")).where("q is not null"), "keys")
+    own = colors.select("hex").distinct().repartition(int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    own = own.select("hex", place.alias("p"))
+    nearest = []
     for b in range(blocks):
         some = keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == b)
-        near = own.join(F.broadcast(some), F.lit(True)).groupBy("hex").agg(F.min(F.struct(d.alias("d"), "ord", "source")).alias("m"))  # at most block_rows rows
-        best = near if best is None else best.unionByName(near)
-    if blocks > 1:
-        best = best.groupBy("hex").agg(F.min("m").alias("m"))
-    return best.select("hex", F.col("m.source").alias("via"), F.col("m.d").alias("distance"))
+        fields = F.struct("ord", "source", *(F.col(f"q.{k}").alias(k) for k in axes))
+        own = own.withColumn(f"k{b}", some.agg(F.array_sort(F.collect_list(fields)).alias("k")).scalar())  # at most block_rows rows
+
+        def away(x: Column) -> Column:
+            return F.sqrt(sum(((F.col(f"p.{k}") - x[k]) * (F.col(f"p.{k}") - x[k]) for k in axes), F.lit(0.0)))
+
+        own = own.withColumn(f"d{b}", F.transform(f"k{b}", away))
+        least = F.array_min(f"d{b}")
+        key = F.get(f"k{b}", (F.array_position(F.col(f"d{b}"), least) - 1).cast("int"))
+        nearest.append(F.when(least.isNotNull(), F.struct(least.alias("d"), key["ord"].alias("ord"), key["source"].alias("source"))))
+    best = nearest[0] if blocks == 1 else F.array_min(F.array_compact(F.array(*nearest)))
+    return own.select("hex", best.alias("m")).where("m is not null").select("hex", F.col("m.source").alias("via"), F.col("m.d").alias("distance"))
 
 
 def nearest_swatch(colors: DataFrame, swatches: DataFrame) -> DataFrame:
-    """Hex -> swatch_id, distance; null ids when there are no swatches."""
-    keys = first_by(swatches.select(F.col("source_hex").alias("source"), "id", F.monotonically_increasing_id().alias("ord")), "source")
-    near = nearest_color(colors, keys.select("source", "ord"))
-    return colors.select("hex").distinct().join(near, "hex", "left").join(keys.select(F.col("source").alias("via"), F.col("id").alias("swatch_id")), "via", "left").select("hex", "swatch_id", "distance")
+    """Hex -> swatch_id, distance; null ids when there are no swatches. Ties go to the smallest source colour, then id."""
+    keys = swatches.groupBy(F.col("source_hex").alias("source")).agg(F.min("id").alias("swatch_id"))
+    near = nearest_color(colors, keys.select("source", F.col("source").alias("ord")))
+    named = near.join(keys.withColumnRenamed("source", "via"), "via")
+    return colors.select("hex").distinct().join(named, "hex", "left").select("hex", "swatch_id", "distance")
 
 
 def suggest(usage: DataFrame, global_map: DataFrame, overrides: DataFrame, metric: str = "lab", threshold: float = 10.0, nearest: bool = True) -> DataFrame:
     """Override, exact, nearest within the threshold, or none."""
     colors = usage.select("hex").distinct()
-    g = global_map.where("target != ''").select("source", "target", "label", "notes", "ord")
-    exact = colors.join(g, colors.hex == g.source).select("hex", F.struct("target", F.lit("exact").alias("kind"), F.lit(0.0).alias("distance"), F.col("source").alias("via"), "label", "notes").alias("s"))
+    g = folded(global_map.where("target != ''").select("source", "target", "label", "notes", "ord"), "source")
+    exact = colors.join(g, colors.hex == g.source).select("hex",
+        F.struct("target", F.lit("exact").alias("kind"), F.lit(0.0).alias("distance"), F.col("source").alias("via"), "label", "notes").alias("s"))
     if nearest:
         left = colors.join(g.select(F.col("source").alias("hex")), "hex", "left_anti")
-        near = nearest_color(left, g, metric).where(F.col("distance") <= threshold)
+        near = nearest_color(left, g.select("source", "ord"), metric).where(F.col("distance") <= threshold)
         near = near.join(g, near.via == g.source).select("hex", F.struct("target", F.lit("near").alias("kind"), "distance", "via", "label", "notes").alias("s"))
         exact = exact.unionByName(near)
-    o = overrides.where("target != ''").select("file", F.col("source").alias("hex"), F.struct("target", F.lit("exact").alias("kind"), F.lit(0.0).alias("distance"), F.col("source").alias("via"), F.lit("override").alias("label"), F.lit("").alias("notes")).alias("o"))
-    none = F.struct(F.lit(None).cast("string").alias("target"), F.lit("none").alias("kind"), F.lit(None).cast("double").alias("distance"), F.lit(None).cast("string").alias("via"), F.lit("").alias("label"), F.lit("").alias("notes"))
-    return usage.select("file", "hex").join(o, ["file", "hex"], "left").join(exact, "hex", "left").select("file", "hex", F.coalesce("o", "s", none).alias("s")).select("file", "hex", "s.*")
+    o = folded(overrides.where("target != ''").select("file", "source", "target"), "file", "source")
+    o = o.select("file", F.col("source").alias("hex"), F.struct("target", F.lit("exact").alias("kind"), F.lit(0.0).alias("distance"),
+        F.col("source").alias("via"), F.lit("override").alias("label"), F.lit("").alias("notes")).alias("o"))
+    none = F.struct(F.lit(None).cast("string").alias("target"), F.lit("none").alias("kind"), F.lit(None).cast("double").alias("distance"),
+        F.lit(None).cast("string").alias("via"), F.lit("").alias("label"), F.lit("").alias("notes"))
+    return usage.select("file", "hex").join(o, ["file", "hex"], "left").join(exact, "hex", "left").select("file", "hex",
+        F.coalesce("o", "s", none).alias("s")).select("file", "hex", "s.*")
 
 
 # --- layers ------------------------------------------------------------------------------------------------------------
@@ -72,9 +90,10 @@ def suggest(usage: DataFrame, global_map: DataFrame, overrides: DataFrame, metri
 
 def merge_mappings(usage: DataFrame, global_map: DataFrame, overrides: DataFrame) -> DataFrame:
     """J4 for the colours in use: (file, source, target); entries with an empty target are dropped, overrides win."""
-    o = overrides.where("target != ''").select("file", "source", F.col("target").alias("o"))
-    g = global_map.where("target != ''").select("source", F.col("target").alias("g"))
-    return usage.select("file", F.col("hex").alias("source")).join(o, ["file", "source"], "left").join(g, "source", "left").select("file", "source", F.coalesce("o", "g").alias("target")).where("target is not null")
+    o = folded(overrides.where("target != ''").select("file", "source", "target"), "file", "source").withColumnRenamed("target", "o")
+    g = folded(global_map.where("target != ''"), "source").select("source", F.col("target").alias("g"))
+    return usage.select("file", F.col("hex").alias("source")).join(o, ["file", "source"], "left").join(g, "source", "left").select("file", "source",
+        F.coalesce("o", "g").alias("target")).where("target is not null")
 
 
 def theme_resolve(slots: DataFrame, themes: DataFrame, active: str, pipeline: str) -> DataFrame:
@@ -90,26 +109,32 @@ def theme_overrides(slots: DataFrame, themes: DataFrame, active: str, pipeline:
     return first_by(slots.join(t, slots.name == t.slot).select(F.col("authored").alias("hex"), "target", "ord"), "hex", last=True).select("hex", "target")
 
 
-def merge_with_semantic(usage: DataFrame, global_map: DataFrame, slots: DataFrame, themes: DataFrame, active: str, overrides: DataFrame, pipeline: str = "grayscale") -> DataFrame:
+def merge_with_semantic(usage: DataFrame, global_map: DataFrame, slots: DataFrame, themes: DataFrame, active: str, overrides: DataFrame,
+    pipeline: str = "grayscale") -> DataFrame:
     """Override > theme > global > none, exact only. (file, hex, n, layer, target): target is the colour itself for none."""
-    g = global_map.where((F.col("pipeline") == pipeline) & (F.col("target") != "")).select(F.col("source").alias("hex"), F.col("target").alias("g"))
+    mine = (F.col("pipeline") == pipeline) & (F.col("target") != "")
+    g = folded(global_map.where(mine), "source").select(F.col("source").alias("hex"), F.col("target").alias("g"))
     t = theme_overrides(slots, themes, active, pipeline).withColumnRenamed("target", "t")
-    o = overrides.where((F.col("pipeline") == pipeline) & (F.col("target") != "")).select("file", F.col("source").alias("hex"), F.col("target").alias("o"))
+    o = folded(overrides.where(mine).select("file", "source", "target"), "file", "source").select("file", F.col("source").alias("hex"),
+        F.col("target").alias("o"))
     layer = F.when(F.col("o").isNotNull(), "override").when(F.col("t").isNotNull(), "theme").when(F.col("g").isNotNull(), "global").otherwise("none")
-    return usage.join(g, "hex", "left").join(t, "hex", "left").join(o, ["file", "hex"], "left").select("file", "hex", *(c for c in ("n",) if c in usage.columns), layer.alias("layer"), F.coalesce("o", "t", "g", "hex").alias("target"))
+    return usage.join(g, "hex", "left").join(t, "hex", "left").join(o, ["file", "hex"], "left").select("file", "hex",
+        *(c for c in ("n",) if c in usage.columns), layer.alias("layer"), F.coalesce("o", "t", "g", "hex").alias("target"))
 
 
 def resolve_palette(suggestions: DataFrame, manual: DataFrame) -> DataFrame:
     """Manual pick > suggestion > null; a pick that is no #RRGGBB is marked in ``rejected``."""
     m = manual.select("file", F.col("source").alias("hex"), F.upper("target").alias("pick"))
     fine = F.col("pick").rlike("^#[0-9A-F]{6}$")
-    return suggestions.select("file", "hex", F.col("target").alias("suggested")).join(m, ["file", "hex"], "left").select("file", "hex", F.coalesce(F.when(fine, F.col("pick")), F.col("suggested")).alias("target"), F.when(~fine, F.col("pick")).alias("rejected"))
+    return suggestions.select("file", "hex", F.col("target").alias("suggested")).join(m, ["file", "hex"], "left").select("file", "hex",
+        F.coalesce(F.when(fine, F.col("pick")), F.col("suggested")).alias("target"), F.when(~fine, F.col("pick")).alias("rejected"))
 
 
 def persistable_overrides(picks: DataFrame, global_map: DataFrame) -> DataFrame:
     """J8."""
     g = global_map.select("source", F.col("target").alias("g"))
-    return picks.join(g, "source", "left").where((F.col("target") != F.col("source")) & ~F.col("target").eqNullSafe(F.col("g"))).select("file", "source", "target")
+    return picks.join(g, "source", "left").where((F.col("target") != F.col("source")) & ~F.col("target").eqNullSafe(F.col("g"))).select("file",
+        "source", "target")
 
 
 def unmapped_colors(resolved: DataFrame) -> DataFrame:
@@ -120,10 +145,11 @@ def unmapped_colors(resolved: DataFrame) -> DataFrame:
 def device_merge(global_device: DataFrame, per_file: DataFrame, files: DataFrame) -> DataFrame:
     """(file, source, cmyk): for each of ``files`` the global overrides, its own on top; sources that are no colour go."""
     key = normalize_hex(F.col("source"))
-    g = global_device.select(key.alias("source"), "cmyk").where("source is not null").dropDuplicates(["source"])
+    g = global_device.select(key.alias("source"), "cmyk").where("source is not null").groupBy("source").agg(F.min("cmyk").alias("cmyk"))
     o = per_file.select("file", key.alias("source"), F.col("cmyk").alias("own")).where("source is not null")
     used = files.select("file", F.col("hex").alias("source")).distinct()
-    return used.join(g, "source", "left").join(o, ["file", "source"], "left").select("file", "source", F.coalesce("own", "cmyk").alias("cmyk")).where("cmyk is not null")
+    return used.join(g, "source", "left").join(o, ["file", "source"], "left").select("file", "source",
+        F.coalesce("own", "cmyk").alias("cmyk")).where("cmyk is not null")
 
 
 def effective_corrections(merged: DataFrame, device: DataFrame) -> DataFrame:
@@ -136,7 +162,9 @@ def library(svgs: DataFrame, illustrations: DataFrame, overrides: DataFrame, sta
     counts = overrides.groupBy("file").agg(*(F.sum((F.col("pipeline") == p).cast("int")).alias(f"{p}_overrides") for p in ("grayscale", "cmyk")))
     j = svgs.select("file").join(illustrations.withColumn("has_metadata", F.lit(True)), "file", "left").join(counts, "file", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    out = j.select("file", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("cmyk_status", F.lit("pending")).alias("cmyk_status"), F.coalesce("cmyk_auto_fix", F.lit(False)).alias("cmyk_auto_fix"), F.coalesce("has_metadata", F.lit(False)).alias("has_metadata"), F.coalesce("notes", F.lit("")).alias("notes"), zero("grayscale_overrides"), zero("cmyk_overrides"))
+    out = j.select("file", F.coalesce("status", F.lit("pending")).alias("status"), F.coalesce("cmyk_status", F.lit("pending")).alias("cmyk_status"),
+        F.coalesce("cmyk_auto_fix", F.lit(False)).alias("cmyk_auto_fix"), F.coalesce("has_metadata", F.lit(False)).alias("has_metadata"),
+            F.coalesce("notes", F.lit("")).alias("notes"), zero("grayscale_overrides"), zero("cmyk_overrides"))
     return out if status is None else out.where(F.col("status") == status)
 
 
@@ -148,12 +176,17 @@ def palette_usage(swatches: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def auto_migrate(slots: DataFrame, global_map: DataFrame, pipeline: str) -> tuple[DataFrame, DataFrame]:
-    """(new slots, new theme targets) for unclaimed sources, in map order; numbers go on after the largest in use."""
-    free = global_map.where((F.col("pipeline") == pipeline) & (F.col("target") != "")).join(slots.select(F.col("authored").alias("source")), "source", "left_anti")
-    used = slots.select(F.coalesce(F.max(F.regexp_extract("name", r"^auto\.(\d+)$", 1).try_cast("int")), F.lit(0)).alias("top"))
-    nth = F.row_number().over(W.orderBy("ord"))  # a global map is one hand-made document
-    made = free.join(F.broadcast(used)).withColumn("name", F.format_string("auto.%03d", F.col("top") + nth))  # one row
-    new = made.select("name", F.col("source").alias("authored"), F.when(F.col("label") == "", F.col("source")).otherwise(F.col("label")).alias("label"), "notes", "ord")
+    """(new slots, new theme targets) for unclaimed sources, in map order; each takes the lowest free number."""
+    mapped = folded(global_map.where((F.col("pipeline") == pipeline) & (F.col("target") != "")), "source")
+    open_ = mapped.join(slots.select(F.col("authored").alias("source")), "source", "left_anti")
+    names = slots.agg(F.coalesce(F.collect_set("name"), F.array().cast("array<string>")).alias("used"))  # slots are made by hand: one short list
+    n = F.row_number().over(W.orderBy("ord", "source"))  # and so is a global map
+    # the n-th free name is among the first n + (number of names) ones
+    numbered = open_.withColumn("n", n).join(F.broadcast(names))  # one row
+    every = F.transform(F.sequence(F.lit(1), F.col("n") + F.size("used")), lambda i: F.format_string("auto.%03d", i))
+    made = numbered.withColumn("name", F.element_at(F.filter(every, lambda x: ~F.array_contains("used", x)), F.col("n")))
+    label = F.when(F.coalesce("label", F.lit("")) == "", F.col("source")).otherwise(F.col("label"))
+    new = made.select("name", F.col("source").alias("authored"), label.alias("label"), "notes", "ord")
     return new, made.select(F.col("name").alias("slot"), F.lit(pipeline).alias("pipeline"), "target")
 
 
@@ -169,28 +202,34 @@ def match_paint_operators(ops: DataFrame, overrides: DataFrame, tolerance: float
     """Ops (doc, page, stream, idx, op, operands), overrides (source, cmyk, ord). rg/RG within the tolerance of a
     source become k/K with its exact quad; k/K within it snap to the quad. The first override by ord wins.
 
-    A band join: channels are cut into cells of the tolerance's size, an override is put into its 3 neighbours on the first
-    channel, the rest is compared, so ops meet only overrides of one cell."""
-    cell = lambda c: F.floor(c / (2 * tolerance)).cast("long")
-    near = lambda c: F.explode(F.array(cell(c) - 1, cell(c), cell(c) + 1))
+    Distinct operands are matched once and joined back. The match is a band join: the first two channels are cut into cells
+    of the tolerance's size, an override is put into the neighbouring cells, and the rest is compared."""
+    width = 2 * tolerance
+    cell = lambda a, i: F.floor(F.get(a, F.lit(i)) / width).cast("long")
+    around = lambda a, i: F.array(*(cell(a, i) + k for k in (-1, 0, 1)))
     quad = F.array(*(F.col(f"cmyk.{k}") / 100 for k in ("c", "m", "y", "k")))
     rgb = F.array(*(c / 255.0 for c in channels(F.col("source"))))
     o = overrides.select("source", "ord", quad.alias("quad"), rgb.alias("rgb"))
-    keys = o.select("source", "ord", "quad", F.col("rgb").alias("at"), F.lit(3).alias("dims"), near(F.col("rgb")[0]).alias("cell")).unionByName(o.select("source", "ord", "quad", F.col("quad").alias("at"), F.lit(4).alias("dims"), near(F.col("quad")[0]).alias("cell")))
+    keys = o.select("source", "ord", "quad", F.explode(F.array(F.struct(F.lit(3).alias("dims"), F.col("rgb").alias("at")),
+        F.struct(F.lit(4).alias("dims"), F.col("quad").alias("at")))).alias("k"))
+    keys = keys.select("source", "ord", "quad", "k.*").withColumn("c0", F.explode(around(F.col("at"), 0))).withColumn("c1", F.explode(around(F.col("at"), 1)))
     dims = F.when(F.lower("op") == "rg", 3).when(F.lower("op") == "k", 4)
-    own = ops.withColumn("dims", dims).withColumn("cell", cell(F.get("operands", F.lit(0))))
+    own = ops.withColumn("dims", dims)
+    seen = own.where(F.size("operands") == F.col("dims")).select("dims", "operands").distinct()
     close = F.forall(F.zip_with("operands", "at", lambda x, y: F.abs(x - y)), lambda d: d <= tolerance + 1e-12)
-    hits = own.where((F.size("operands") == F.col("dims"))).join(keys, ["dims", "cell"]).where(close)
-    best = hits.groupBy("doc", "page", "stream", "idx").agg(F.min_by(F.struct("source", "quad"), "ord").alias("m"))
-    j = ops.join(best, ["doc", "page", "stream", "idx"], "left")
-    upper = F.col("op").isin("RG", "K")
-    return j.select("doc", "page", "stream", "idx", "op", "operands", F.col("m.source").alias("source"), F.when(F.col("m").isNull(), F.col("op")).when(upper, "K").otherwise("k").alias("new_op"), F.coalesce("m.quad", "operands").alias("new_operands"))
+    hits = seen.withColumn("c0", cell(F.col("operands"), 0)).withColumn("c1", cell(F.col("operands"), 1)).join(keys, ["dims", "c0", "c1"]).where(close)
+    best = hits.groupBy("dims", "operands").agg(F.min_by(F.struct("source", "quad"), F.struct("ord", "source")).alias("m"))
+    j = own.join(best, ["dims", "operands"], "left")
+    new_op = F.when(F.col("m").isNull(), F.col("op")).when(F.col("op").isin("RG", "K"), "K").otherwise("k")
+    return j.select("doc", "page", "stream", "idx", "op", "operands", F.col("m.source").alias("source"), new_op.alias("new_op"),
+        F.coalesce("m.quad", "operands").alias("new_operands"))
 
 
 def paint_report(matched: DataFrame, overrides: DataFrame) -> DataFrame:
     """Matches of each source, zero for those missing."""
     n = matched.where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
-    return overrides.select("source").distinct().join(n, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.col("n").isNull().alias("missing"))
+    return overrides.select("source").distinct().join(n, "source", "left").select("source", F.coalesce("n", F.lit(0)).cast("long").alias("n"),
+        F.col("n").isNull().alias("missing"))
 
 
 def printed_appearance(colors: DataFrame, icc: DataFrame, signature: str) -> DataFrame:
@@ -205,6 +244,14 @@ def stale_appearance(colors: DataFrame, cache: DataFrame, signature: str) -> Dat
     return colors.select("hex").distinct().join(held, "hex", "left_anti")
 
 
+def refresh_appearance(colors: DataFrame, cache: DataFrame, icc: DataFrame, signature: str) -> DataFrame:
+    """The cache (icc_signature, hex, printed_hex) after a refresh for ``signature``: what it holds already stays, what
+    it lacks of ``colors`` comes from the profile's table; entries of other signatures go."""
+    held = cache.where((F.col("icc_signature") == signature) & F.lit(signature != "")).select("icc_signature", "hex", "printed_hex")
+    made = stale_appearance(colors, cache, signature).join(icc.where(F.col("icc_signature") == signature).select("hex", "printed_hex"), "hex")
+    return held.unionByName(made.select(F.lit(signature).alias("icc_signature"), "hex", "printed_hex"))
+
+
 def press_preview_map(resolved: DataFrame, icc: DataFrame, signature: str) -> DataFrame:
     """Correction, then round trip; only what changes."""
     p = icc.where(F.col("icc_signature") == signature).select(F.col("hex").alias("target"), "printed_hex")
@@ -216,7 +263,8 @@ def press_preview_map(resolved: DataFrame, icc: DataFrame, signature: str) -> Da
 
 def mapping_history(global_map: DataFrame, overrides: DataFrame, pipeline: str = "grayscale") -> DataFrame:
     """A1."""
-    both = global_map.where((F.col("pipeline") == pipeline) & (F.col("target") != "")).select("source", "target").unionByName(overrides.where((F.col("pipeline") == pipeline) & (F.col("target") != "")).select("source", "target"))
+    both = global_map.where((F.col("pipeline") == pipeline) & (F.col("target") != "")).select("source",
+        "target").unionByName(overrides.where((F.col("pipeline") == pipeline) & (F.col("target") != "")).select("source", "target"))
     return both.groupBy("source", "target").agg(F.count("*").alias("n"))
 
 
@@ -233,8 +281,10 @@ def suggest_from_history(history: DataFrame, top: int = 5) -> DataFrame:
 
 def status_counts(files: DataFrame) -> DataFrame:
     """A3: both pipelines in one pass; all four statuses are there."""
-    rows = files.select(F.explode(F.array(F.struct(F.lit("grayscale").alias("pipeline"), F.col("status").alias("status")), F.struct(F.lit("cmyk").alias("pipeline"), F.col("cmyk_status").alias("status")))).alias("e")).select("e.*")
-    grid = files.sparkSession.range(1).select(F.explode(F.array(F.lit("grayscale"), F.lit("cmyk"))).alias("pipeline")).select("pipeline", F.explode(F.array(*map(F.lit, STATUSES))).alias("status"))
+    rows = files.select(F.explode(F.array(F.struct(F.lit("grayscale").alias("pipeline"), F.col("status").alias("status")),
+        F.struct(F.lit("cmyk").alias("pipeline"), F.col("cmyk_status").alias("status")))).alias("e")).select("e.*")
+    grid = files.sparkSession.range(1).select(F.explode(F.array(F.lit("grayscale"), F.lit("cmyk"))).alias("pipeline")).select("pipeline",
+        F.explode(F.array(*map(F.lit, STATUSES))).alias("status"))
     n = rows.groupBy("pipeline", "status").agg(F.count("*").alias("n"))
     return grid.join(n, ["pipeline", "status"], "left").select("pipeline", "status", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
@@ -249,9 +299,10 @@ def print_safety(merged: DataFrame, min_gray: str = "#EEEEEE") -> DataFrame:
     per = merged.groupBy("file", "target").agg(F.array_sort(F.collect_set("source")).alias("sources"))
     lum, limit = gray_value(F.col("target")), gray_value(F.lit(min_gray))
     r, g, b = channels(F.col("target"))
-    light = F.format_string(f"luminance %d is lighter than configured min %d ({min_gray})", lum, limit)
-    tint = F.format_string("target is not grayscale (R=%d, G=%d, B=%d): channels should match", r, g, b)
-    return per.select("file", "target", "sources", lum.alias("luminance"), F.when(lum > limit, light).when(~is_grayscale(F.col("target"), 4), tint).alias("reason")).where("reason is not null")
+    light = F.format_string(f"too light to print: %d, at most %d ({min_gray}) shows", lum, limit)
+    tint = F.format_string("tinted: red %d, green %d, blue %d", r, g, b)
+    return per.select("file", "target", "sources", lum.alias("luminance"),
+        F.when(lum > limit, light).when(~is_grayscale(F.col("target"), 4), tint).alias("reason")).where("reason is not null")
 
 
 def recolor_detail(usage: DataFrame, resolved: DataFrame) -> DataFrame:
@@ -262,7 +313,8 @@ def recolor_detail(usage: DataFrame, resolved: DataFrame) -> DataFrame:
 def recolor_report(resolved: DataFrame) -> DataFrame:
     """A5: replaced and unmapped tokens of each file. resolved has one row a (file, hex) with its n."""
     hit = F.col("layer") != "none"
-    return resolved.groupBy("file").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("replacements"), F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("unmapped_tokens"), F.sum((~hit).cast("int")).alias("unmapped_colors"))
+    return resolved.groupBy("file").agg(F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("replacements"),
+        F.sum(F.when(hit, 0).otherwise(F.col("n"))).alias("unmapped_tokens"), F.sum((~hit).cast("int")).alias("unmapped_colors"))
 
 
 def shift_table(resolved: DataFrame) -> DataFrame:
@@ -274,19 +326,22 @@ def unmapped_preview(resolved: DataFrame, n: int = 8) -> DataFrame:
     """The first n unmapped colours of a file and how many more there are."""
     u = unmapped_colors(resolved)
     total = u.groupBy("file").agg(F.count("*").alias("total"))
-    first = u.withColumn("k", F.row_number().over(W.partitionBy("file").orderBy("hex"))).where(F.col("k") <= n).groupBy("file").agg(F.array_sort(F.collect_list("hex")).alias("first"))
+    first = u.withColumn("k",
+        F.row_number().over(W.partitionBy("file").orderBy("hex"))).where(F.col("k") <= n).groupBy("file").agg(F.array_sort(F.collect_list("hex")).alias("first"))
     return first.join(total, "file").select("file", "first", (F.col("total") - F.size("first")).alias("more"))
 
 
 def replace_preflight(global_map: DataFrame, overrides: DataFrame, swatches: DataFrame) -> DataFrame:
     """For each swatch what replace_globally would change."""
     m = swatches.select("id", "source_hex", F.explode("members").alias("source")).where("source != source_hex")
-    g = m.join(global_map.select("source", F.col("target").alias("g")), "source", "left").groupBy("id").agg(F.sum((~F.col("g").eqNullSafe(F.col("source_hex"))).cast("int")).cast("long").alias("global_changes"))
+    g = m.join(global_map.select("source", F.col("target").alias("g")), "source",
+        "left").groupBy("id").agg(F.sum((~F.col("g").eqNullSafe(F.col("source_hex"))).cast("int")).cast("long").alias("global_changes"))
     o = m.join(overrides.select("file", "source"), "source")
     gone = o.groupBy("id").agg(F.count("*").alias("overrides_deleted"))
     files = o.select("id", "file").distinct().groupBy("id").agg(F.count("*").alias("files"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return swatches.select("id").join(g, "id", "left").join(gone, "id", "left").join(files, "id", "left").select("id", zero("global_changes"), zero("overrides_deleted"), zero("files"))
+    return swatches.select("id").join(g, "id", "left").join(gone, "id", "left").join(files, "id", "left").select("id", zero("global_changes"),
+        zero("overrides_deleted"), zero("files"))
 
 
 # --- changes -----------------------------------------------------------------------------------------------------------
@@ -333,13 +388,18 @@ def wipe_pipeline(illustrations: DataFrame, overrides: DataFrame, device: DataFr
 
 def replace_globally(global_map: DataFrame, overrides: DataFrame, swatches: DataFrame, pipeline: str = "cmyk") -> tuple[DataFrame, DataFrame]:
     """U4: members go to their swatch's colour in the map, and files lose their own overrides of them."""
-    m = swatches.select(F.lit(pipeline).alias("pipeline"), F.explode("members").alias("source"), F.col("source_hex").alias("target"), "label", "notes").where("source != target").dropDuplicates(["source"])
-    return upsert_map(global_map, m), overrides.where(F.col("pipeline") != pipeline).unionByName(overrides.where(F.col("pipeline") == pipeline).join(m.select("source"), "source", "left_anti").select(*overrides.columns))
+    m = swatches.select(F.lit(pipeline).alias("pipeline"), F.explode("members").alias("source"), F.col("source_hex").alias("target"), "label",
+        "notes").where("source != target")
+    m = m.groupBy("pipeline", "source").agg(F.min(F.struct("target", "label", "notes")).alias("m")).select("pipeline", "source", "m.*")
+    return upsert_map(global_map,
+        m), overrides.where(F.col("pipeline") != pipeline).unionByName(overrides.where(F.col("pipeline") == pipeline).join(m.select("source"),
+            "source", "left_anti").select(*overrides.columns))
 
 
 def mapping_diff(before: DataFrame, after: DataFrame, members: DataFrame) -> DataFrame:
     """(file, hex, before, after) for member colours whose effective target changes. Both sides: J5's rows."""
-    b, a = (x.join(members.select("hex"), "hex", "left_semi").select("file", "hex", F.col("target").alias(n)) for x, n in ((before, "before"), (after, "after")))
+    b, a = (x.join(members.select("hex"), "hex", "left_semi").select("file", "hex", F.col("target").alias(n)) for x,
+        n in ((before, "before"), (after, "after")))
     return b.join(a, ["file", "hex"], "full").where(~F.col("before").eqNullSafe(F.col("after")))
 
 
@@ -358,4 +418,5 @@ def mark_status(illustrations: DataFrame, files: DataFrame, status: str, stamp:
     if status not in STATUSES:
         raise ValueError(f"unknown status {status!r}")
     hit = F.col("_hit").isNotNull()
-    return illustrations.join(files.select("file").distinct().withColumn("_hit", F.lit(True)), "file", "left").withColumn(field, F.when(hit, status).otherwise(F.col(field))).withColumn("updated_at", F.when(hit, stamp).otherwise(F.col("updated_at"))).drop("_hit")
+    return illustrations.join(files.select("file").distinct().withColumn("_hit", F.lit(True)), "file", "left").withColumn(field,
+        F.when(hit, status).otherwise(F.col(field))).withColumn("updated_at", F.when(hit, stamp).otherwise(F.col("updated_at"))).drop("_hit")

@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from colorjobs.functions.colors import FAMILIES, color_sort_key, family_of, hex_to_lab
+from colorjobs.sources.shared import cut
+
+
+def folded(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row for each key: the last by column ord, or, without one, the one with the largest target."""
+    rest = [c for c in rows.columns if c not in keys]
+    order = F.struct(*(c for c in ("ord", "target") if c in rest))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_last")).select(*keys, "_last.*")
 
 
 def color_usage(tokens: DataFrame) -> DataFrame:
     """N, contexts and raw forms of each (file, hex)."""
-    return tokens.groupBy("file", "hex").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("context")).alias("contexts"), F.array_sort(F.collect_set("raw")).alias("raw_forms"))
+    return tokens.groupBy("file", "hex").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("context")).alias("contexts"),
+        F.array_sort(F.collect_set("raw")).alias("raw_forms"))
 
 
 def usage_counts(tokens: DataFrame) -> DataFrame:
@@ -23,7 +32,9 @@ def svg_facts(rows: DataFrame) -> DataFrame:
     facts = rows.where("kind in ('fact', 'error')").select("file", "profiles", "spaces", "has_image", "has_text", F.col("error").alias("parse_error"))
     profile = F.when(F.col("profiles") > 0, F.format_string("%d <color-profile> element(s)", "profiles"))
     space = F.when(F.size("spaces") > 0, F.concat(F.lit("non-sRGB interpolation: "), F.array_join("spaces", ", ")))
-    return facts.join(colours, "file", "left").select("file", F.coalesce("n_colors", F.lit(0)).alias("n_colors"), F.array_compact(F.array(profile, space)).alias("color_space_warnings"), F.coalesce("has_image", F.lit(False)).alias("has_image"), F.coalesce("has_text", F.lit(False)).alias("has_text"), "parse_error")
+    return facts.join(colours, "file", "left").select("file", F.coalesce("n_colors", F.lit(0)).alias("n_colors"),
+        F.array_compact(F.array(profile, space)).alias("color_space_warnings"), F.coalesce("has_image", F.lit(False)).alias("has_image"),
+            F.coalesce("has_text", F.lit(False)).alias("has_text"), "parse_error")
 
 
 def color_files(usage: DataFrame) -> DataFrame:
@@ -50,9 +61,10 @@ def batch_palette(usage: DataFrame) -> DataFrame:
 
 
 def palette_report(palette: DataFrame, corrections: DataFrame) -> DataFrame:
-    """C10."""
-    t = corrections.select(F.col("source").alias("hex"), F.col("target").alias("t"))
-    return palette.join(t, "hex", "left").select("hex", "n_files", F.coalesce("t", "hex").alias("target"), (F.col("t").isNull() | (F.col("t") == F.col("hex"))).alias("unchanged"))
+    """C10. Of a source that occurs twice the last correction counts."""
+    t = folded(corrections, "source").select(F.col("source").alias("hex"), F.col("target").alias("t"))
+    return palette.join(t, "hex", "left").select("hex", "n_files", F.coalesce("t", "hex").alias("target"),
+        (F.col("t").isNull() | (F.col("t") == F.col("hex"))).alias("unchanged"))
 
 
 def top_colors(usage: DataFrame, n: int = 10) -> DataFrame:
@@ -64,19 +76,24 @@ def top_colors(usage: DataFrame, n: int = 10) -> DataFrame:
 def sort_colors(usage: DataFrame) -> DataFrame:
     """Perceptual order inside a file."""
     keyed = usage.select("hex").distinct().select("hex", color_sort_key(F.col("hex")).alias("key"))
-    return usage.select("file", "hex").join(keyed, "hex").select("file", "hex", F.row_number().over(W.partitionBy("file").orderBy("key", "hex")).alias("position"))
+    return usage.select("file", "hex").join(keyed, "hex").select("file", "hex",
+        F.row_number().over(W.partitionBy("file").orderBy("key", "hex")).alias("position"))
 
 
 def hue_lightness_histogram(usage: DataFrame, bins: int = 6) -> DataFrame:
-    """Family x lightness bin -> colours, tokens, files; every cell is present. Usage is summed by colour first, so
-    the formula runs once a colour; files are counted exactly over (cell, file)."""
+    """Family x lightness bin -> colours, tokens, files; every cell is present. The cells of the distinct colours are
+    written once, so the formula runs once a colour; files are counted exactly over (cell, file)."""
     if bins < 2:
         raise ValueError("bins must be at least 2")
     bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("lab.L") / 100 * bins))).cast("int")
-    cells = usage.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("lab")).select("hex", family_of(F.col("lab")).alias("family"), bin_.alias("bin"))
+    cells = usage.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("lab")).select("hex",
+        family_of(F.col("lab")).alias("family"), bin_.alias("bin"))
+    cells = cut(cells.repartition(int(usage.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cells")
     per_file = usage.join(cells, "hex").groupBy("family", "bin", "file").agg(F.sum("n").alias("n"))
     sums = per_file.groupBy("family", "bin").agg(F.sum("n").alias("tokens"), F.count("*").alias("files"))
     colours = cells.groupBy("family", "bin").agg(F.count("*").alias("colors"))
-    grid = usage.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, FAMILIES))).alias("family")).select("family", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    grid = usage.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, FAMILIES))).alias("family")).select("family",
+        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return grid.join(colours, ["family", "bin"], "left").join(sums, ["family", "bin"], "left").select("family", "bin", zero("colors"), zero("tokens"), zero("files"))
+    return grid.join(colours, ["family", "bin"], "left").join(sums, ["family", "bin"], "left").select("family", "bin", zero("colors"),
+        zero("tokens"), zero("files"))
