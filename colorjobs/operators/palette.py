@@ -14,8 +14,8 @@ def kmeans_palette(colors: DataFrame, k: int, most_rounds: int = 50, still: floa
 
     Starts from the k colours with the smallest SHA-256 of their hex, so the result depends neither on order nor on
     partitions; k at least the number of colours gives singletons. Lloyd rounds end when no mean moves ``still`` or more
-    and no assignment changes. An empty cluster starts again from the next colour in hash order. Only k rows come to the
-    driver in a round."""
+    and no assignment changes. An empty cluster starts again from the next colour in hash order, however often. Only k rows
+    come to the driver in a round."""
     return _clusters(colors, k, most_rounds, still)[0]
 
 
@@ -27,32 +27,54 @@ def kmeans_members(colors: DataFrame, k: int, most_rounds: int = 50, still: floa
 def _clusters(colors: DataFrame, k: int, most_rounds: int, still: float) -> tuple[DataFrame, DataFrame]:
     if k < 1:
         raise ValueError("k must be at least 1")
-    points = cut(colors.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("p")).select("hex", "p.L", "p.a", "p.b", F.sha2("hex", 256).alias("h")), "points")
-    reserve = points.orderBy("h").limit(2 * k).select("L", "a", "b").collect()  # bounded by k
-    centres = [tuple(r) for r in reserve[:k]]
-    spare = [tuple(r) for r in reserve[k:]]
+    parts = int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points = colors.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("p")).where("p.L is not null")
+    points = cut(points.select("hex", "p.L", "p.a", "p.b", F.sha2("hex", 256).alias("h"), F.xxhash64("hex").alias("who")).repartition(parts), "points")
+
+    def from_hash(after: str, n: int) -> list:
+        """The next n points in hash order, from the beginning again after the last."""
+        rows = points.where(F.col("h") > after).orderBy("h").limit(n).collect()
+        return rows if len(rows) == n or not after else rows + points.orderBy("h").limit(n - len(rows)).collect()
+
+    first = from_hash("", k)
+    centres = [(r.L, r.a, r.b) for r in first]
+    last = first[-1].h if first else ""
     before = None
 
     def assigned() -> DataFrame:
-        near = [F.struct(((F.col("L") - F.lit(c[0])) * (F.col("L") - F.lit(c[0])) + (F.col("a") - F.lit(c[1])) * (F.col("a") - F.lit(c[1])) + (F.col("b") - F.lit(c[2])) * (F.col("b") - F.lit(c[2]))).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres)]
-        return points.withColumn("m", F.array_min(F.array(*near)))
+        # centres are array literals: a round has the same code as the one before, so nothing is compiled again
+        c = F.array(*(F.array(*map(F.lit, c)) for c in centres))
+        square = lambda x, i: (F.col(x) - i) * (F.col(x) - i)
+        away = F.transform(c, lambda m: square("L", m[0]) + square("a", m[1]) + square("b", m[2]))
+        near = points.withColumn("away", away).withColumn("d", F.array_min("away"))
+        return near.withColumn("i", (F.array_position(F.col("away"), F.col("d")) - 1).cast("int")).drop("away")
 
     for _ in range(most_rounds):
         if not centres:
             break
-        rows = assigned().groupBy("m.i").agg(F.avg("L").alias("L"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n"), F.sum(F.xxhash64("hex").cast("decimal(20,0)")).alias("who")).collect()
+        sums = F.avg("L").alias("L"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n"), F.bit_xor("who").alias("who")
+        rows = assigned().groupBy("i").agg(*sums).collect()  # k rows
         found = {r.i: r for r in rows}
-        after = [(found[i].L, found[i].a, found[i].b) if i in found else (spare.pop(0) if spare else c) for i, c in enumerate(centres)]
+        after = []
+        for i in range(len(centres)):
+            if i in found:
+                after.append((found[i].L, found[i].a, found[i].b))
+            else:
+                (seed,) = from_hash(last, 1)
+                last = seed.h
+                after.append((seed.L, seed.a, seed.b))
         drift = max(sum((x - y) ** 2 for x, y in zip(p, q, strict=True)) ** 0.5 for p, q in zip(centres, after, strict=True))
         now = sorted((r.i, r.n, r.who) for r in rows)
         centres, same, before = after, now == before, now
         if drift < still and same:
             break
     if not centres:
-        empty = points.select(F.lit("").alias("id"), F.col("hex").alias("source_hex"), F.lit("").alias("label"), F.lit(0).cast("long").alias("n_members"), "L", "a", "b")
+        empty = points.select(F.lit("").alias("id"), F.col("hex").alias("source_hex"), F.lit("").alias("label"),
+            F.lit(0).cast("long").alias("n_members"), "L", "a", "b")
         return empty, points.select("hex", F.lit("").alias("id"))
-    out = cut(assigned().select("hex", "L", "a", "b", F.col("m.i").alias("i"), F.col("m.d").alias("d")), "assigned")
-    stats = out.groupBy("i").agg(F.avg("L").alias("L"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n_members"), F.min_by("hex", F.struct("d", "hex")).alias("source_hex"))
+    out = cut(assigned().select("hex", "L", "a", "b", "i", "d"), "assigned")
+    stats = out.groupBy("i").agg(F.avg("L").alias("L"), F.avg("a").alias("a"), F.avg("b").alias("b"), F.count("*").alias("n_members"),
+        F.min_by("hex", F.struct("d", "hex")).alias("source_hex"))
     order = sorted(((r.L, r.a, r.b, r.source_hex), r.i) for r in stats.collect())  # k rows
     ids = F.create_map(*(F.lit(x) for n, (_, i) in enumerate(order) for x in (i, f"p_{n + 1:03d}")))
     swatches = stats.select(ids[F.col("i")].alias("id"), "source_hex", auto_label(F.col("source_hex")).alias("label"), "n_members", "L", "a", "b")
