@@ -6,7 +6,7 @@ import re
 import unicodedata
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colorjobs.functions.colors import delta_e76, parse_length_pt, user_units_per_pt, viewbox
 from colorjobs.functions.svg import STROKED
@@ -20,20 +20,27 @@ def force_k_hits(rows: DataFrame, trim_width: float, min_stroke: float = 0.5, mi
     units = rows.where("kind = 'fact'").select("file", user_units_per_pt(F.col("viewbox"), trim_width).alias("u"))
     e = rows.where("kind = 'element'").join(units, "file")
     black = lambda c: delta_e76(c, F.lit("#000000")) <= 15
-    size = lambda c, default: F.when(F.col(c).isNull(), F.lit(default) / F.col("u")).otherwise(F.coalesce(parse_length_pt(F.col(c), F.col("u")), F.lit(0.0)))
-    stroke = e.where(F.col("element").isin(*STROKED) & black(F.col("stroke"))).select("file", "ord", "element", F.lit("stroke").alias("kind"), F.col("stroke").alias("color_hex"), size("stroke_width", 1.0).alias("size_pt"), F.lit(min_stroke).alias("limit"), F.format_string("<%s stroke=%s stroke-width=%s>", "element", "stroke", F.coalesce("stroke_width", F.lit("(default)"))).alias("sample"))
+    size = lambda c, default: F.when(F.col(c).isNull(), F.lit(default) / F.col("u")).otherwise(F.coalesce(parse_length_pt(F.col(c), F.col("u")),
+        F.lit(0.0)))
+    stroke = e.where(F.col("element").isin(*STROKED) & black(F.col("stroke"))).select("file", "ord", "element", F.lit("stroke").alias("kind"),
+        F.col("stroke").alias("color_hex"), size("stroke_width", 1.0).alias("size_pt"), F.lit(min_stroke).alias("limit"),
+            F.format_string("%s, line %s, width %s", "element", "stroke", F.coalesce("stroke_width", F.lit("not given"))).alias("sample"))
     fill = F.coalesce("fill", F.lit("#000000"))
-    shown = F.when(F.length("text") > 30, F.concat(F.substring("text", 1, 27), F.lit("…"))).otherwise(F.col("text"))
-    text = e.where((F.col("element") == "text") & black(fill)).select("file", "ord", "element", F.lit("text").alias("kind"), fill.alias("color_hex"), size("font_size", 16.0).alias("size_pt"), F.lit(min_text).alias("limit"), F.format_string('<text fill=%s font-size=%s>"%s"</text>', fill, F.coalesce("font_size", F.lit("(default)")), shown).alias("sample"))
+    shown = F.coalesce(F.substring("text", 1, 24), F.lit(""))
+    text = e.where((F.col("element") == "text") & black(fill)).select("file", "ord", "element", F.lit("text").alias("kind"), fill.alias("color_hex"),
+        size("font_size", 16.0).alias("size_pt"), F.lit(min_text).alias("limit"),
+            F.format_string("text %s, size %s: %s", fill, F.coalesce("font_size", F.lit("not given")), shown).alias("sample"))
     return stroke.unionByName(text).where((F.col("size_pt") > 0) & (F.col("size_pt") <= F.col("limit"))).drop("limit")
 
 
 def force_k_report(files: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:
     """Counts and the first samples in document order of every file."""
     counts = hits.groupBy("file").agg(F.sum((F.col("kind") == "stroke").cast("int")).alias("s"), F.sum((F.col("kind") == "text").cast("int")).alias("t"))
-    first = hits.withColumn("k", F.row_number().over(W.partitionBy("file").orderBy("ord"))).where(F.col("k") <= limit).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sample"))), lambda x: x["sample"]).alias("samples"))
+    first = hits.withColumn("k",
+        F.row_number().over(W.partitionBy("file").orderBy("ord"))).where(F.col("k") <= limit).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sample"))), lambda x: x["sample"]).alias("samples"))
     zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n)
-    return files.select("file").join(counts, "file", "left").join(first, "file", "left").select("file", zero("s", "stroke_count"), zero("t", "text_count"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
+    return files.select("file").join(counts, "file", "left").join(first, "file", "left").select("file", zero("s", "stroke_count"),
+        zero("t", "text_count"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 # --- pixels ------------------------------------------------------------------------------------------------------------
@@ -44,7 +51,9 @@ def tac_report(pixels: DataFrame, threshold: float = 320.0) -> DataFrame:
     not grow with the pixels; the percentile on it is exact."""
     h = pixels.groupBy("page", (F.col("c") + F.col("m") + F.col("ye") + F.col("k")).cast("long").alias("s")).agg(F.count("*").alias("n"))
     ink = F.col("s") * 100.0 / 255.0
-    out = h.groupBy("page").agg(F.max(ink).alias("max_pct"), (F.sum(F.col("s") * F.col("n")) * 100.0 / 255.0 / F.sum("n")).alias("mean_pct"), (F.expr("percentile(s, 0.99, n)") * 100.0 / 255.0).alias("p99_pct"), (F.sum(F.when(ink >= threshold, F.col("n")).otherwise(0)) / F.sum("n")).alias("violation_fraction"))
+    out = h.groupBy("page").agg(F.max(ink).alias("max_pct"), (F.sum(F.col("s") * F.col("n")) * 100.0 / 255.0 / F.sum("n")).alias("mean_pct"),
+        (F.expr("percentile(s, 0.99, n)") * 100.0 / 255.0).alias("p99_pct"),
+            (F.sum(F.when(ink >= threshold, F.col("n")).otherwise(0)) / F.sum("n")).alias("violation_fraction"))
     return out.withColumn("status", F.when(F.col("violation_fraction") <= 0, "ok").when(F.col("violation_fraction") < 0.001, "warn").otherwise("fail"))
 
 
@@ -55,13 +64,16 @@ def trimmed(x: Column) -> Column:
 
 def content_bbox(pages: DataFrame, pixels: DataFrame, padding_pt: float = 0.0) -> DataFrame:
     """Pages (page, vx, vy, vw, vh, px_w, px_h), pixels (page, x, y, alpha): the box of what is visible, in user units."""
-    box = pixels.where("alpha > 0").groupBy("page").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"), (F.max("y") + 1).alias("y1"))
+    box = pixels.where("alpha > 0").groupBy("page").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), (F.max("x") + 1).alias("x1"),
+        (F.max("y") + 1).alias("y1"))
     pad = padding_pt * 96 / 72
     sx, sy = F.col("vw") / F.col("px_w"), F.col("vh") / F.col("px_h")
     x, y = F.col("vx") + F.col("x0") * sx - pad, F.col("vy") + F.col("y0") * sy - pad
     w, h = (F.col("x1") - F.col("x0")) * sx + 2 * pad, (F.col("y1") - F.col("y0")) * sy + 2 * pad
     had = F.col("x0").isNotNull()
-    return pages.join(box, "page", "left").select("page", had.alias("had_content"), F.when(had, F.concat_ws(" ", *map(trimmed, (x, y, w, h)))).alias("viewbox"), F.when(had, w / 96).alias("width_in"), F.when(had, h / 96).alias("height_in"))
+    return pages.join(box, "page", "left").select("page", had.alias("had_content"),
+        F.when(had, F.concat_ws(" ", *map(trimmed, (x, y, w, h)))).alias("viewbox"), F.when(had, w / 96).alias("width_in"),
+            F.when(had, h / 96).alias("height_in"))
 
 
 def diff_mask(left: DataFrame, right: DataFrame, over: int = 96) -> DataFrame:
@@ -77,7 +89,8 @@ def eroded(mask: DataFrame, pages: DataFrame) -> DataFrame:
 
     Each pixel votes for its neighbours; votes are counted, which needs no self-join."""
     steps = F.array(*(F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)))
-    votes = mask.withColumn("s", F.explode(steps)).groupBy("page", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y")).agg(F.count("*").alias("n"), F.max(((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).cast("int")).alias("own"))
+    votes = mask.withColumn("s", F.explode(steps)).groupBy("page", (F.col("x") + F.col("s.dx")).alias("x"),
+        (F.col("y") + F.col("s.dy")).alias("y")).agg(F.count("*").alias("n"), F.max(((F.col("s.dx") == 0) & (F.col("s.dy") == 0)).cast("int")).alias("own"))
     inside = lambda p, size: F.lit(3) - (p == 0).cast("int") - (p == F.col(size) - 1).cast("int")
     return votes.where("own = 1").join(pages, "page").where(F.col("n") == inside(F.col("x"), "px_w") * inside(F.col("y"), "px_h")).select("page", "x", "y")
 
@@ -85,7 +98,8 @@ def eroded(mask: DataFrame, pages: DataFrame) -> DataFrame:
 def blob_strips(mask: DataFrame) -> DataFrame:
     """Horizontal runs of a mask: (page, y, x0, x1), x1 excluded. Far fewer rows than pixels."""
     w = W.partitionBy("page", "y").orderBy("x")
-    return mask.withColumn("run", F.col("x") - F.row_number().over(w)).groupBy("page", "y", "run").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).drop("run")
+    return mask.withColumn("run", F.col("x") - F.row_number().over(w)).groupBy("page", "y", "run").agg(F.min("x").alias("x0"),
+        (F.max("x") + 1).alias("x1")).drop("run")
 
 
 REGION = "page string, x0 int, y0 int, x1 int, y1 int, area long"
@@ -122,9 +136,11 @@ def diff_regions(mask: DataFrame, least: int = 16, most: int | None = 6) -> Data
             boxes[k] = min(x0, r["x0"]), min(y0, r["y"]), max(x1, r["x1"]), max(y1, r["y"] + 1), area + r["x1"] - r["x0"]
         out = [(rows[0]["page"], *b) for b in boxes.values() if b[4] >= least]
         cols = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("page", "x0", "y0", "x1", "y1", "area"), cols, (pa.string(), *[pa.int32()] * 4, pa.int64()), strict=True)})
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("page", "x0", "y0", "x1", "y1", "area"), cols,
+            (pa.string(), *[pa.int32()] * 4, pa.int64()), strict=True)})
 
-    strips = blob_strips(mask).select(F.col("page").cast("string").alias("page"), F.col("y").cast("int").alias("y"), F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
+    strips = blob_strips(mask).select(F.col("page").cast("string").alias("page"), F.col("y").cast("int").alias("y"),
+        F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
     regions = strips.groupBy("page").applyInArrow(of, REGION)
     if most is None:
         return regions
@@ -135,7 +151,8 @@ def diff_regions(mask: DataFrame, least: int = 16, most: int | None = 6) -> Data
 def render_summary(regions: DataFrame, pages: DataFrame) -> DataFrame:
     """Centres in whole percent of the page, each once, and the number of regions."""
     centre = lambda lo, hi, size: F.rint((F.col(lo) + F.col(hi)) / 2 / F.col(size) * 100).cast("int")
-    j = regions.join(pages.withColumn("page", F.col("page").cast("string")), "page").select("page", F.struct(centre("x0", "x1", "px_w").alias("x"), centre("y0", "y1", "px_h").alias("y")).alias("at"))
+    j = regions.join(pages.withColumn("page", F.col("page").cast("string")), "page").select("page",
+        F.struct(centre("x0", "x1", "px_w").alias("x"), centre("y0", "y1", "px_h").alias("y")).alias("at"))
     return j.groupBy("page").agg(F.count("*").alias("regions"), F.array_sort(F.collect_set("at")).alias("spots"))
 
 
@@ -152,28 +169,35 @@ def page_geometry(facts: DataFrame, trim_w: float, trim_h: float, bleed: float,
     aspect = F.coalesce(F.trim("aspect"), F.lit(""))
     page_w, page_h = trim_w + 2 * bleed, trim_h + 2 * bleed
     px = lambda v: int(round(v * dpi))  # noqa: E731  half-even
-    rect = lambda m: F.struct(F.lit(px(m)).alias("x0"), F.lit(px(m)).alias("y0"), F.lit(px(page_w - m)).alias("x1"), F.lit(px(page_h - m)).alias("y1"))
+    rect = lambda m: F.struct(F.lit(px(m)).alias("x0"), F.lit(px(m)).alias("y0"), F.lit(px(page_w - m)).alias("x1"),
+        F.lit(px(page_h - m)).alias("y1"))
     kind = "struct<x0:int,y0:int,x1:int,y1:int>"
     inner = bleed + safety
     fits = 2 * inner < page_w and 2 * inner < page_h
     return facts.select(
-        "file", F.lit(f"{page_w}in").alias("width"), F.lit(f"{page_h}in").alias("height"), F.when(aspect.isin("") | (F.lower(aspect) == "none"), "xMidYMid meet").otherwise(F.col("aspect")).alias("aspect"),
-        full_w.alias("full_w_in"), full_h.alias("full_h_in"), rect(bleed).cast(kind).alias("trim_box"), (rect(0) if bleed > 0 else F.lit(None)).cast(kind).alias("bleed_box"), (rect(inner) if safety > 0 and fits else F.lit(None)).cast(kind).alias("safety_box"),
+        "file", F.lit(f"{page_w}in").alias("width"), F.lit(f"{page_h}in").alias("height"),
+            F.when(aspect.isin("") | (F.lower(aspect) == "none"), "xMidYMid meet").otherwise(F.col("aspect")).alias("aspect"),
+        full_w.alias("full_w_in"), full_h.alias("full_h_in"), rect(bleed).cast(kind).alias("trim_box"),
+            (rect(0) if bleed > 0 else F.lit(None)).cast(kind).alias("bleed_box"),
+                (rect(inner) if safety > 0 and fits else F.lit(None)).cast(kind).alias("safety_box"),
     )
 
 
-PREFIX = r"^(\d+)[.\-_](\d+)(?=\b|[\s\-_])"
+#: Chapter and figure at the start of a name: two numbers with one of . - _ between them, and no letter or digit after.
+PREFIX = r"^([0-9]+)[-._]([0-9]+)(?![\p{L}\p{N}])"
 TOKENS = ("stem", "chapter", "figure", "description", "slug")
 
 
 def slug_column(text: Column) -> Column:
-    """Lower-case ASCII words joined by single dashes, diacritics dropped."""
+    """Words of ASCII letters and digits in lower case, joined by single dashes; diacritics and all else are dropped."""
+
     @F.arrow_udf("string")
     def plain(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t.as_py() is None else "".join(c for c in unicodedata.normalize("NFKD", t.as_py()) if not unicodedata.combining(c)) for t in texts], pa.string())
+        return pa.array([None if t.as_py() is None else "".join(c for c in unicodedata.normalize("NFKD",
+            t.as_py()) if not unicodedata.combining(c)) for t in texts], pa.string())
 
-    low = F.regexp_replace(F.lower(plain(text)), r"[^a-z0-9\s\-_]", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"[\s_]+", "-"), "-+", "-"), "^-|-$", "")
+    words = F.transform(F.split(F.lower(plain(text)), r"[\s_-]+"), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))
+    return F.array_join(F.filter(words, lambda w: w != ""), "-")
 
 
 def output_name(stems: DataFrame, template: str) -> DataFrame:
@@ -208,15 +232,8 @@ def output_name(stems: DataFrame, template: str) -> DataFrame:
             else:
                 parts.append(value(name, spec))
     if unknown:
-        return stems.select("stem", fallback.alias("name"), F.lit(f"template references unknown placeholder {{{unknown}}}").alias("warning"))
+        return stems.select("stem", fallback.alias("name"), F.lit(f"the template has no value for {{{unknown}}}").alias("warning"))
     if used & {"chapter", "figure"}:
-        return stems.select("stem", F.when(has, F.concat(*parts)).otherwise(fallback).alias("name"), F.when(~has, F.concat(F.lit("no chapter.figure prefix in "), stem)).alias("warning"))
+        return stems.select("stem", F.when(has, F.concat(*parts)).otherwise(fallback).alias("name"),
+            F.when(~has, F.concat(F.lit("no chapter and figure in "), stem)).alias("warning"))
     return stems.select("stem", F.concat(*parts).alias("name"), none.alias("warning"))
-
-
-def name_collisions(names: DataFrame) -> DataFrame:
-    return names.groupBy("name").agg(F.count("*").alias("n")).where("n > 1")
-
-
-def pages_of(spark: SparkSession, rows: list[tuple[str, int, int]]) -> DataFrame:
-    return spark.createDataFrame(rows, "page string, px_w int, px_h int")
