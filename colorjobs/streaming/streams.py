@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colorjobs.functions.svg import extract
 from colorjobs.operators.usage import usage_counts
+from colorjobs.sources.shared import cut, drop
 from colorjobs.sources.tables import basename, status_of
 
 
@@ -15,32 +16,39 @@ def stream_svgs(spark: SparkSession, path: str) -> DataFrame:
     return files.select(basename(F.col("path")).alias("file"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"))
 
 
-def stream_usage(svgs: DataFrame, target: str, checkpoint: str):
-    """Usage rows of new or newer documents are appended under target with their mtime; current_usage() reads the
+def stream_usage(svgs: DataFrame, target: str, checkpoint: str, buckets: int = 64):
+    """Usage rows of new or newer documents are appended under target/rows with their mtime; current_usage() reads the
     newest state of each file, so an unchanged file costs nothing and a newer one replaces the old rows.
 
-    Returns the started query (all that is available, then it ends)."""
+    What was seen is a table of its own, one narrow row (file, mtime) for each version, in ``buckets`` folders by a hash of
+    the file: a micro-batch reads only the folders of its own files. Returns the started query (all that is available,
+    then it ends)."""
+    bucket = F.pmod(F.xxhash64("file"), F.lit(buckets)).cast("int").alias("bucket")
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy("file").agg(F.max_by("content", "mtime").alias("content"), F.max("mtime").alias("mtime"))
-        try:
-            seen = spark.read.parquet(target).groupBy("file").agg(F.max("mtime").alias("seen"))
+        versions = spark.read.schema("file string, mtime timestamp, batch long, bucket int").parquet(f"{target}/seen") if number else None
+        if versions is not None:
+            hit = [r.bucket for r in batch.select(bucket).distinct().collect()]  # at most ``buckets`` numbers
+            seen = versions.where(F.col("bucket").isin(hit) & (F.col("batch") < number)).groupBy("file").agg(F.max("mtime").alias("seen"))
             newest = newest.join(seen, "file", "left").where("seen is null or mtime > seen").drop("seen")
-        except Exception as e:  # the first batch: nothing is there yet
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
+        newest = cut(newest, "newest")
         rows = usage_counts(extract(newest).where("kind = 'token'"))
-        newest.select("file", "mtime").join(rows, "file", "left").write.mode("append").parquet(target)
+        # a batch that is tried again replaces what it wrote before
+        newest.select("file", "mtime").join(rows, "file", "left").write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
+        seen_now = newest.select("file", "mtime", F.lit(number).cast("long").alias("batch"), bucket)
+        seen_now.write.mode("append").partitionBy("bucket").parquet(f"{target}/seen")
+        drop(newest)
 
     return svgs.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current_usage(spark: SparkSession, target: str) -> DataFrame:
     """file, hex, n of the newest state of each file."""
-    rows = spark.read.parquet(target)
-    newest = rows.groupBy("file").agg(F.max("mtime").alias("mtime"))
-    return rows.join(newest, ["file", "mtime"], "left_semi").where("hex is not null").select("file", "hex", "n").distinct()
+    newest = spark.read.parquet(f"{target}/seen").groupBy("file").agg(F.max("mtime").alias("mtime"))
+    rows = spark.read.parquet(f"{target}/rows").join(newest, ["file", "mtime"], "left_semi")
+    return rows.where("hex is not null").select("file", "hex", "n").distinct()
 
 
 def latest_status(events: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -50,8 +58,3 @@ def latest_status(events: DataFrame, late: str = "1 hour") -> DataFrame:
     if events.isStreaming:
         rows = rows.withWatermark("ts", late)
     return rows.groupBy("file").agg(F.max(F.struct("ts", "status")).alias("m")).select("file", F.col("m.ts").alias("ts"), F.col("m.status").alias("status"))
-
-
-def stream_status(events: DataFrame, name: str, checkpoint: str, late: str = "1 hour"):
-    """T2 as a started query into a memory table called ``name``."""
-    return latest_status(events, late).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
