@@ -8,7 +8,8 @@ from colorjobs.operators import batch, mapping, usage
 
 
 def resolve(tokens: DataFrame, tables: dict[str, DataFrame], active: str, pipeline: str = "grayscale") -> DataFrame:
-    return mapping.merge_with_semantic(usage.usage_counts(tokens), tables["global_map"], tables["slots"], tables["themes"], active, tables["overrides"], pipeline)
+    return mapping.merge_with_semantic(usage.usage_counts(tokens), tables["global_map"], tables["slots"], tables["themes"], active,
+        tables["overrides"], pipeline)
 
 
 def convert(svgs: DataFrame, tokens: DataFrame, tables: dict[str, DataFrame], active: str, pipeline: str = "grayscale", **select) -> dict[str, DataFrame]:
@@ -19,4 +20,5 @@ def convert(svgs: DataFrame, tokens: DataFrame, tables: dict[str, DataFrame], ac
     chosen = batch.select_for_convert(files, mapping.unmapped_colors(resolved), own, **select)
     merged = resolved.where("layer != 'none'").select("file", resolved.hex.alias("source"), "target")
     go = chosen.where("convert").select("file")
-    return {"selection": chosen, "safety": mapping.print_safety(merged.join(go, "file", "left_semi")), "report": mapping.recolor_report(resolved), "documents": batch.recolor_svgs(svgs.join(go, "file", "left_semi"), merged)}
+    return {"selection": chosen, "safety": mapping.print_safety(merged.join(go, "file", "left_semi")), "report": mapping.recolor_report(resolved),
+        "documents": batch.recolor_svgs(svgs.join(go, "file", "left_semi"), merged)}

@@ -13,8 +13,10 @@ def spark():
     from pyspark.sql import SparkSession
 
     s = (
-        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-shared-")).config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
+        SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled",
+            "false").config("spark.sql.session.timeZone", "UTC")
+        .config("spark.driver.memory", "4g").config("spark.checkpoint.dir",
+            "file://" + tempfile.mkdtemp(prefix="spark-shared-")).config("spark.local.dir", tempfile.mkdtemp(prefix="spark-"))
         .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="spark-")).getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")

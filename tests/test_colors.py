@@ -6,8 +6,10 @@ from colorjobs.functions.css_names import NAMES
 from colorjobs.functions.svg import hex_of
 
 VALID = {
-    "#abc": "#AABBCC", "#abcd": "#AABBCC", "#E74C3C": "#E74C3C", "#e74c3cff": "#E74C3C", "  #333 ": "#333333", "rgb(46, 204, 113)": "#2ECC71", "rgb(0%, 50%, 100%)": "#0080FF",
-    "RGBA(1,2,3,0.5)": "#010203", "rgb(300, -5, 2.5)": "#FF0002", "CornflowerBlue": "#6495ED", "red": "#FF0000", "rgb(123)": "#010203", "rgb(0.5 1.5 2.5)": "#000202",
+    "#abc": "#AABBCC", "#abcd": "#AABBCC", "#E74C3C": "#E74C3C", "#e74c3cff": "#E74C3C", "  #333 ": "#333333", "rgb(46, 204, 113)": "#2ECC71",
+        "rgb(0%, 50%, 100%)": "#0080FF",
+    "RGBA(1,2,3,0.5)": "#010203", "rgb(300, -5, 2.5)": "#FF0002", "CornflowerBlue": "#6495ED", "red": "#FF0000", "rgb(123)": "#010203",
+        "rgb(0.5 1.5 2.5)": "#000202",
 }
 INVALID = ["", "  ", "none", "transparent", "currentColor", "inherit", "url(#g)", "#12345", "#1234567", "hsl(1,2%,3%)", "notacolor", "rgb(red)", None]
 
@@ -24,7 +26,8 @@ def test_names():
 
 
 def test_spaces(spark):
-    row = spark.createDataFrame([("#000000", "#FFFFFF")], "k string, w string").select(C.hex_to_lab(F.col("k")).alias("k"), C.hex_to_lab(F.col("w")).alias("w"), C.delta_e76(F.col("k"), F.col("w")).alias("d"), C.gray_value(F.col("w")).alias("g")).first()
+    row = spark.createDataFrame([("#000000", "#FFFFFF")], "k string, w string").select(C.hex_to_lab(F.col("k")).alias("k"),
+        C.hex_to_lab(F.col("w")).alias("w"), C.delta_e76(F.col("k"), F.col("w")).alias("d"), C.gray_value(F.col("w")).alias("g")).first()
     assert abs(row.k.L) < 1e-6 and abs(row.w.L - 100) < 0.01 and abs(row.d - 100) < 0.05 and row.g == 255
     with pytest.raises(ValueError):
         C.color_distance(F.col("k"), F.col("w"), "xyz")
@@ -46,7 +49,8 @@ def test_sql_functions(spark):
     df = spark.createDataFrame([("#E74C3C",), ("#46AA3A",), ("#808080",)], "h string")
     a = df.selectExpr("cj_gray(h)", "cj_lab(h).L", "cj_family(h)", "cj_deutan(h)", "cj_achromat(h)", "cj_delta_e(h, '#000000')").collect()
     h = F.col("h")
-    b = df.select(C.gray_value(h), C.lab_columns(h)[0], C.hue_family(h), C.simulate_cb(h, "deutan"), C.simulate_cb(h, "achromat"), C.delta_e76(h, F.lit("#000000"))).collect()
+    b = df.select(C.gray_value(h), C.lab_columns(h)[0], C.hue_family(h), C.simulate_cb(h, "deutan"), C.simulate_cb(h, "achromat"),
+        C.delta_e76(h, F.lit("#000000"))).collect()
     for x, y in zip(a, b, strict=True):
         assert all(abs(p - q) < 1e-9 if isinstance(p, float) else p == q for p, q in zip(x, y, strict=True))
 

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from colorjobs.functions.svg import extract, recolored, rows_of
 from colorjobs.operators import accessibility, mapping, palette, preflight, usage
+from colorjobs.operators import batch
 from colorjobs.plans import queries
-from colorjobs.sources import tables
+from colorjobs.sources import shared, tables
 from colorjobs.streaming import streams
 
 NS = 'xmlns="http://www.w3.org/2000/svg"'
@@ -45,7 +46,9 @@ def test_recolor_is_simultaneous(spark):
 
 def test_fine_lines(spark):
     doc = f'<svg {NS} viewBox="0 0 100 100">{{}}</svg>'
-    cases = {"thin": '<line stroke="#000" stroke-width="0.5"/>', "thick": '<line stroke="#000" stroke-width="2"/>', "red": '<line stroke="#F00" stroke-width="0.5"/>', "soft": '<line stroke="#1A1A1A" stroke-width="0.5"/>', "text": '<text font-size="10">t</text>', "bad": '<line stroke="#000" stroke-width="x"/>'}
+    cases = {"thin": '<line stroke="#000" stroke-width="0.5"/>', "thick": '<line stroke="#000" stroke-width="2"/>',
+        "red": '<line stroke="#F00" stroke-width="0.5"/>', "soft": '<line stroke="#1A1A1A" stroke-width="0.5"/>',
+            "text": '<text font-size="10">t</text>', "bad": '<line stroke="#000" stroke-width="x"/>'}
     df = spark.createDataFrame([(k, doc.format(v)) for k, v in cases.items()], "file string, content string")
     hits = {r.file: round(r.size_pt, 2) for r in preflight.force_k_hits(extract(df), 1.0).collect()}
     assert hits == {"thin": 0.36, "soft": 0.36, "text": 7.2}
@@ -61,7 +64,8 @@ def test_names(spark):
 
 def test_regions(spark):
     pages = spark.createDataFrame([("p", 120, 120)], "page string, px_w int, px_h int")
-    white = spark.range(120 * 120).select(F.lit("p").alias("page"), (F.col("id") % 120).cast("int").alias("x"), (F.col("id") / 120).cast("int").alias("y"), *(F.lit(255).alias(c) for c in "rgb"))
+    white = spark.range(120 * 120).select(F.lit("p").alias("page"), (F.col("id") % 120).cast("int").alias("x"),
+        (F.col("id") / 120).cast("int").alias("y"), *(F.lit(255).alias(c) for c in "rgb"))
     block = (F.col("x").between(10, 29)) & (F.col("y").between(40, 59))
     line = F.col("y") == 100
     ink = white.select("page", "x", "y", *(F.when(block | line, 0).otherwise(255).alias(c) for c in "rgb"))
@@ -81,15 +85,17 @@ def test_kmeans_splits_two_clusters(spark):
 
 
 def test_colour_blind_pairs(spark):
-    df = spark.createDataFrame([("a", "#E74C3C"), ("a", "#46AA3A"), ("b", "#0066CC"), ("b", "#FFCC00"), ("c", "#000000")], "file string, hex string").withColumn("n", F.lit(1))
+    df = spark.createDataFrame([("a", "#E74C3C"), ("a", "#46AA3A"), ("b", "#0066CC"), ("b", "#FFCC00"), ("c", "#000000")],
+        "file string, hex string").withColumn("n", F.lit(1))
     risk = {r.file: r for r in accessibility.cb_risk(df, accessibility.cb_collapsed_pairs(df)).collect()}
     assert (risk["a"].deutan or risk["a"].protan) and not (risk["b"].deutan or risk["b"].protan) and not risk["c"].tritan
 
 
 def test_print_safety(spark):
-    df = spark.createDataFrame([("f", "#FF0000", "#FAFAFA"), ("f", "#00FF00", "#FAFAFA"), ("f", "#0000FF", "#222222")], "file string, source string, target string")
+    df = spark.createDataFrame([("f", "#FF0000", "#FAFAFA"), ("f", "#00FF00", "#FAFAFA"), ("f", "#0000FF", "#222222")],
+        "file string, source string, target string")
     (w,) = mapping.print_safety(df).collect()
-    assert w.sources == ["#00FF00", "#FF0000"] and "lighter" in w.reason
+    assert w.sources == ["#00FF00", "#FF0000"] and "too light" in w.reason
 
 
 def test_color_files_has_every_file(spark, tmp_path):
@@ -115,7 +121,8 @@ def test_files(spark, tmp_path):
     svgs = tables.read_svgs(spark, str(tmp_path))
     assert [r.file for r in svgs.select("file").collect()] == ["a.svg", "B.SVG"]
     ill, own = tables.read_mappings(spark, str(tmp_path))
-    assert [(r.file, r.status) for r in ill.collect()] == [("a.svg", "pending")] and [tuple(r) for r in own.collect()] == [("a.svg", "grayscale", "#FF0000", "#111111")]
+    assert [(r.file, r.status) for r in ill.collect()] == [("a.svg", "pending")] and [tuple(r) for r in own.collect()] == [("a.svg", "grayscale",
+        "#FF0000", "#111111")]
     tables.write_svgs(svgs, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     (tmp_path / "config.json").write_text('{"global_color_map": {"#e74c3c": {"target": "#333333", "label": "bad"}, "#1": "no"}, "cmyk_device_overrides": {"#E74C3C": "0/85/85/0"}, "semantic_palette": {"slots": {"status.bad": {"authored": "#e74c3c"}}, "themes": {"print": {"cmyk": {"status.bad": "#d14b3c"}}}}}')
@@ -136,3 +143,62 @@ def test_stream_keeps_the_newest(spark, tmp_path):
     os.utime(folder / "b.svg", (2e9, 2e9))
     streams.stream_usage(streams.stream_svgs(spark, str(folder)), out, check).awaitTermination()
     assert streams.current_usage(spark, out).count() == 8
+
+
+def test_repeated_sources_count_once(spark):
+    """A source that occurs twice in a map, or in a file's overrides, neither doubles rows nor fails a rewrite."""
+    u = spark.createDataFrame([("a", "#E74C3C", 3)], "file string, hex string, n long")
+    rows = [("grayscale", "#E74C3C", t, "", "", n) for t, n in (("#111111", 1), ("#222222", 2))]
+    g = spark.createDataFrame(rows, "pipeline string, source string, target string, label string, notes string, ord long")
+    none = spark.createDataFrame([], "file string, pipeline string, source string, target string")
+    twice = spark.createDataFrame([("a", "grayscale", "#E74C3C", t) for t in ("#333333", "#444444")], none.schema)
+    assert [r.target for r in mapping.suggest(u, g, none).collect()] == ["#222222"]
+    assert [r.target for r in mapping.suggest(u, g, twice).collect()] == ["#444444"]
+    assert [r.target for r in mapping.merge_mappings(u, g, twice).collect()] == ["#444444"]
+    assert [r.target for r in usage.palette_report(usage.batch_palette(u), g).collect()] == ["#222222"]
+    svg = spark.createDataFrame([("a", INLINE)], "file string, content string")
+    assert 'fill="#444444"' in batch.recolor_svgs(svg, twice.select("file", "source", "target")).first().content
+
+
+def test_nearest_ties_and_blocks(spark):
+    colors = spark.createDataFrame([("#808080",), ("#FF0000",), ("bad",), (None,)], "hex string")
+    keys = spark.createDataFrame([("#828282", 2), ("#7E7E7E", 3), ("#FE0000", 1), ("#FF0001", 9), ("#828282", 5)], "source string, ord long")
+    for block in (50_000, 1):
+        out = {r.hex: (r.via, round(r.distance, 6)) for r in mapping.nearest_color(colors, keys, "rgb", block).collect()}
+        assert out == {"#808080": ("#828282", 3.464102), "#FF0000": ("#FE0000", 1.0)}, block
+    with pytest.raises(ValueError):
+        mapping.nearest_color(colors, keys, "xyz")
+
+
+def test_kmeans_seeds_empty_clusters(spark):
+    """More clusters than there are distinct places: seeds go on in hash order until every cluster that can live does."""
+    near = [f"#0000{i:02X}" for i in range(200, 206)]
+    df = spark.createDataFrame([(h,) for h in ["#FFFFFF", *near]], "hex string")
+    out = palette.kmeans_palette(df, 5).collect()
+    assert sum(r.n_members for r in out) == 7 and len(out) <= 5 and {r.id for r in out} == {f"p_{i + 1:03d}" for i in range(len(out))}
+    members = {r.hex: r.id for r in palette.kmeans_members(df.repartition(5), 5).collect()}
+    assert members == {r.hex: r.id for r in palette.kmeans_members(df.coalesce(1), 5).collect()}
+
+
+def test_device_overrides_both_ways(spark, tmp_path):
+    text = '{"filename": "a.svg", "status": "reviewed", "cmyk_device_overrides": {"#e74c3c": "0/85/85/0", "red": [1, 2, 3, 4], "#00F": {"c": 9, "K": 1.5}, "none": "0/0/0/0", "#111111": "0/0/0/101"}}'
+    (tmp_path / "a.mapping.json").write_text(text)
+    found = tables.read_device_overrides(spark, str(tmp_path))
+    got = {r.source: tuple(r.cmyk) for r in found.collect()}
+    assert got == {"#E74C3C": (0, 85, 85, 0), "#FF0000": (1, 2, 3, 4), "#0000FF": (9, 0, 0, 1.5)}
+    ill, own = tables.read_mappings(spark, str(tmp_path))
+    again = tables.mapping_documents(ill, own, "t", found).select(F.col("document").alias("value"))
+    assert {r.source: tuple(r.cmyk) for r in tables.parse_device_overrides(again).collect()} == got
+
+
+def test_scratch_tables_go(spark):
+    import os
+    from urllib.parse import urlparse
+
+    at = lambda t: urlparse(t._cut_at).path
+    with shared.scratch(spark):
+        a, b = shared.cut(spark.range(3)), shared.keep(shared.cut(spark.range(4)))
+        assert os.path.exists(at(a)) and b.count() == 4
+    assert not os.path.exists(at(a)) and b.count() == 4
+    shared.drop(b, spark.range(1))
+    assert not os.path.exists(at(b))

@@ -5,7 +5,7 @@ import os
 import compare
 import pytest
 
-from colorjobs.plans import queries
+from colorjobs.plans import case_queries as queries
 
 SF = "/root/testdata/sf0.001"
 
