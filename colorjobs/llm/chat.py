@@ -53,8 +53,10 @@ def symbol(line: Column) -> Column:
         size = F.when(F.length(said) < limit, F.lit(k)).otherwise(size)
     last = F.right(said, F.lit(1))
     end = F.when(last == "?", "ask").when(last.isin(".", "!"), "stop").when(last.isin(":", ";", ",", "{"), "open").otherwise("other")
-    begin = F.when(said.rlike(r"^(?:[-*+•]|\d+[.)])\s"), "list").when(said.rlike(r"^(?:```|    |[{}<$#/])|[;{}]$"), "code").when(said.rlike(r"^\p{Lu}"), "upper").otherwise("other")
-    words = F.when(said.rlike(rf"(?i)\b(?:{'|'.join(ASKING)})\b"), "asking").when(said.rlike(rf"(?i)\b(?:{'|'.join(ANSWERING)})\b"), "answering").otherwise("other")
+    begin = F.when(said.rlike(r"^(?:[-*+•]|\d+[.)])\s"), "list").when(said.rlike(r"^(?:```|    |[{}<$#/])|[;{}]$"),
+        "code").when(said.rlike(r"^\p{Lu}"), "upper").otherwise("other")
+    words = F.when(said.rlike(rf"(?i)\b(?:{'|'.join(ASKING)})\b"), "asking").when(said.rlike(rf"(?i)\b(?:{'|'.join(ANSWERING)})\b"),
+        "answering").otherwise("other")
     return F.concat_ws("/", mark, size.cast("string"), end, begin, words)
 
 
@@ -158,7 +160,8 @@ def _sums(model: Model):
     def of(group: pa.Table) -> pa.Table:
         rows = _in_order(group)
         total = _product(_line_matrices(model, [r["symbol"] for r in rows], rows[0]["opens"]))
-        return pa.table({"conv": pa.array([rows[0]["conv"]], pa.int64()), "part": pa.array([rows[0]["part"]], pa.int64()), "m": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+        return pa.table({"conv": pa.array([rows[0]["conv"]], pa.int64()), "part": pa.array([rows[0]["part"]], pa.int64()),
+            "m": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
 
     return of
 
@@ -167,7 +170,8 @@ def _combined(size: int):
     def of(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["part"])
         total = _product([np.array(r["m"]).reshape(size, size) for r in rows])
-        return pa.table({"conv": pa.array([rows[0]["conv"]], pa.int64()), "part": pa.array([rows[0]["up"]], pa.int64()), "m": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
+        return pa.table({"conv": pa.array([rows[0]["conv"]], pa.int64()), "part": pa.array([rows[0]["up"]], pa.int64()),
+            "m": pa.array([total.ravel().tolist()], pa.list_(pa.float64()))})
 
     return of
 
@@ -176,7 +180,8 @@ def _handed_down(size: int):
     def of(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["part"])
         ends = _through([np.array(r["m"]).reshape(size, size) for r in rows], rows[0]["entry"], rows[0]["leave"])
-        return pa.table({"conv": pa.array([r["conv"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()), "entry": pa.array([rows[0]["entry"], *ends[:-1]], pa.int32()), "leave": pa.array(ends, pa.int32())})
+        return pa.table({"conv": pa.array([r["conv"] for r in rows], pa.int64()), "part": pa.array([r["part"] for r in rows], pa.int64()),
+            "entry": pa.array([rows[0]["entry"], *ends[:-1]], pa.int32()), "leave": pa.array(ends, pa.int32())})
 
     return of
 
@@ -201,7 +206,8 @@ def _turns(model: Model):
         for t in out:
             lines = t.pop("lines")
             t |= {"n_lines": len(lines), "rendered": f"<|{t['role']}|>\n" + "\n".join(lines).strip() + "\n<|end|>\n"}
-        return pa.Table.from_pylist(out, pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("line", pa.int32()), ("role", pa.string()), ("continued", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string())]))
+        return pa.Table.from_pylist(out, pa.schema([("conv_id", pa.int64()), ("piece", pa.int64()), ("line", pa.int32()), ("role", pa.string()),
+            ("continued", pa.bool_()), ("n_lines", pa.int32()), ("rendered", pa.string())]))
 
     return of
 
@@ -210,7 +216,8 @@ def parse(transcripts: DataFrame, model: Model, block: int = 64) -> DataFrame:
     """transcripts (conv_id, piece, text): raw text in pieces. Returns one row for each recovered turn."""
     small_batches(transcripts.sparkSession)
     size, matrix, ends = len(model.states), "conv long, part long, m array<double>", "conv long, part long, entry int, leave int"
-    pieces = transcripts.where("text != ''").select(F.col("conv_id").cast("long").alias("conv"), F.col("piece").cast("long").alias("piece"), F.xxhash64("text").alias("h"), "text")
+    pieces = transcripts.where("text != ''").select(F.col("conv_id").cast("long").alias("conv"), F.col("piece").cast("long").alias("piece"),
+        F.xxhash64("text").alias("h"), "text")
     placed = numbered(lines_of(pieces, "conv", "piece", "h"), "conv", F.col("piece").asc_nulls_first(), F.col("h"), F.col("line"))
     part = F.floor(F.col("nth") / block).cast("long")
     lines = cut(placed.select("conv", "piece", "nth", "line", "text", "symbol", part.alias("part"), (part == 0).alias("opens")), "lines")

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from colorjobs.session import ship
 from colorjobs.sources.shared import cut, drop, fresh_path
 
-__all__ = ["WORD", "WordHashes", "crc_mod", "cut", "drop", "fresh_path", "join_nulls", "lower_ascii", "numbered", "row_text", "small_batches", "table", "unused"]
+__all__ = ["WORD", "WordHashes", "crc_mod", "cut", "drop", "fresh_path", "join_nulls", "lower_ascii", "numbered", "row_text", "small_batches",
+    "table", "unused"]
 
 #: A word: a run of anything but space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -64,7 +65,8 @@ def unused(columns: Iterable[str], name: str) -> str:
 
 def row_text(df: DataFrame, leave_out: Iterable[str] = ()) -> Column:
     """Columns of a row as one text, in order of their names; equal where all of them are equal. Nulls differ from texts."""
-    parts = [F.coalesce(F.concat(F.length(t), F.lit(":"), t), F.lit("-")) for t in (F.col(f"`{c}`").cast("string") for c in sorted(df.columns) if c not in set(leave_out))]
+    parts = [F.coalesce(F.concat(F.length(t), F.lit(":"), t),
+        F.lit("-")) for t in (F.col(f"`{c}`").cast("string") for c in sorted(df.columns) if c not in set(leave_out))]
     return F.concat_ws("|", *parts) if parts else F.lit("")
 
 

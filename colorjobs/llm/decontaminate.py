@@ -125,7 +125,8 @@ class PrefixIndex:
         self.tables = {}
         for size, found in entries.items():
             found.sort(key=lambda e: e[:4])
-            self.tables[size] = (np.array([e[0] for e in found], np.uint64), *(np.array([e[i] for e in found], np.int64) for i in (1, 2, 3)), [tuple(sorted(holders[e[4]])) for e in found])
+            self.tables[size] = (np.array([e[0] for e in found], np.uint64), *(np.array([e[i] for e in found], np.int64) for i in (1, 2, 3)),
+                [tuple(sorted(holders[e[4]])) for e in found])
 
     def scan(self, words: list[str], hashes: np.ndarray) -> tuple[list[int], set[str]]:
         """Flat list of [start, end) spans of occurring windows, merged, and the ids of their items."""
@@ -169,7 +170,8 @@ def hits_column(held, text: Column) -> Column:
             n.append(len(words))
             spans.append(s)
             found.append(sorted(i))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(spans, pa.list_(pa.int32())), pa.array(found, pa.list_(pa.string()))],
+            ["n_words", "spans", "items"])
 
     return hits(text)
 
@@ -190,7 +192,8 @@ def hit_columns(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: i
 
 def verdict(blocks: list[Column], share: int) -> Column:
     """struct(n_words, n_hit, n_items, items_sha256, spans, contaminated) of all blocks' findings."""
-    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("spans", pa.list_(pa.int32())), ("contaminated", pa.bool_())])
+    kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()),
+        ("spans", pa.list_(pa.int32())), ("contaminated", pa.bool_())])
 
     @F.arrow_udf("struct<n_words: long, n_hit: long, n_items: long, items_sha256: string, spans: array<int>, contaminated: boolean>")
     def of(*parts: pa.Array) -> pa.Array:
@@ -200,13 +203,15 @@ def verdict(blocks: list[Column], share: int) -> Column:
             items = sorted({i for f in found for i in f["items"]})
             n, hit = found[0]["n_words"], sum(spans[1::2]) - sum(spans[::2])
             digest = hashlib.sha256(",".join(items).encode()).hexdigest()
-            rows.append({"n_words": n, "n_hit": hit, "n_items": len(items), "items_sha256": digest, "spans": spans, "contaminated": hit > 0 and share * hit >= n})
+            rows.append({"n_words": n, "n_hit": hit, "n_items": len(items), "items_sha256": digest, "spans": spans,
+                "contaminated": hit > 0 and share * hit >= n})
         return pa.array(rows, kind)
 
     return of(*blocks)
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, gram: int = 3, block_chars: int = 2_000_000, name: str = "verdict") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, gram: int = 3, block_chars: int = 2_000_000,
+    name: str = "verdict") -> DataFrame:
     """``docs`` with struct ``name``(n_words, n_hit, n_items, items_sha256, spans, contaminated); contaminated: any word is
     hit and at least one in ``share`` words is. ``name`` must not be a column of ``docs``."""
     return docs.withColumn(name, verdict(hit_columns(docs, benchmark, window, gram, block_chars), share))

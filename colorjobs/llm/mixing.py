@@ -39,7 +39,8 @@ def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most
     """totals: one row a source (source, source_size). Adds target."""
     by_name = W.orderBy(F.col("source").asc_nulls_last())
     nth = F.row_number().over(by_name)
-    w = totals.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(nth - 1, F.lit(len(weights))).cast("int") + 1)).withColumn("cap", F.col("source_size") * most)
+    w = totals.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(nth - 1, F.lit(len(weights))).cast("int") + 1)).withColumn("cap",
+        F.col("source_size") * most)
     # along rising cap / weight: what is left and whose weight is left if all before are held at their caps
     w = w.withColumn("level", F.col("cap") / F.col("w"))
     upto, whole = W.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
@@ -66,21 +67,25 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int
         free = F.exp(F.least(F.col("l") * x, F.lit(700.0)))
         rate = F.least(F.lit(most), free)
         g = join_nulls(groups.where("size > 0"), duals.select("source", "source_size", "docs", "l"), "source").groupBy("source").agg(
-            F.sum(F.col("n") * F.col("size") * rate).alias("got"), F.sum(F.when(free < most, F.col("n") * F.col("size") * x * free).otherwise(0.0)).alias("slope"), F.min(x).alias("least_x"),
+            F.sum(F.col("n") * F.col("size") * rate).alias("got"),
+                F.sum(F.when(free < most, F.col("n") * F.col("size") * x * free).otherwise(0.0)).alias("slope"), F.min(x).alias("least_x"),
         )
         gap = F.col("target") - F.col("got")
         met = F.col("got").isNull() | (F.abs(gap) <= near * F.greatest(F.col("target"), F.lit(1.0)))
         done = met | ((gap > 0) & (F.col("l") >= top))
         lo, hi = F.when(gap > 0, F.col("l")).otherwise(F.col("lo")), F.when(gap < 0, F.col("l")).otherwise(F.col("hi"))
         # a bracket that has come down to neighbouring doubles cannot be halved
-        d = join_nulls(duals, g, "source", how="left").select("source", "source_size", "docs", "target", "l", lo.alias("lo"), hi.alias("hi"), "slope", "least_x", gap.alias("gap"), done.alias("done"))
+        d = join_nulls(duals, g, "source", how="left").select("source", "source_size", "docs", "target", "l", lo.alias("lo"), hi.alias("hi"),
+            "slope", "least_x", gap.alias("gap"), done.alias("done"))
         done = F.col("done") | F.coalesce(F.col("hi") - F.col("lo") <= 1e-15 * F.abs("hi"), F.lit(False))
         step = F.col("l") + F.try_divide(F.col("gap"), F.col("slope"))
         # without a bracket the step is kept short, with one it stays inside
         inside = F.when((F.col("slope") > 0) & (step >= F.coalesce("lo", step)) & (step <= F.coalesce("hi", step)), step)
         far = F.abs("l") * 2 + 1
-        half = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).when(F.col("gap") > 0, F.least(top, far)).otherwise(-far)
-        now = d.select("source", "source_size", "docs", "target", F.when(done, F.col("l")).otherwise(F.least(top, F.coalesce(inside, half))).alias("l"), "lo", "hi", done.alias("done"))
+        half = F.when(F.col("lo").isNotNull() & F.col("hi").isNotNull(), (F.col("lo") + F.col("hi")) / 2).when(F.col("gap") > 0,
+            F.least(top, far)).otherwise(-far)
+        now = d.select("source", "source_size", "docs", "target",
+            F.when(done, F.col("l")).otherwise(F.least(top, F.coalesce(inside, half))).alias("l"), "lo", "hi", done.alias("done"))
         now = cut(now.coalesce(1), "duals")  # one row a source
         drop(duals)
         duals = now
@@ -94,10 +99,12 @@ def rounded(groups: DataFrame, duals: DataFrame, most: float = 3.0) -> DataFrame
     g = join_nulls(groups, duals, "source")
     x = F.try_divide(F.col("size") * F.col("docs"), F.col("source_size"))
     rate = F.when(F.col("size") == 0, F.lit(1.0)).otherwise(F.least(F.lit(most), F.exp(F.least(F.col("l") * x, F.lit(700.0)))))
-    g = g.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("long")).withColumn("part", F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
+    g = g.withColumn("rate", rate).withColumn("base", F.floor(F.col("rate") + 1e-9).cast("long")).withColumn("part",
+        F.greatest(F.lit(0.0), F.col("rate") - F.col("base")))
     falling = W.partitionBy("source").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, W.currentRow)
     g = g.withColumn("sum", F.sum(F.col("part") * F.col("n")).over(falling))
-    g = g.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.col("sum") + 0.5) - F.floor(F.col("sum") - F.col("part") * F.col("n") + 0.5))).cast("long"))
+    g = g.withColumn("extra",
+        F.greatest(F.lit(0), F.least(F.col("n"), F.floor(F.col("sum") + 0.5) - F.floor(F.col("sum") - F.col("part") * F.col("n") + 0.5))).cast("long"))
     g = cut(g.select("source", "size", "n", "target", "base", "extra"), "copies")
     while True:  # every round brings the gap of some source nearer to zero, and sizes are whole numbers
         gap = g.groupBy("source").agg((F.max("target") - F.sum((F.col("base") * F.col("n") + F.col("extra")) * F.col("size"))).alias("gap"))
@@ -114,7 +121,8 @@ def rounded(groups: DataFrame, duals: DataFrame, most: float = 3.0) -> DataFrame
             drop(best)
             return g
         fixed = join_nulls(g, best, "source", "size", how="left")
-        fixed = cut(fixed.select("source", "size", "n", "target", "base", (F.col("extra") + F.coalesce("more", F.lit(0).cast("long"))).alias("extra")), "copies")
+        fixed = cut(fixed.select("source", "size", "n", "target", "base",
+            (F.col("extra") + F.coalesce("more", F.lit(0).cast("long"))).alias("extra")), "copies")
         drop(g, best)
         g = fixed
 
@@ -131,7 +139,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     named = source_targets(totals.select("source", "source_size"), weights, most)
     # the dual if all documents had the mean x of a word
     ratio = F.least(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.99 * most))
-    start = F.coalesce(F.when(ratio > 0, F.try_divide(F.log(F.nullif(ratio, F.lit(0.0))), F.col("squares") * F.col("docs") / F.pow(F.nullif("source_size", F.lit(0)), F.lit(2)))), F.lit(0.0))
+    start = F.coalesce(F.when(ratio > 0,
+        F.try_divide(F.log(F.nullif(ratio, F.lit(0.0))), F.col("squares") * F.col("docs") / F.pow(F.nullif("source_size", F.lit(0)), F.lit(2)))), F.lit(0.0))
     targets = join_nulls(totals.select("source", "docs", "squares"), named, "source").select("source", "source_size", "docs", "target", start.alias("start"))
     targets = cut(targets.coalesce(1), "targets")  # one row a source
     plan = rounded(groups, tilts(groups, targets, most), most)
@@ -149,7 +158,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     copies = F.col("base") + F.when(F.col("nth") <= F.col("more"), 1).otherwise(0)
     dealt = dealt.select("doc_id", "source", "size", F.col("h").alias("key"), copies.cast("long").alias("copies"))
     named = targets.select("source", "source_size", "target")
-    return join_nulls(dealt, named, "source").select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "key")
+    return join_nulls(dealt, named, "source").select("doc_id", "source", "size", "source_size", "target", "copies",
+        (F.col("copies") * F.col("size")).alias("taken"), "key")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

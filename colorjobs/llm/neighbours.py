@@ -190,7 +190,8 @@ FOUND = "n long, vec_id long, score double"
 
 def search_block(rows: DataFrame, codes: Codes, block: list, sub_bits: int, row_block: int, whole: bool) -> DataFrame:
     """block: (n, id, v) of some queries. Rows stream past them; a task yields its best of each query."""
-    held = rows.sparkSession.sparkContext.broadcast((codes, np.array([r.n for r in block], np.int64), np.array([NO_ID if r.id is None else r.id for r in block], np.int64), np.array([r.v for r in block], np.float64)))
+    held = rows.sparkSession.sparkContext.broadcast((codes, np.array([r.n for r in block], np.int64),
+        np.array([NO_ID if r.id is None else r.id for r in block], np.int64), np.array([r.v for r in block], np.float64)))
 
     def of(batches):
         model, n, ids, queries = held.value
@@ -217,7 +218,8 @@ def search_block(rows: DataFrame, codes: Codes, block: list, sub_bits: int, row_
     return rows.select("id", "v").mapInArrow(of, FOUND)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 64, sub_bits: int = 16, sample: int = 4000, recall: float = 0.985, row_block: int = 16_384, query_block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 64, sub_bits: int = 16, sample: int = 4000, recall: float = 0.985,
+    row_block: int = 16_384, query_block: int = 8192) -> DataFrame:
     """vectors and queries: (id, v). Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     small_batches(spark)
@@ -237,7 +239,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 64, s
         for b in range(blocks):
             block = some.where(F.pmod(F.xxhash64("n"), F.lit(blocks)) == b).collect()  # about query_block rows
             if block:
-                best = cut(search_block(rows, codes, block, sub_bits, row_block, whole).withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), "found")
+                best = cut(search_block(rows, codes, block, sub_bits, row_block, whole).withColumn("rank",
+                    F.row_number().over(nearest)).where(F.col("rank") <= k), "found")
                 found = best if found is None else found.unionByName(best)
         return found
 

@@ -65,7 +65,8 @@ def terms(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     slots = np.bincount(np.fromiter(map(slot_of, words), np.int64, n), minlength=WORDS) if n else np.zeros(WORDS, np.int64)
     code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
     shape = CLASS[np.where(code < 256, code, 97)]
-    trigrams = np.bincount((shape[:-2] * CLASSES * CLASSES + shape[1:-1] * CLASSES + shape[2:]) % SHAPES, minlength=SHAPES) if len(code) > 2 else np.zeros(SHAPES, np.int64)
+    trigrams = np.bincount((shape[:-2] * CLASSES * CLASSES + shape[1:-1] * CLASSES + shape[2:]) % SHAPES,
+        minlength=SHAPES) if len(code) > 2 else np.zeros(SHAPES, np.int64)
     kinds = np.bincount(shape, minlength=CLASSES)
     top = Counter(words).most_common(1)[0][1] / n if n else 0.0
     values = (

@@ -42,7 +42,8 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
     starts = np.concatenate([[0], ends[:-1] + 1])
     k = min(shingle, len(raw))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: len(raw) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)), np.uint64, len(raw) - k + 1)
+    hashes = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[: len(raw) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)),
+        np.uint64, len(raw) - k + 1)
     counts = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 4096):
         bits = np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -132,7 +133,8 @@ def ball_links(fps: DataFrame, radius: int = 4, cap: int = 2_000_000) -> DataFra
         masks = [(int(m), int(m).bit_count()) for m in flips(step, half)]
         options = F.array(*(F.struct(F.lit(m).cast("long").alias("m"), F.lit(w).alias("w")) for m, w in masks))
         nxt = F.shiftrightunsigned("fp", BITS - depth - step).bitwiseAND(F.lit((1 << step) - 1).cast("long")) if step < 64 else F.col("fp")
-        return df.select("fp", "spent", "key", F.explode(options).alias("o")).where(F.col("spent") + F.col("o.w") <= half).select("fp", (F.col("spent") + F.col("o.w")).alias("spent"), F.shiftleft("key", step).bitwiseOR(nxt.bitwiseXOR(F.col("o.m"))).alias("key"))
+        return df.select("fp", "spent", "key", F.explode(options).alias("o")).where(F.col("spent") + F.col("o.w") <= half).select("fp",
+            (F.col("spent") + F.col("o.w")).alias("spent"), F.shiftleft("key", step).bitwiseOR(nxt.bitwiseXOR(F.col("o.m"))).alias("key"))
 
     step = bits
     while True:

@@ -149,7 +149,8 @@ def segment_rows(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 if len(words := WORD.findall(text.as_py() or "")) >= window:
                     sums, m, first, n = minimizers(words, window, gram, known)
                     a = span_hashes(sums, first, n).view(np.int64)
-                    parts.append((m.view(np.int64), a, np.full(len(m), doc, np.int64), np.full(len(m), high, np.int64), first.astype(np.int32), n.astype(np.int32)))
+                    parts.append((m.view(np.int64), a, np.full(len(m), doc, np.int64), np.full(len(m), high, np.int64), first.astype(np.int32),
+                        n.astype(np.int32)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)], ["m", "a", "doc", "high", "start", "n"])
 
@@ -161,7 +162,8 @@ WORDS = "m long, a long, shard long, shards int, doc long, high long, start int,
 
 def with_words(segments: DataFrame, docs: DataFrame) -> DataFrame:
     """segments (m, a, shard, shards, doc, high, start, n) with their words, joined by one space."""
-    kind = pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shard", pa.int64()), ("shards", pa.int32()), ("doc", pa.int64()), ("high", pa.int64()), ("start", pa.int32()), ("words", pa.string())])
+    kind = pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shard", pa.int64()), ("shards", pa.int32()), ("doc", pa.int64()), ("high", pa.int64()),
+        ("start", pa.int32()), ("words", pa.string())])
     wanted = segments.groupBy("doc", "high").agg(F.collect_list(F.struct("m", "a", "shard", "shards", "start", "n")).alias("s"))  # a row's own segments
 
     def of(batches):
@@ -184,7 +186,8 @@ STARTS = "m long, a long, shards int, docs array<long>, highs array<long>, start
 def automaton_starts(window: int):
     """For one shard: the earliest (doc, high, start) of every window of every segment. Of a minimizer with one shard only
     segments are named that have a window which starts earlier in another one."""
-    kind = pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shards", pa.int32()), ("docs", pa.list_(pa.int64())), ("highs", pa.list_(pa.int64())), ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
+    kind = pa.schema([("m", pa.int64()), ("a", pa.int64()), ("shards", pa.int32()), ("docs", pa.list_(pa.int64())), ("highs", pa.list_(pa.int64())),
+        ("starts", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64()))])
 
     def of(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: (r["doc"], r["high"], r["start"]))
@@ -198,7 +201,8 @@ def automaton_starts(window: int):
                 continue
             first = [rows[at[0]] for _, at in found]
             hashes = [xxhash.xxh3_64_intdigest(" ".join(words[e - window + 1 : e + 1])) - (1 << 63) for e, _ in found] if r["shards"] > 1 else []
-            out.append({"m": r["m"], "a": r["a"], "shards": r["shards"], "docs": [x["doc"] for x in first], "highs": [x["high"] for x in first], "starts": [x["start"] + at[1] - window + 1 for x, (_, at) in zip(first, found, strict=True)], "hashes": hashes})
+            out.append({"m": r["m"], "a": r["a"], "shards": r["shards"], "docs": [x["doc"] for x in first], "highs": [x["high"] for x in first],
+                "starts": [x["start"] + at[1] - window + 1 for x, (_, at) in zip(first, found, strict=True)], "hashes": hashes})
         return pa.Table.from_pylist(out, kind)
 
     return of
@@ -214,7 +218,8 @@ def earliest_starts(content: DataFrame, docs: DataFrame, window: int, shard_rows
     found = cut(with_words(dealt, docs).groupBy("shard").applyInArrow(automaton_starts(window), STARTS), "starts")
     if not large.take(1):
         return found.select("m", "a", "docs", "highs", "starts")
-    many = found.where("shards > 1").select("m", "a", F.posexplode(F.arrays_zip("docs", "highs", "starts", "hashes")).alias("i", "w")).select("m", "a", "i", "w.*")
+    many = found.where("shards > 1").select("m", "a", F.posexplode(F.arrays_zip("docs", "highs", "starts", "hashes")).alias("i", "w")).select("m",
+        "a", "i", "w.*")
     least = cut(many.groupBy("m", "hashes").agg(F.min(F.struct("docs", "highs", "starts")).alias("least")), "least")
     merged = many.join(least, ["m", "hashes"]).groupBy("m", "a").agg(F.array_sort(F.collect_list(F.struct("i", "least"))).alias("w"))  # a segment's windows
     merged = merged.select("m", "a", *(F.col(f"w.least.{c}").alias(c) for c in ("docs", "highs", "starts")))
@@ -294,6 +299,7 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
             n.append(count)
             removed.append(count - len(kept))
             sha.append(hashlib.sha256(" ".join(kept).encode()).hexdigest())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["n_words", "n_removed", "kept_sha256"])
+        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())],
+            ["n_words", "n_removed", "kept_sha256"])
 
     return found.select("doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")

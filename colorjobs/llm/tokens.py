@@ -101,7 +101,8 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 32 << 20, page_rows: int = 500) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 32 << 20,
+    page_rows: int = 500) -> None:
     """Columns doc_id, shard, at (ids before the document in its shard), n_tokens, tokens.
 
     delta: DELTA_BINARY_PACKED ids; dictionary: RLE_DICTIONARY ids, which falls back to plain where a row group has too many."""
@@ -117,7 +118,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, en
             n = np.array([len(x) // 4 for x in ids], np.int64)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at + ends - n, pa.int64()), pa.array(n, pa.int64()), lists], ["doc_id", "shard", "at", "n_tokens", "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at + ends - n, pa.int64()),
+                pa.array(n, pa.int64()), lists], ["doc_id", "shard", "at", "n_tokens", "tokens"])
             at += int(ends[-1]) if len(n) else 0
 
     schema = "doc_id long, shard int, at long, n_tokens long, tokens array<int>"
@@ -134,7 +136,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, en
     writer.option("compression", "zstd").parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "tokens"), ids: tuple[int, int] | None = None) -> DataFrame:
+def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc_id", "start", "n_tokens", "tokens"),
+    ids: tuple[int, int] | None = None) -> DataFrame:
     """Only the asked columns are read, and with ``ids`` (first, last) only pages that can hold them. start: ids of all
     documents before this one, from the files' own columns: one total for each shard is summed, not the documents."""
     files = spark.read.parquet(path)

@@ -81,7 +81,8 @@ def strength(level: DataFrame) -> float:
     """level: (good, n, prior), one row a group. See the module's text."""
     pq, n = F.col("prior") * (1 - F.col("prior")), F.col("n")
     found = level.where("n > 0").agg(
-        F.sum(n * F.pow(F.col("good") / n - F.col("prior"), 2)).alias("ss"), F.sum(pq).alias("pq"), F.sum(pq * pq).alias("pq2"), F.sum(pq * (n - 1)).alias("free"),
+        F.sum(n * F.pow(F.col("good") / n - F.col("prior"), 2)).alias("ss"), F.sum(pq).alias("pq"), F.sum(pq * pq).alias("pq2"),
+            F.sum(pq * (n - 1)).alias("free"),
     ).first()
     if not found.free:
         return 1.0
@@ -144,8 +145,10 @@ def op1_sql() -> str:
     rule = "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h + p}'" for _, h, p in longest) + " END"
     action = "CASE rule " + " ".join(f"WHEN '{h + p}' THEN '{a}'" for a, h, p in RULES) + " END"
     levels = ",".join((
-        _LEVEL.format(name="suffixes", key="suffix", above="overall", above_key="al", rows="SELECT suffix, 0 AS al, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY suffix"),
-        _LEVEL.format(name="domains", key="domain", above="suffixes", above_key="suffix", rows="SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY domain, suffix"),
+        _LEVEL.format(name="suffixes", key="suffix", above="overall", above_key="al",
+            rows="SELECT suffix, 0 AS al, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY suffix"),
+        _LEVEL.format(name="domains", key="domain", above="suffixes", above_key="suffix",
+            rows="SELECT domain, suffix, sum(good) AS good, sum(n) AS n FROM hosts GROUP BY domain, suffix"),
         _LEVEL.format(name="posteriors", key="name", above="domains", above_key="domain", rows="SELECT name, domain, good, n FROM hosts"),
     ))
     return f"""

@@ -27,7 +27,9 @@ def crowded(df):
 @pytest.fixture(scope="module")
 def odd(spark):
     """(doc_id, text, source, lang): null ids, null and empty texts, repeated rows, a very long text."""
-    rows = [(1, "one two three four five", "a", "en"), (1, "one two three four five", "a", "en"), (2, None, None, None), (None, "six seven eight", "b", "en"), (None, "six seven eight", "b", "en"), (3, "", "a", "de"), (4, LONG, "c", "fr"), (5, " \t\n", None, "de"), (6, "eins zwei drei vier", "b", "de"), (None, None, None, None)]
+    rows = [(1, "one two three four five", "a", "en"), (1, "one two three four five", "a", "en"), (2, None, None, None),
+        (None, "six seven eight", "b", "en"), (None, "six seven eight", "b", "en"), (3, "", "a", "de"), (4, LONG, "c", "fr"),
+            (5, " \t\n", None, "de"), (6, "eins zwei drei vier", "b", "de"), (None, None, None, None)]
     return crowded(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).cache()
 
 
@@ -75,11 +77,15 @@ def test_operators_take_odd_rows(spark, odd):
 
 
 def test_url_levels(spark):
-    rows = ["https://user:pw@www.shop.co.uk:8080/a", "http://10.0.0.1:80/x", "http://[::1]:8080/", "http://example.com./", "http://a.b.example.com", "http://localhost", None]
+    rows = ["https://user:pw@www.shop.co.uk:8080/a", "http://10.0.0.1:80/x", "http://[::1]:8080/", "http://example.com./", "http://a.b.example.com",
+        "http://localhost", None]
     host = urls.host_of(F.col("u"))
     name = urls.name_of(host)
-    out = spark.createDataFrame([(u,) for u in rows], "u string").select(host.alias("h"), name.alias("n"), urls.domain_of(name).alias("d"), urls.suffix_of(name).alias("s")).collect()
-    assert [(r.n, r.d, r.s) for r in out] == [("www.shop.co.uk", "shop.co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1", "(address)"), ("[::1]", "[::1]", "(address)"), ("example.com", "example.com", "com"), ("a.b.example.com", "example.com", "com"), ("localhost", "localhost", "localhost"), ("", "", "")]
+    out = spark.createDataFrame([(u,) for u in rows], "u string").select(host.alias("h"), name.alias("n"), urls.domain_of(name).alias("d"),
+        urls.suffix_of(name).alias("s")).collect()
+    assert [(r.n, r.d, r.s) for r in out] == [("www.shop.co.uk", "shop.co.uk", "co.uk"), ("10.0.0.1", "10.0.0.1", "(address)"),
+        ("[::1]", "[::1]", "(address)"), ("example.com", "example.com", "com"), ("a.b.example.com", "example.com", "com"),
+            ("localhost", "localhost", "localhost"), ("", "", "")]
     assert out[0].h == "user:pw@www.shop.co.uk:8080"
 
 
@@ -154,12 +160,14 @@ def plain_profile(texts, size):
 
 
 def test_language_against_plain_distance(spark):
-    learn = [("en", "the cat and the other dog"), ("en", "and then they went there"), ("de", "der hund und die katze"), ("de", "und dann gingen sie dahin"), ("fr", "le chat et le chien sont là"), ("en", "the cat and the other dog")]
+    learn = [("en", "the cat and the other dog"), ("en", "and then they went there"), ("de", "der hund und die katze"),
+        ("de", "und dann gingen sie dahin"), ("fr", "le chat et le chien sont là"), ("en", "the cat and the other dog")]
     ask = ["the dog there", "die katze", "chat", "x", "et und and", "ohne zweifel the", "là là là"]
     size = 40
     profiles = {lang: plain_profile([t for x, t in learn if x == lang], size) for lang in ("de", "en", "fr")}
     df = spark.createDataFrame(learn, "lang string, text string").withColumn("rank", F.lit("clash")).withColumn("gram", F.lit(1))
-    got = spark.createDataFrame([(t,) for t in ask], "text string").select("text", language.identify(language.profiles(df, size), F.col("text"), size).alias("f")).collect()
+    got = spark.createDataFrame([(t,) for t in ask], "text string").select("text",
+        language.identify(language.profiles(df, size), F.col("text"), size).alias("f")).collect()
     for r in got:
         mine = plain_profile([r.text], size)
         distance = {lang: sum(abs(i - p.index(g)) if g in p else size for i, g in enumerate(mine)) for lang, p in profiles.items()}
@@ -217,8 +225,10 @@ def test_quality_against_plain_votes(spark):
 def test_token_files(spark, odd, encoding, tmp_path):
     """Encodings, row groups and page indexes of the files themselves, and reads that leave columns out."""
     path, out = public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "t")
-    many = spark.range(3000).select("id", F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("word"), (F.col("id") * k % 83)) for k in (3, 5, 7, 11))).alias("text"))
-    tokens.write_tokens(many.unionByName(odd.select("doc_id", "text").where("doc_id = 4"), allowMissingColumns=True).coalesce(1), out, path, encoding=encoding, row_group_bytes=(64 if encoding == "delta" else 4) << 10, page_rows=100)
+    many = spark.range(3000).select("id", F.col("id").alias("doc_id"),
+        F.concat_ws(" ", *(F.concat(F.lit("word"), (F.col("id") * k % 83)) for k in (3, 5, 7, 11))).alias("text"))
+    tokens.write_tokens(many.unionByName(odd.select("doc_id", "text").where("doc_id = 4"), allowMissingColumns=True).coalesce(1), out, path,
+        encoding=encoding, row_group_bytes=(64 if encoding == "delta" else 4) << 10, page_rows=100)
     files = [f for f in (tmp_path / "t").glob("*.parquet")]
     groups = 0
     for f in files:
@@ -239,7 +249,8 @@ def test_token_files(spark, odd, encoding, tmp_path):
 def test_tokens_ties(spark, odd):
     rows = sorted(tokens.token_table(spark, odd).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in rows] == [None, None, None, 1, 1, 2, 3, 4, 5, 6] and rows[0].n_tokens == 1
-    assert rows[0].ids_crc32 == zlib.crc32(np.array([1], "<u4").tobytes()) and [r.start for r in rows][1:] == np.cumsum([r.n_tokens for r in rows])[:-1].tolist()
+    assert rows[0].ids_crc32 == zlib.crc32(np.array([1],
+        "<u4").tobytes()) and [r.start for r in rows][1:] == np.cumsum([r.n_tokens for r in rows])[:-1].tolist()
 
 
 # --- repeats, mixing ---------------------------------------------------------------------------------------------------
@@ -265,7 +276,8 @@ def test_mixing_duals_are_the_optimum(spark):
     targets = plain.targets({s: int(v.sum()) for s, v in sizes.items()})
     groups = df.select("source", mixing.size_of(F.col("text")).alias("size")).groupBy("source", "size").agg(F.count("*").alias("n")).cache()
     rows = [(s, int(v.sum()), len(v), float(targets[s]), 0.0) for s, v in sizes.items()]
-    duals = {r.source: r.l for r in mixing.tilts(groups, spark.createDataFrame(rows, "source string, source_size long, docs long, target double, start double")).collect()}
+    duals = {r.source: r.l for r in mixing.tilts(groups,
+        spark.createDataFrame(rows, "source string, source_size long, docs long, target double, start double")).collect()}
     for s, v in sizes.items():
         x, low, high = v / v.mean(), -50.0, 50.0
         for _ in range(200):
@@ -300,7 +312,8 @@ def test_mixing_needs_many_fixes(spark):
 def test_chat_one_number_and_long_pieces(spark):
     """Pieces that share a number, and one piece of very many lines, are cut into blocks; the result is one Viterbi run's."""
     model = chat.fit(chat.spoken_turns(spark, "/root/testdata/sf0.001"))
-    said = [(1, 5, f"{'User' if i % 2 else 'AI'}: text {i}\nand more?") for i in range(90)] + [(2, None, "\n".join(f"{'User' if i % 2 else 'AI'}: line {i}" for i in range(500)))] + [(3, 1, "same")] * 5
+    said = [(1, 5, f"{'User' if i % 2 else 'AI'}: text {i}\nand more?") for i in range(90)] + [(2, None,
+        "\n".join(f"{'User' if i % 2 else 'AI'}: line {i}" for i in range(500)))] + [(3, 1, "same")] * 5
     df = crowded(spark.createDataFrame(said, "conv_id long, piece long, text string"))
     out = chat.parse(df, model, block=16).collect()
     lines = chat.lines_of(df.withColumn("h2", F.xxhash64("text")), "conv_id", "piece", "h2").collect()
@@ -319,7 +332,8 @@ def test_chat_unmarked_turns(spark):
     held = F.pmod(F.xxhash64("conv_id"), F.lit(4)) == 0
     model = chat.fit(turns.where(~held))
     bare = turns.where(held & ~F.col("text").rlike(chat.ANY_MARKER) & (F.col("text") != "")).select("conv_id", "turn", "role").collect()
-    out = {(r.conv_id, r.piece): r.role for r in chat.parse(turns.where(held).select("conv_id", F.col("turn").alias("piece"), "text"), model).where("line = 0").collect()}
+    out = {(r.conv_id, r.piece): r.role for r in chat.parse(turns.where(held).select("conv_id", F.col("turn").alias("piece"), "text"),
+        model).where("line = 0").collect()}
     right = sum(out.get((r.conv_id, r.turn)) == r.role for r in bare)
     print("unmarked turns right:", right, "of", len(bare))
     assert len(bare) > 100 and right > 0.5 * len(bare)
@@ -329,7 +343,8 @@ def test_neighbours_extreme_values(spark):
     rng = np.random.default_rng(6)
     v = rng.standard_normal((120, 8))
     scale = np.array([1e200, 1e-200, 1.0, 1e-310, 1e307])[np.arange(120) % 5]
-    rows = [(i, [float(c) for c in x * s]) for i, (x, s) in enumerate(zip(v, scale, strict=True))] + [(7, [float(c) for c in v[50]]), (None, [float(c) for c in v[50] * 2])]
+    rows = [(i, [float(c) for c in x * s]) for i, (x, s) in enumerate(zip(v, scale, strict=True))] + [(7, [float(c) for c in v[50]]),
+        (None, [float(c) for c in v[50] * 2])]
     df = crowded(spark.createDataFrame(rows, "id long, v array<double>"))
     out = neighbours.search(df, df.where("id % 50 = 0"), row_block=32, query_block=2).collect()
     unit = {i: np.array(x) / np.abs(x).max() for i, x in rows[:120]}

@@ -15,7 +15,8 @@ def test_sql(spark, name):
 
 
 def test_urls_edges(spark):
-    rows = [(1, None), (2, "no scheme"), (3, "HTTP://A.NET/x?y#z"), (4, "https://example.net/en/"), (5, "x://example.net"), (6, "x://b.example.com/de/1"), (7, "x://org/fr/"), (7, "x://org/fr/"), (8, "x://sub.org?q=/"), (9, "x://notnet/")]
+    rows = [(1, None), (2, "no scheme"), (3, "HTTP://A.NET/x?y#z"), (4, "https://example.net/en/"), (5, "x://example.net"),
+        (6, "x://b.example.com/de/1"), (7, "x://org/fr/"), (7, "x://org/fr/"), (8, "x://sub.org?q=/"), (9, "x://notnet/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))
     outcomes = spark.createDataFrame([(1, 1), (3, None), (9, 0), (9, 0), (9, 0)], "page_id long, good int")
     out = {r.page_id: r for r in urls.judge_urls(pages, outcomes).collect()}
@@ -36,7 +37,8 @@ def test_urls_unlabelled_hosts(spark):
 
 
 def test_mixing(spark):
-    rows = [(i, " ".join("w" * (i % 17 + 1)), [None, "a", "b", "B", "ä", "tiny"][i % 5 if i > 3 else 5]) for i in range(600)] + [(1000, None, "a"), (1001, "", "zero"), (7, " ".join("w" * 8), "b")]
+    rows = [(i, " ".join("w" * (i % 17 + 1)), [None, "a", "b", "B", "ä", "tiny"][i % 5 if i > 3 else 5]) for i in range(600)] + [(1000, None, "a"),
+        (1001, "", "zero"), (7, " ".join("w" * 8), "b")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(-1))
     sizes = {}
     for _, t, s in rows:
@@ -117,7 +119,8 @@ def test_chat_blocks_change_nothing(spark):
 def test_chat_null_and_negative_turns(spark):
     model = chat.fit(chat.spoken_turns(spark, SF))
     numbers = [None, -200, -1, 0, 1, 70, 5000]
-    said = [(c, p, f"{mark}: text {p}\nand more?") for c, ps in ((1, numbers), (2, [None, 3]), (3, [-1, 0]), (None, numbers)) for p, mark in zip(ps, ["User", "AI"] * 4)]
+    said = [(c, p, f"{mark}: text {p}\nand more?") for c, ps in ((1, numbers), (2, [None, 3]), (3, [-1, 0]), (None, numbers)) for p,
+        mark in zip(ps, ["User", "AI"] * 4)]
     df = spark.createDataFrame(said, "conv_id long, piece long, text string")
     place = lambda piece, line: (piece is not None, piece or 0, line)
     lines, out = chat.lines_of(df, "conv_id", "piece").collect(), chat.parse(df, model).collect()

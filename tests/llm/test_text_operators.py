@@ -24,7 +24,8 @@ def words(n):
 @functools.cache
 def corpus():
     passage, line = " ".join(words(45)), " ".join(words(22))
-    out = [None, "", "  \n\t", "one", "a b c", " ".join(["same"] * 70), passage, passage, " ".join(words(30)) + " " + passage + "\n" + " ".join(words(5)), line + " " + line, " ".join(words(4000))]
+    out = [None, "", "  \n\t", "one", "a b c", " ".join(["same"] * 70), passage, passage,
+        " ".join(words(30)) + " " + passage + "\n" + " ".join(words(5)), line + " " + line, " ".join(words(4000))]
     out += [" ".join(words(10)) + f" u{i} " + line + f" v{i} " + " ".join(words(8)) for i in range(12)]
     near = words(300)
     out += [" ".join(near), " ".join([*near[:150], "changed", *near[151:]]), " ".join(near).upper()]
@@ -51,7 +52,9 @@ def test_repeats_random(spark):
     rows = [(i, " ".join(random.choice("ab") if i % 2 else random.choice("abcdefgh") for _ in range(random.randrange(0, 90)))) for i in range(40)]
     found = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window=8, gram=3).collect()
     expected = plain.removed(rows, 8)
-    assert {r.doc_id: sum(1 for _ in range(0)) + substrings.kept_words(r.text, [(s["from"], s["to"]) for s in r.spans or ()])[0] - len(substrings.kept_words(r.text, [(s["from"], s["to"]) for s in r.spans or ()])[1]) for r in found} == {k: v[1] for k, v in expected.items()}
+    assert {r.doc_id: sum(1 for _ in range(0)) + substrings.kept_words(r.text,
+        [(s["from"], s["to"]) for s in r.spans or ()])[0] - len(substrings.kept_words(r.text,
+            [(s["from"], s["to"]) for s in r.spans or ()])[1]) for r in found} == {k: v[1] for k, v in expected.items()}
 
 
 def test_repeats_same_ids(spark):
@@ -90,10 +93,12 @@ def test_decontaminate(spark, docs):
 @pytest.mark.parametrize("block", [2_000_000, 30])
 def test_decontaminate_null_item(spark, block):
     docs = spark.createDataFrame([(1, "x one two y"), (2, "three four"), (3, "five six"), (4, "clean")], "doc_id long, text string")
-    bench = spark.createDataFrame([(None, "one two"), ("a", "one two"), (None, "three four"), ("b", "five six"), (None, "five six"), ("", "one two")], "item_id string, text string")
+    bench = spark.createDataFrame([(None, "one two"), ("a", "one two"), (None, "three four"), ("b", "five six"), (None, "five six"),
+        ("", "one two")], "item_id string, text string")
     out = decontaminate.decontaminate(docs, bench, block_chars=block).select("doc_id", "verdict.*").collect()
     digest = {i: hashlib.sha256(t.encode()).hexdigest() for i, t in ((1, ",a"), (2, ""), (3, "b"), (4, ""))}
-    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out} == {1: (2, 2, digest[1], True), 2: (2, 0, digest[2], True), 3: (2, 1, digest[3], True), 4: (0, 0, digest[4], False)}
+    assert {r.doc_id: (r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in out} == {1: (2, 2, digest[1], True), 2: (2, 0, digest[2], True),
+        3: (2, 1, digest[3], True), 4: (0, 0, digest[4], False)}
 
 
 @pytest.mark.parametrize("cap", [2_000_000, 3000])
@@ -129,7 +134,8 @@ def test_near_dedup_stage_keeps_one(spark, docs):
 def test_near_dedup_stage_null_and_repeated_ids(spark):
     """One row stays for each group, whatever its ids: unrelated texts with null or equal ids do not compete."""
     x, y, z, u, v = (" ".join(f"{c}{i * 37 % 101}" for i in range(60)) for c in "xyzuv")
-    rows = [(3, x, "p"), (7, x, "a"), (7, y, "z"), (None, z, "a"), (None, z, "b"), (None, u, "a"), (None, v, "a"), (9, v, "c"), (9, v, "b"), (None, None, "a"), (None, "", "a")]
+    rows = [(3, x, "p"), (7, x, "a"), (7, y, "z"), (None, z, "a"), (None, z, "b"), (None, u, "a"), (None, v, "a"), (9, v, "c"), (9, v, "b"),
+        (None, None, "a"), (None, "", "a")]
     out = simhash.stage_near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), "").collect()
     assert sorted(map(tuple, out), key=str) == sorted([(3, x, "p"), (7, y, "z"), (None, z, "a"), (None, u, "a"), (9, v, "b"), (None, None, "a")], key=str)
 
@@ -137,7 +143,8 @@ def test_near_dedup_stage_null_and_repeated_ids(spark):
 @pytest.mark.parametrize("encoding", ["delta", "dictionary"])
 def test_tokens_round_trip(spark, docs, encoding, tmp_path):
     path = public_tokenizers.path("word_bpe_49k.json")
-    odd = spark.createDataFrame([(100, "don't ''s <|endoftext|> ΣΑΣ ﬁ İ 12½ é\u0301 — x\x1cy \u00a0z"), (100, "again"), (None, "none")], "doc_id long, text string")
+    odd = spark.createDataFrame([(100, "don't ''s <|endoftext|> ΣΑΣ ﬁ İ 12½ é\u0301 — x\x1cy \u00a0z"), (100, "again"), (None, "none")],
+        "doc_id long, text string")
     all_docs = docs.select("doc_id", "text").unionByName(odd)
     tokens.write_tokens(all_docs, str(tmp_path / "t"), path, encoding=encoding)
     rows = sorted(tokens.read_tokens(spark, str(tmp_path / "t")).withColumn("crc", tokens.digest(F.col("tokens"))).collect(), key=lambda r: r.start)
