@@ -1,8 +1,8 @@
 """Operator 7: nearest neighbours by multi-index hashing of learned, rotated binary codes.
 
 Fit (bounded): principal axes of a documented sample of vectors, then the rotation that loses least when coordinates are
-cut to signs (iterative quantization). The relation of cosine and Hamming distance is learned from the sample too:
-``reach[c]`` is the distance within which the share ``recall`` of the pairs with cosine c or more lie.
+cut to signs (iterative quantization), from one half of the sample. The relation of cosine and Hamming distance is learned
+from the other half: ``reach[c]`` is the distance within which the share ``recall`` of the pairs with cosine c or more lie.
 
 Index: every row's code is split into substrings of ``sub_bits`` bits, and each substring has its table of values. Two
 codes at distance r agree in some substring up to r // substrings bits (pigeonhole), so probing each table with all values
@@ -62,7 +62,10 @@ class Codes:
     """Centre, rotation, and the learned relation of cosine and distance."""
 
     def __init__(self, sample: np.ndarray, bits: int, k: int, recall: float, rounds: int = 40, steps: int = 64):
-        x = self.known = unit(sample)
+        self.known = unit(sample)
+        # codes are fitted to one half, and what they are worth is learned on the other, which they have not seen
+        halves = (self.known[::2], self.known[1::2]) if len(self.known) >= 100 else (self.known, self.known)
+        x = halves[0]
         self.mean = x.mean(axis=0)
         _, _, axes = np.linalg.svd(x - self.mean, full_matrices=True)
         self.bits = min(bits, axes.shape[0])
@@ -72,15 +75,15 @@ class Codes:
             u, _, w = np.linalg.svd(np.where(projected @ rotation > 0, 1.0, -1.0).T @ projected)
             rotation = (u @ w).T
         self.map, self.k = axes[: self.bits].T @ rotation, k
-        self.least, self.reach = self.relation(recall, steps)
+        self.least, self.reach = self.relation(halves[1], recall, steps)
 
-    def relation(self, recall: float, steps: int, pairs: int = 200) -> tuple[np.ndarray, np.ndarray]:
+    def relation(self, x: np.ndarray, recall: float, steps: int, pairs: int = 200) -> tuple[np.ndarray, np.ndarray]:
         """Rising cosines, and for each the distance that ``recall`` of the sample's pairs with at least that cosine keep
         to. A level with under ``pairs`` pairs above it takes those of the level below, which reach farther."""
-        q = np.arange(min(len(self.known), 400))
-        near = self.known[q] @ self.known.T
+        q = np.arange(min(len(x), 800))
+        near = x[q] @ x.T
         near[q, q] = -np.inf
-        code = self.signs(self.known)
+        code = self.signs(x)
         away = np.bitwise_count(code[q][:, None] ^ code).ravel()
         cosine, order = near.ravel(), np.argsort(-near.ravel(), kind="stable")
         levels, out = np.linspace(-1.0, 1.0, steps + 1), np.full(steps + 1, self.bits)
