@@ -134,9 +134,11 @@ def op1_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LEVEL = """
 {name}_j AS (SELECT l.*, u.mean AS prior FROM ({rows}) l JOIN {above} u USING ({above_key})),
-{name}_m AS (SELECT sum(n * pow(good / n - prior, 2)) AS ss, sum(prior * (1 - prior)) AS pq, sum(pow(prior * (1 - prior), 2)) AS pq2, sum(prior * (1 - prior) * (n - 1)) AS free
+{name}_m AS (SELECT sum(n * pow(good / n - prior, 2)) AS ss, sum(prior * (1 - prior)) AS pq, sum(pow(prior * (1 - prior), 2)) AS pq2,
+  sum(prior * (1 - prior) * (n - 1)) AS free
   FROM {name}_j WHERE n > 0),
-{name}_k AS (SELECT CASE WHEN coalesce(free, 0) = 0 THEN 1e0 ELSE greatest(1e0, 1 / greatest((ss - pq) / free, sqrt(2 * pq2) / free) - 1) END AS k FROM {name}_m),
+{name}_k AS (SELECT CASE WHEN coalesce(free, 0) = 0 THEN 1e0 ELSE greatest(1e0, 1 / greatest((ss - pq) / free,
+  sqrt(2 * pq2) / free) - 1) END AS k FROM {name}_m),
 {name} AS (SELECT {key}, good + k * prior AS a, n - good + k * (1 - prior) AS b, (good + k * prior) / (n + k) AS mean FROM {name}_j, {name}_k)"""
 
 

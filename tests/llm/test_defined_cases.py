@@ -14,7 +14,8 @@ from tokenizers import Tokenizer
 from colorjobs.llm import chat, common, decontaminate, language, mixing, neighbours, quality, simhash, substrings, tokens, urls
 
 #: Names that operators give to columns of their own.
-CLASH = "n copies key nth h _h _id score _score verdict _verdict _hit0 _n rest fp first root size host name part at doc high m a start sha lang_pred KEY_ Nth_ taken target".split()
+CLASH = "n copies key nth h _h _id score _score verdict _verdict _hit0 _n rest fp first root size host name part at doc high m a start sha".split()
+CLASH += "lang_pred KEY_ Nth_ taken target".split()
 LONG = " ".join(f"lang{i % 997}" for i in range(120_000))
 
 
