@@ -41,7 +41,10 @@ def gray(h: str, dialect: str = "duckdb") -> str:
 
 def family(a: str, b: str) -> str:
     angle = f"(CASE WHEN degrees(atan2({b}, {a})) < 0 THEN degrees(atan2({b}, {a})) + 360e0 ELSE degrees(atan2({b}, {a})) END)"
-    return f"(CASE WHEN sqrt({a} * {a} + {b} * {b}) < 8 THEN 'neutral' WHEN {angle} < 50 OR {angle} >= 340 THEN 'red' WHEN {angle} < 80 THEN 'orange' WHEN {angle} < 115 THEN 'yellow' WHEN {angle} < 200 THEN 'green' WHEN {angle} < 250 THEN 'cyan' WHEN {angle} < 310 THEN 'blue' ELSE 'purple' END)"
+    return (
+        f"(CASE WHEN sqrt({a} * {a} + {b} * {b}) < 8 THEN 'neutral' WHEN {angle} < 50 OR {angle} >= 340 THEN 'red' WHEN {angle} < 80 THEN 'orange'"
+        f" WHEN {angle} < 115 THEN 'yellow' WHEN {angle} < 200 THEN 'green' WHEN {angle} < 250 THEN 'cyan' WHEN {angle} < 310 THEN 'blue' ELSE 'purple' END)"
+    )
 
 
 def simulated(h: str, kind: str, dialect: str = "duckdb") -> str:
@@ -65,7 +68,8 @@ def register(spark: SparkSession) -> None:
     make = "CREATE OR REPLACE TEMPORARY FUNCTION"
     spark.sql(f"{make} cj_gray(h STRING) RETURNS INT RETURN {gray('h', 'spark')}")
     spark.sql(f"{make} cj_lab(h STRING) RETURNS STRUCT<L: DOUBLE, a: DOUBLE, b: DOUBLE> RETURN named_struct('L', {L}, 'a', {a}, 'b', {b})")
-    spark.sql(f"{make} cj_lab_distance(p STRUCT<L: DOUBLE, a: DOUBLE, b: DOUBLE>, q STRUCT<L: DOUBLE, a: DOUBLE, b: DOUBLE>) RETURNS DOUBLE RETURN sqrt(pow(p.L - q.L, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2))")
+    spark.sql(f"{make} cj_lab_distance(p STRUCT<L: DOUBLE, a: DOUBLE, b: DOUBLE>, q STRUCT<L: DOUBLE, a: DOUBLE, "
+        f"b: DOUBLE>) RETURNS DOUBLE RETURN sqrt(pow(p.L - q.L, 2) + pow(p.a - q.a, 2) + pow(p.b - q.b, 2))")
     spark.sql(f"{make} cj_delta_e(h STRING, k STRING) RETURNS DOUBLE RETURN cj_lab_distance(cj_lab(h), cj_lab(k))")
     spark.sql(f"{make} cj_family(h STRING) RETURNS STRING RETURN {family('cj_lab(h).a', 'cj_lab(h).b')}")
     for kind in (*MACHADO, "achromat"):

@@ -326,8 +326,8 @@ def unmapped_preview(resolved: DataFrame, n: int = 8) -> DataFrame:
     """The first n unmapped colours of a file and how many more there are."""
     u = unmapped_colors(resolved)
     total = u.groupBy("file").agg(F.count("*").alias("total"))
-    first = u.withColumn("k",
-        F.row_number().over(W.partitionBy("file").orderBy("hex"))).where(F.col("k") <= n).groupBy("file").agg(F.array_sort(F.collect_list("hex")).alias("first"))
+    kth = F.row_number().over(W.partitionBy("file").orderBy("hex"))
+    first = u.withColumn("k", kth).where(F.col("k") <= n).groupBy("file").agg(F.array_sort(F.collect_list("hex")).alias("first"))
     return first.join(total, "file").select("file", "first", (F.col("total") - F.size("first")).alias("more"))
 
 

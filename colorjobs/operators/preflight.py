@@ -36,8 +36,9 @@ def force_k_hits(rows: DataFrame, trim_width: float, min_stroke: float = 0.5, mi
 def force_k_report(files: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:
     """Counts and the first samples in document order of every file."""
     counts = hits.groupBy("file").agg(F.sum((F.col("kind") == "stroke").cast("int")).alias("s"), F.sum((F.col("kind") == "text").cast("int")).alias("t"))
-    first = hits.withColumn("k",
-        F.row_number().over(W.partitionBy("file").orderBy("ord"))).where(F.col("k") <= limit).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "sample"))), lambda x: x["sample"]).alias("samples"))
+    kth = F.row_number().over(W.partitionBy("file").orderBy("ord"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("k", "sample"))), lambda x: x["sample"])
+    first = hits.withColumn("k", kth).where(F.col("k") <= limit).groupBy("file").agg(listed.alias("samples"))
     zero = lambda c, n: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(n)
     return files.select("file").join(counts, "file", "left").join(first, "file", "left").select("file", zero("s", "stroke_count"),
         zero("t", "text_count"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))

@@ -367,13 +367,17 @@ def output_name_fallback(spark, d):
 
 # --- pixels ------------------------------------------------------------------------------------------------------------
 
-_REGIONS = """, mask AS (SELECT page, x, y FROM (SELECT CAST(l_suppkey AS VARCHAR) AS page, l_partkey % 8 AS x, l_orderkey % 8 AS y, min(l_linenumber) AS alpha FROM lineitem GROUP BY ALL) WHERE alpha <= 2),
+_REGIONS = """, mask AS (SELECT page, x, y FROM (SELECT CAST(l_suppkey AS VARCHAR) AS page, l_partkey % 8 AS x, l_orderkey % 8 AS y,
+  min(l_linenumber) AS alpha FROM lineitem GROUP BY ALL) WHERE alpha <= 2),
 kept AS (SELECT m.page, m.x, m.y FROM mask m JOIN mask n ON m.page = n.page AND abs(m.x - n.x) <= 1 AND abs(m.y - n.y) <= 1 GROUP BY ALL
   HAVING count(*) = (3 - (m.x = 0)::INT - (m.x = 7)::INT) * (3 - (m.y = 0)::INT - (m.y = 7)::INT)),
-met AS (SELECT page, x AS fx, y AS fy, x, y FROM kept UNION SELECT r.page, r.fx, r.fy, k.x, k.y FROM met r JOIN kept k ON r.page = k.page AND abs(r.x - k.x) + abs(r.y - k.y) = 1),
+met AS (SELECT page, x AS fx, y AS fy, x, y FROM kept UNION SELECT r.page, r.fx, r.fy, k.x, k.y FROM met r JOIN kept k ON r.page = k.page
+  AND abs(r.x - k.x) + abs(r.y - k.y) = 1),
 named AS (SELECT page, fx AS x, fy AS y, min(y * 8 + x) AS blob FROM met GROUP BY ALL),
-boxes AS (SELECT page, CAST(min(x) AS INT) AS x0, CAST(min(y) AS INT) AS y0, CAST(max(x) + 1 AS INT) AS x1, CAST(max(y) + 1 AS INT) AS y1, count(*) AS area FROM named GROUP BY page, blob),
-regions AS (SELECT page, x0, y0, x1, y1, area FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY area DESC, y0, x0, x1, y1) AS k FROM boxes) WHERE k <= 6)"""
+boxes AS (SELECT page, CAST(min(x) AS INT) AS x0, CAST(min(y) AS INT) AS y0, CAST(max(x) + 1 AS INT) AS x1, CAST(max(y) + 1 AS INT) AS y1,
+  count(*) AS area FROM named GROUP BY page, blob),
+regions AS (SELECT page, x0, y0, x1, y1, area FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY area DESC, y0, x0, x1, y1) AS k
+  FROM boxes) WHERE k <= 6)"""
 
 
 def _recursive(sql: str) -> str:

@@ -27,7 +27,8 @@ PRE = f"""WITH tokens AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, {HEX(key='
 usage AS (SELECT file, hex, count(*) AS n FROM tokens GROUP BY ALL),
 colors AS (SELECT DISTINCT hex FROM usage),
 lab AS (SELECT hex, {_L} AS L, {_a} AS a, {_b} AS b FROM colors),
-gmap AS (SELECT {HEX(key='p_partkey')} AS source, printf('#%02X%02X%02X', (p_size * 5) % 256, (p_size * 5) % 256, (p_size * 5) % 256) AS target, p_type AS label, p_partkey AS ord FROM part WHERE p_partkey % 5 = 0),
+gmap AS (SELECT {HEX(key='p_partkey')} AS source, printf('#%02X%02X%02X', (p_size * 5) % 256, (p_size * 5) % 256,
+  (p_size * 5) % 256) AS target, p_type AS label, p_partkey AS ord FROM part WHERE p_partkey % 5 = 0),
 glab AS (SELECT hex AS source, target, label, ord, {_L} AS L, {_a} AS a, {_b} AS b FROM (SELECT *, source AS hex FROM gmap)),
 ovr AS (SELECT CAST(l_orderkey AS VARCHAR) AS file, {HEX(key='l_partkey')} AS source, max(printf('#%06X', (l_suppkey * 50021) % 16777216)) AS target
   FROM lineitem WHERE (l_orderkey + l_linenumber) % 7 = 0 GROUP BY ALL),
@@ -41,7 +42,8 @@ illus AS (SELECT CAST(o_orderkey AS VARCHAR) AS file, CASE o_orderstatus WHEN 'F
   CASE WHEN o_orderpriority[1] IN ('1', '2') THEN 'reviewed' WHEN o_orderpriority[1] = '3' THEN 'exported'
   ELSE 'pending' END AS cmyk_status, o_orderkey % 3 = 0 AS cmyk_auto_fix FROM orders),
 files AS (SELECT DISTINCT file FROM usage),
-swatches AS (SELECT concat('p_', p_partkey) AS id, {HEX(key='p_partkey')} AS source_hex, [{HEX(key='(p_partkey + 1)')}, {HEX(key='(p_partkey + 2)')}, {HEX(key='p_partkey')}] AS members FROM part WHERE p_partkey % 50 = 0),
+swatches AS (SELECT concat('p_', p_partkey) AS id, {HEX(key='p_partkey')} AS source_hex, [{HEX(key='(p_partkey + 1)')},
+  {HEX(key='(p_partkey + 2)')}, {HEX(key='p_partkey')}] AS members FROM part WHERE p_partkey % 50 = 0),
 mem AS (SELECT id, source_hex, unnest(members) AS hex FROM swatches),
 icc AS (SELECT hex, printf('#%02X%02X%02X', {S.channel('hex', 0)} // 2, {S.channel('hex', 1)} // 2, {S.channel('hex',
     2)} // 2) AS printed_hex FROM colors WHERE {S.channel('hex', 0)} % 2 = 0),
@@ -155,7 +157,8 @@ _FAMILY = S.family("a", "b")
 
 
 @query(f"SELECT file, hex, CAST(row_number()"
-    f" OVER (PARTITION BY file ORDER BY list_position(['red','orange','yellow','green','cyan','blue','purple','neutral'], {_FAMILY}), L, a, b, hex) AS INT) AS position FROM usage JOIN lab USING (hex)")
+    f" OVER (PARTITION BY file ORDER BY list_position(['red','orange','yellow','green','cyan','blue','purple','neutral'], {_FAMILY}),"
+    f" L, a, b, hex) AS INT) AS position FROM usage JOIN lab USING (hex)")
 def sort_colors(spark, d):
     return usage.sort_colors(T(spark, d).usage)
 
@@ -172,12 +175,17 @@ def hue_lightness_histogram(spark, d):
     return usage.hue_lightness_histogram(T(spark, d).usage)
 
 
-_LABEL = f"CASE WHEN {_FAMILY} = 'neutral' THEN CASE WHEN L > 85 THEN 'near white' WHEN L < 15 THEN 'near black' ELSE 'neutral gray' END ELSE concat(CASE WHEN L > 75 THEN 'light ' WHEN L < 35 THEN 'dark ' ELSE '' END, {_FAMILY}) END"
+_LABEL = (
+    f"CASE WHEN {_FAMILY} = 'neutral' THEN CASE WHEN L > 85 THEN 'near white' WHEN L < 15 THEN 'near black' ELSE 'neutral gray' END"
+    f" ELSE concat(CASE WHEN L > 75 THEN 'light ' WHEN L < 35 THEN 'dark ' ELSE '' END, {_FAMILY}) END"
+)
 _RGB = [S.channel("hex", i) for i in range(3)]
 
 
 @query(f"SELECT hex, {_RGB[0]} AS r, {_RGB[1]} AS g, {_RGB[2]} AS b, round(L, 6) AS lab_l, round(a, 6) AS lab_a,"
-    f" round(lab.b, 6) AS lab_b, {S.gray('hex')} AS gray, greatest({', '.join(_RGB)}) - least({', '.join(_RGB)}) <= 2 AS is_gray, {_FAMILY.replace('b,', 'lab.b,').replace('b * b', 'lab.b * lab.b')} AS family, {_LABEL.replace('atan2(b', 'atan2(lab.b').replace('b * b', 'lab.b * lab.b')} AS label FROM lab")
+    f" round(lab.b, 6) AS lab_b, {S.gray('hex')} AS gray, greatest({', '.join(_RGB)}) - least({', '.join(_RGB)}) <= 2"
+    f" AS is_gray, {_FAMILY.replace('b,', 'lab.b,').replace('b * b', 'lab.b * lab.b')}"
+    f" AS family, {_LABEL.replace('atan2(b', 'atan2(lab.b').replace('b * b', 'lab.b * lab.b')} AS label FROM lab")
 def color_math(spark, d):
     h = F.col("hex")
     r, g, b = C.channels(h)
@@ -256,7 +264,10 @@ def delta_band(spark, d):
 
 # --- resolution --------------------------------------------------------------------------------------------------------
 
-_NEAR = "SELECT hex, min_by(struct_pack(source := g.source, target := g.target, label := g.label), struct_pack(d := {d}, o := g.ord)) AS m, min({d}) AS d FROM {colors} c, glab g GROUP BY hex"
+_NEAR = (
+    "SELECT hex, min_by(struct_pack(source := g.source, target := g.target, label := g.label), struct_pack(d := {d}, o := g.ord)) AS m, "
+    "min({d}) AS d FROM {colors} c, glab g GROUP BY hex"
+)
 _DLAB = "sqrt((c.L - g.L) * (c.L - g.L) + (c.a - g.a) * (c.a - g.a) + (c.b - g.b) * (c.b - g.b))"
 
 
@@ -276,7 +287,8 @@ def nearest_swatch(spark, d):
 
 @query(
     ", near AS (" + _NEAR.format(d=_DLAB, colors="lab")
-    + """) SELECT u.file, u.hex, CASE WHEN o.target IS NOT NULL THEN o.target WHEN g.target IS NOT NULL THEN g.target WHEN near.d <= 10 THEN near.m.target END AS target,
+    + """) SELECT u.file, u.hex, CASE WHEN o.target IS NOT NULL THEN o.target WHEN g.target IS NOT NULL THEN g.target WHEN near.d <= 10
+  THEN near.m.target END AS target,
 CASE WHEN o.target IS NOT NULL OR g.target IS NOT NULL THEN 'exact' WHEN near.d <= 10 THEN 'near' ELSE 'none' END AS kind,
 round(CASE WHEN o.target IS NOT NULL OR g.target IS NOT NULL THEN 0e0 WHEN near.d <= 10 THEN near.d END, 6) AS distance,
 CASE WHEN o.target IS NOT NULL THEN 'override' WHEN g.target IS NOT NULL THEN g.label WHEN near.d <= 10 THEN near.m.label ELSE '' END AS label
@@ -317,7 +329,8 @@ def resolve_palette(spark, d):
 
 @query(
     ", near AS (" + _NEAR.format(d=_DLAB, colors="lab")
-    + """) SELECT u.file, u.hex, coalesce(o.target, g.target, CASE WHEN near.d <= 10 THEN near.m.target END) AS target, CASE WHEN length(u.file) % 2 = 1 THEN substring(o.target, 1, 4) END AS rejected
+    + """) SELECT u.file, u.hex, coalesce(o.target, g.target, CASE WHEN near.d <= 10 THEN near.m.target END) AS target, CASE
+  WHEN length(u.file) % 2 = 1 THEN substring(o.target, 1, 4) END AS rejected
 FROM usage u LEFT JOIN ovr o ON u.file = o.file AND u.hex = o.source LEFT JOIN gmap g ON u.hex = g.source LEFT JOIN near ON u.hex = near.hex"""
 )
 def resolve_palette_whole(spark, d):
@@ -339,7 +352,10 @@ def unmapped_colors(spark, d):
     return mapping.unmapped_colors(T(spark, d).resolved)
 
 
-_DEV = f"dev AS (SELECT {HEX(key='p_partkey')} AS source, p_partkey % 101 AS c, p_partkey * 7 % 101 AS m, p_partkey * 3 % 101 AS y, p_partkey * 11 % 101 AS k FROM part WHERE p_partkey % 9 = 0)"
+_DEV = (
+    f"dev AS (SELECT {HEX(key='p_partkey')} AS source, p_partkey % 101 AS c, p_partkey * 7 % 101 AS m, p_partkey * 3 % 101 AS y, "
+    f"p_partkey * 11 % 101 AS k FROM part WHERE p_partkey % 9 = 0)"
+)
 
 
 @query(f", {_DEV} SELECT file, hex AS source, CAST(CASE WHEN CAST(file AS BIGINT) % 4 = 0 THEN y ELSE c END AS DOUBLE) AS c, CAST(m AS DOUBLE) AS m,"
@@ -407,7 +423,10 @@ def match_paint_operators(spark, d):
     return mapping.paint_report(mapping.match_paint_operators(paint_ops(t), t.device), t.device)
 
 
-_ICCLAB = f", pl AS (SELECT printed, {S.lab('printed')[0]} AS L, {S.lab('printed')[1]} AS a, {S.lab('printed')[2]} AS b FROM (SELECT DISTINCT printed_hex AS printed FROM icc))"
+_ICCLAB = (
+    f", pl AS (SELECT printed, {S.lab('printed')[0]} AS L, {S.lab('printed')[1]} AS a, {S.lab('printed')[2]} AS b"
+    f" FROM (SELECT DISTINCT printed_hex AS printed FROM icc))"
+)
 
 
 @query(_ICCLAB + " SELECT c.hex, printed_hex, round(sqrt(pow(c.L - p.L, 2) + pow(c.a - p.a, 2) + pow(c.b - p.b, 2)), 6) AS delta_e FROM lab c LEFT"
@@ -714,7 +733,12 @@ def output_name(spark, d):
 
 # --- batch -------------------------------------------------------------------------------------------------------------
 
-_SELECT = "sel AS (SELECT f.file, NOT (coalesce(u.n, 0) > 0 AND o.file IS NULL AND coalesce(i.status, 'pending') <> 'reviewed') AS convert, CASE WHEN coalesce(u.n, 0) > 0 AND o.file IS NULL AND coalesce(i.status, 'pending') <> 'reviewed' THEN printf('%d unmapped colors', u.n) END AS reason FROM files f LEFT JOIN illus i ON f.file = i.file LEFT JOIN (SELECT file, count(*) AS n FROM resolved WHERE layer = 'none' GROUP BY file) u ON f.file = u.file LEFT JOIN (SELECT DISTINCT file FROM ovr) o ON f.file = o.file)"
+_SELECT = (
+    "sel AS (SELECT f.file, NOT (coalesce(u.n, 0) > 0 AND o.file IS NULL AND coalesce(i.status, 'pending') <> 'reviewed') AS convert, CASE"
+    " WHEN coalesce(u.n, 0) > 0 AND o.file IS NULL AND coalesce(i.status, 'pending') <> 'reviewed' THEN printf('%d unmapped colors', "
+    "u.n) END AS reason FROM files f LEFT JOIN illus i ON f.file = i.file LEFT JOIN (SELECT file, count(*) AS n FROM resolved"
+    " WHERE layer = 'none' GROUP BY file) u ON f.file = u.file LEFT JOIN (SELECT DISTINCT file FROM ovr) o ON f.file = o.file)"
+)
 
 
 @query(f", {_SELECT} SELECT file, convert, reason FROM sel")

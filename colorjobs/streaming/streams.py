@@ -12,7 +12,8 @@ from colorjobs.sources.tables import basename, status_of
 
 def stream_svgs(spark: SparkSession, path: str) -> DataFrame:
     """A streaming source of a folder's SVG documents."""
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.[sS][vV][gG]").load(path)
+    kind = "path string, modificationTime timestamp, length long, content binary"
+    files = spark.readStream.format("binaryFile").schema(kind).option("pathGlobFilter", "*.[sS][vV][gG]").load(path)
     return files.select(basename(F.col("path")).alias("file"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("mtime"))
 
 
