@@ -215,24 +215,31 @@ def _turns(model: Model):
 def parse(transcripts: DataFrame, model: Model, block: int = 64) -> DataFrame:
     """transcripts (conv_id, piece, text): raw text in pieces. Returns one row for each recovered turn."""
     small_batches(transcripts.sparkSession)
-    size, matrix, ends = len(model.states), "conv long, part long, m array<double>", "conv long, part long, entry int, leave int"
     pieces = transcripts.where("text != ''").select(F.col("conv_id").cast("long").alias("conv"), F.col("piece").cast("long").alias("piece"),
         F.xxhash64("text").alias("h"), "text")
     placed = numbered(lines_of(pieces, "conv", "piece", "h"), "conv", F.col("piece").asc_nulls_first(), F.col("h"), F.col("line"))
     part = F.floor(F.col("nth") / block).cast("long")
     lines = cut(placed.select("conv", "piece", "nth", "line", "text", "symbol", part.alias("part"), (part == 0).alias("opens")), "lines")
-    levels = [cut(lines.groupBy("conv", "part").applyInArrow(_sums(model), matrix), "blocks")]
-    while levels[-1].groupBy("conv").count().where("count > 1").take(1):
-        up = levels[-1].withColumn("up", F.floor(F.col("part") / block).cast("long"))
-        levels.append(cut(up.groupBy("conv", "up").applyInArrow(_combined(size), matrix), "blocks"))
-    best = F.array_position(F.slice("m", 1, size), F.array_max(F.slice("m", 1, size))) - 1  # all rows of an opening matrix are equal
-    known = levels[-1].select("conv", "part", F.lit(0).alias("entry"), best.cast("int").alias("leave"))
-    for level in reversed(levels[:-1]):
-        below = level.withColumn("up", F.floor(F.col("part") / block).cast("long"))
-        known = cut(join_nulls(below, known.withColumnRenamed("part", "up"), "conv", "up").groupBy("conv", "up").applyInArrow(_handed_down(size), ends), "ends")
+    sums = cut(lines.groupBy("conv", "part").applyInArrow(_sums(model), "conv long, part long, m array<double>"), "blocks")
+    known = _ends(sums, len(model.states), block)
     return join_nulls(lines, known, "conv", "part").groupBy("conv", "part").applyInArrow(_turns(model), TURN)
 
 
+def _ends(sums: DataFrame, size: int, block: int) -> DataFrame:
+    """sums (conv, part, m) -> conv, part, entry, leave: the best states before and after each block. Conversations of one
+    block are settled by it; those of several go up, ``block`` blocks as one, and come down again."""
+    many = cut(sums.groupBy("conv").count().where("count > 1").select("conv"), "many")
+    last = F.array_position(F.slice("m", 1, size), F.array_max(F.slice("m", 1, size))) - 1  # all rows of an opening matrix are equal
+    alone = join_nulls(sums, many, "conv", how="left_anti").select("conv", "part", F.lit(0).alias("entry"), last.cast("int").alias("leave"))
+    if not many.take(1):
+        return cut(alone, "ends")
+    several = join_nulls(sums, many, "conv", how="left_semi").withColumn("up", F.floor(F.col("part") / block).cast("long"))
+    above = cut(several.groupBy("conv", "up").applyInArrow(_combined(size), "conv long, part long, m array<double>"), "blocks")
+    known = _ends(above, size, block).withColumnRenamed("part", "up")
+    down = join_nulls(several, known, "conv", "up").groupBy("conv", "up").applyInArrow(_handed_down(size), "conv long, part long, entry int, leave int")
+    return cut(alone.unionByName(down), "ends")
+
+
 def as_spoken(role: Column, text: Column, key: Column) -> Column:
     """A turn as a transcript may show it: mostly with a marker in one of several spellings, sometimes with none."""
     style = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(5))
