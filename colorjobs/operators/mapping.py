@@ -6,9 +6,11 @@ that occurs more than once in a map, or in a file's overrides, counts once: the
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from colorjobs.functions.colors import channels, delta_e76, gray_value, hex_to_lab, hex_to_rgb, is_grayscale, normalize_hex
+from colorjobs.functions.colors import channels, delta_e76, gray_value, hex_to_lab, hex_to_rgb, is_grayscale, let, normalize_hex
 from colorjobs.operators.usage import folded
 from colorjobs.sources.shared import cut
 from colorjobs.sources.tables import STATUSES
@@ -24,37 +26,55 @@ def first_by(df: DataFrame, key: str, order: str = "ord", last: bool = False) ->
 # --- nearest -----------------------------------------------------------------------------------------------------------
 
 
-def nearest_color(colors: DataFrame, keys: DataFrame, metric: str = "lab", block_rows: int = 50_000) -> DataFrame:
+def nearest_color(colors: DataFrame, keys: DataFrame, metric: str = "lab", block_rows: int = 50_000, side: float = 16.0) -> DataFrame:
     """Colors (hex), keys (source, ord): hex, via, distance of the nearest key; ties to the smallest ord, then source.
 
-    Every distinct colour has to see every key. Keys are one array (in blocks of at most ``block_rows``), in order, that a
-    scalar subquery brings into the colour's own row: the first place of the smallest distance is the answer, so no pair
-    is ever a row, and nothing is joined, sorted or aggregated. The colours are dealt evenly over the shuffle partitions."""
+    Colour space is cut into cells of ``side``. Every cell has the keys in and around it as one array, in order, and a
+    colour meets its own cell's array by an equi-join: the first place of the smallest distance is its answer, final if
+    that distance is at most ``side``. The colours left over see all keys, one array (in blocks of at most ``block_rows``)
+    that a scalar subquery brings into their rows. So no pair is ever a row, and none is sorted or aggregated."""
     if metric not in ("lab", "rgb"):
         raise ValueError(f"metric must be lab or rgb, not {metric!r}")
     axes = ("L", "a", "b") if metric == "lab" else ("r", "g", "b")
     place = hex_to_lab(F.col("hex")) if metric == "lab" else hex_to_rgb(F.col("hex")).cast("struct<r:double,g:double,b:double>")
-    n = keys.count()
-    blocks = max(1, -(-n // block_rows))
-    keyed = cut(keys.select("ord", F.col("source").alias("hex")).distinct().select("ord", F.col("hex").alias("source"),
-        place.alias("q")).where("q is not null"), "keys")
-    own = colors.select("hex").distinct().repartition(int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = own.select("hex", place.alias("p"))
-    nearest = []
-    for b in range(blocks):
-        some = keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == b)
-        fields = F.struct("ord", "source", *(F.col(f"q.{k}").alias(k) for k in axes))
-        own = own.withColumn(f"k{b}", some.agg(F.array_sort(F.collect_list(fields)).alias("k")).scalar())  # at most block_rows rows
+    parts = int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = keys.select("ord", F.col("source").alias("hex")).distinct().select("ord", F.col("hex").alias("source"), place.alias("q"))
+    keyed = cut(keyed.where(f"q.{axes[0]} is not null").select("ord", "source", "q.*"), "keys")
+    # distinct colours are written with their places: a filter on what follows would otherwise go below the distinct, and the
+    # places would be worked out for each key
+    own = cut(colors.select("hex").distinct().select("hex", place.alias("p")).select("hex", "p.*").repartition(parts), "colors").where(f"{axes[0]} is not null")
+    blocks = -(-keyed.count() // block_rows)
+    if not blocks:
+        return own.where(F.lit(False)).select("hex", F.lit("").alias("via"), F.lit(0.0).alias("distance"))
+    fields = F.struct("ord", "source", *axes)
+
+    def nearest(block: str) -> Column:
+        """struct(d, ord, source) of an array column's nearest key, or null."""
 
         def away(x: Column) -> Column:
-            return F.sqrt(sum(((F.col(f"p.{k}") - x[k]) * (F.col(f"p.{k}") - x[k]) for k in axes), F.lit(0.0)))
-
-        own = own.withColumn(f"d{b}", F.transform(f"k{b}", away))
-        least = F.array_min(f"d{b}")
-        key = F.get(f"k{b}", (F.array_position(F.col(f"d{b}"), least) - 1).cast("int"))
-        nearest.append(F.when(least.isNotNull(), F.struct(least.alias("d"), key["ord"].alias("ord"), key["source"].alias("source"))))
-    best = nearest[0] if blocks == 1 else F.array_min(F.array_compact(F.array(*nearest)))
-    return own.select("hex", best.alias("m")).where("m is not null").select("hex", F.col("m.source").alias("via"), F.col("m.d").alias("distance"))
+            one, two, three = (F.col(k) - x[k] for k in axes)
+            return F.sqrt(one * one + two * two + three * three)
+
+        def first(d: Column) -> Column:
+            key = lambda m: F.get(F.col(block), (F.array_position(d, m) - 1).cast("int"))
+            return let(F.array_min(d), lambda m: F.when(m.isNotNull(), F.struct(m.alias("d"), key(m)["ord"].alias("ord"), key(m)["source"].alias("source"))))
+
+        return let(F.transform(block, away), first)
+
+    cell = [F.floor(F.col(k) / side).cast("int").alias(f"c{i}") for i, k in enumerate(axes)]
+    around = F.array(*(F.struct(*(F.lit(x).alias(f"x{i}") for i, x in enumerate(step))) for step in itertools.product((-1, 0, 1), repeat=3)))
+    placed = keyed.select(fields.alias("key"), *cell, F.explode(around).alias("x"))
+    cells = placed.groupBy(*((F.col(f"c{i}") + F.col(f"x.x{i}")).alias(f"c{i}") for i in range(3))).agg(F.array_sort(F.collect_list("key")).alias("k"))
+    met = own.select("hex", *axes, *cell).join(cells, ["c0", "c1", "c2"], "left").repartition(parts)
+    met = cut(met.select("hex", *axes, nearest("k").alias("m")), "near")
+    rest = met.where(f"m is null or m.d > {side}").select("hex", *axes).repartition(parts)
+    found = []
+    for b in range(blocks):
+        some = keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == b)
+        rest = rest.withColumn(f"k{b}", some.agg(F.array_sort(F.collect_list(fields)).alias("k")).scalar())  # at most block_rows rows
+        found.append(nearest(f"k{b}"))
+    far = rest.select("hex", (found[0] if blocks == 1 else F.array_min(F.array_compact(F.array(*found)))).alias("m"))
+    return met.where(f"m.d <= {side}").select("hex", "m").unionByName(far).select("hex", F.col("m.source").alias("via"), F.col("m.d").alias("distance"))
 
 
 def nearest_swatch(colors: DataFrame, swatches: DataFrame) -> DataFrame:

@@ -30,6 +30,7 @@ def _clusters(colors: DataFrame, k: int, most_rounds: int, still: float) -> tupl
     parts = int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     points = colors.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("p")).where("p.L is not null")
     points = cut(points.select("hex", "p.L", "p.a", "p.b", F.sha2("hex", 256).alias("h"), F.xxhash64("hex").alias("who")).repartition(parts), "points")
+    points = points.coalesce(max(1, points.count() // 100_000))  # a round is short: no more tasks than the points need
 
     def from_hash(after: str, n: int) -> list:
         """The next n points in hash order, from the beginning again after the last."""
@@ -42,12 +43,12 @@ def _clusters(colors: DataFrame, k: int, most_rounds: int, still: float) -> tupl
     before = None
 
     def assigned() -> DataFrame:
-        # centres are array literals: a round has the same code as the one before, so nothing is compiled again
-        c = F.array(*(F.array(*map(F.lit, c)) for c in centres))
-        square = lambda x, i: (F.col(x) - i) * (F.col(x) - i)
-        away = F.transform(c, lambda m: square("L", m[0]) + square("a", m[1]) + square("b", m[2]))
-        near = points.withColumn("away", away).withColumn("d", F.array_min("away"))
-        return near.withColumn("i", (F.array_position(F.col("away"), F.col("d")) - 1).cast("int")).drop("away")
+        # The centres are one row of plain columns (no constants, hence "+ 0 * id"), so that every round runs the code that
+        # the first one compiled; expressions are texts because a round's plan is built anew each time.
+        row = points.sparkSession.range(1).selectExpr(*(f"{v!r}D + 0 * id AS {x}{i}" for i, c in enumerate(centres) for x, v in zip("Lab", c, strict=True)))
+        away = ", ".join(" + ".join(f"({x} - {x}{i}) * ({x} - {x}{i})" for x in "Lab") for i in range(len(centres)))
+        near = points.join(F.broadcast(row)).selectExpr("hex", "L", "a", "b", "who", f"array({away}) AS away")
+        return near.selectExpr("hex", "L", "a", "b", "who", "array_min(away) AS d", "int(array_position(away, array_min(away)) - 1) AS i")
 
     for _ in range(most_rounds):
         if not centres:
