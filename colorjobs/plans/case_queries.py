@@ -10,7 +10,7 @@ from colorjobs.functions import colors as C
 from colorjobs.functions.svg import extract
 from colorjobs.operators import accessibility, batch, mapping, preflight, usage
 from colorjobs.plans import convert as plan
-from colorjobs.plans.queries import _DEV, _L, _NEAR, _DLAB, HEX, QUERIES, SQL, T, _a, _b, flat_cmyk, page_pixels, query
+from colorjobs.plans.queries import _DEV, _FORCE, _NEAR, HEX, QUERIES, SQL, T, page_pixels, query
 from colorjobs.sources import adapters as A
 from colorjobs.sources import tables
 from colorjobs.sources.shared import cut, fresh_path
@@ -340,6 +340,17 @@ def batch_files_mixed(spark, d):
     return out.select("file", "status", F.col("text_count").cast("int").alias("text_count"), "tac_status")
 
 
+@query(
+    _FORCE + """, first AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) AS k FROM hits JOIN el USING (file, ord, hex))
+SELECT f.file, string_agg(printf('line, line %s, width %.2f', h.hex, h.width), '; ' ORDER BY h.k) FILTER (h.k <= 2) AS samples FROM files f JOIN first h ON f.file = h.file GROUP BY f.file"""
+)
+def force_k_samples(spark, d):
+    """The first two samples of every file that has fine lines."""
+    t = T(spark, d)
+    hits = preflight.force_k_hits(cut(extract(t.svgs), "rows"), 1.0)
+    return preflight.force_k_report(hits.select("file").distinct(), hits, 2).select("file", F.array_join("samples", "; ").alias("samples"))
+
+
 _ALL = ", ".join(f"{S.simulated('hex', k)} AS {k}" for k in C.CB_TYPES)
 
 

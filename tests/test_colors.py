@@ -59,3 +59,11 @@ def test_cmyk(spark):
     df = spark.createDataFrame([("0/85/85/0",), ("0, 85.5,85,0",), ("1/2/3",), ("0/0/0/101",), (None,)], "t string")
     out = df.select(C.parse_cmyk(F.col("t")).alias("q")).select(F.when(F.col("q").isNotNull(), C.cmyk_label(F.col("q"))).alias("l")).collect()
     assert [r.l for r in out] == ["0/85/85/0", "0/85.5/85/0", None, None, None]
+
+
+def test_cmyk_lists_and_maps(spark):
+    rows = [([1.0, 2.0, 3.0, 4.0], {"c": "1", "M": "2.5"}), ([1.0, 2.0, 3.0], {"k": "101"}), (None, None)]
+    df = spark.createDataFrame(rows, "a array<double>, m map<string,string>")
+    out = df.select(C.parse_cmyk_array(F.col("a")).alias("a"), C.parse_cmyk_map(F.col("m")).alias("m")).collect()
+    assert [r.a and tuple(r.a) for r in out] == [(1, 2, 3, 4), None, None]
+    assert [r.m and tuple(r.m) for r in out] == [(1, 2.5, 0, 0), None, None]
