@@ -16,4 +16,4 @@ QUERIES = {
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
 }
-SQL = {"op1_urls": urls.op1_sql()}
+SQL = {"op1_urls": urls.op1_sql(), "op5_substrings": substrings.op5_sql(), "op8_decontaminate": decontaminate.op8_sql()}

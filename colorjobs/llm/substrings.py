@@ -303,3 +303,18 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
             ["n_words", "n_removed", "kept_sha256"])
 
     return found.select("doc_id", digest("text", "spans").alias("d")).select("doc_id", "d.*")
+
+
+def op5_sql() -> str:
+    """The repeat rule in DuckDB's SQL: every window of every document as a text."""
+    windows = "range(1, greatest(len(w) - 18, 1))"
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+seen AS (SELECT doc_id, unnest({windows}) AS i, unnest(list_transform({windows}, lambda i: array_to_string(w[i:i + 19], ' '))) AS t FROM d),
+again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS k FROM seen) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM again),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS text FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM d) ANTI
+  JOIN gone USING (doc_id, k) GROUP BY doc_id),
+lost AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN lost USING (doc_id)"""
