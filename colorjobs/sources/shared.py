@@ -66,8 +66,11 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 
 def keep(table: DataFrame) -> DataFrame:
-    """A table of cut() that outlives the scratch() it was made in."""
-    for made in _open:
+    """A table of cut() that outlives the scratch() it was made in; one that encloses it takes it over."""
+    for depth, made in enumerate(_open):
         if table._cut_at in made:
             made.remove(table._cut_at)
+            if depth:
+                _open[depth - 1].append(table._cut_at)
+            break
     return table
