@@ -6,28 +6,27 @@ from pyspark.sql import DataFrame, functions as F
 
 from colorjobs.functions.colors import CB_TYPES, channels, lab_distance, lab_of_rgb, simulate_cb, simulate_rgb
 from colorjobs.functions.svg import recolored
-from colorjobs.sources.shared import cut
 
 
 def cb_collapsed_pairs(usage: DataFrame, severity: float = 1.0, distinct: float = 25.0, collapse: float = 10.0) -> DataFrame:
     """(file, cb, hex_a, hex_b, de_orig, de_sim): pairs of a file's colours at least ``distinct`` apart that fall below
     ``collapse`` for a type of colour blindness.
 
-    Whether a pair collapses depends on its two colours alone: the distinct pairs of the library, from an equi-join on the
-    file, are judged, and the few that collapse are joined back to the files. Colours are simulated once each."""
+    Each colour is placed and simulated once; a file's pairs meet by an equi-join on the file and are
+    judged where they meet. In a library pairs repeat far less than colours do: to make them distinct first would shuffle
+    all of them for little."""
     colours = usage.select("file", "hex").distinct()
     a, b = colours.withColumnRenamed("hex", "hex_a"), colours.withColumnRenamed("hex", "hex_b")
     pairs = a.join(b, "file").where("hex_a < hex_b")
     rgb = F.array(*channels(F.col("hex")))
     seen = F.array(*(lab_of_rgb(simulate_rgb(F.col("rgb"), k, severity)) for k in CB_TYPES))
     known = colours.select("hex").distinct().select("hex", rgb.alias("rgb")).select("hex", lab_of_rgb(F.col("rgb")).alias("p"), seen.alias("s"))
-    known = cut(known.repartition(int(usage.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "simulated")
     ka, kb = (known.select(F.col("hex").alias(f"hex_{x}"), F.col("p").alias(f"p{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    far = pairs.select("hex_a", "hex_b").distinct().join(ka, "hex_a").join(kb, "hex_b").withColumn("de_orig",
+    far = pairs.join(ka, "hex_a").join(kb, "hex_b").withColumn("de_orig",
         lab_distance(F.col("pa"), F.col("pb"))).where(F.col("de_orig") >= distinct)
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("cb"), lab_distance(F.col("sa")[i], F.col("sb")[i]).alias("de_sim")) for i, k in enumerate(CB_TYPES))))
-    close = far.select("hex_a", "hex_b", "de_orig", each.alias("e")).select("e.cb", "hex_a", "hex_b", "de_orig", "e.de_sim").where(F.col("de_sim") < collapse)
-    return pairs.join(cut(close, "collapsed"), ["hex_a", "hex_b"]).select("file", "cb", "hex_a", "hex_b", "de_orig", "de_sim")
+    close = far.select("file", "hex_a", "hex_b", "de_orig", each.alias("e"))
+    return close.select("file", "e.cb", "hex_a", "hex_b", "de_orig", "e.de_sim").where(F.col("de_sim") < collapse)
 
 
 def cb_risk(usage: DataFrame, pairs: DataFrame, only_affected: bool = False) -> DataFrame:

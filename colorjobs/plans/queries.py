@@ -420,7 +420,7 @@ _CLOSE = " AND ".join(f"abs(round({S.channel('t.hex', i)} / 255e0, 4) - {S.chann
             f" JOIN dist x ON x.source = d.source LEFT JOIN tokens t ON t.hex = x.hex GROUP BY d.source")
 def match_paint_operators(spark, d):
     t = T(spark, d)
-    return mapping.paint_report(mapping.match_paint_operators(paint_ops(t), t.device), t.device)
+    return mapping.paint_report(mapping.match_paint_operators(cut(paint_ops(t), "ops"), t.device), t.device)
 
 
 _ICCLAB = (
