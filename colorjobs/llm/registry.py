@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language, mixing, neighbours, quality, simhash, substrings, tokens, urls
+from . import bpe, chat, decontaminate, language, middle, mixing, negatives, neighbours, quality, simhash, substrings, tokens, urls
 
 QUERIES = {
     "op1_urls": urls.op1_urls,
@@ -15,5 +15,9 @@ QUERIES = {
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_simhash": simhash.op9_simhash,
     "op10_mixing": mixing.op10_mixing,
+    "op11_middle": middle.op11_middle,
+    "op12_bpe": bpe.op12_bpe,
+    "op13_negatives": negatives.op13_negatives,
 }
-SQL = {"op1_urls": urls.op1_sql(), "op5_substrings": substrings.op5_sql(), "op8_decontaminate": decontaminate.op8_sql()}
+SQL = {"op1_urls": urls.op1_sql(), "op5_substrings": substrings.op5_sql(), "op8_decontaminate": decontaminate.op8_sql(),
+    "op11_middle": middle.op11_sql(), "op13_negatives": negatives.op13_sql()}
