@@ -11,6 +11,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colorjobs.functions.colors import channels, delta_e76, gray_value, hex_to_lab, hex_to_rgb, is_grayscale, let, normalize_hex
+from colorjobs.operators.ranking import ranked
 from colorjobs.operators.usage import folded
 from colorjobs.sources.shared import cut
 from colorjobs.sources.tables import STATUSES
@@ -85,10 +86,17 @@ def nearest_swatch(colors: DataFrame, swatches: DataFrame) -> DataFrame:
     return colors.select("hex").distinct().join(named, "hex", "left").select("hex", "swatch_id", "distance")
 
 
-def suggest(usage: DataFrame, global_map: DataFrame, overrides: DataFrame, metric: str = "lab", threshold: float = 10.0, nearest: bool = True) -> DataFrame:
-    """Override, exact, nearest within the threshold, or none."""
+def of_pipeline(rows: DataFrame, pipeline: str) -> DataFrame:
+    """Rows of one pipeline that have a target; a table without the column has those of one pipeline only."""
+    rows = rows.where("target != ''")
+    return rows.where(F.col("pipeline") == pipeline) if "pipeline" in rows.columns else rows
+
+
+def suggest(usage: DataFrame, global_map: DataFrame, overrides: DataFrame, metric: str = "lab", threshold: float = 10.0, nearest: bool = True,
+    pipeline: str = "grayscale") -> DataFrame:
+    """Override, exact, nearest within the threshold, or none; all of one pipeline."""
     colors = usage.select("hex").distinct()
-    g = folded(global_map.where("target != ''").select("source", "target", "label", "notes", "ord"), "source")
+    g = folded(of_pipeline(global_map, pipeline).select("source", "target", "label", "notes", "ord"), "source")
     exact = colors.join(g, colors.hex == g.source).select("hex",
         F.struct("target", F.lit("exact").alias("kind"), F.lit(0.0).alias("distance"), F.col("source").alias("via"), "label", "notes").alias("s"))
     if nearest:
@@ -96,7 +104,7 @@ def suggest(usage: DataFrame, global_map: DataFrame, overrides: DataFrame, metri
         near = nearest_color(left, g.select("source", "ord"), metric).where(F.col("distance") <= threshold)
         near = near.join(g, near.via == g.source).select("hex", F.struct("target", F.lit("near").alias("kind"), "distance", "via", "label", "notes").alias("s"))
         exact = exact.unionByName(near)
-    o = folded(overrides.where("target != ''").select("file", "source", "target"), "file", "source")
+    o = folded(of_pipeline(overrides, pipeline).select("file", "source", "target"), "file", "source")
     o = o.select("file", F.col("source").alias("hex"), F.struct("target", F.lit("exact").alias("kind"), F.lit(0.0).alias("distance"),
         F.col("source").alias("via"), F.lit("override").alias("label"), F.lit("").alias("notes")).alias("o"))
     none = F.struct(F.lit(None).cast("string").alias("target"), F.lit("none").alias("kind"), F.lit(None).cast("double").alias("distance"),
@@ -108,10 +116,10 @@ def suggest(usage: DataFrame, global_map: DataFrame, overrides: DataFrame, metri
 # --- layers ------------------------------------------------------------------------------------------------------------
 
 
-def merge_mappings(usage: DataFrame, global_map: DataFrame, overrides: DataFrame) -> DataFrame:
-    """J4 for the colours in use: (file, source, target); entries with an empty target are dropped, overrides win."""
-    o = folded(overrides.where("target != ''").select("file", "source", "target"), "file", "source").withColumnRenamed("target", "o")
-    g = folded(global_map.where("target != ''"), "source").select("source", F.col("target").alias("g"))
+def merge_mappings(usage: DataFrame, global_map: DataFrame, overrides: DataFrame, pipeline: str = "grayscale") -> DataFrame:
+    """J4 for the colours in use, in one pipeline: (file, source, target); entries with an empty target are dropped, overrides win."""
+    o = folded(of_pipeline(overrides, pipeline).select("file", "source", "target"), "file", "source").withColumnRenamed("target", "o")
+    g = folded(of_pipeline(global_map, pipeline), "source").select("source", F.col("target").alias("g"))
     return usage.select("file", F.col("hex").alias("source")).join(o, ["file", "source"], "left").join(g, "source", "left").select("file", "source",
         F.coalesce("o", "g").alias("target")).where("target is not null")
 
@@ -150,9 +158,9 @@ def resolve_palette(suggestions: DataFrame, manual: DataFrame) -> DataFrame:
         F.coalesce(F.when(fine, F.col("pick")), F.col("suggested")).alias("target"), F.when(~fine, F.col("pick")).alias("rejected"))
 
 
-def persistable_overrides(picks: DataFrame, global_map: DataFrame) -> DataFrame:
-    """J8."""
-    g = global_map.select("source", F.col("target").alias("g"))
+def persistable_overrides(picks: DataFrame, global_map: DataFrame, pipeline: str = "grayscale") -> DataFrame:
+    """Picks that change something: neither the colour itself nor what the pipeline's map says of it."""
+    g = folded(of_pipeline(global_map, pipeline), "source").select("source", F.col("target").alias("g"))
     return picks.join(g, "source", "left").where((F.col("target") != F.col("source")) & ~F.col("target").eqNullSafe(F.col("g"))).select("file",
         "source", "target")
 
@@ -163,10 +171,16 @@ def unmapped_colors(resolved: DataFrame) -> DataFrame:
 
 
 def device_merge(global_device: DataFrame, per_file: DataFrame, files: DataFrame) -> DataFrame:
-    """(file, source, cmyk): for each of ``files`` the global overrides, its own on top; sources that are no colour go."""
+    """(file, source, cmyk): for each of ``files`` the global overrides, its own on top; sources that are no colour go. Of
+    sources that are one colour in other spellings the last counts: by ord where there is one, else the largest spelling."""
     key = normalize_hex(F.col("source"))
-    g = global_device.select(key.alias("source"), "cmyk").where("source is not null").groupBy("source").agg(F.min("cmyk").alias("cmyk"))
-    o = per_file.select("file", key.alias("source"), F.col("cmyk").alias("own")).where("source is not null")
+
+    def last(rows: DataFrame, *by: str) -> DataFrame:
+        order = F.struct(*(["ord"] if "ord" in rows.columns else []), F.col("source").alias("spelled"), "cmyk")
+        return rows.select(*by, key.alias("hex"), "cmyk", order.alias("o")).where("hex is not null").groupBy(*by,
+            F.col("hex").alias("source")).agg(F.max_by("cmyk", "o").alias("cmyk"))
+
+    g, o = last(global_device), last(per_file, "file").withColumnRenamed("cmyk", "own")
     used = files.select("file", F.col("hex").alias("source")).distinct()
     return used.join(g, "source", "left").join(o, ["file", "source"], "left").select("file", "source",
         F.coalesce("own", "cmyk").alias("cmyk")).where("cmyk is not null")
@@ -196,15 +210,20 @@ def palette_usage(swatches: DataFrame, usage: DataFrame) -> DataFrame:
 
 
 def auto_migrate(slots: DataFrame, global_map: DataFrame, pipeline: str) -> tuple[DataFrame, DataFrame]:
-    """(new slots, new theme targets) for unclaimed sources, in map order; each takes the lowest free number."""
+    """(new slots, new theme targets) for unclaimed sources, in map order; each takes the lowest free number.
+
+    Sources and free numbers are ranked alike, each over the whole table by ranges, and the n-th source meets the n-th number by
+    an equi-join: neither has to fit one task."""
     mapped = folded(global_map.where((F.col("pipeline") == pipeline) & (F.col("target") != "")), "source")
-    open_ = mapped.join(slots.select(F.col("authored").alias("source")), "source", "left_anti")
-    names = slots.agg(F.coalesce(F.collect_set("name"), F.array().cast("array<string>")).alias("used"))  # slots are made by hand: one short list
-    n = F.row_number().over(W.orderBy("ord", "source"))  # and so is a global map
-    # the n-th free name is among the first n + (number of names) ones
-    numbered = open_.withColumn("n", n).join(F.broadcast(names))  # one row
-    every = F.transform(F.sequence(F.lit(1), F.col("n") + F.size("used")), lambda i: F.format_string("auto.%03d", i))
-    made = numbered.withColumn("name", F.element_at(F.filter(every, lambda x: ~F.array_contains("used", x)), F.col("n")))
+    open_ = mapped.join(slots.select(F.col("authored").alias("source")).distinct(), "source", "left_anti")
+    rows = ranked(open_.select("source", "target", "label", "notes", "ord"), F.col("ord").asc_nulls_first(), F.col("source").asc())
+    named = F.format_string("auto.%03d", "number")
+    number = F.regexp_extract("name", r"^auto\.(\d{1,18})$", 1).try_cast("long").alias("number")
+    used = slots.select("name", number).where((F.col("number") > 0) & (named == F.col("name"))).select("number").distinct()
+    # with so many numbers in use, the n-th free one is at most n + that many
+    most = rows.count() + used.count()
+    free = ranked(rows.sparkSession.range(1, most + 1).toDF("number").join(used, "number", "left_anti"), F.col("number").asc())
+    made = rows.join(free, "nth").withColumn("name", named)
     label = F.when(F.coalesce("label", F.lit("")) == "", F.col("source")).otherwise(F.col("label"))
     new = made.select("name", F.col("source").alias("authored"), label.alias("label"), "notes", "ord")
     return new, made.select(F.col("name").alias("slot"), F.lit(pipeline).alias("pipeline"), "target")
@@ -351,12 +370,14 @@ def unmapped_preview(resolved: DataFrame, n: int = 8) -> DataFrame:
     return first.join(total, "file").select("file", "first", (F.col("total") - F.size("first")).alias("more"))
 
 
-def replace_preflight(global_map: DataFrame, overrides: DataFrame, swatches: DataFrame) -> DataFrame:
-    """For each swatch what replace_globally would change."""
-    m = swatches.select("id", "source_hex", F.explode("members").alias("source")).where("source != source_hex")
-    g = m.join(global_map.select("source", F.col("target").alias("g")), "source",
+def replace_preflight(global_map: DataFrame, overrides: DataFrame, swatches: DataFrame, pipeline: str = "cmyk") -> DataFrame:
+    """For each swatch what replace_globally would change in that pipeline. A member, and a source of the map, counts once."""
+    m = swatches.select("id", "source_hex", F.explode("members").alias("source")).where("source != source_hex").distinct()
+    g = folded(of_pipeline(global_map, pipeline), "source")
+    overrides = overrides.where(F.col("pipeline") == pipeline) if "pipeline" in overrides.columns else overrides
+    g = m.join(g.select("source", F.col("target").alias("g")), "source",
         "left").groupBy("id").agg(F.sum((~F.col("g").eqNullSafe(F.col("source_hex"))).cast("int")).cast("long").alias("global_changes"))
-    o = m.join(overrides.select("file", "source"), "source")
+    o = m.join(overrides.select("file", "source").distinct(), "source")
     gone = o.groupBy("id").agg(F.count("*").alias("overrides_deleted"))
     files = o.select("id", "file").distinct().groupBy("id").agg(F.count("*").alias("files"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)

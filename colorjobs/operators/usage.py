@@ -60,8 +60,10 @@ def batch_palette(usage: DataFrame) -> DataFrame:
     return usage.groupBy("hex").agg(F.count("*").alias("n_files"))
 
 
-def palette_report(palette: DataFrame, corrections: DataFrame) -> DataFrame:
-    """C10. Of a source that occurs twice the last correction counts."""
+def palette_report(palette: DataFrame, corrections: DataFrame, pipeline: str = "cmyk") -> DataFrame:
+    """C10. Only the pipeline's rows are corrections (a table without that column has no others); of a source that occurs
+    twice the last one counts."""
+    corrections = corrections.where(F.col("pipeline") == pipeline) if "pipeline" in corrections.columns else corrections
     t = folded(corrections, "source").select(F.col("source").alias("hex"), F.col("target").alias("t"))
     return palette.join(t, "hex", "left").select("hex", "n_files", F.coalesce("t", "hex").alias("target"),
         (F.col("t").isNull() | (F.col("t") == F.col("hex"))).alias("unchanged"))

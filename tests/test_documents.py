@@ -155,7 +155,7 @@ def test_repeated_sources_count_once(spark):
     assert [r.target for r in mapping.suggest(u, g, none).collect()] == ["#222222"]
     assert [r.target for r in mapping.suggest(u, g, twice).collect()] == ["#444444"]
     assert [r.target for r in mapping.merge_mappings(u, g, twice).collect()] == ["#444444"]
-    assert [r.target for r in usage.palette_report(usage.batch_palette(u), g).collect()] == ["#222222"]
+    assert [r.target for r in usage.palette_report(usage.batch_palette(u), g, "grayscale").collect()] == ["#222222"]
     svg = spark.createDataFrame([("a", INLINE)], "file string, content string")
     assert 'fill="#444444"' in batch.recolor_svgs(svg, twice.select("file", "source", "target")).first().content
 
