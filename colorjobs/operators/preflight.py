@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colorjobs.functions.colors import delta_e76, parse_length_pt, user_units_per_pt, viewbox
 from colorjobs.functions.svg import STROKED
+from colorjobs.operators.components import components
 from colorjobs.session import ship
+from colorjobs.sources.shared import cut
 
 # --- fine black lines --------------------------------------------------------------------------------------------------
 
@@ -96,56 +98,81 @@ def eroded(mask: DataFrame, pages: DataFrame) -> DataFrame:
     return votes.where("own = 1").join(pages, "page").where(F.col("n") == inside(F.col("x"), "px_w") * inside(F.col("y"), "px_h")).select("page", "x", "y")
 
 
-def blob_strips(mask: DataFrame) -> DataFrame:
-    """Horizontal runs of a mask: (page, y, x0, x1), x1 excluded. Far fewer rows than pixels."""
-    w = W.partitionBy("page", "y").orderBy("x")
-    return mask.withColumn("run", F.col("x") - F.row_number().over(w)).groupBy("page", "y", "run").agg(F.min("x").alias("x0"),
-        (F.max("x") + 1).alias("x1")).drop("run")
-
+def blob_strips(mask: DataFrame, tile: int) -> DataFrame:
+    """Horizontal runs of a mask, cut where tiles end: (page, tx, ty, y, x0, x1), x1 excluded. Far fewer rows than pixels."""
+    w = W.partitionBy("page", "y", "tx").orderBy("x")
+    placed = mask.withColumn("tx", F.floor(F.col("x") / tile).cast("int")).withColumn("run", F.col("x") - F.row_number().over(w))
+    return placed.groupBy("page", "y", "tx", "run").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1")).select(
+        F.col("page").cast("string").alias("page"), "tx", F.floor(F.col("y") / tile).cast("int").alias("ty"), F.col("y").cast("int").alias("y"),
+        F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
 
-REGION = "page string, x0 int, y0 int, x1 int, y1 int, area long"
 
+PART = "page string, id long, seam boolean, tx int, x0 int, y0 int, x1 int, y1 int, area long"
 
-def diff_regions(mask: DataFrame, least: int = 16, most: int | None = 6) -> DataFrame:
-    """4-connected blobs of at least ``least`` pixels, the largest ``most`` of a page (a report; None for all).
 
-    A page's runs (one row for each run of pixels in a line) meet in one small union-find; a page is bounded by its size."""
-    ship(mask.sparkSession)
+def tile_parts(strips: DataFrame, tile: int) -> DataFrame:
+    """Blobs inside each tile, and their runs on the tile's edges (seam). A blob's id is the place of its first pixel, so it is
+    one of a kind in its page. A tile has at most tile * tile / 2 runs, whatever the page's size."""
+    ship(strips.sparkSession)
+    kinds = [pa.string(), pa.int64(), pa.bool_(), *[pa.int32()] * 5, pa.int64()]
+    names = [c.split()[0] for c in PART.split(", ")]
 
     def of(group: pa.Table) -> pa.Table:
-        rows = sorted(group.to_pylist(), key=lambda r: (r["y"], r["x0"]))
-        parent = list(range(len(rows)))
+        rows = sorted(zip(*(group.column(c).to_pylist() for c in ("y", "x0", "x1")), strict=True))
+        page, tx = group.column("page")[0].as_py(), group.column("tx")[0].as_py()
+        root = list(range(len(rows)))
 
         def find(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
             return i
 
-        above = 0
-        for i, r in enumerate(rows):
-            while above < i and (rows[above]["y"] < r["y"] - 1 or rows[above]["y"] == r["y"] - 1 and rows[above]["x1"] <= r["x0"]):
-                above += 1
-            j = above
-            while j < i and rows[j]["y"] == r["y"] - 1 and rows[j]["x0"] < r["x1"]:
-                parent[find(j)] = find(i)
-                j += 1
-        boxes: dict = {}
-        for i, r in enumerate(rows):
+        line: dict[int, list[int]] = {}
+        for i, (y, x0, x1) in enumerate(rows):
+            for j in line.get(y - 1, ()):
+                if rows[j][1] < x1 and x0 < rows[j][2]:
+                    a, b = sorted((find(i), find(j)))
+                    root[b] = a
+            line.setdefault(y, []).append(i)
+        blobs: dict[int, list[int]] = {}
+        out = []
+        for i, (y, x0, x1) in enumerate(rows):
             k = find(i)
-            x0, y0, x1, y1, area = boxes.get(k, (r["x0"], r["y"], r["x1"], r["y"] + 1, 0))
-            boxes[k] = min(x0, r["x0"]), min(y0, r["y"]), max(x1, r["x1"]), max(y1, r["y"] + 1), area + r["x1"] - r["x0"]
-        out = [(rows[0]["page"], *b) for b in boxes.values() if b[4] >= least]
-        cols = list(zip(*out, strict=True)) or [[]] * 6
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("page", "x0", "y0", "x1", "y1", "area"), cols,
-            (pa.string(), *[pa.int32()] * 4, pa.int64()), strict=True)})
-
-    strips = blob_strips(mask).select(F.col("page").cast("string").alias("page"), F.col("y").cast("int").alias("y"),
-        F.col("x0").cast("int").alias("x0"), F.col("x1").cast("int").alias("x1"))
-    regions = strips.groupBy("page").applyInArrow(of, REGION)
+            first = rows[k][0] << 32 | rows[k][1]
+            box = blobs.setdefault(first, [x0, y, x1, y + 1, 0])
+            box[:] = min(box[0], x0), min(box[1], y), max(box[2], x1), max(box[3], y + 1), box[4] + x1 - x0
+            if y % tile in (0, tile - 1) or x0 % tile == 0 or x1 % tile == 0:
+                out.append((page, first, True, tx, x0, y, x1, y + 1, x1 - x0))
+        out += [(page, first, False, tx, *box) for first, box in blobs.items()]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(names, zip(*out, strict=True), kinds, strict=True)})
+
+    return strips.groupBy("page", "ty", "tx").applyInArrow(of, PART)
+
+
+def seam_edges(parts: DataFrame, tile: int) -> DataFrame:
+    """(page, a, b): blobs of neighbouring tiles that touch: one run below another, or one that goes on in the next tile."""
+    runs = parts.where("seam").select("page", "id", "tx", "x0", "x1", "y0")
+    up = runs.where(F.col("y0") % tile == tile - 1).select("page", "tx", (F.col("y0") + 1).alias("y0"), F.col("id").alias("a"), F.col("x0").alias("u0"),
+        F.col("x1").alias("u1"))
+    below = up.join(runs.where(F.col("y0") % tile == 0), ["page", "tx", "y0"]).where("u0 < x1 and x0 < u1").select("page", "a", F.col("id").alias("b"))
+    left = runs.where(F.col("x1") % tile == 0).select("page", "y0", F.col("x1").alias("x0"), F.col("id").alias("a"))
+    return below.unionByName(left.join(runs.where(F.col("x0") % tile == 0), ["page", "y0", "x0"]).select("page", "a", F.col("id").alias("b")))
+
+
+def diff_regions(mask: DataFrame, least: int = 16, most: int | None = 6, tile: int = 256) -> DataFrame:
+    """4-connected blobs of at least ``least`` pixels, the largest ``most`` of a page (a report; None for all).
+
+    Blobs are found inside tiles of ``tile`` by ``tile`` pixels, which are tasks' groups however large a page is; those that
+    touch across a seam are edges of a graph whose components are the page's blobs."""
+    parts = cut(tile_parts(blob_strips(mask, tile), tile), "parts")
+    roots = components(seam_edges(parts, tile), "page").withColumnRenamed("a", "id")
+    box = [F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.sum("area").alias("area")]
+    whole = parts.where("not seam").join(roots, ["page", "id"], "left").groupBy("page", F.coalesce("root", "id").alias("root")).agg(*box)
+    regions = whole.where(F.col("area") >= least).drop("root")
     if most is None:
         return regions
-    k = F.row_number().over(W.partitionBy("page").orderBy(F.desc("area"), "y0", "x0"))
+    k = F.row_number().over(W.partitionBy("page").orderBy(F.desc("area"), "y0", "x0", "x1", "y1"))
     return regions.withColumn("k", k).where(F.col("k") <= most).drop("k")
 
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from colorjobs.functions import color_sql as S
 from colorjobs.functions import colors as C
 from colorjobs.functions.svg import extract
-from colorjobs.operators import accessibility, batch, mapping, preflight, usage
+from colorjobs.operators import accessibility, batch, changes, mapping, preflight, usage
 from colorjobs.plans import convert as plan
-from colorjobs.plans.queries import _DEV, _FORCE, _NEAR, HEX, QUERIES, SQL, T, page_pixels, query
+from colorjobs.plans.queries import _DEV, _FORCE, _NEAR, HEX, PRE, QUERIES, SQL, T, page_mask, page_pixels, query
 from colorjobs.sources import adapters as A
 from colorjobs.sources import tables
 from colorjobs.sources.shared import cut, fresh_path
@@ -285,6 +285,53 @@ def replace_globally_map(spark, d):
     return mapping.replace_globally(t.gmap, t.ovr, t.swatches, "grayscale")[0].select("source", "target")
 
 
+def stored(t: T, *names: str):
+    """A store with the run's tables in it."""
+    store = changes.library_store(t.spark, fresh_path(t.spark, "library"))
+    have = {"global_map": t.gmap, "overrides": t.ovr, "illustrations": t.illus, "device": own_device(t)}
+    changes.load(store, "load", {n: have[n].select(*store.read(n).columns) for n in names})
+    return store
+
+
+@query(SQL["replace_globally"][len(PRE) :] + " UNION ALL SELECT 'map', source, target FROM (SELECT source, target FROM gmap WHERE source NOT IN (SELECT hex FROM m)"
+    " UNION ALL SELECT hex, source_hex FROM m)")
+def replace_globally_stored(spark, d):
+    """U4 in place, run twice."""
+    t = T(spark, d)
+    store = stored(t, "global_map", "overrides")
+    for _ in range(2):
+        changes.replace_globally(store, "merge", t.swatches, "grayscale")
+    return store.read("overrides").select("file", "source", "target").union(store.read("global_map").select(F.lit("map"), "source", "target"))
+
+
+@query(SQL["wipe_pipeline"][len(PRE) :])
+def wipe_pipeline_stored(spark, d):
+    """U3 in place."""
+    t = T(spark, d)
+    store = stored(t, "overrides", "illustrations")
+    changes.wipe_pipeline(store, "wipe", t.illus.where(EVEN).select("file"), "grayscale")
+    return store.read("illustrations").select("file", "status", "cmyk_status")
+
+
+@query(SQL["mark_status"][len(PRE) :])
+def mark_status_stored(spark, d):
+    """U7 in place."""
+    t = T(spark, d)
+    store = stored(t, "illustrations")
+    changes.mark_status(store, "mark", t.ovr.select("file"), "exported", F.lit("2024-01-01").cast("timestamp"))
+    return store.read("illustrations").select("file", "status")
+
+
+@query(SQL["upsert_map"][len(PRE) :])
+def upsert_map_stored(spark, d):
+    """U1 in place."""
+    t = T(spark, d)
+    store = stored(t, "global_map")
+    rows = t.slots.select(F.lit("grayscale").alias("pipeline"), F.col("authored").alias("source"), A.hexed(F.col("ord")).alias("target"), "label", "notes")
+    changes.upsert_map(store, "upsert", rows)
+    return store.read("global_map").select("source", "target")
+
+
 _RESET = "(SELECT hex FROM usage WHERE CAST(file AS BIGINT) % 500 = 0)"
 
 
@@ -404,6 +451,15 @@ SQL["render_summary"] = _recursive(
 )
 
 
+@query(name="render_diff_tiles")
+def render_diff_tiles(spark, d):
+    """A14 in tiles of three pixels: most blobs cross a seam."""
+    return preflight.diff_regions(page_mask(spark, d), least=1, tile=3)
+
+
+SQL["render_diff_tiles"] = SQL["render_diff"]
+
+
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS page, l_suppkey % 2 = 0 AS had_content, CASE WHEN l_suppkey % 2 = 0 THEN"
     " round((max(l_partkey % 8) + 1 - min(l_partkey % 8)) * 10e0 / 96e0 + 8e0 / 72e0, 6) END AS width_in FROM lineitem GROUP BY l_suppkey")
 def content_bbox_empty(spark, d):

@@ -145,7 +145,7 @@ def batch_palette(spark, d):
     " FROM usage GROUP BY hex) LEFT JOIN gmap ON hex = source")
 def palette_report(spark, d):
     t = T(spark, d)
-    return usage.palette_report(usage.batch_palette(t.usage), t.gmap)
+    return usage.palette_report(usage.batch_palette(t.usage), t.gmap, "grayscale")
 
 
 @query("SELECT file, hex, n, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY file ORDER BY n DESC, hex) AS INT) AS rank FROM usage) WHERE rank <= 3")
@@ -525,7 +525,7 @@ def unmapped_preview(spark, d):
                 " JOIN ovr o ON m.hex = o.source WHERE m.id = s.id AND m.hex <> m.source_hex) AS BIGINT) AS files FROM swatches s")
 def replace_preflight(spark, d):
     t = T(spark, d)
-    return mapping.replace_preflight(t.gmap, t.ovr, t.swatches)
+    return mapping.replace_preflight(t.gmap, t.ovr, t.swatches, "grayscale")
 
 
 _PAIRS = f""", sim AS MATERIALIZED (SELECT hex, {", ".join(f"{S.simulated('hex', k)} AS {k}" for k in C.CB_TYPES)} FROM colors),
@@ -689,13 +689,16 @@ def content_bbox(spark, d):
     return preflight.content_bbox(pages, px).select("page", "had_content", F.round("width_in", 6).alias("width_in"), F.round("height_in", 6).alias("height_in"))
 
 
-@query()
-def render_diff(spark, d):
+def page_mask(spark, d) -> DataFrame:
     pages, px = page_pixels(spark, d)
     white = px.select("page", "x", "y", *(F.lit(255).alias(c) for c in "rgb"))
     ink = px.select("page", "x", "y", *(F.when(F.col("alpha") <= 2, 0).otherwise(255).alias(c) for c in "rgb"))
-    mask = cut(preflight.diff_mask(white, ink), "mask")
-    return preflight.diff_regions(preflight.eroded(mask, pages), least=1)
+    return preflight.eroded(cut(preflight.diff_mask(white, ink), "mask"), pages)
+
+
+@query()
+def render_diff(spark, d):
+    return preflight.diff_regions(page_mask(spark, d), least=1)
 
 
 @query("SELECT page, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM (SELECT"
@@ -846,12 +849,9 @@ def stream_status(spark, d):
     kinds = A.read(spark, d, "events").schema
     raw = spark.readStream.schema(kinds).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
     events = raw.select(F.col("user_id").cast("string").alias("file"), F.col("ts").cast("timestamp").alias("ts"), F.expr(_STATUS).alias("status"))
-    name = f"latest_{uuid.uuid4().hex}"
-    target = f"{shared_dir(spark)}/{name}"
-    put = lambda batch, _: batch.write.mode("overwrite").parquet(target)  # noqa: E731  complete mode: each batch is the whole result
-    streams.latest_status(events).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation",
-        f"{target}-checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(target)
+    target = f"{shared_dir(spark)}/latest-{uuid.uuid4().hex}"
+    streams.stream_status(events, f"{target}/out", f"{target}/checkpoint").awaitTermination()
+    return streams.current_status(spark, f"{target}/out")
 
 
 @query("SELECT file, hex, n FROM usage")
