@@ -103,7 +103,8 @@ def profiles(docs: DataFrame, size: int = 400) -> DataFrame:
     small_batches(docs.sparkSession)
     total = gram_counts(docs).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     nth = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    return total.withColumn("rank", nth - 1).where(F.col("rank") < size).select("lang", "gram", "rank")
+    # the filter stands on the place itself, so each task sends its own first ``size`` n-grams of a language only
+    return total.withColumn("nth", nth).where(F.col("nth") <= size).select("lang", "gram", (F.col("nth") - 1).alias("rank"))
 
 
 class RankOrder:

@@ -20,9 +20,9 @@ range as radius, so no query goes short.
 
 Defined cases: vectors that are null, zero, hold null or non-finite components, or differ in length from the most common
 length take no part; vectors are scaled by a power of two before norms, which changes no cosine, so very large and very
-small components are as good as others; equal cosines go to the smaller id; repeated ids are vectors of their own, and a
-query never meets rows with its own id; a null id takes part as a row of its own, last among equals; extra columns are
-not read; an empty table gives no rows.
+small components are as good as others; equal cosines go to the smaller id; repeated ids are vectors of their own, so a row
+with the query's id is found like any other, only the query's own row is not; a null id takes part as a row of its own,
+last among equals; extra columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 from .common import cut, small_batches, table
 
-#: Stands for a null id inside a task: no row of a table has to give way to it, ids are compared with validity.
-NO_ID = np.iinfo(np.int64).max
 
 
 def fine(v: Column) -> Column:
@@ -160,80 +158,86 @@ class SubstringTables:
 class Best:
     """The k best rows of every query of a block, over all rows seen so far."""
 
-    def __init__(self, codes: Codes, ids: np.ndarray, queries: np.ndarray, sub_bits: int, whole: bool):
-        self.model, self.k, self.sub_bits, self.ids = codes, codes.k, sub_bits, ids
+    def __init__(self, codes: Codes, own: np.ndarray, queries: np.ndarray, sub_bits: int, whole: bool):
+        """own: the place of each query's own row, or -1."""
+        self.model, self.k, self.sub_bits, self.own = codes, codes.k, sub_bits, own
         self.q = scaled(queries)
         self.norm = np.sqrt((self.q * self.q).sum(axis=1))
         directions = self.q / self.norm[:, None]
         self.code = codes.signs(directions)
-        self.most = np.full(len(ids), codes.bits) if whole else codes.radius(codes.floors(directions))
-        self.score, self.row = np.full((len(ids), self.k), -np.inf), np.full((len(ids), self.k), NO_ID)
+        self.most = np.full(len(own), codes.bits) if whole else codes.radius(codes.floors(directions))
+        self.score, self.id = np.full((len(own), self.k), -np.inf), np.zeros((len(own), self.k), np.int64)
+        self.unnamed = np.ones((len(own), self.k), bool)
 
-    def see(self, rid: np.ndarray, rows: np.ndarray) -> None:
+    def see(self, place: np.ndarray, rid: np.ndarray, unnamed: np.ndarray, rows: np.ndarray) -> None:
+        """place: of each row; rid: its id, where it has one (not ``unnamed``)."""
         r = scaled(rows)
         norm = np.sqrt((r * r).sum(axis=1))
         tables = SubstringTables(self.model.signs(r / norm[:, None]), self.model.bits, self.sub_bits)
         for i, code in enumerate(self.code):
-            score, row, radius = self.score[i], self.row[i], self.most[i]
+            score, row, null, radius = self.score[i], self.id[i], self.unnamed[i], self.most[i]
             for at_radius, new in tables.rings(code):
-                new = new[rid[new] != self.ids[i]]
+                new = new[place[new] != self.own[i]]
                 if len(new):
                     cosine = (r[new] * self.q[i]).sum(axis=1) / (norm[new] * self.norm[i])
-                    score, row = np.concatenate([score, cosine]), np.concatenate([row, rid[new]])
-                    best = np.lexsort((row, -score))[: self.k]
-                    score, row = score[best], row[best]
+                    score, row, null = np.concatenate([score, cosine]), np.concatenate([row, rid[new]]), np.concatenate([null, unnamed[new]])
+                    best = np.lexsort((row, null, -score))[: self.k]
+                    score, row, null = score[best], row[best], null[best]
                     radius = min(radius, int(self.model.radius(score[-1:])[0]))
                 if at_radius >= radius:
                     break
-            self.score[i], self.row[i] = score, row
+            self.score[i], self.id[i], self.unnamed[i] = score, row, null
 
 
 FOUND = "n long, vec_id long, score double"
 
 
 def search_block(rows: DataFrame, codes: Codes, block: list, sub_bits: int, row_block: int, whole: bool) -> DataFrame:
-    """block: (n, id, v) of some queries. Rows stream past them; a task yields its best of each query."""
+    """block: (n, own, v) of some queries. Rows stream past them; a task yields its best of each query."""
     held = rows.sparkSession.sparkContext.broadcast((codes, np.array([r.n for r in block], np.int64),
-        np.array([NO_ID if r.id is None else r.id for r in block], np.int64), np.array([r.v for r in block], np.float64)))
+        np.array([r.own for r in block], np.int64), np.array([r.v for r in block], np.float64)))
 
     def of(batches):
-        model, n, ids, queries = held.value
-        best, waiting, count = Best(model, ids, queries, sub_bits, whole), [], 0
+        model, n, own, queries = held.value
+        best, waiting, count = Best(model, own, queries, sub_bits, whole), [], 0
 
         def flush() -> None:
             if waiting:
-                best.see(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                best.see(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
                 waiting.clear()
 
         for b in batches:
-            rid = b.column(0).fill_null(NO_ID).to_numpy()
             if b.num_rows:
-                waiting.append((rid, b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)))
+                ids = b.column(1)
+                waiting.append((b.column(0).to_numpy(), ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False), b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)))
                 count += b.num_rows
             if count >= row_block:
                 flush()
                 count = 0
         flush()
         i, j = np.nonzero(np.isfinite(best.score))
-        row = best.row[i, j]
-        yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(row, mask=row == NO_ID), pa.array(best.score[i, j])], ["n", "vec_id", "score"])
+        yield pa.RecordBatch.from_arrays([pa.array(n[i]), pa.array(best.id[i, j], mask=best.unnamed[i, j]), pa.array(best.score[i, j])], ["n", "vec_id", "score"])
 
-    return rows.select("id", "v").mapInArrow(of, FOUND)
+    return rows.select("place", "id", "v").mapInArrow(of, FOUND)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 64, sub_bits: int = 16, sample: int = 4000, recall: float = 0.985,
+def search(vectors: DataFrame, queries: Column | DataFrame, k: int = 5, bits: int = 64, sub_bits: int = 16, sample: int = 4000, recall: float = 0.985,
     row_block: int = 16_384, query_block: int = 8192) -> DataFrame:
-    """vectors and queries: (id, v). Returns query_id, rank, vec_id, score."""
+    """vectors: (id, v). queries: a condition on the vectors' id, whose rows do not find themselves, or a table (id, v) of
+    other vectors. Returns query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     small_batches(spark)
     plain = F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")
-    rows = cut(usable(vectors.select(*plain)), "vectors")
+    rows = cut(usable(vectors.select(*plain)).withColumn("place", F.monotonically_increasing_id()), "vectors")
     empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     fitted = rows.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(sample).select("v").collect()  # the bounded sample
     if not fitted:
         return empty
     codes = Codes(np.array([r.v for r in fitted], np.float64), bits, k, recall)
-    asked = queries.select(*plain).where(fine(F.col("v")) & (F.size("v") == len(fitted[0].v)))
+    if isinstance(queries, DataFrame):
+        asked = queries.select(*plain, F.lit(-1).cast("long").alias("own")).where(fine(F.col("v")) & (F.size("v") == len(fitted[0].v)))
+    else:
+        asked = rows.where(queries).select("id", "v", F.col("place").alias("own"))
     asked = cut(asked.withColumn("n", F.monotonically_increasing_id()), "queries")
     nearest = W.partitionBy("n").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
 
@@ -261,4 +265,4 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = 64, s
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fiftieth vector against all the others."""
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return search(vectors, vectors.where(F.col("id") % 50 == 0))
+    return search(vectors, F.col("id") % 50 == 0)

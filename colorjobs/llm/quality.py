@@ -166,8 +166,10 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, sample: int = 1500, r
     by_hash = [F.xxhash64("doc_id", F.lit(6)), F.col("doc_id")]
     chosen = [known.where(F.col("label") == v).orderBy(*by_hash).limit(sample) for v in (0, 1)]
     few = F.broadcast(chosen[0].unionByName(chosen[1]))  # 2 * sample rows at most
-    found = docs.join(few, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), terms_column(F.col("text")).alias("t"))
-    rows = found.orderBy(*by_hash, "h").limit(2 * sample).select("label", "t").collect()
+    # equal rows are one, and the bound holds for each label: however often a document repeats, it crowds out no label
+    found = docs.join(few, "doc_id").select("doc_id", "label", F.xxhash64("text").alias("h"), "text").dropDuplicates(["doc_id", "h"])
+    found = cut(found.select("doc_id", "label", "h", terms_column(F.col("text")).alias("t")), "sample")
+    rows = [r for v in (0, 1) for r in found.where(F.col("label") == v).orderBy(*by_hash, "h").limit(sample).select("label", "t").collect()]
     documents = [(np.array(r.t.columns, np.int64), np.array(r.t.weights, np.float64)) for r in rows]
     return NearestVote(np.log((1 + n) / (1 + seen)) + 1e-3, documents, [r.label for r in rows], rank, k)
 

@@ -5,7 +5,8 @@ is delta-encoded or dictionary-encoded as asked; row groups are bounded in bytes
 page indexes of each file let a reader fetch a range of doc_ids, or only the metadata columns, without the other pages.
 Spark's own Parquet writer makes the files under its commit protocol, so lost executors leave no half-written shard.
 
-The tokenizer is called for distinct pieces of text only (see Encoder); the ids are those of the whole text.
+The tokenizer is called for distinct pieces of text only (see Encoder); the ids are those of the whole text, whatever its
+characters (letters newer than Python's Unicode, numerals, special tokens).
 
 Shards are ranges of (doc_id, first characters of the text), so a doc_id that very many rows share is not one task.
 
@@ -16,83 +17,66 @@ that reads back as no rows.
 
 from __future__ import annotations
 
-import json
-import os
-import re
-import unicodedata
 import zlib
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from .common import fresh_path, small_batches, table
+from .pieces import Cutter
 
-#: The pre-token pattern of the tokenizers that this fast path serves (a fixed value, from the tokenizer's file), and the
-#: same for Python's re on texts without the characters of ODD, where the two differ.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Numerals that are no decimal digits, separators that only Python counts as blank, the letter whose lower case depends on
-#: its place, and one that becomes two characters.
-ODD = regex.compile(r"[\p{Nl}\p{No}\x1c-\x1f\u03a3\u0130]")
-SEPARATORS = re.compile("[\x1c-\x1f]")
-CACHE = 500_000
+#: Words whose ids a worker remembers.
+CACHE = 800_000
 _encoders: dict = {}
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers.
 
-    The tokenizer sees each distinct pre-token about once: texts are cut by its own pre-token pattern, the pieces of a batch
-    that are not cached go to it as one text, and the ids are dealt back by the end-of-word mark. Where that would not be
-    exact (another pattern or normalizer, odd characters, special tokens in the text) the text itself is encoded."""
+    The tokenizer sees each distinct word about once: texts are split at blanks, words that are not known are cut by the
+    tokenizer's own pre-token pattern (see pieces.Cutter), their pieces go to it as one text, and the ids are dealt back by the
+    end-of-word mark. Texts where that would not be exact, and whole batches if the ids do not come back piece by piece, are
+    encoded as they are."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
-        with open(path, encoding="utf-8") as f:
-            told = json.load(f)
-        self.special = [t["content"] for t in told["added_tokens"]]
-        patterns = [p["pattern"].get("Regex") for p in (told.get("pre_tokenizer") or {}).get("pretokenizers", ()) if p["type"] == "Split"]
-        steps = [n["type"] for n in (told.get("normalizer") or {}).get("normalizers", ())]
-        suffix = told["model"].get("end_of_word_suffix")
-        self.cuts = patterns == [PATTERN] and steps == ["NFC", "Replace", "Lowercase"] and bool(suffix)
-        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        for text, k in self.tokenizer.get_vocab().items():
+        self.cutter = Cutter(path)
+        self.tokenizer, self.known = self.cutter.tokenizer, {}
+        suffix, vocab = self.cutter.told["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.cuts = bool(suffix)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        for text, k in vocab.items():
             self.ends[k] = bool(suffix) and text.endswith(suffix)
 
-    def plain(self, text: str) -> bool:
-        if not self.cuts or any(x in text for x in self.special):
+    def whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> bool:
+        """Remember the ids of these words. False if they do not come back piece by piece."""
+        cut = [self.cutter.cut(w) for w in words]
+        pieces = list(dict.fromkeys(p for c in cut for p in c))
+        raw = self.whole([" ".join(pieces)])[0]
+        ends = np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1
+        if len(ends) != len(pieces) or len(ends) and 4 * ends[-1] != len(raw):
             return False
-        return not SEPARATORS.search(text) if text.isascii() else unicodedata.is_normalized("NFC", text) and not ODD.search(text)
-
-    def learn(self, unseen: list[str]) -> None:
-        """Fill the cache with these pieces."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(unseen)], add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(unseen) or ends[-1] != len(ids):
-            raise RuntimeError("the tokenizer does not end each piece with its end-of-word mark")
-        raw, at, known = ids.tobytes(), 0, self.known
-        for p, e in zip(unseen, (4 * ends).tolist(), strict=True):
-            known[p] = raw[at:e]
-            at = e
+        at = [0, *(4 * ends).tolist()]
+        ids = {p: raw[a:e] for p, a, e in zip(pieces, at, at[1:], strict=False)}
+        for w, c in zip(words, cut, strict=True):
+            self.known[w] = b"".join([ids[p] for p in c])
+        return True
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        fine = [self.plain(t) for t in texts]
-        pieces = [PIECE.findall(t.lower()) for t, ok in zip(texts, fine, strict=True) if ok]
-        seen = set().union(*pieces)
-        unseen = [p for p in seen if p not in self.known]
+        fine = [self.cuts and self.cutter.plain(t) for t in texts]
+        words = [self.cutter.words(t) if ok else () for t, ok in zip(texts, fine, strict=True)]
+        unseen = set().union(*words).difference(self.known)
         if len(self.known) + len(unseen) > CACHE:
             self.known.clear()
-            unseen = list(seen)
-        if unseen:
-            self.learn(unseen)
-        of, cut = self.known.__getitem__, iter(pieces)
-        whole = iter(self.tokenizer.encode_batch_fast([t for t, ok in zip(texts, fine, strict=True) if not ok], add_special_tokens=False))
-        return [b"".join(map(of, next(cut))) if ok else np.array(next(whole).ids, "<u4").tobytes() for ok in fine]
+            unseen = set().union(*words)
+        if unseen and not self.learn(list(unseen)):
+            return self.whole(texts)
+        of = self.known.__getitem__
+        rest = iter(self.whole([t for t, ok in zip(texts, fine, strict=True) if not ok]))
+        return [b"".join(map(of, w)) if ok else next(rest) for w, ok in zip(words, fine, strict=True)]
 
 
 def encoder(path: str) -> Encoder:

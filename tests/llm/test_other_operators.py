@@ -67,7 +67,7 @@ def test_neighbours(spark):
     rows = [(i, [float(c) for c in x]) for i, x in v.items()]
     bad = [(500, None), (550, [0.0] * 16), (600, [float("nan")] * 16), (650, [1.0]), (700, [None] * 16)]
     df = spark.createDataFrame(rows + bad, "id long, v array<double>")
-    out = neighbours.search(df, df.where("id % 50 = 0"), row_block=64, query_block=3).collect()
+    out = neighbours.search(df, F.expr("id % 50 = 0"), row_block=64, query_block=3).collect()
     found = {}
     for r in sorted(out, key=lambda r: r["rank"]):
         found.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -79,8 +79,8 @@ def test_neighbours(spark):
         assert x == sorted(x, key=lambda p: (-p[1], p[0])) and all(abs(dict(truth).get(i, s) - s) < 1e-12 for i, s in x)
     assert [i for i, _ in found[0][:3]] == [1, 2, 3] and hits >= 0.9 * 5 * len(found)
     few = df.where("id in (0, 1, 7)")
-    assert neighbours.search(few, few.where("id = 0")).count() == 2
-    assert neighbours.search(df.limit(0), df.limit(0)).count() == 0 and neighbours.search(df, df.limit(0)).count() == 0
+    assert neighbours.search(few, F.expr("id = 0")).count() == 2
+    assert neighbours.search(df.limit(0), F.lit(True)).count() == 0 and neighbours.search(df, F.lit(False)).count() == 0
 
 
 def test_neighbours_recall(spark):
