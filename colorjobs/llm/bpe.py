@@ -21,6 +21,7 @@ columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 from itertools import chain
 
 import numpy as np
@@ -31,9 +32,10 @@ from .common import small_batches, table
 from .pieces import Cutter, byte_letters
 
 NEVER = 1 << 40
-#: Words whose ids a worker remembers (some 200 MB), and bytes of a piece beyond which it is encoded by itself.
-HELD_WORDS, ALONE = 800_000, 128
+#: Words whose ids a worker remembers (some 100 MB), and bytes of a piece beyond which it is encoded by itself.
+HELD_WORDS, ALONE = 400_000, 128
 _codecs: dict = {}
+_decoders: dict = {}
 
 
 class Numbers:
@@ -264,20 +266,43 @@ class LastTokens:
         return out, count
 
 
-class Codec:
+class Decoder:
+    """Texts of ids, for a byte-level BPE tokenizer."""
+
+    def __init__(self, told: dict):
+        kind = (told.get("decoder") or {}).get("type")
+        if kind not in (None, "ByteLevel"):
+            raise ValueError(f"no decoder of type {kind}")
+        special = {t["content"]: t["id"] for t in told["added_tokens"]}
+        vocab, self.joined = told["model"]["vocab"] | special, kind is None
+        self.texts: list = [None] * (1 + max(vocab.values()))
+        for t, i in vocab.items():
+            self.texts[i] = t if self.joined else t.encode() if t in special else bytes(map(byte_letters().__getitem__, t))
+
+    def decode(self, ids: list[int]) -> str:
+        """As the library does: without a decoder, tokens joined by spaces; at byte level, their bytes in a row."""
+        try:
+            if ids and min(ids) < 0:
+                raise IndexError
+            parts = list(map(self.texts.__getitem__, ids))
+            return " ".join(parts) if self.joined else b"".join(parts).decode(errors="replace")
+        except (IndexError, TypeError):
+            known = [i for i in ids if 0 <= i < len(self.texts) and self.texts[i] is not None]
+            return self.decode(known) if len(known) < len(ids) else ""
+
+
+class Codec(Decoder):
     """Ids of texts, and texts of ids, for a byte-level BPE tokenizer in a file."""
 
     def __init__(self, path: str):
         self.cutter = Cutter(path)
         told, model = self.cutter.told, self.cutter.told["model"]
+        super().__init__(told)
         steps = told.get("pre_tokenizer") or {}
         if model["type"] != "BPE" or model.get("continuing_subword_prefix") or model.get("ignore_merges") or model.get("dropout"):
             raise ValueError("only plain byte-pair encodings are served")
         if "ByteLevel" not in [p["type"] for p in (steps, *steps.get("pretokenizers", ()))]:
             raise ValueError("only byte-level vocabularies are served")
-        self.decoder = (told.get("decoder") or {}).get("type")
-        if self.decoder not in (None, "ByteLevel"):
-            raise ValueError(f"no decoder of type {self.decoder}")
         vocab, suffix = model["vocab"], model.get("end_of_word_suffix") or ""
         self.merges = Merges(vocab, model["merges"])
         inside, last = [0] * 256, [0] * 256
@@ -290,10 +315,7 @@ class Codec:
         self.length = [len(spelled.get(t, " ")) for t in range(self.merges.size)]
         self.many = LastTokens(self.merges, self.automaton, self.length)
         self.known: dict[str, bytes] = {}
-        self.texts: list = [None] * (1 + max(max(vocab.values()), *self.cutter.special.values(), 0))
-        for t, i in (vocab | self.cutter.special).items():
-            raw = t if self.decoder is None else t.encode() if t in self.cutter.special else bytes(map(byte_letters().__getitem__, t))
-            self.texts[i] = raw
+        self.cutter.told = {}
 
     def piece(self, raw: bytes) -> list[int]:
         """One piece, step by step."""
@@ -361,25 +383,11 @@ class Codec:
             new = set(chain.from_iterable(words))
         if new:
             self.learn(list(new))
-        cut = iter([self.cutter.cut_any(t) for t, ok in zip(texts, fine, strict=True) if not ok])
-        of = self.known.__getitem__
-        return [b"".join(map(of, w)) if ok else self.odd(next(cut)) for w, ok in zip(words, fine, strict=True)]
-
-    def odd(self, cut: list[bytes | int]) -> bytes:
-        pieces = list(dict.fromkeys(p for p in cut if not isinstance(p, int)))
-        ids = dict(zip(pieces, self.pieces(pieces), strict=True))
-        return b"".join([np.array([p], "<i4").tobytes() if isinstance(p, int) else ids[p] for p in cut])
-
-    def decode(self, ids: list[int]) -> str:
-        """As the library does: without a decoder, tokens joined by spaces; at byte level, their bytes in a row."""
-        try:
-            if ids and min(ids) < 0:
-                raise IndexError
-            parts = list(map(self.texts.__getitem__, ids))
-            return " ".join(parts) if self.decoder is None else b"".join(parts).decode(errors="replace")
-        except (IndexError, TypeError):
-            known = [i for i in ids if 0 <= i < len(self.texts) and self.texts[i] is not None]
-            return self.decode(known) if len(known) < len(ids) else ""
+        odd = [self.cutter.cut_any(t) for t, ok in zip(texts, fine, strict=True) if not ok]
+        pieces = list({p for cut in odd for p in cut if isinstance(p, bytes)})
+        ids = dict(zip(pieces, self.pieces(pieces), strict=True)) | {i: np.array([i], "<i4").tobytes() for i in self.cutter.special.values()}
+        of, cut = self.known.__getitem__, iter(odd)
+        return [b"".join(map(of, w)) if ok else b"".join(map(ids.__getitem__, next(cut))) for w, ok in zip(words, fine, strict=True)]
 
 
 def codec(path: str) -> Codec:
@@ -388,6 +396,14 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
+def decoder(path: str) -> Decoder:
+    """Only the vocabulary: encoding and decoding run in workers of their own."""
+    if path not in _decoders:
+        with open(path, encoding="utf-8") as f:
+            _decoders[path] = Decoder(json.load(f))
+    return _decoders[path]
+
+
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """docs: doc_id, text. Returns doc_id and ids, the whole text's, special tokens not added."""
     small_batches(docs.sparkSession)
@@ -408,7 +424,7 @@ def decoded(ids: Column, tokenizer: str) -> Column:
 
     @F.arrow_udf("string")
     def text(lists: pa.Array) -> pa.Array:
-        own = codec(tokenizer)
+        own = decoder(tokenizer)
         values, at = lists.values.to_numpy(zero_copy_only=False).tolist(), lists.offsets.to_numpy().tolist()
         return pa.array([own.decode(values[a:e]) if ok else None for a, e, ok in zip(at, at[1:], lists.is_valid().to_pylist(), strict=False)], pa.string())
 
