@@ -3,8 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql.functions import udtf
 
-from .colors import LUMA, MACHADO, TO_XYZ, WHITE
+from colorjobs.session import ship
+
+from .colors import LUMA, MACHADO, NAMES, NO_COLOUR, RGB, TO_XYZ, WHITE
+
+
+class TokenRows:
+    """cj_tokens: the walk of extract() over one document; one that cannot be parsed has no rows."""
+
+    def eval(self, content: str):
+        from colorjobs.functions.svg import rows_of
+
+        for r in rows_of("", content):
+            if r["kind"] == "token":
+                yield r["ord"], r["context"], r["raw"], r["hex"]
 
 
 def num(x: float) -> str:
@@ -62,10 +76,33 @@ def simulated(h: str, kind: str, dialect: str = "duckdb") -> str:
     return f"{'format_string' if dialect == 'spark' else 'printf'}('#%02X%02X%02X', {', '.join(out)})"
 
 
+def normalized(v: str) -> str:
+    """C1 in Spark's SQL. v: the trimmed value."""
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    whole = text(f"(?i)^{RGB}$")
+
+    def channel(i: int) -> str:
+        part = f"regexp_extract({v}, {whole}, {i})"
+        number = f"try_cast(replace({part}, '%', '') AS DOUBLE)"
+        return f"CAST(greatest(0e0, least(255e0, rint(CASE WHEN endswith({part}, '%') THEN {number} * 255 / 100 ELSE {number} END))) AS INT)"
+
+    names = ", ".join(f"'{k}', '{c}'" for k, c in NAMES.items())
+    none = ", ".join(f"'{x}'" for x in NO_COLOUR)
+    return (f"CASE WHEN lower({v}) IN ('', {none}) OR lower({v}) LIKE 'url(%' THEN NULL"
+        f" WHEN {v} RLIKE '^#[0-9a-fA-F]{{3,4}}$' THEN upper(concat('#', repeat(substring({v}, 2, 1), 2), repeat(substring({v}, 3, 1), 2), repeat(substring({v}, 4, 1), 2)))"
+        f" WHEN {v} RLIKE '^#([0-9a-fA-F]{{6}}|[0-9a-fA-F]{{8}})$' THEN upper(substring({v}, 1, 7))"
+        f" WHEN {v} RLIKE {whole} THEN format_string('#%02X%02X%02X', {channel(1)}, {channel(2)}, {channel(3)})"
+        f" ELSE try_element_at(map({names}), lower({v})) END")
+
+
 def register(spark: SparkSession) -> None:
-    """SQL functions over #RRGGBB text: cj_gray, cj_lab, cj_delta_e, cj_family, cj_deutan, cj_protan, cj_tritan, cj_achromat."""
+    """SQL functions: cj_normalize (any CSS paint value as #RRGGBB, or null), the table function cj_tokens(content), for
+    LATERAL, with one row for each colour token of a document (ord, context, raw, hex), and over #RRGGBB text: cj_gray, cj_lab, cj_delta_e, cj_family, cj_deutan, cj_protan, cj_tritan, cj_achromat."""
     L, a, b = lab("h", "spark")
     make = "CREATE OR REPLACE TEMPORARY FUNCTION"
+    spark.sql(f"{make} cj_normalize(raw STRING) RETURNS STRING RETURN {normalized('trim(raw)')}")
+    ship(spark)
+    spark.udtf.register("cj_tokens", udtf(TokenRows, returnType="ord int, context string, raw string, hex string", useArrow=True))
     spark.sql(f"{make} cj_gray(h STRING) RETURNS INT RETURN {gray('h', 'spark')}")
     spark.sql(f"{make} cj_lab(h STRING) RETURNS STRUCT<L: DOUBLE, a: DOUBLE, b: DOUBLE> RETURN named_struct('L', {L}, 'a', {a}, 'b', {b})")
     spark.sql(f"{make} cj_lab_distance(p STRUCT<L: DOUBLE, a: DOUBLE, b: DOUBLE>, q STRUCT<L: DOUBLE, a: DOUBLE, "

@@ -6,27 +6,49 @@ from pyspark.sql import DataFrame, functions as F
 
 from colorjobs.functions.colors import CB_TYPES, channels, lab_distance, lab_of_rgb, simulate_cb, simulate_rgb
 from colorjobs.functions.svg import recolored
+from colorjobs.sources.shared import cut
 
 
-def cb_collapsed_pairs(usage: DataFrame, severity: float = 1.0, distinct: float = 25.0, collapse: float = 10.0) -> DataFrame:
-    """(file, cb, hex_a, hex_b, de_orig, de_sim): pairs of a file's colours at least ``distinct`` apart that fall below
-    ``collapse`` for a type of colour blindness.
+def palettes(usage: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(file, palette) and (palette, hex, n): files with the same set of colours share a palette, whose n colours are listed once.
+
+    A set is known by its size and two independent 64-bit sums over its colours, so no file's colours are gathered."""
+    colours = cut(usage.select("file", "hex").distinct(), "colours")
+    sums = [F.bit_xor(F.xxhash64("hex")), F.bit_xor(F.xxhash64("hex", F.lit("again")))]
+    named = F.concat_ws("/", F.count("*"), *sums)
+    files = cut(colours.groupBy("file").agg(named.alias("palette"), F.count("*").alias("n")), "palettes")
+    first = files.groupBy("palette").agg(F.min(F.struct("file", "n")).alias("f")).select("palette", "f.file", "f.n")
+    return files.select("file", "palette"), colours.join(first, "file").select("palette", "hex", "n")
+
+
+def palette_pairs(sets: DataFrame, severity: float, distinct: float, collapse: float, block: int) -> DataFrame:
+    """sets (palette, hex, n) -> (palette, cb, hex_a, hex_b, de_orig, de_sim).
 
-    Each colour is placed and simulated once; a file's pairs meet by an equi-join on the file and are
-    judged where they meet. In a library pairs repeat far less than colours do: to make them distinct first would shuffle
-    all of them for little."""
-    colours = usage.select("file", "hex").distinct()
-    a, b = colours.withColumnRenamed("hex", "hex_a"), colours.withColumnRenamed("hex", "hex_b")
-    pairs = a.join(b, "file").where("hex_a < hex_b")
+    Places and simulated places go to the colours before these meet, so a pair is judged where it is made and never moves.
+    A palette is cut into blocks of about ``block`` colours that meet two by two: a file of very many colours is many groups,
+    and each of its colours is sent once for each block."""
     rgb = F.array(*channels(F.col("hex")))
     seen = F.array(*(lab_of_rgb(simulate_rgb(F.col("rgb"), k, severity)) for k in CB_TYPES))
-    known = colours.select("hex").distinct().select("hex", rgb.alias("rgb")).select("hex", lab_of_rgb(F.col("rgb")).alias("p"), seen.alias("s"))
-    ka, kb = (known.select(F.col("hex").alias(f"hex_{x}"), F.col("p").alias(f"p{x}"), F.col("s").alias(f"s{x}")) for x in "ab")
-    far = pairs.join(ka, "hex_a").join(kb, "hex_b").withColumn("de_orig",
-        lab_distance(F.col("pa"), F.col("pb"))).where(F.col("de_orig") >= distinct)
+    known = sets.select("hex").distinct().select("hex", rgb.alias("rgb")).select("hex", lab_of_rgb(F.col("rgb")).alias("p"), seen.alias("s"))
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    placed = sets.join(known, "hex").select("palette", "hex", "p", "s", blocks.alias("blocks"), F.pmod(F.xxhash64("hex"), blocks).cast("int").alias("own"))
+    last = F.col("blocks") - 1
+    a = placed.select("palette", F.col("own").alias("i"), F.explode(F.sequence("own", last)).alias("j"), *(F.col(c).alias(f"{c}a") for c in ("hex", "p", "s")))
+    b = placed.select("palette", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{c}b") for c in ("hex", "p", "s")))
+    met = a.join(b, ["palette", "i", "j"]).where("i < j or hexa < hexb").withColumn("de_orig", lab_distance(F.col("pa"), F.col("pb")))
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("cb"), lab_distance(F.col("sa")[i], F.col("sb")[i]).alias("de_sim")) for i, k in enumerate(CB_TYPES))))
-    close = far.select("file", "hex_a", "hex_b", "de_orig", each.alias("e"))
-    return close.select("file", "e.cb", "hex_a", "hex_b", "de_orig", "e.de_sim").where(F.col("de_sim") < collapse)
+    close = met.where(F.col("de_orig") >= distinct).select("palette", F.least("hexa", "hexb").alias("hex_a"), F.greatest("hexa", "hexb").alias("hex_b"), "de_orig", each.alias("e"))
+    return close.select("palette", "e.cb", "hex_a", "hex_b", "de_orig", "e.de_sim").where(F.col("de_sim") < collapse)
+
+
+def cb_collapsed_pairs(usage: DataFrame, severity: float = 1.0, distinct: float = 25.0, collapse: float = 10.0, block: int = 512) -> DataFrame:
+    """(file, cb, hex_a, hex_b, de_orig, de_sim): pairs of a file's colours at least ``distinct`` apart that fall below
+    ``collapse`` for a type of colour blindness.
+
+    Files that share a palette are judged once; only pairs that collapse go out to all of its files."""
+    files, sets = palettes(usage)
+    pairs = palette_pairs(sets, severity, distinct, collapse, block)
+    return files.join(pairs, "palette").select("file", "cb", "hex_a", "hex_b", "de_orig", "de_sim")
 
 
 def cb_risk(usage: DataFrame, pairs: DataFrame, only_affected: bool = False) -> DataFrame:

@@ -115,6 +115,14 @@ def sql_functions(spark, d):
         "round(cj_delta_e(hex, '#000000'), 6) AS away")
 
 
+@query("SELECT file, hex, context, count(*) AS n FROM tokens GROUP BY ALL")
+def sql_tokens(spark, d):
+    """2.10: colour tokens of documents in plain SQL, through a table function."""
+    S.register(spark)
+    t = T(spark, d)
+    return spark.sql("SELECT file, cj_normalize(concat(' ', t.raw)) AS hex, t.context, count(*) AS n FROM {docs}, LATERAL cj_tokens(content) t GROUP BY ALL", docs=t.svgs)
+
+
 # --- colours -----------------------------------------------------------------------------------------------------------
 
 _PLANTED = ["Navy", "tomato", "REBECCAPURPLE", "teal"]

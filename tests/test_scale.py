@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from colorjobs.operators import mapping, preflight, usage
+from colorjobs.operators import accessibility, mapping, preflight, usage
 from colorjobs.operators.components import components
 from colorjobs.operators.ranking import ranked
 
@@ -113,3 +113,44 @@ def test_device_spellings(spark):
     own = spark.createDataFrame([("b", "#000", quad(5)), ("b", "#000000", quad(4)), ("b", "black", quad(6))], f"file string, {kind}")
     got = sorted((r.file, r.source, r.cmyk.c) for r in mapping.device_merge(g, own, files).collect())
     assert got == [("a", "#000000", 1.0), ("b", "#000000", 6.0)]
+
+
+def plain_pairs(spark, colours):
+    """Every pair of some colours, judged one by one."""
+    from colorjobs.functions.colors import CB_TYPES, delta_e76, simulate_cb
+
+    df = spark.createDataFrame([(a, b) for a in colours for b in colours if a < b], "a string, b string")
+    seen = [F.struct(F.lit(k).alias("cb"), delta_e76(simulate_cb(F.col("a"), k), simulate_cb(F.col("b"), k)).alias("d")) for k in CB_TYPES]
+    rows = df.withColumn("o", delta_e76(F.col("a"), F.col("b"))).where("o >= 25").select("a", "b", F.explode(F.array(*seen)).alias("e")).where("e.d < 10")
+    return {(r.cb, r.a, r.b) for r in rows.select("e.cb", "a", "b").collect()}
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_collapsed_pairs_in_blocks(spark, block):
+    """A palette of many blocks, palettes that files share, and one that differs from another by a colour."""
+    r = random.Random(2)
+    large = [f"#{r.randrange(1 << 24):06X}" for _ in range(90)]
+    sets = {"a": large, "b": large, "c": large[:-1], "d": ["#FF0000", "#808000"], "e": ["#808000", "#FF0000"], "f": ["#000000"]}
+    usage_ = spark.createDataFrame([(f, h, 1) for f, hs in sets.items() for h in hs for _ in range(2)], "file string, hex string, n long")
+    files, distinct = accessibility.palettes(usage_)
+    assert files.select("palette").distinct().count() == 4 and distinct.count() == 90 + 89 + 2 + 1
+    got = {}
+    for x in accessibility.cb_collapsed_pairs(usage_, block=block).collect():
+        assert (x.cb, x.hex_a, x.hex_b) not in got.setdefault(x.file, set())
+        got[x.file].add((x.cb, x.hex_a, x.hex_b))
+    for f, hs in sets.items():
+        assert got.get(f, set()) == plain_pairs(spark, sorted(set(hs))), f
+
+
+def test_sql_normalize(spark):
+    from colorjobs.functions import color_sql
+    from colorjobs.functions.colors import normalize_hex
+
+    color_sql.register(spark)
+    values = [" #abc ", "#ABCD", "#12345678", "#12345", "#1234567", "rgb(0%, 50%,100%)", "RGBA(1,2,3,.5)", "rgb(300,-5,2.5)", "rgb(1.5,2.5,3.5)", "rgb(123)", "Navy",
+        "none", "currentColor", "URL(#x)", "", "  ", None, "hsl(1,2,3)", "nosuch", "inherit"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    rows = df.select("v", F.expr("cj_normalize(v)").alias("a"), normalize_hex(F.col("v")).alias("b")).collect()
+    assert [(r.v, r.a) for r in rows] == [(r.v, r.b) for r in rows]
+    bad = spark.createDataFrame([("x", "<svg")], "file string, content string")
+    assert spark.sql("SELECT * FROM {bad}, LATERAL cj_tokens(content)", bad=bad).count() == 0
