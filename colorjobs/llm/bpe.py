@@ -32,8 +32,8 @@ from .common import small_batches, table
 from .pieces import Cutter, byte_letters
 
 NEVER = 1 << 40
-#: Words whose ids a worker remembers (some 100 MB), and bytes of a piece beyond which it is encoded by itself.
-HELD_WORDS, ALONE = 400_000, 128
+#: Words whose ids a worker remembers (some 80 MB), and bytes of a piece beyond which it is encoded by itself.
+HELD_WORDS, ALONE = 300_000, 128
 _codecs: dict = {}
 _decoders: dict = {}
 
@@ -406,7 +406,7 @@ def decoder(path: str) -> Decoder:
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     """docs: doc_id, text. Returns doc_id and ids, the whole text's, special tokens not added."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 400)
 
     def ids(batches):
         own = codec(tokenizer)
