@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import WORD, crc_mod, small_batches, table, unused
+from .common import WORD, crc_mod, cut, small_batches, table, unused
 
 WORDS, SHAPES, BINS = 2048, 2048, 64
 DIMENSIONS = WORDS + SHAPES + BINS
