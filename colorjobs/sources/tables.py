@@ -116,10 +116,14 @@ def parse_color_maps(doc: DataFrame) -> dict[str, DataFrame]:
     }
 
 
+def output_file(file: Column, suffix: str) -> Column:
+    """The name of a recoloured document."""
+    return F.concat(F.regexp_replace(file, r"(?i)\.svg$", ""), F.lit(f"{suffix}.svg"))
+
+
 def write_svgs(df: DataFrame, path: str, suffix: str = "_grayscale", buckets: int = 64) -> None:
     """(file, content) under their output names, as Parquet split by a hash of the name; content is not shuffled."""
-    name = F.concat(F.regexp_replace("file", r"(?i)\.svg$", ""), F.lit(f"{suffix}.svg"))
-    df.select(name.alias("file"), "content",
+    df.select(output_file(F.col("file"), suffix).alias("file"), "content",
         F.pmod(F.xxhash64("file"), F.lit(buckets)).alias("bucket")).write.partitionBy("bucket").mode("overwrite").parquet(path)
 
 
