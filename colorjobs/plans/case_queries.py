@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, functions as F
 from colorjobs.functions import color_sql as S
 from colorjobs.functions import colors as C
 from colorjobs.functions.svg import extract
-from colorjobs.operators import accessibility, batch, changes, mapping, preflight, usage
+from colorjobs.operators import accessibility, batch, changes, mapping, postings, preflight, usage
 from colorjobs.plans import convert as plan
 from colorjobs.plans.queries import _DEV, _FORCE, _NEAR, HEX, PRE, QUERIES, SQL, T, page_mask, page_pixels, query
 from colorjobs.sources import adapters as A
-from colorjobs.sources import tables
+from colorjobs.sources import files, tables
 from colorjobs.sources.shared import cut, fresh_path
 
 __all__ = ["QUERIES", "SQL"]
@@ -47,6 +47,22 @@ def write_svgs(spark, d):
     return spark.read.parquet(path).select("file", F.sha2("content", 256).alias("sha256"))
 
 
+@query(_SVGS + " SELECT concat(file, '_grayscale.svg') AS file, sha256(content) AS sha256 FROM docs")
+def svg_files(spark, d):
+    """S4 as files, read by S1."""
+    path = fresh_path(spark, "svg-files")
+    files.write_svg_files(T(spark, d).svgs.withColumn("file", F.concat("file", F.lit(".svg"))), path)
+    return tables.read_svgs(spark, path).select("file", F.sha2("content", 256).alias("sha256"))
+
+
+@query("SELECT file, 'grayscale' AS pipeline, source, target FROM ovr WHERE file IN (SELECT file FROM illus)")
+def mapping_files(spark, d):
+    """S5 as files, read by S2."""
+    t, path = T(spark, d), fresh_path(spark, "mapping-files")
+    files.write_mapping_files(t.illus, t.ovr, path, "2024-01-01T00:00:00Z")
+    return tables.read_mappings(spark, path)[1]
+
+
 def own_device(t: T) -> DataFrame:
     """(file, source, cmyk): exact quads of the colours in every fourth file."""
     used = t.usage.where("cast(file as long) % 4 = 0").select("file", F.col("hex").alias("source"))
@@ -125,6 +141,34 @@ def sql_tokens(spark, d):
 
 # --- colours -----------------------------------------------------------------------------------------------------------
 
+def indexed(t: T):
+    """The posting index of a library whose even files came later, in place of other colours."""
+    store = postings.index_store(t.spark, fresh_path(t.spark, "index"))
+    used = cut(t.usage.select("file", "hex"), "used")
+    stale = used.where(EVEN).select("file", F.lit("#ABCDEF").alias("hex"))
+    postings.refresh(store, "first", used.limit(0), used.where(f"not ({EVEN})").unionByName(stale))
+    postings.refresh(store, "second", stale, used.where(EVEN))
+    return store
+
+
+@query(SQL["color_files"][len(PRE) :])
+def color_files_indexed(spark, d):
+    """C7 from the index, every colour probed."""
+    t = T(spark, d)
+    return postings.files_of(indexed(t), t.colors)
+
+
+@query(SQL["batch_palette"][len(PRE) :])
+def batch_palette_indexed(spark, d):
+    return postings.document_frequency(indexed(T(spark, d)))
+
+
+@query(SQL["palette_usage"][len(PRE) :])
+def palette_usage_indexed(spark, d):
+    t = T(spark, d)
+    return postings.palette_usage(indexed(t), t.swatches)
+
+
 _PLANTED = ["Navy", "tomato", "REBECCAPURPLE", "teal"]
 _PLANTED_HEX = [C.NAMES[n.lower()] for n in _PLANTED]
 

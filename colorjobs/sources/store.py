@@ -22,14 +22,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 @dataclass(frozen=True)
 class Spec:
-    """Columns of a table (a DDL text), those that make a unit, and how many buckets it has."""
+    """Columns of a table (a DDL text), those that make a unit, how many buckets it has, and (if not all of ``by``) the columns
+    that settle the bucket."""
 
     columns: str
     by: tuple[str, ...]
     buckets: int = 64
+    dealt_by: tuple[str, ...] = ()
 
     def bucket(self) -> Column:
-        return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(self.dealt_by or self.by)), F.lit(self.buckets)).cast("int")
 
 
 class Store:
