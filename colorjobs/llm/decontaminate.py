@@ -9,8 +9,9 @@ position in the window says where the window would have to start (positional bou
 (length bound), and the words themselves are compared at the end, so hashes never decide.
 
 The benchmark is the broadcast side. Long items are cut into pieces that overlap by a window less one word, the pieces'
-size is summed, and they are dealt into blocks of about ``block_chars`` characters; documents are streamed once for each
-block and the blocks' findings are merged, so no broadcast grows with the benchmark. Equal windows of a block are one.
+size is summed, and they are dealt into blocks of about ``block_chars`` characters. Documents are streamed once for each
+block, one block after the other: its findings are written by the hash of the text, its index is dropped, and in the end the
+findings of all blocks are merged. So neither a broadcast nor a worker grows with the benchmark. Equal windows of a block are one.
 
 Defined cases: a null or empty text has no words, is never contaminated and gets the digest of the empty string; items
 with no words have no windows; repeated documents are judged one by one; item ids that repeat count once; an item with
@@ -32,6 +33,7 @@ from .common import WordHashes, cut, lower_ascii, small_batches, table, unused
 
 #: Words of the contamination rule: ASCII letters and digits, and everything beyond ASCII.
 TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+JAVA_WORDS = r"[0-9A-Za-z[^\x00-\x7F]]+"
 HITS = "struct<n_words: long, spans: array<int>, items: array<string>>"
 BUCKETS, PIECE = 1 << 20, 20_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -176,45 +178,59 @@ def hits_column(held, text: Column) -> Column:
     return hits(text)
 
 
-def hit_columns(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 3, block_chars: int = 2_000_000) -> list[Column]:
-    """One column for each benchmark block: struct(n_words, spans, items). No row of documents moves."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    pieces = item_pieces(benchmark, window)
-    counts = bucket_counts(docs, gram, bucket_counts(pieces, gram, None) > 0)
-    out = []
-    for block in item_blocks(pieces, block_chars):
-        items = [(r.item_id, r.text.split(" ")) for r in block.collect()]  # about block_chars characters
-        held = spark.sparkContext.broadcast(PrefixIndex(items, window, gram, counts))
-        out.append(hits_column(held, F.col("text")))
-    return out
-
-
-def verdict(blocks: list[Column], share: int) -> Column:
-    """struct(n_words, n_hit, n_items, items_sha256, spans, contaminated) of all blocks' findings."""
+def verdict(n_words: Column, found: Column, share: int) -> Column:
+    """struct(n_words, n_hit, n_items, items_sha256, spans, contaminated). found: array of struct(spans, items), one a block that hit."""
     kind = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()),
         ("spans", pa.list_(pa.int32())), ("contaminated", pa.bool_())])
 
     @F.arrow_udf("struct<n_words: long, n_hit: long, n_items: long, items_sha256: string, spans: array<int>, contaminated: boolean>")
-    def of(*parts: pa.Array) -> pa.Array:
+    def of(sizes: pa.Array, lists: pa.Array) -> pa.Array:
         rows = []
-        for found in zip(*(p.to_pylist() for p in parts), strict=True):
-            spans = merged([s for f in found for s in zip(f["spans"][::2], f["spans"][1::2], strict=True)])
-            items = sorted({i for f in found for i in f["items"]})
-            n, hit = found[0]["n_words"], sum(spans[1::2]) - sum(spans[::2])
+        for n, blocks in zip(sizes.to_pylist(), lists.to_pylist(), strict=True):
+            spans = merged([s for f in blocks for s in zip(f["spans"][::2], f["spans"][1::2], strict=True)])
+            items = sorted({i for f in blocks for i in f["items"]})
+            hit = sum(spans[1::2]) - sum(spans[::2])
             digest = hashlib.sha256(",".join(items).encode()).hexdigest()
             rows.append({"n_words": n, "n_hit": hit, "n_items": len(items), "items_sha256": digest, "spans": spans,
                 "contaminated": hit > 0 and share * hit >= n})
         return pa.array(rows, kind)
 
-    return of(*blocks)
+    return of(n_words, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, gram: int = 3, block_chars: int = 2_000_000,
     name: str = "verdict") -> DataFrame:
     """``docs`` with struct ``name``(n_words, n_hit, n_items, items_sha256, spans, contaminated); contaminated: any word is
     hit and at least one in ``share`` words is. ``name`` must not be a column of ``docs``."""
-    return docs.withColumn(name, verdict(hit_columns(docs, benchmark, window, gram, block_chars), share))
+    spark = docs.sparkSession
+    small_batches(spark)
+    pieces = item_pieces(benchmark, window)
+    counts = bucket_counts(docs, gram, bucket_counts(pieces, gram, None) > 0)
+    blocks = item_blocks(pieces, block_chars)
+
+    def hits(block: DataFrame):
+        items = [(r.item_id, r.text.split(" ")) for r in block.collect()]  # about block_chars characters
+        held = spark.sparkContext.broadcast(PrefixIndex(items, window, gram, counts))
+        return held, hits_column(held, F.col("text"))
+
+    pick = lambda h: F.struct(h["spans"].alias("spans"), h["items"].alias("items"))
+    if len(blocks) == 1:
+        h = hits(blocks[0])[1]
+        return docs.withColumn(name, verdict(h["n_words"], F.array(pick(h)), share))
+    # block by block: what a block finds depends on the text alone and is written by the text's hash, then its index goes
+    key, own = unused(docs.columns, "key"), F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    found = None
+    for block in blocks:
+        held, h = hits(block)
+        hit = docs.select(own.alias(key), pick(h).alias("found")).where(F.size("found.spans") > 0)
+        part = cut(hit.groupBy(key).agg(F.first("found").alias("found")), "hits")
+        held.unpersist()
+        found = part if found is None else found.unionByName(part)
+    lists = cut(found.groupBy(key).agg(F.collect_list("found").alias(name)), "found")  # at most one a block
+    none = F.array().cast("array<struct<spans: array<int>, items: array<string>>>")
+    joined = docs.withColumn(key, own).join(lists, key, "left")
+    return joined.withColumn(name, verdict(F.coalesce(F.regexp_count("text", F.lit(JAVA_WORDS)).cast("long"), F.lit(0).cast("long")), F.coalesce(F.col(name), none), share)).select(
+        *(f"`{c}`" for c in docs.columns), f"`{name}`")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
