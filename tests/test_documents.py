@@ -119,7 +119,7 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.mapping.json").write_text('{"filename": "a.svg", "status": "odd", "overrides": {"#ff0000": "#111111"}, "cmyk_overrides": {}}')
     (tmp_path / "b.mapping.json").write_text("{broken")
     svgs = tables.read_svgs(spark, str(tmp_path))
-    assert [r.file for r in svgs.select("file").collect()] == ["a.svg", "B.SVG"]
+    assert [r.file for r in tables.svg_names(svgs).collect()] == ["a.svg", "B.SVG"] and svgs.count() == 2
     ill, own = tables.read_mappings(spark, str(tmp_path))
     assert [(r.file, r.status) for r in ill.collect()] == [("a.svg", "pending")] and [tuple(r) for r in own.collect()] == [("a.svg", "grayscale",
         "#FF0000", "#111111")]
