@@ -27,7 +27,7 @@ from .common import fresh_path, small_batches, table
 from .pieces import Cutter
 
 #: Words whose ids a worker remembers.
-CACHE = 800_000
+CACHE = 250_000
 _encoders: dict = {}
 
 
@@ -43,7 +43,7 @@ class Encoder:
         self.cutter = Cutter(path)
         self.tokenizer, self.known = self.cutter.tokenizer, {}
         suffix, vocab = self.cutter.told["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
-        self.cuts = bool(suffix)
+        self.cutter.told, self.cuts = {}, bool(suffix)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         for text, k in vocab.items():
             self.ends[k] = bool(suffix) and text.endswith(suffix)
