@@ -25,10 +25,14 @@ def lower_ascii(text: str) -> str:
 
 
 class WordHashes(dict):
-    """word -> 64-bit hash, bounded."""
+    """word -> 64-bit hash of at most ``most`` words."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) >= self.most:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -36,6 +36,8 @@ TOKEN = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 JAVA_WORDS = r"[0-9A-Za-z[^\x00-\x7F]]+"
 HITS = "struct<n_words: long, spans: array<int>, items: array<string>>"
 BUCKETS, PIECE = 1 << 20, 20_000
+#: Words whose hash a task remembers.
+MEMORY = 100_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,7 +88,7 @@ def bucket_counts(texts: DataFrame, size: int, only: np.ndarray | None) -> np.nd
     wanted = None if only is None else texts.sparkSession.sparkContext.broadcast(np.packbits(only))
 
     def of(batches):
-        known, total = WordHashes(), np.zeros(BUCKETS, np.int64)
+        known, total = WordHashes(MEMORY), np.zeros(BUCKETS, np.int64)
         for b in batches:
             for text in b.column(0):
                 h = known.of(tokens(text.as_py()))
@@ -157,18 +159,16 @@ def merged(spans) -> list[int]:
     return out
 
 
-_known = WordHashes()
-
-
 def hits_column(held, text: Column) -> Column:
-    """held: broadcast prefix index of one block."""
+    """held: broadcast prefix index of one block. Hashes of words are remembered for a task, not for the worker's life."""
+    known = WordHashes(MEMORY)
 
     @F.arrow_udf(HITS)
     def hits(texts: pa.Array) -> pa.Array:
         n, spans, found = [], [], []
         for t in texts:
             words = tokens(t.as_py())
-            s, i = held.value.scan(words, _known.of(words)) if words else ([], ())
+            s, i = held.value.scan(words, known.of(words)) if words else ([], ())
             n.append(len(words))
             spans.append(s)
             found.append(sorted(i))

@@ -29,6 +29,8 @@ from .common import WORD, crc_mod, cut, small_batches, table, unused
 WORDS, SHAPES, BINS = 2048, 2048, 64
 DIMENSIONS = WORDS + SHAPES + BINS
 CLASSES = 40
+#: Words whose place a worker remembers.
+MEMORY = 60_000
 
 
 def _class_table() -> np.ndarray:
@@ -47,7 +49,7 @@ _word_slot: dict[str, int] = {}
 def slot_of(word: str) -> int:
     k = _word_slot.get(word)
     if k is None:
-        if len(_word_slot) > 300_000:
+        if len(_word_slot) >= MEMORY:
             _word_slot.clear()
         k = _word_slot[word] = zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORDS
     return k
