@@ -27,55 +27,92 @@ def first_by(df: DataFrame, key: str, order: str = "ord", last: bool = False) ->
 # --- nearest -----------------------------------------------------------------------------------------------------------
 
 
-def nearest_color(colors: DataFrame, keys: DataFrame, metric: str = "lab", block_rows: int = 50_000, side: float = 16.0) -> DataFrame:
+def nearest_color(colors: DataFrame, keys: DataFrame, metric: str = "lab", most_keys: int = 50_000, side: float = 16.0) -> DataFrame:
     """Colors (hex), keys (source, ord): hex, via, distance of the nearest key; ties to the smallest ord, then source.
 
-    Colour space is cut into cells of ``side``. Every cell has the keys in and around it as one array, in order, and a
-    colour meets its own cell's array by an equi-join: the first place of the smallest distance is its answer, final if
-    that distance is at most ``side``. The colours left over see all keys, one array (in blocks of at most ``block_rows``)
-    that a scalar subquery brings into their rows. So no pair is ever a row, and none is sorted or aggregated."""
+    Colour space is cut into cells of ``side``, halved down to 1 for as long as a cell and those around it hold more than
+    ``most_keys`` keys (there are 24 bits of colours, so a cell of side 1 has few). Every cell has the keys in and around it as
+    one array, in order, and a colour meets its own cell's array by an equi-join: the first place of the smallest distance is
+    its answer, final if that distance is at most the side. The colours left over go down a tree of cells (see _far)."""
     if metric not in ("lab", "rgb"):
         raise ValueError(f"metric must be lab or rgb, not {metric!r}")
     axes = ("L", "a", "b") if metric == "lab" else ("r", "g", "b")
     place = hex_to_lab(F.col("hex")) if metric == "lab" else hex_to_rgb(F.col("hex")).cast("struct<r:double,g:double,b:double>")
     parts = int(colors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = keys.select("ord", F.col("source").alias("hex")).distinct().select("ord", F.col("hex").alias("source"), place.alias("q"))
+    keyed = keys.groupBy(F.col("source").alias("hex")).agg(F.min("ord").alias("ord")).select("ord", F.col("hex").alias("source"), place.alias("q"))
     keyed = cut(keyed.where(f"q.{axes[0]} is not null").select("ord", "source", "q.*"), "keys")
     # distinct colours are written with their places: a filter on what follows would otherwise go below the distinct, and the
     # places would be worked out for each key
     own = cut(colors.select("hex").distinct().select("hex", place.alias("p")).select("hex", "p.*").repartition(parts), "colors").where(f"{axes[0]} is not null")
-    blocks = -(-keyed.count() // block_rows)
-    if not blocks:
-        return own.where(F.lit(False)).select("hex", F.lit("").alias("via"), F.lit(0.0).alias("distance"))
-    fields = F.struct("ord", "source", *axes)
+    around = F.array(*(F.struct(*(F.lit(x).alias(f"x{i}") for i, x in enumerate(step))) for step in itertools.product((-1, 0, 1), repeat=3)))
+    beside = [(F.col(f"c{i}") + F.col(f"x.x{i}")).alias(f"c{i}") for i in range(3)]
+    while True:
+        cell = [F.floor(F.col(k) / side).cast("int").alias(f"c{i}") for i, k in enumerate(axes)]
+        sizes = keyed.groupBy(*cell).agg(F.count("*").alias("n")).select("*", F.explode(around).alias("x")).groupBy(*beside).agg(F.sum("n").alias("n"))
+        most = sizes.agg(F.max("n")).first()[0]
+        if most is None:
+            return own.where(F.lit(False)).select("hex", F.lit("").alias("via"), F.lit(0.0).alias("distance"))
+        if most <= most_keys or side <= 1:
+            break
+        side = max(1.0, side / 2)
+    key = F.struct("ord", "source", *axes).alias("key")
+    cells = keyed.select(key, *cell, F.explode(around).alias("x")).groupBy(*beside).agg(F.array_sort(F.collect_list("key")).alias("k"))
+    met = own.select("hex", *axes, *cell).join(cells, ["c0", "c1", "c2"], "left").repartition(parts)
+    met = cut(met.select("hex", *axes, _nearest_of("k", axes).alias("m")), "near")
+    far = _far(met.where(f"m is null or m.d > {side}").select("hex", *axes), keyed, axes, side)
+    return met.where(f"m.d <= {side}").select("hex", "m").unionByName(far).select("hex", F.col("m.source").alias("via"), F.col("m.d").alias("distance"))
+
+
+def _away(axes: tuple[str, ...], x: Column) -> Column:
+    """Distance of a row's place from that in struct ``x``."""
+    one, two, three = (F.col(k) - x[k] for k in axes)
+    return F.sqrt(one * one + two * two + three * three)
 
-    def nearest(block: str) -> Column:
-        """struct(d, ord, source) of an array column's nearest key, or null."""
 
-        def away(x: Column) -> Column:
-            one, two, three = (F.col(k) - x[k] for k in axes)
-            return F.sqrt(one * one + two * two + three * three)
+def _nearest_of(array: str, axes: tuple[str, ...]) -> Column:
+    """struct(d, ord, source) of the nearest key in an array column, or null."""
 
-        def first(d: Column) -> Column:
-            key = lambda m: F.get(F.col(block), (F.array_position(d, m) - 1).cast("int"))
-            return let(F.array_min(d), lambda m: F.when(m.isNotNull(), F.struct(m.alias("d"), key(m)["ord"].alias("ord"), key(m)["source"].alias("source"))))
+    def first(d: Column) -> Column:
+        key = lambda m: F.get(F.col(array), (F.array_position(d, m) - 1).cast("int"))
+        return let(F.array_min(d), lambda m: F.when(m.isNotNull(), F.struct(m.alias("d"), key(m)["ord"].alias("ord"), key(m)["source"].alias("source"))))
 
-        return let(F.transform(block, away), first)
+    return let(F.transform(array, lambda x: _away(axes, x)), first)
 
+
+def _far(colors: DataFrame, keyed: DataFrame, axes: tuple[str, ...], side: float) -> DataFrame:
+    """hex, m (struct of d, ord, source): the nearest key of colours that may lie anywhere, over a tree of cells.
+
+    Each level has the cells that hold keys, each with one of its keys. A colour meets the cells around it on the level whose
+    side spans all of colour space, then the halves of those that it keeps, by equi-joins on the parent. It keeps a cell if
+    the cell's box is no farther than the nearest of the keys that were shown so far on this level, which rules out no nearest key,
+    nor one that is as near. On the last level it meets the keys of the cells that are left."""
+    levels = 0
+    while side * 2**levels < 256:
+        levels += 1
     cell = [F.floor(F.col(k) / side).cast("int").alias(f"c{i}") for i, k in enumerate(axes)]
-    around = F.array(*(F.struct(*(F.lit(x).alias(f"x{i}") for i, x in enumerate(step))) for step in itertools.product((-1, 0, 1), repeat=3)))
-    placed = keyed.select(fields.alias("key"), *cell, F.explode(around).alias("x"))
-    cells = placed.groupBy(*((F.col(f"c{i}") + F.col(f"x.x{i}")).alias(f"c{i}") for i in range(3))).agg(F.array_sort(F.collect_list("key")).alias("k"))
-    met = own.select("hex", *axes, *cell).join(cells, ["c0", "c1", "c2"], "left").repartition(parts)
-    met = cut(met.select("hex", *axes, nearest("k").alias("m")), "near")
-    rest = met.where(f"m is null or m.d > {side}").select("hex", *axes).repartition(parts)
-    found = []
-    for b in range(blocks):
-        some = keyed if blocks == 1 else keyed.where(F.pmod(F.xxhash64("source"), F.lit(blocks)) == b)
-        rest = rest.withColumn(f"k{b}", some.agg(F.array_sort(F.collect_list(fields)).alias("k")).scalar())  # at most block_rows rows
-        found.append(nearest(f"k{b}"))
-    far = rest.select("hex", (found[0] if blocks == 1 else F.array_min(F.array_compact(F.array(*found)))).alias("m"))
-    return met.where(f"m.d <= {side}").select("hex", "m").unionByName(far).select("hex", F.col("m.source").alias("via"), F.col("m.d").alias("distance"))
+    placed = keyed.select(F.struct("ord", "source", *axes).alias("key"), *cell)
+    leaves = placed.groupBy("c0", "c1", "c2").agg(F.array_sort(F.collect_list("key")).alias("k"))
+    at = [f"c{i}" for i in range(3)]
+    shown = cut(leaves.select(*at, F.col("k")[0].alias("key")), "cells")
+    near = (F.array(*(F.lit(x) for x in (-1, 0, 1))) for _ in at)
+    open_ = colors
+    for c, k, steps in zip(at, axes, near, strict=True):
+        open_ = open_.select("*", F.explode(steps).alias("x")).withColumn(c, F.floor(F.col(k) / (side * 2**levels)).cast("int") + F.col("x")).drop("x")
+    for level in range(levels, -1, -1):
+        width = side * 2**level
+        cells = shown.select(*(F.shiftright(c, level).alias(c) for c in at), "key").groupBy(*at).agg(F.min("key").alias("key"))
+        if level == levels:
+            open_ = open_.join(cells, at)
+        else:
+            halves = cells.select(*(F.shiftright(c, 1).alias(f"p{c}") for c in at), *at, "key")
+            above = open_.select("hex", *axes, *(F.col(c).alias(f"p{c}") for c in at))
+            open_ = above.join(halves, [f"p{c}" for c in at])
+        out = [F.greatest(F.col(c) * width - F.col(k), F.col(k) - (F.col(c) + 1) * width, F.lit(0.0)) for c, k in zip(at, axes, strict=True)]
+        box = F.sqrt(sum((x * x for x in out[1:]), out[0] * out[0]))
+        bounded = open_.select("hex", *axes, *at, box.alias("box"), F.min(_away(axes, F.col("key"))).over(W.partitionBy("hex")).alias("least"))
+        open_ = bounded.where("box <= least + 1e-6").select("hex", *axes, *at)
+    ends = open_.join(leaves, at).select("hex", _nearest_of("k", axes).alias("m"))
+    return ends.groupBy("hex").agg(F.min("m").alias("m"))
 
 
 def nearest_swatch(colors: DataFrame, swatches: DataFrame) -> DataFrame:

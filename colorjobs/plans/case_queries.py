@@ -218,7 +218,7 @@ _DRGB = "sqrt(" + " + ".join(f"pow({x} - {y}, 2)" for x, y in zip(_RGB2, _RGB3,
 @query(", near AS (" + _NEAR.format(d=_DRGB, colors="lab") + ") SELECT hex, m.source AS via, round(d, 6) AS distance FROM near")
 def nearest_color_rgb(spark, d):
     t = T(spark, d)
-    return mapping.nearest_color(t.colors, t.gmap, "rgb", block_rows=150).select("hex", "via", F.round("distance", 6).alias("distance"))
+    return mapping.nearest_color(t.colors, t.gmap, "rgb", most_keys=150).select("hex", "via", F.round("distance", 6).alias("distance"))
 
 
 # --- resolution --------------------------------------------------------------------------------------------------------
