@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from .common import fresh_path, small_batches, table
 from .pieces import Cutter
 
-#: Words whose ids a worker remembers.
-CACHE = 250_000
+#: Words whose ids a worker remembers: where the encoder has the executor to itself, and where other stages went before it.
+CACHE, STAGE_CACHE = 800_000, 120_000
 _encoders: dict = {}
 
 
@@ -40,7 +40,7 @@ class Encoder:
     encoded as they are."""
 
     def __init__(self, path: str):
-        self.cutter = Cutter(path)
+        self.cutter, self.most = Cutter(path), CACHE
         self.tokenizer, self.known = self.cutter.tokenizer, {}
         suffix, vocab = self.cutter.told["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
         self.cutter.told, self.cuts = {}, bool(suffix)
@@ -69,7 +69,7 @@ class Encoder:
         fine = [self.cuts and self.cutter.plain(t) for t in texts]
         words = [self.cutter.words(t) if ok else () for t, ok in zip(texts, fine, strict=True)]
         unseen = set().union(*words).difference(self.known)
-        if len(self.known) + len(unseen) > CACHE:
+        if len(self.known) + len(unseen) > self.most:
             self.known.clear()
             unseen = set().union(*words)
         if unseen and not self.learn(list(unseen)):
@@ -79,23 +79,26 @@ class Encoder:
         return [b"".join(map(of, w)) if ok else next(rest) for w, ok in zip(words, fine, strict=True)]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = CACHE) -> Encoder:
+    """The worker's encoder, which from now on remembers at most so many words."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].most = most
     return _encoders[path]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1, encoding: str = "delta", row_group_bytes: int = 32 << 20,
-    page_rows: int = 500) -> None:
+    page_rows: int = 500, words: int = CACHE) -> None:
     """Columns doc_id, shard, at (ids before the document in its shard), n_tokens, tokens.
 
-    delta: DELTA_BINARY_PACKED ids; dictionary: RLE_DICTIONARY ids, which falls back to plain where a row group has too many."""
+    delta: DELTA_BINARY_PACKED ids; dictionary: RLE_DICTIONARY ids, which falls back to plain where a row group has too many.
+    words: how many a worker remembers, which changes time and memory only."""
     small_batches(docs.sparkSession)
 
     def encode(batches):
         from pyspark import TaskContext
 
-        own, at, end = encoder(tokenizer), 0, np.array([end_id], "<u4").tobytes()
+        own, at, end = encoder(tokenizer, words), 0, np.array([end_id], "<u4").tobytes()
         shard = TaskContext.get().partitionId()
         for b in batches:
             ids = [x + end for at_ in range(0, b.num_rows, 500) for x in own.ids([t or "" for t in b.column(1)[at_ : at_ + 500].to_pylist()])]
@@ -145,11 +148,11 @@ def digest(ids) -> "F.Column":
     return crc(ids)
 
 
-def token_table(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def token_table(spark: SparkSession, docs: DataFrame, words: int = CACHE) -> DataFrame:
     import public_tokenizers
 
     path = fresh_path(spark, "tokens")
-    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"))
+    write_tokens(docs, path, public_tokenizers.path("word_bpe_49k.json"), words=words)
     back = read_tokens(spark, path)
     return back.select("doc_id", "start", F.size("tokens").cast("long").alias("n_tokens"), digest(F.col("tokens")).alias("ids_crc32"))
 
@@ -161,4 +164,4 @@ def op4_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The last stage: every row of docs (copies too) written as token ids, then what the files say of each."""
-    return token_table(spark, docs)
+    return token_table(spark, docs, STAGE_CACHE)
