@@ -51,11 +51,11 @@ hist AS (SELECT source, target, count(*) AS n FROM (SELECT source, target FROM g
 """
 
 
-def query(sql: str | None = None, name: str | None = None):
+def query(sql: str | None = None, name: str | None = None, recursive: bool = False):
     def add(f):
         QUERIES[name or f.__name__] = f
         if sql is not None:
-            SQL[name or f.__name__] = PRE + sql
+            SQL[name or f.__name__] = (PRE.replace("WITH", "WITH RECURSIVE", 1) if recursive else PRE) + sql
         return f
 
     return add
@@ -179,13 +179,14 @@ _LABEL = (
     f"CASE WHEN {_FAMILY} = 'neutral' THEN CASE WHEN L > 85 THEN 'near white' WHEN L < 15 THEN 'near black' ELSE 'neutral gray' END"
     f" ELSE concat(CASE WHEN L > 75 THEN 'light ' WHEN L < 35 THEN 'dark ' ELSE '' END, {_FAMILY}) END"
 )
+_OWN_LABEL = _LABEL.replace("atan2(b", "atan2(lab.b").replace("b * b", "lab.b * lab.b")
 _RGB = [S.channel("hex", i) for i in range(3)]
 
 
 @query(f"SELECT hex, {_RGB[0]} AS r, {_RGB[1]} AS g, {_RGB[2]} AS b, round(L, 6) AS lab_l, round(a, 6) AS lab_a,"
     f" round(lab.b, 6) AS lab_b, {S.gray('hex')} AS gray, greatest({', '.join(_RGB)}) - least({', '.join(_RGB)}) <= 2"
     f" AS is_gray, {_FAMILY.replace('b,', 'lab.b,').replace('b * b', 'lab.b * lab.b')}"
-    f" AS family, {_LABEL.replace('atan2(b', 'atan2(lab.b').replace('b * b', 'lab.b * lab.b')} AS label FROM lab")
+    f" AS family, {_OWN_LABEL} AS label FROM lab")
 def color_math(spark, d):
     h = F.col("hex")
     r, g, b = C.channels(h)
@@ -556,9 +557,34 @@ def cb_mapping(spark, d):
     return accessibility.cb_mapping(T(spark, d).colors, "deutan")
 
 
-@query()
+# Lloyd rounds as a recursion: a row is a mean (L, a, b) with what its round found; it goes on until all means are still and
+# no colour has moved. A cluster without colours would start again from the next colour; with these tables none is empty.
+_STEPS = f"{palette.STEPS}e0"
+_LLOYD = f""", pts AS MATERIALIZED (SELECT hex, sha256(hex) AS h, hash(hex) AS who, {", ".join(f"CAST(round(lab.{c} * {_STEPS}) AS BIGINT) AS {c}" for c in "Lab")} FROM lab),
+rounds AS (
+  SELECT 0 AS nth, i, L, a, b, 1e9 AS drift, CAST(0 AS BIGINT) AS n, CAST(0 AS UBIGINT) AS who, false AS same FROM (
+    SELECT row_number() OVER (ORDER BY h) - 1 AS i, L / {_STEPS} AS L, a / {_STEPS} AS a, pts.b / {_STEPS} AS b FROM pts ORDER BY h LIMIT 12)
+  UNION ALL
+  SELECT nth + 1, i, m.L, m.a, m.b, sqrt(pow(m.L - r.L, 2) + pow(m.a - r.a, 2) + pow(m.b - r.b, 2)), m.n, m.who, m.n = r.n AND m.who = r.who
+  FROM (SELECT own.i AS i, sum(L) / count(*) / {_STEPS} AS L, sum(a) / count(*) / {_STEPS} AS a, sum(near.b) / count(*) / {_STEPS} AS b,
+      count(*) AS n, bit_xor(who) AS who FROM (
+    SELECT p.hex, any_value(p.L) AS L, any_value(p.a) AS a, any_value(p.b) AS b, any_value(p.who) AS who,
+      min({{'d': pow(p.L / {_STEPS} - c.L, 2) + pow(p.a / {_STEPS} - c.a, 2) + pow(p.b / {_STEPS} - c.b, 2), 'i': c.i}}) AS own
+    FROM pts p, rounds c GROUP BY p.hex) near GROUP BY own.i) m JOIN rounds r USING (i)
+  WHERE nth < 50 AND (SELECT max(drift) >= 0.5 OR NOT bool_and(same) FROM rounds)),
+final AS (SELECT * FROM rounds WHERE nth = (SELECT max(nth) FROM rounds)),
+held AS (SELECT p.hex, any_value(p.L) AS L, any_value(p.a) AS a, any_value(p.b) AS b,
+    min({{'d': pow(p.L / {_STEPS} - c.L, 2) + pow(p.a / {_STEPS} - c.a, 2) + pow(p.b / {_STEPS} - c.b, 2), 'i': c.i}}) AS own FROM pts p, final c GROUP BY p.hex),
+means AS (SELECT own.i AS i, sum(L) / count(*) / {_STEPS} AS ml, sum(a) / count(*) / {_STEPS} AS ma, sum(held.b) / count(*) / {_STEPS} AS mb,
+    count(*) AS n_members, min({{'d': own.d, 'hex': hex}}).hex AS source_hex FROM held GROUP BY own.i)
+SELECT printf('p_%03d', row_number() OVER (ORDER BY ml, ma, mb, source_hex)) AS id, source_hex, label, n_members, round(ml, 5) AS L, round(ma, 5) AS a,
+  round(mb, 5) AS b FROM means JOIN (SELECT hex AS source_hex, {_OWN_LABEL} AS label FROM lab) USING (source_hex)"""
+
+
+@query(_LLOYD, recursive=True)
 def kmeans_palette(spark, d):
-    return palette.kmeans_palette(T(spark, d).colors, 12)
+    found = palette.kmeans_palette(T(spark, d).colors, 12)
+    return found.select("id", "source_hex", "label", "n_members", *(F.round(c, 5).alias(c) for c in "Lab"))
 
 
 # --- changes -----------------------------------------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from colorjobs.functions.colors import hex_to_lab
@@ -74,3 +75,28 @@ def test_kmeans_against_plain_lloyd(spark):
         mean = tuple(sum(at[c][k] for c in mine) / len(mine) for k in range(3))
         assert x.n_members == len(mine) and away((x.L, x.a, x.b), mean) < 1e-12
         assert abs(away(at[x.source_hex], mean) - min(away(at[c], mean) for c in mine)) < 1e-9
+
+
+def test_boxes_count_as_whole_only_where_one_centre_owns_them():
+    """Every place of a settled box is nearest to its owner; a box with a tie or a border inside is not settled."""
+    rng = np.random.default_rng(3)
+    low = rng.uniform(0, 60, (400, 3))
+    high, centres = low + rng.uniform(0, 4, (400, 3)), rng.uniform(0, 60, (9, 3))
+    own = palette.sole_owners(low, high, centres)
+    assert (own >= 0).sum() > 50 and (own < 0).sum() > 20
+    for i in np.flatnonzero(own >= 0):
+        assert (palette.nearest(rng.uniform(low[i], high[i], (200, 3)), centres)[0] == own[i]).all()
+    two = np.array([[0.0, 0, 0], [10.0, 0, 0]])
+    assert palette.sole_owners(np.array([[4.0, 0, 0], [5.0, 0, 0]]), np.array([[4.5, 1, 1], [5.0, 0, 0]]), two).tolist() == [0, -1]
+    assert palette.sole_owners(low, high, centres[:1]).tolist() == [0] * 400
+    assert palette.nearest(np.array([[5.0, 0, 0]]), two)[0].tolist() == [0]
+
+
+def test_kmeans_is_the_same_for_every_size_of_box_and_task(spark, monkeypatch):
+    r = random.Random(8)
+    df = spark.createDataFrame([(f"#{r.randrange(1 << 24):06X}",) for _ in range(1500)] + [("none",), (None,)], "hex string")
+    want = sorted(palette.kmeans_palette(df, 7).collect())
+    for side, task in ((25, 200), (1, 700)):
+        monkeypatch.setattr(palette, "SIDE", side)
+        monkeypatch.setattr(palette, "TASK", task)
+        assert sorted(palette.kmeans_palette(df.repartition(5), 7).collect()) == want
