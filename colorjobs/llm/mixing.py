@@ -1,7 +1,8 @@
 """Operator 10: mixing sources to target weights by entropy balancing. DataFrame functions only.
 
 Targets: sources by code point, null last, weigh 5, 2, 1, 5, ... and share the total size; a source's target stops at
-``most`` times its own size and the excess is shared again by weight among the others (water filling, in closed form).
+``most`` times its own size and the excess is shared again by weight among the others (water filling). Sources may be as
+many as sites: no step has them all in one task.
 
 Rates: among all document rates with sum(rate * size) = target in every source, take those nearest to one in relative
 entropy. The convex dual has one unknown a source; its solution tilts exponentially, rate = exp(l * size / mean size),
@@ -29,31 +30,52 @@ from .common import cut, drop, join_nulls, row_text, table, unused
 
 WORDS = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
+#: Rows of one source each that a task takes.
+SOURCES = 100_000
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)).cast("long"), F.lit(0).cast("long"))
 
 
-def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
-    """totals: one row a source (source, source_size). Adds target."""
-    by_name = W.orderBy(F.col("source").asc_nulls_last())
-    nth = F.row_number().over(by_name)
-    w = totals.withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod(nth - 1, F.lit(len(weights))).cast("int") + 1)).withColumn("cap",
-        F.col("source_size") * most)
-    # along rising cap / weight: what is left and whose weight is left if all before are held at their caps
-    w = w.withColumn("level", F.col("cap") / F.col("w"))
-    upto, whole = W.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1), W.partitionBy(F.lit(0))
-    left = F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(upto), F.lit(0.0))
-    weight = F.sum("w").over(whole) - F.coalesce(F.sum("w").over(upto), F.lit(0.0))
-    w = w.withColumn("share", F.try_divide(left, weight))
-    # the first source that its share does not fill to its cap
-    w = w.withColumn("nth", F.when(F.col("share") <= F.col("level"), F.row_number().over(W.orderBy("level", F.col("source").asc_nulls_last()))))
-    fill = F.min_by("share", "nth").over(whole)
-    return w.withColumn("fill", fill).select("source", "source_size", F.coalesce(F.least("cap", F.col("w") * F.col("fill")), F.col("cap")).alias("target"))
-
-
-def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int = 200, near: float = 1e-9) -> DataFrame:
+def tasks_for(sources: int) -> int:
+    """In how many tasks that many rows of one source each are dealt with."""
+    return max(1, sources // SOURCES)
+
+
+def placed(totals: DataFrame, tasks: int) -> DataFrame:
+    """totals (source, source_size), cut, with ``nth``: the place of the source, from 0, by code point, null last.
+
+    Dealt by ranges; a place is the number of rows before it in its range and in the ranges before. One count a range is gathered."""
+    by = F.col("source").asc_nulls_last()
+    at = totals.repartitionByRange(tasks, by).sortWithinPartitions(by).withColumn("at", F.monotonically_increasing_id())
+    at = cut(at.select("source", "source_size", F.shiftright("at", 33).alias("part"), F.col("at").bitwiseAND(F.lit((1 << 33) - 1)).alias("at")), "sources")
+    before, starts = 0, [F.lit(-1), F.lit(0)]
+    for r in at.groupBy("part").agg(F.count("*").alias("n")).orderBy("part").collect():
+        starts += [F.lit(r.part), F.lit(before)]
+        before += r.n
+    return at.select("source", "source_size", (F.col("at") + F.create_map(*starts)[F.col("part")]).alias("nth"))
+
+
+def source_targets(totals: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0, tasks: int = 1) -> DataFrame:
+    """totals: one row a source (source, source_size). Adds target.
+
+    Sources are filled in rounds: those that their share would lift above the cap are held there, what is left is shared
+    among the others, and shares only rise, so the held ones stay held. The rounds end when no other source joins them."""
+    w = placed(totals, tasks).withColumn("w", F.element_at(F.array(*map(F.lit, weights)), F.pmod("nth", F.lit(len(weights))).cast("int") + 1))
+    w = w.withColumn("cap", F.col("source_size") * most)
+    whole = w.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    fill, held = (whole.size / whole.w if whole.w else 0.0), 0
+    while True:
+        over = F.col("cap") < F.col("w") * F.lit(fill)
+        now = w.agg(F.count_if(over).alias("held"), F.sum(F.when(over, F.col("cap")).otherwise(0.0)).alias("cap"),
+            F.sum(F.when(over, 0.0).otherwise(F.col("w"))).alias("w")).first()
+        if now.held == held or not now.w:
+            return w.select("source", "source_size", F.least("cap", F.col("w") * F.lit(fill)).alias("target"))
+        fill, held = max(fill, (whole.size - now.cap) / now.w), now.held
+
+
+def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int = 200, near: float = 1e-9, tasks: int = 1) -> DataFrame:
     """groups: (source, size, n); targets: (source, source_size, docs, target, start). Adds column l, the dual of each
     source, found from its value at the start.
 
@@ -86,7 +108,7 @@ def tilts(groups: DataFrame, targets: DataFrame, most: float = 3.0, rounds: int
             F.least(top, far)).otherwise(-far)
         now = d.select("source", "source_size", "docs", "target",
             F.when(done, F.col("l")).otherwise(F.least(top, F.coalesce(inside, half))).alias("l"), "lo", "hi", done.alias("done"))
-        now = cut(now.coalesce(1), "duals")  # one row a source
+        now = cut(now.coalesce(tasks), "duals")
         drop(duals)
         duals = now
         if not duals.where("not done").take(1):
@@ -136,14 +158,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0
     docs_ = F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0))
     squares = F.sum(F.col("n") * F.col("size").cast("double") * F.col("size"))
     totals = groups.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), docs_.alias("docs"), squares.alias("squares"))
-    named = source_targets(totals.select("source", "source_size"), weights, most)
+    totals = cut(totals, "totals")
+    tasks = tasks_for(totals.count())
+    named = source_targets(totals.select("source", "source_size"), weights, most, tasks)
     # the dual if all documents had the mean x of a word
     ratio = F.least(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.99 * most))
     start = F.coalesce(F.when(ratio > 0,
         F.try_divide(F.log(F.nullif(ratio, F.lit(0.0))), F.col("squares") * F.col("docs") / F.pow(F.nullif("source_size", F.lit(0)), F.lit(2)))), F.lit(0.0))
     targets = join_nulls(totals.select("source", "docs", "squares"), named, "source").select("source", "source_size", "docs", "target", start.alias("start"))
-    targets = cut(targets.coalesce(1), "targets")  # one row a source
-    plan = rounded(groups, tilts(groups, targets, most), most)
+    targets = cut(targets.coalesce(tasks), "targets")
+    plan = rounded(groups, tilts(groups, targets, most, tasks=tasks), most)
     # the extra-th smallest hash of a group: found by counts of 1/256th parts first, so only one part of a group is ranked
     part = F.shiftrightunsigned("h", 56)
     parts = sized.withColumn("part", part).groupBy("source", "size", "part").agg(F.count("*").alias("m"))

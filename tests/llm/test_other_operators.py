@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import plain
 import pytest
@@ -144,3 +146,25 @@ def test_chat_edges(spark):
     df = spark.createDataFrame([(1, None, "User: hi\nAI: yo"), (1, 2, None), (2, 1, ""), (None, 1, "hello")], "conv_id long, piece long, text string")
     none = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert {r.conv_id for r in chat.parse(df, chat.fit(none)).collect()} == {1, None} and chat.parse(df.limit(0), chat.fit(none)).count() == 0
+
+
+def test_targets_of_many_sources(spark):
+    """The same targets in one range and in several: excess over several rounds, sizes of zero, a null source, one source."""
+    r = random.Random(12)
+    sizes = {f"s{i:03d}": int(1.35 ** r.randrange(45)) for i in range(120)} | {"z": 0, "\U0001f600": 7, "￮": 900, None: 40}
+    for some in (sizes, {None: 5}, {"a": 0, "b": 0}, {"a": 1, "b": 1_000_000, "c": 10}):
+        rows = spark.createDataFrame(list(some.items()), "source string, source_size long")
+        want = plain.targets(some)
+        for tasks in (1, 5):
+            got = {x.source: x.target for x in mixing.source_targets(rows.repartition(3), tasks=tasks).collect()}
+            assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-9 * max(1, want[s]) for s in want)
+    assert mixing.source_targets(rows.limit(0)).count() == 0 and mixing.tasks_for(0) == 1 and mixing.tasks_for(250_000) == 2
+
+
+def test_mix_in_several_tasks_of_sources(spark, monkeypatch):
+    r = random.Random(2)
+    docs = [(i, "w " * r.randrange(30), f"s{r.randrange(9)}") for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    want = sorted((x.doc_id, x.copies) for x in mixing.mix(df).collect())
+    monkeypatch.setattr(mixing, "SOURCES", 3)
+    assert sorted((x.doc_id, x.copies) for x in mixing.mix(df).collect()) == want
