@@ -321,7 +321,7 @@ def resolve_layers(spark, d):
 @query("SELECT u.file, u.hex, CASE WHEN o.target IS NOT NULL AND length(u.file) % 2 = 0 THEN o.target ELSE g.target END AS target, CASE"
     " WHEN o.target IS NOT NULL AND length(u.file) % 2 = 1 THEN substring(o.target, 1, 4) END AS rejected FROM usage u LEFT"
         " JOIN ovr o ON u.file = o.file AND u.hex = o.source LEFT JOIN gmap g ON u.hex = g.source")
-def resolve_palette(spark, d):
+def resolve_palette_exact(spark, d):
     t = T(spark, d)
     suggested = mapping.suggest(t.usage, t.gmap, t.ovr.limit(0), nearest=False)
     manual = t.ovr.withColumn("target", F.when(F.length("file") % 2 == 0, F.col("target")).otherwise(F.substring("target", 1, 4)))
@@ -334,7 +334,7 @@ def resolve_palette(spark, d):
   WHEN length(u.file) % 2 = 1 THEN substring(o.target, 1, 4) END AS rejected
 FROM usage u LEFT JOIN ovr o ON u.file = o.file AND u.hex = o.source LEFT JOIN gmap g ON u.hex = g.source LEFT JOIN near ON u.hex = near.hex"""
 )
-def resolve_palette_whole(spark, d):
+def resolve_palette(spark, d):
     """J7 with every step: pick, override, exact, nearest. A file's picks are its overrides, cut short where its name has odd length."""
     t = T(spark, d)
     manual = t.ovr.withColumn("target", F.when(F.length("file") % 2 == 0, F.col("target")).otherwise(F.substring("target", 1, 4)))
@@ -369,7 +369,7 @@ def device_merge(spark, d):
 
 
 @query(f", {_DEV} SELECT file, hex AS source, target FROM resolved WHERE layer <> 'none' AND hex NOT IN (SELECT source FROM dev)")
-def effective_corrections(spark, d):
+def effective_corrections_global(spark, d):
     t = T(spark, d)
     merged = t.resolved.where("layer != 'none'").select("file", F.col("hex").alias("source"), "target")
     return mapping.effective_corrections(merged, mapping.device_merge(t.device, t.device.limit(0).withColumn("file", F.lit("")), t.usage))
@@ -804,7 +804,7 @@ def recolor_css(spark, d):
 
 @query(f", s AS (SELECT hex, {S.simulated('hex',
     'protan')} AS shown FROM colors) SELECT file, shown AS hex, CAST(sum(n) AS BIGINT) AS n FROM usage JOIN s USING (hex) GROUP BY ALL")
-def cb_variants(spark, d):
+def cb_variants_protan(spark, d):
     t = T(spark, d)
     v = cut(accessibility.cb_variants(t.svgs, t.usage, ("protan",)).select("file", "content"), "variants")
     return usage.usage_counts(extract(v).where("kind = 'token'"))

@@ -28,5 +28,5 @@ def test_query(spark, con, name):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_resolve_palette_takes_near_targets(spark):
     near = {(r.file, r.hex): r.target for r in queries.QUERIES["suggest"](spark, SF).where("kind = 'near'").collect()}
-    got = {(r.file, r.hex): r.target for r in queries.QUERIES["resolve_palette_whole"](spark, SF).collect()}
+    got = {(r.file, r.hex): r.target for r in queries.QUERIES["resolve_palette"](spark, SF).collect()}
     assert near and all(got[k] == target for k, target in near.items())
