@@ -226,25 +226,24 @@ def delta_band(d: Column, scale: str = "palette") -> Column:
 
 def cmyk_struct(c: Column, m: Column, y: Column, k: Column) -> Column:
     """A quad of percentages, or null when one is missing or outside 0..100."""
-    fine = F.lit(True)
-    for x in (c, m, y, k):
-        fine = fine & F.coalesce(x.between(0, 100), F.lit(False))
-    return F.when(fine, F.struct(c.cast("double").alias("c"), m.cast("double").alias("m"), y.cast("double").alias("y"), k.cast("double").alias("k")))
+    fine = lambda q: F.forall(q, lambda x: F.coalesce(x.between(0, 100), F.lit(False)))
+    named = lambda q: F.struct(*(q[i].alias(n) for i, n in enumerate("cmyk")))
+    return let(F.array(*(x.cast("double") for x in (c, m, y, k))), lambda q: F.when(fine(q), named(q)))
 
 
 def parse_cmyk(text: Column) -> Column:
     """M13: "c/m/y/k" or "c,m,y,k", or the same as JSON: a text, a list of four, or an object (what it lacks is 0)."""
     plain = F.coalesce(F.when(text.rlike(r'^\s*"'), F.from_json(F.concat(F.lit('{"v":'), text, F.lit("}")), "v string")["v"]), text)
-    parts = F.split(F.translate(plain, ", []", "/"), "/")
-    listed = F.when(F.size(parts) == 4, cmyk_struct(*(F.get(parts, F.lit(i)).try_cast("double") for i in range(4))))
+    parts = F.transform(F.split(F.translate(plain, ", []", "/"), "/"), lambda x: x.try_cast("double"))
+    listed = let(parts, parse_cmyk_array)
     named = F.from_json(text, "map<string,string>")
     return F.when(text.rlike(r"^\s*[{]"), parse_cmyk_map(named)).otherwise(listed)
 
 
 def parse_cmyk_map(parts: Column) -> Column:
     """M13 on a map with keys c, m, y, k in either case; missing ones are 0."""
-    value = lambda k: F.coalesce(F.try_element_at(parts, F.lit(k)), F.try_element_at(parts, F.lit(k.upper())), F.lit("0")).try_cast("double")
-    return F.when(parts.isNotNull(), cmyk_struct(*map(value, "cmyk")))
+    value = lambda p, k: F.coalesce(F.try_element_at(p, F.lit(k)), F.try_element_at(p, F.lit(k.upper())), F.lit("0")).try_cast("double")
+    return let(parts, lambda p: F.when(p.isNotNull(), cmyk_struct(*(value(p, k) for k in "cmyk"))))
 
 
 def parse_cmyk_array(parts: Column) -> Column:
@@ -258,7 +257,7 @@ def cmyk_label(quad: Column) -> Column:
         return F.when(whole, F.rint(x).cast("long").cast("string")).otherwise(F.regexp_replace(F.regexp_replace(F.format_string("%.4f", x), "0+$",
             ""), r"\.$", ""))
 
-    return F.concat_ws("/", *(text(quad[n]) for n in ("c", "m", "y", "k")))
+    return let(quad, lambda q: F.array_join(F.transform(F.array(*(q[n] for n in "cmyk")), text), "/"))
 
 
 def parse_length_pt(raw: Column, per_pt: Column) -> Column:

@@ -198,9 +198,10 @@ def parse_cmyk_forms(spark, d):
     """Text, JSON text, JSON list, JSON object with parts missing, and a list of three."""
     c, m = F.col("p_partkey") % 101, F.col("p_size")
     forms = ("%d/%d/0.5/7", '"%d, %d/0.5,7"', "[%d, %d, 0.5, 7]", '{"x": %d, "M": %d}', "[%d, %d, 0.5]")
-    rows = T(spark, d).part.select("p_partkey", F.posexplode(F.array(*(F.format_string(f, c, m) for f in forms))).alias("form", "text"))
-    quad = C.parse_cmyk(F.col("text"))
-    return rows.select("p_partkey", F.col("form").cast("long").alias("form"), F.when(quad.isNotNull(), C.cmyk_label(quad)).alias("label"))
+    part = T(spark, d).part.select("p_partkey", "p_size").repartition("p_partkey")  # a row costs more to parse than to move
+    rows = part.select("p_partkey", F.posexplode(F.array(*(F.format_string(f, c, m) for f in forms))).alias("form", "text"))
+    label = C.let(C.parse_cmyk(F.col("text")), lambda q: F.when(q.isNotNull(), C.cmyk_label(q)))
+    return rows.select("p_partkey", F.col("form").cast("long").alias("form"), label.alias("label"))
 
 
 @query("SELECT hex, CASE WHEN de >= 6 THEN 'warn' WHEN de >= 2 THEN 'slight' ELSE 'in gamut' END AS band"
