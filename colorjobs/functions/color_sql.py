@@ -16,9 +16,8 @@ class TokenRows:
     def eval(self, content: str):
         from colorjobs.functions.svg import rows_of
 
-        for r in rows_of("", content):
-            if r["kind"] == "token":
-                yield r["ord"], r["context"], r["raw"], r["hex"]
+        for r in rows_of("", content, frozenset(("token",))):
+            yield r["ord"], r["context"], r["raw"], r["hex"]
 
 
 def num(x: float) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from colorjobs.functions.colors import CB_TYPES, channels, lab_distance, lab_of_rgb, simulate_cb, simulate_rgb
-from colorjobs.functions.svg import recolored
+from colorjobs.functions.svg import recolored_each
 from colorjobs.sources.shared import cut
 
 
@@ -64,11 +64,12 @@ def cb_mapping(colors: DataFrame, kind: str, severity: float = 1.0) -> DataFrame
 
 
 def cb_variants(svgs: DataFrame, usage: DataFrame, types=CB_TYPES, severity: float = 1.0) -> DataFrame:
-    """(file, cb, content): one recoloured copy of a document for each type; content moves once, the maps are small."""
+    """(file, cb, content): one recoloured copy of a document for each type; content moves and is parsed once, the maps are small."""
     colours = usage.select("hex").distinct().select("hex", *(simulate_cb(F.col("hex"), k, severity).alias(k) for k in types))
     used = usage.select("file", "hex").join(colours, "hex")
     maps = used.groupBy("file").agg(*(F.map_from_entries(F.collect_list(F.struct("hex", k))).alias(k) for k in types))  # a document's own colours
-    copies = svgs.select("file", "content").join(maps, "file", "left").select("file", "content",
-        F.explode(F.array(*(F.struct(F.lit(k).alias("cb"), F.col(k).alias("m")) for k in types))).alias("v"))
-    done = copies.select("file", "v.cb", "content", recolored(F.col("content"), F.col("v.m")).alias("r"))
-    return done.select("file", "cb", F.coalesce("r.content", "content").alias("content"))
+    none = F.create_map().cast("map<string,string>")
+    done = svgs.select("file", "content").join(maps, "file", "left").select("file", "content",
+        recolored_each(F.col("content"), F.array(*(F.coalesce(k, none) for k in types))).alias("made"))
+    copies = done.select("file", "content", F.explode(F.arrays_zip(F.array(*map(F.lit, types)).alias("cb"), F.col("made"))).alias("v"))
+    return copies.select("file", F.col("v.cb").alias("cb"), F.coalesce("v.made", "content").alias("content"))

@@ -21,7 +21,9 @@ def force_k_hits(rows: DataFrame, trim_width: float, min_stroke: float = 0.5, mi
     """A10 on extract()'s rows: (file, ord, element, kind, color_hex, size_pt, sample)."""
     units = rows.where("kind = 'fact'").select("file", user_units_per_pt(F.col("viewbox"), trim_width).alias("u"))
     e = rows.where("kind = 'element'").join(units, "file")
-    black = lambda c: delta_e76(c, F.lit("#000000")) <= 15
+    # red from 96, green from 48 or blue from 144 on alone make L more than 15, so most colours need no formula
+    low = lambda c: (F.substring(F.upper(c), 2, 2) <= "5F") & (F.substring(F.upper(c), 4, 2) <= "2F") & (F.substring(F.upper(c), 6, 2) <= "8F")
+    black = lambda c: low(c) & (delta_e76(c, F.lit("#000000")) <= 15)
     size = lambda c, default: F.when(F.col(c).isNull(), F.lit(default) / F.col("u")).otherwise(F.coalesce(parse_length_pt(F.col(c), F.col("u")),
         F.lit(0.0)))
     stroke = e.where(F.col("element").isin(*STROKED) & black(F.col("stroke"))).select("file", "ord", "element", F.lit("stroke").alias("kind"),
@@ -32,7 +34,8 @@ def force_k_hits(rows: DataFrame, trim_width: float, min_stroke: float = 0.5, mi
     text = e.where((F.col("element") == "text") & black(fill)).select("file", "ord", "element", F.lit("text").alias("kind"), fill.alias("color_hex"),
         size("font_size", 16.0).alias("size_pt"), F.lit(min_text).alias("limit"),
             F.format_string("text %s, size %s: %s", fill, F.coalesce("font_size", F.lit("not given")), shown).alias("sample"))
-    return stroke.unionByName(text).where((F.col("size_pt") > 0) & (F.col("size_pt") <= F.col("limit"))).drop("limit")
+    hits = stroke.unionByName(text).where((F.col("size_pt") > 0) & (F.col("size_pt") <= F.col("limit"))).drop("limit")
+    return cut(hits, "fine")  # few, and read more than once
 
 
 def force_k_report(files: DataFrame, hits: DataFrame, limit: int = 10) -> DataFrame:

@@ -10,7 +10,7 @@ from colorjobs.functions import colors as C
 from colorjobs.functions.svg import extract
 from colorjobs.operators import accessibility, batch, changes, mapping, postings, preflight, usage
 from colorjobs.plans import convert as plan
-from colorjobs.plans.queries import _DEV, _FORCE, _NEAR, HEX, PRE, QUERIES, SQL, T, page_mask, page_pixels, query
+from colorjobs.plans.queries import _DEV, _FORCE, _NEAR, FACTS, FINE, HEX, PRE, QUERIES, SQL, T, page_mask, page_pixels, query
 from colorjobs.sources import adapters as A
 from colorjobs.sources import files, tables
 from colorjobs.sources.shared import cut, fresh_path
@@ -420,7 +420,7 @@ concat_ws('; ', CASE WHEN {_K} % 11 = 0 AND {_K} % 7 <> 0 THEN '1 <color-profile
 )
 def svg_facts_mixed(spark, d):
     """C6 with every fact."""
-    facts = usage.svg_facts(cut(extract(mixed_svgs(T(spark, d))), "rows"))
+    facts = usage.svg_facts(cut(extract(mixed_svgs(T(spark, d)), FACTS), "rows"))
     return facts.select("file", "n_colors", "has_image", "has_text", F.col("parse_error").isNotNull().alias("broken"),
         F.array_join("color_space_warnings", "; ").alias("warnings"))
 
@@ -447,7 +447,7 @@ SELECT f.file, string_agg(printf('line, line %s, width %.2f', h.hex, h.width), '
 def force_k_samples(spark, d):
     """The first two samples of every file that has fine lines."""
     t = T(spark, d)
-    hits = preflight.force_k_hits(cut(extract(t.svgs), "rows"), 1.0)
+    hits = preflight.force_k_hits(cut(extract(t.svgs, FINE), "rows"), 1.0)
     return preflight.force_k_report(hits.select("file").distinct(), hits, 2).select("file", F.array_join("samples", "; ").alias("samples"))
 
 
@@ -460,7 +460,7 @@ def cb_variants(spark, d):
     """R4 for all four types."""
     t = T(spark, d)
     v = accessibility.cb_variants(t.svgs, t.usage).select(F.concat_ws("/", "file", "cb").alias("file"), "content")
-    found = usage.usage_counts(extract(cut(v, "variants")).where("kind = 'token'"))
+    found = usage.usage_counts(extract(cut(v, "variants"), ("token",)))
     return found.select(F.substring_index("file", "/", 1).alias("file"), F.substring_index("file", "/", -1).alias("cb"), "hex", "n")
 
 

@@ -658,15 +658,18 @@ def mark_status(spark, d):
 
 # --- documents ---------------------------------------------------------------------------------------------------------
 
+#: The kinds of rows that the facts of a file, and its fine lines, are made of.
+FACTS, FINE = ("token", "fact", "error"), ("element", "fact")
+
 
 @query("SELECT file, hex, context, count(*) AS n FROM tokens GROUP BY ALL")
 def extract_tokens(spark, d):
-    return extract(T(spark, d).svgs).where("kind = 'token'").groupBy("file", "hex", "context").agg(F.count("*").alias("n"))
+    return extract(T(spark, d).svgs, ("token",)).groupBy("file", "hex", "context").agg(F.count("*").alias("n"))
 
 
 @query("SELECT file, CAST(count(*) AS INT) AS n_colors, false AS has_image, false AS has_text, CAST(NULL AS VARCHAR) AS parse_error FROM usage GROUP BY file")
 def svg_facts(spark, d):
-    return usage.svg_facts(cut(extract(T(spark, d).svgs), "rows")).drop("color_space_warnings")
+    return usage.svg_facts(cut(extract(T(spark, d).svgs, FACTS), "rows")).drop("color_space_warnings")
 
 
 _FORCE = f""", el AS (SELECT file, ord, hex, CAST(printf('%.2f', l_quantity / 50) AS DOUBLE) AS width FROM tokens WHERE context = '@stroke'),
@@ -676,14 +679,14 @@ hits AS (SELECT file, ord, hex, width / (100e0 / 72e0) AS size_pt FROM el JOIN l
 
 @query(_FORCE + " SELECT file, hex AS color_hex, round(size_pt, 6) AS size_pt FROM hits")
 def force_k_hits(spark, d):
-    return preflight.force_k_hits(cut(extract(T(spark, d).svgs), "rows"), 1.0).select("file", "color_hex", F.round("size_pt", 6).alias("size_pt"))
+    return preflight.force_k_hits(cut(extract(T(spark, d).svgs, FINE), "rows"), 1.0).select("file", "color_hex", F.round("size_pt", 6).alias("size_pt"))
 
 
 @query(_FORCE + " SELECT f.file, count(h.ord) AS stroke_count, CAST(0 AS BIGINT) AS text_count FROM files f LEFT JOIN hits h ON f.file = h.file"
     " GROUP BY f.file")
 def force_k_report(spark, d):
     t = T(spark, d)
-    return preflight.force_k_report(t.files, preflight.force_k_hits(cut(extract(t.svgs), "rows"), 1.0)).drop("samples")
+    return preflight.force_k_report(t.files, preflight.force_k_hits(cut(extract(t.svgs, FINE), "rows"), 1.0)).drop("samples")
 
 
 @query("SELECT CAST(page AS BIGINT) AS page, round(max(s) * 100e0 / 255e0, 6) AS max_pct, round(avg(s) * 100e0 / 255e0, 6) AS mean_pct,"
@@ -791,7 +794,7 @@ def recolored_tokens(spark, d):
     t = T(spark, d)
     merged = t.resolved.where("layer != 'none'").select("file", F.col("hex").alias("source"), "target")
     done = cut(batch.recolor_svgs(t.svgs, merged).select("file", "content"), "recolored")
-    return usage.usage_counts(extract(done).where("kind = 'token'"))
+    return usage.usage_counts(extract(done, ("token",)))
 
 
 @query("SELECT file, css FROM (SELECT file, concat('.a{fill:', coalesce(max(CASE WHEN ord = 1 THEN target END), ''), '}') AS css"
@@ -807,7 +810,7 @@ def recolor_css(spark, d):
 def cb_variants_protan(spark, d):
     t = T(spark, d)
     v = cut(accessibility.cb_variants(t.svgs, t.usage, ("protan",)).select("file", "content"), "variants")
-    return usage.usage_counts(extract(v).where("kind = 'token'"))
+    return usage.usage_counts(extract(v, ("token",)))
 
 
 def batch_table(t: T) -> DataFrame:

@@ -24,7 +24,7 @@ def color_tokens(spark, sf_dir, ordered: bool = False) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "@fill").otherwise("@stroke").alias("context"), part_hex(F.col("l_partkey")).alias("raw"),
             *(("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity") if ordered else ()))
     if ordered:
-        out = out.withColumn("ord", F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey",
+        out = out.withColumn("ord", F.row_number().over(W.partitionBy("file").orderBy("l_linenumber", "l_partkey", "l_suppkey",
             "l_extendedprice"))).drop("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     return out
 

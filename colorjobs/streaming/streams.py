@@ -69,7 +69,7 @@ def stream_usage(svgs: DataFrame, target: str, checkpoint: str, few: int = 100_0
 def document_counts(docs: DataFrame) -> DataFrame:
     """docs (file, mtime, content) -> file, mtime, counts (array of hex and n, by hex), one row a document, made where it lies."""
     keyed = docs.withColumn("file", F.to_json(F.struct("file", F.unix_micros("mtime").alias("at"), F.monotonically_increasing_id().alias("row"))))
-    tokens = extract(keyed.select("file", "content")).where("kind in ('token', 'fact', 'error')")
+    tokens = extract(keyed.select("file", "content"), ("token", "fact", "error"))
     per = tokens.groupBy("file", F.when(F.col("kind") == "token", F.col("hex")).alias("hex")).agg(F.count("*").alias("n"))
     lists = per.groupBy("file").agg(F.array_sort(F.collect_list(F.when(F.col("hex").isNotNull(), F.struct("hex", "n")))).alias("counts"))
     told = F.from_json("file", "file string, at long, row long")
