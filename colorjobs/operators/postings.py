@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colorjobs.operators.ranking import ranked
-from colorjobs.sources.shared import cut, scratch
+from colorjobs.sources.shared import cut, scratch, tasks_for
 from colorjobs.sources.store import Spec, Store
 
 SPAN = 4096
@@ -29,7 +29,8 @@ def refresh(store: Store, commit: str, before: DataFrame, after: DataFrame) -> b
     if store.manifest()["commit"] == commit:
         return False
     with scratch(store.spark):
-        was, now = (x.select("file", "hex").where("hex is not null").distinct() for x in (before, after))
+        tasks = tasks_for(store.spark, before.count() + after.count())
+        was, now = (x.select("file", "hex").where("hex is not null").repartition(tasks, "file").distinct() for x in (before, after))
         changed = before.select("file").unionByName(after.select("file")).distinct()
         held = store.read("numbers", store.touched("numbers", changed)).join(changed, "file", "left_semi")
         most = store.read("numbers").agg(F.max("number")).first()[0]
@@ -39,10 +40,10 @@ def refresh(store: Store, commit: str, before: DataFrame, after: DataFrame) -> b
         place = [F.floor(F.col("number") / SPAN).cast("long").alias("block"), (F.col("number") % SPAN).cast("int").alias("place")]
         gone = cut(was.join(numbers, "file").select("hex", *place), "gone")
         come = cut(now.join(numbers, "file").select("hex", *place), "come")
-        units = cut(gone.unionByName(come).select("hex", "block").distinct(), "units")
+        units = cut(gone.unionByName(come).select("hex", "block").repartition(tasks, "hex", "block").distinct(), "units")
         old = store.read("postings", store.touched("postings", units)).join(units, ["hex", "block"], "left_semi")
         old = old.select("hex", "block", F.explode("places").alias("place")).join(gone, ["hex", "block", "place"], "left_anti")
-        lists = old.unionByName(come).groupBy("hex", "block").agg(F.array_sort(F.collect_set("place")).alias("places"))  # at most SPAN places
+        lists = old.unionByName(come).repartition(tasks, "hex", "block").groupBy("hex", "block").agg(F.array_sort(F.collect_set("place")).alias("places"))  # at most SPAN places
         none = F.array().cast("array<int>")
         rows = units.join(lists, ["hex", "block"], "left").select("hex", "block", F.coalesce("places", none).alias("places"))
         return store.upsert(commit, {"numbers": new, "postings": cut(rows.select("hex", "block", F.size("places").alias("n"), "places"), "postings")})

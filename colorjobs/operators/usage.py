@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from colorjobs.functions.colors import FAMILIES, color_sort_key, family_of, hex_to_lab
-from colorjobs.sources.shared import cut
+from colorjobs.sources.shared import cut, tasks_for
 
 
 def folded(rows: DataFrame, *keys: str) -> DataFrame:
@@ -21,8 +21,10 @@ def color_usage(tokens: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("raw")).alias("raw_forms"))
 
 
-def usage_counts(tokens: DataFrame) -> DataFrame:
-    """file, hex, n: C5 without the sets."""
+def usage_counts(tokens: DataFrame, tasks: int | None = None) -> DataFrame:
+    """file, hex, n: C5 without the sets. Nearly every token is a row of its own, so a task holds as many rows as it gets: with
+    ``tasks`` (see shared.tasks_for) these are few."""
+    tokens = tokens if tasks is None else tokens.select("file", "hex").repartition(tasks, "file", "hex")
     return tokens.groupBy("file", "hex").agg(F.count("*").alias("n"))
 
 
@@ -84,18 +86,20 @@ def sort_colors(usage: DataFrame) -> DataFrame:
 
 def hue_lightness_histogram(usage: DataFrame, bins: int = 6) -> DataFrame:
     """Family x lightness bin -> colours, tokens, files; every cell is present. The cells of the distinct colours are
-    written once, so the formula runs once a colour; files are counted exactly over (cell, file)."""
+    written once with their counts, so the formula runs once a colour; files are counted exactly over (cell, file), in tasks of
+    a fixed number of rows."""
     if bins < 2:
         raise ValueError("bins must be at least 2")
     bin_ = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor(F.col("lab.L") / 100 * bins))).cast("int")
-    cells = usage.select("hex").distinct().select("hex", hex_to_lab(F.col("hex")).alias("lab")).select("hex",
-        family_of(F.col("lab")).alias("family"), bin_.alias("bin"))
+    per = usage.groupBy("hex").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+    cells = per.select("*", hex_to_lab(F.col("hex")).alias("lab")).select("hex", "n", "rows", family_of(F.col("lab")).alias("family"), bin_.alias("bin"))
     cells = cut(cells.repartition(int(usage.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "cells")
-    per_file = usage.join(cells, "hex").groupBy("family", "bin", "file").agg(F.sum("n").alias("n"))
-    sums = per_file.groupBy("family", "bin").agg(F.sum("n").alias("tokens"), F.count("*").alias("files"))
-    colours = cells.groupBy("family", "bin").agg(F.count("*").alias("colors"))
+    tasks = tasks_for(usage.sparkSession, cells.agg(F.sum("rows")).first()[0] or 0)
+    pairs = usage.select("hex", "file").repartition(tasks, "hex").join(cells.select("hex", "family", "bin"), "hex").select("family", "bin", "file")
+    files = pairs.repartition(tasks, "family", "bin", "file").distinct().groupBy("family", "bin").agg(F.count("*").alias("files"))
+    colours = cells.groupBy("family", "bin").agg(F.count("*").alias("colors"), F.sum("n").alias("tokens"))
     grid = usage.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, FAMILIES))).alias("family")).select("family",
         F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return grid.join(colours, ["family", "bin"], "left").join(sums, ["family", "bin"], "left").select("family", "bin", zero("colors"),
+    return grid.join(colours, ["family", "bin"], "left").join(files, ["family", "bin"], "left").select("family", "bin", zero("colors"),
         zero("tokens"), zero("files"))

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from colorjobs.operators import batch, mapping, usage
 
 
-def resolve(tokens: DataFrame, tables: dict[str, DataFrame], active: str, pipeline: str = "grayscale") -> DataFrame:
-    return mapping.merge_with_semantic(usage.usage_counts(tokens), tables["global_map"], tables["slots"], tables["themes"], active,
+def resolve(tokens: DataFrame, tables: dict[str, DataFrame], active: str, pipeline: str = "grayscale", tasks: int | None = None) -> DataFrame:
+    return mapping.merge_with_semantic(usage.usage_counts(tokens, tasks), tables["global_map"], tables["slots"], tables["themes"], active,
         tables["overrides"], pipeline)
 
 

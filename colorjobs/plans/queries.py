@@ -13,7 +13,7 @@ from colorjobs.operators import accessibility, batch, mapping, palette, prefligh
 from colorjobs.plans import convert as plan
 from colorjobs.sources import adapters as A
 from colorjobs.sources import tables
-from colorjobs.sources.shared import cut
+from colorjobs.sources.shared import cut, tasks_for
 from colorjobs.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,7 +68,8 @@ class T:
         self.spark, self.d = spark, d
 
     tokens = property(lambda t: A.color_tokens(t.spark, t.d))
-    usage = property(lambda t: usage.usage_counts(t.tokens))
+    tasks = property(lambda t: tasks_for(t.spark, A.read(t.spark, t.d, "lineitem").count()))  # from the files' footers
+    usage = property(lambda t: usage.usage_counts(t.tokens, t.tasks))
     colors = property(lambda t: t.tokens.select("hex").distinct())
     gmap = property(lambda t: A.global_map(t.spark, t.d))
     ovr = property(lambda t: A.overrides(t.spark, t.d))
@@ -85,7 +86,7 @@ class T:
 
     @property
     def resolved(self) -> DataFrame:
-        return plan.resolve(self.tokens, self.tables, "print")
+        return plan.resolve(self.tokens, self.tables, "print", tasks=self.tasks)
 
     @property
     def swatches(self) -> DataFrame:

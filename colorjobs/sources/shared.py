@@ -41,6 +41,11 @@ def cut(df: DataFrame, what: str = "cut") -> DataFrame:
     return out
 
 
+def tasks_for(spark: SparkSession, rows: int, each: int = 1_000_000) -> int:
+    """Tasks for an exchange of so many rows: as usual, or more, so that what one task holds does not grow with the input."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
