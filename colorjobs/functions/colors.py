@@ -5,7 +5,7 @@ Everything here is a built-in Spark expression. Rounding is half-even. Inputs th
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .css_names import NAMES, NO_COLOUR
 
@@ -99,15 +99,22 @@ def linear(c: Column) -> Column:
     return F.when(a <= 0.04045, a / 12.92).otherwise(F.pow((a + 0.055) / 1.055, F.lit(2.4)))
 
 
+def _to_white(v) -> list[Column]:
+    return [(v[0] * row[0] + v[1] * row[1] + v[2] * row[2]) * 100.0 / w for row, w in zip(TO_XYZ, WHITE, strict=True)]
+
+
+def _axis(x: Column) -> Column:
+    return F.when(x > (6 / 29) ** 3, F.pow(x, F.lit(1 / 3))).otherwise(x / (3 * (6 / 29) ** 2) + 4 / 29)
+
+
+def _lab(f) -> tuple[Column, Column, Column]:
+    return (f[1] * 116.0 - 16.0).alias("L"), ((f[0] - f[1]) * 500.0).alias("a"), ((f[1] - f[2]) * 200.0).alias("b")
+
+
 def lab_of_rgb(rgb: Column) -> Column:
     """rgb: array of three channels. Struct L, a, b."""
     lin = F.transform(rgb, linear)
-
-    def axes(v: Column) -> Column:
-        t = F.array(*((v[0] * row[0] + v[1] * row[1] + v[2] * row[2]) * 100.0 / w for row, w in zip(TO_XYZ, WHITE, strict=True)))
-        return F.transform(t, lambda x: F.when(x > (6 / 29) ** 3, F.pow(x, F.lit(1 / 3))).otherwise(x / (3 * (6 / 29) ** 2) + 4 / 29))
-
-    return let(let(lin, axes), lambda f: F.struct((f[1] * 116.0 - 16.0).alias("L"), ((f[0] - f[1]) * 500.0).alias("a"), ((f[1] - f[2]) * 200.0).alias("b")))
+    return let(let(lin, lambda v: F.transform(F.array(*_to_white(v)), _axis)), lambda f: F.struct(*_lab(f)))
 
 
 def hex_to_lab(hex_: Column) -> Column:
@@ -193,21 +200,69 @@ def color_sort_key(hex_: Column) -> Column:
     return let(hex_to_lab(hex_), lambda lab: F.struct(index(lab).alias("family"), lab["L"].alias("L"), lab["a"].alias("a"), lab["b"].alias("b")))
 
 
+def _clip(x: Column, top: float) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(top), x))
+
+
+def _luma(v) -> Column:
+    return v[0] * LUMA[0] + v[1] * LUMA[1] + v[2] * LUMA[2]
+
+
+def _grayed(c: Column, luma: Column, s: float) -> Column:
+    return F.rint(_clip(c * (1 - s) + luma * s, 255.0))
+
+
+def _seen(v, kind: str, s: float) -> list[Column]:
+    """Linear channels as seen with a deficiency of severity s."""
+    rows = [[(1 - s) * (i == j) + s * row[j] for j in range(3)] for i, row in enumerate(MACHADO[kind])]
+    return [_clip(v[0] * m[0] + v[1] * m[1] + v[2] * m[2], 1.0) for m in rows]
+
+
+def _channel(c: Column) -> Column:
+    """The channel (0 to 255) of a linear one."""
+    gamma = F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
+    return F.rint(_clip(gamma * 255.0, 255.0))
+
+
+def _severity(severity: float) -> float:
+    return min(1.0, max(0.0, float(severity)))
+
+
 def simulate_rgb(rgb: Column, kind: str, severity: float = 1.0) -> Column:
     """M11 on an array of three channels: the channels seen. Double precision throughout."""
-    s = min(1.0, max(0.0, float(severity)))
-    clip = lambda x, top: F.greatest(F.lit(0.0), F.least(F.lit(top), x))
+    s = _severity(severity)
     if kind == "normal":
         return F.transform(rgb, lambda c: c.cast("double"))
     if kind == "achromat":
-        luma = lambda v: v[0] * LUMA[0] + v[1] * LUMA[1] + v[2] * LUMA[2]
-        return let(rgb, lambda v: F.transform(v, lambda c: F.rint(clip(c * (1 - s) + luma(v) * s, 255.0))))
+        return let(rgb, lambda v: F.transform(v, lambda c: _grayed(c, _luma(v), s)))
     if kind not in MACHADO:
         raise ValueError(f"unknown kind {kind!r}")
-    rows = [[(1 - s) * (i == j) + s * row[j] for j in range(3)] for i, row in enumerate(MACHADO[kind])]
-    seen = let(F.transform(rgb, linear), lambda v: F.array(*(clip(v[0] * m[0] + v[1] * m[1] + v[2] * m[2], 1.0) for m in rows)))
-    gamma = lambda c: F.when(c <= 0.0031308, c * 12.92).otherwise(F.pow(c, F.lit(1 / 2.4)) * 1.055 - 0.055)
-    return F.transform(seen, lambda c: F.rint(clip(gamma(c) * 255.0, 255.0)))
+    seen = let(F.transform(rgb, linear), lambda v: F.array(*_seen(v, kind, s)))
+    return F.transform(seen, _channel)
+
+
+def with_places(df: DataFrame, severity: float = 1.0) -> DataFrame:
+    """df with column hex -> df and place: Lab of hex (L, a, b) and of what each of CB_TYPES sees (L_deutan, ...), one struct of
+    doubles. The formulas of lab_of_rgb and simulate_rgb, in steps of plain columns that Spark compiles: for places by the row."""
+    s, kept, sides = _severity(severity), [F.col(f"`{c}`") for c in df.columns], ("", *(f"_{k}" for k in CB_TYPES))
+    three = lambda name, side="": [F.col(f"_{name}{side}{i}") for i in range(3)]
+    named = lambda cols, name, side="": [c.alias(f"_{name}{side}{i}") for i, c in enumerate(cols)]
+    out = df.select(*kept, *named(channels(F.col("hex")), "c"))
+    out = out.select(*kept, *three("c"), *named(map(linear, three("c")), "l"))
+    machado = [k for k in CB_TYPES if k != "achromat"]
+    out = out.select(*kept, *three("c"), *three("l"), *(c for k in machado for c in named(_seen(three("l"), k, s), "v", f"_{k}")))
+    gray = [_grayed(c, _luma(three("c")), s) for c in three("c")]
+    out = out.select(*kept, *three("l"), *named(gray, "r", "_achromat"), *(c for k in machado for c in named(map(_channel, three("v", f"_{k}")), "r", f"_{k}")))
+    out = out.select(*kept, *three("l"), *(c for k in CB_TYPES for c in named(map(linear, three("r", f"_{k}")), "l", f"_{k}")))
+    out = out.select(*kept, *(c for side in sides for c in named(_to_white(three("l", side)), "w", side)))
+    out = out.select(*kept, *(c for side in sides for c in named(map(_axis, three("w", side)), "f", side)))
+    return out.select(*kept, F.struct(*(c.alias(f"{n}{side}") for side in sides for n, c in zip("Lab", _lab(three("f", side)), strict=True))).alias("place"))
+
+
+def place_distance(p: str, q: str, side: str = "") -> Column:
+    """M3 on two columns of with_places()."""
+    d = [F.col(f"{p}.{k}{side}") - F.col(f"{q}.{k}{side}") for k in "Lab"]
+    return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 
 def simulate_cb(hex_: Column, kind: str, severity: float = 1.0) -> Column:

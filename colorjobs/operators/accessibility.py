@@ -2,43 +2,52 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
-from colorjobs.functions.colors import CB_TYPES, channels, lab_distance, lab_of_rgb, simulate_cb, simulate_rgb
+from colorjobs.functions.colors import CB_TYPES, place_distance, simulate_cb, with_places
 from colorjobs.functions.svg import recolored_each
 from colorjobs.sources.shared import cut
 
 
-def palettes(usage: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(file, palette) and (palette, hex, n): files with the same set of colours share a palette, whose n colours are listed once.
+def palettes(usage: DataFrame, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(file, palette) and (palette, own, hex): files with the same set of colours share a palette, whose colours are listed once.
 
-    A set is known by its size and two independent 64-bit sums over its colours, so no file's colours are gathered."""
-    colours = cut(usage.select("file", "hex").distinct(), "colours")
-    sums = [F.bit_xor(F.xxhash64("hex")), F.bit_xor(F.xxhash64("hex", F.lit("again")))]
-    named = F.concat_ws("/", F.count("*"), *sums)
-    files = cut(colours.groupBy("file").agg(named.alias("palette"), F.count("*").alias("n")), "palettes")
-    first = files.groupBy("palette").agg(F.min(F.struct("file", "n")).alias("f")).select("palette", "f.file", "f.n")
-    return files.select("file", "palette"), colours.join(first, "file").select("palette", "hex", "n")
+    A set is known by its size and two independent 64-bit sums over its colours. It is kept in blocks of at most ``block``
+    colours in order (own: which), so no more of a file's colours are gathered, and equal sets have equal blocks."""
+    of_file = W.partitionBy("file")
+    sums = [F.bit_xor(h).over(of_file) for h in (F.xxhash64("hex"), F.xxhash64("hex", F.lit("again")))]
+    palette = F.struct(F.count("*").over(of_file).alias("n"), *(x.alias(k) for x, k in zip(sums, "xy", strict=True))).alias("palette")
+    own = F.floor((F.row_number().over(of_file.orderBy("hex")) - 1) / block).cast("int").alias("own")
+    colours = usage.select("file", "hex").distinct().select("file", "hex", palette, own)
+    blocks = cut(colours.groupBy("file", "palette", "own").agg(F.collect_list("hex").alias("hexes")), "palettes")
+    sets = blocks.groupBy("palette", "own").agg(F.first("hexes").alias("hexes"))
+    return blocks.where("own = 0").select("file", "palette"), sets.select("palette", "own", F.explode("hexes").alias("hex"))
 
 
 def palette_pairs(sets: DataFrame, severity: float, distinct: float, collapse: float, block: int) -> DataFrame:
-    """sets (palette, hex, n) -> (palette, cb, hex_a, hex_b, de_orig, de_sim).
-
-    Places and simulated places go to the colours before these meet, so a pair is judged where it is made and never moves.
-    A palette is cut into blocks of about ``block`` colours that meet two by two: a file of very many colours is many groups,
-    and each of its colours is sent once for each block."""
-    rgb = F.array(*channels(F.col("hex")))
-    seen = F.array(*(lab_of_rgb(simulate_rgb(F.col("rgb"), k, severity)) for k in CB_TYPES))
-    known = sets.select("hex").distinct().select("hex", rgb.alias("rgb")).select("hex", lab_of_rgb(F.col("rgb")).alias("p"), seen.alias("s"))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    placed = sets.join(known, "hex").select("palette", "hex", "p", "s", blocks.alias("blocks"), F.pmod(F.xxhash64("hex"), blocks).cast("int").alias("own"))
-    last = F.col("blocks") - 1
-    a = placed.select("palette", F.col("own").alias("i"), F.explode(F.sequence("own", last)).alias("j"), *(F.col(c).alias(f"{c}a") for c in ("hex", "p", "s")))
-    b = placed.select("palette", F.explode(F.sequence(F.lit(0), "own")).alias("i"), F.col("own").alias("j"), *(F.col(c).alias(f"{c}b") for c in ("hex", "p", "s")))
-    met = a.join(b, ["palette", "i", "j"]).where("i < j or hexa < hexb").withColumn("de_orig", lab_distance(F.col("pa"), F.col("pb")))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("cb"), lab_distance(F.col("sa")[i], F.col("sb")[i]).alias("de_sim")) for i, k in enumerate(CB_TYPES))))
-    close = met.where(F.col("de_orig") >= distinct).select("palette", F.least("hexa", "hexb").alias("hex_a"), F.greatest("hexa", "hexb").alias("hex_b"), "de_orig", each.alias("e"))
-    return close.select("palette", "e.cb", "hex_a", "hex_b", "de_orig", "e.de_sim").where(F.col("de_sim") < collapse)
+    """sets (palette, own, hex) -> (palette, cb, hex_a, hex_b, de_orig, de_sim).
+
+    A palette of one block is judged where it lies. Blocks of a larger one meet two by two: a file of very many colours is many
+    groups, and each of its colours is sent once for each block. Names of colours are all that moves; places are worked out
+    where colours meet."""
+    last = (F.ceil(F.col("palette.n") / block) - 1).cast("int")
+    alone = sets.where(F.col("palette.n") <= block).select("palette", F.col("own").alias("i"), F.col("own").alias("j"), F.lit(0).alias("side"), "hex")
+    many = sets.where(F.col("palette.n") > block)
+    a = many.select("palette", F.col("own").alias("i"), F.explode(F.sequence("own", last)).alias("j"), F.lit(0).alias("side"), "hex")
+    b = many.where("own > 0").select("palette", F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "hex")
+
+    def met(rows: DataFrame) -> DataFrame:
+        items = with_places(rows, severity).groupBy("palette", "i", "j").agg(F.collect_list(F.struct("side", "hex", "place")).alias("items"))
+        two = items.select("palette", "i", "j", "items", F.explode("items").alias("x")).where("x.side = 0")
+        two = two.select("palette", "i", "j", "x", F.explode("items").alias("y")).where("if(i < j, y.side = 1, x.hex < y.hex)")
+        seen = [place_distance("x.place", "y.place", f"_{k}").alias(k) for k in CB_TYPES]
+        far = two.select("palette", F.least("x.hex", "y.hex").alias("hex_a"), F.greatest("x.hex", "y.hex").alias("hex_b"),
+            place_distance("x.place", "y.place").alias("de_orig"), *seen).where(F.col("de_orig") >= distinct)
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("cb"), F.col(k).alias("de_sim")) for k in CB_TYPES)))
+        return far.select("palette", "hex_a", "hex_b", "de_orig", each.alias("e")).select("palette", "e.cb", "hex_a", "hex_b", "de_orig",
+            "e.de_sim").where(F.col("de_sim") < collapse)
+
+    return met(alone).unionByName(met(a.unionByName(b).repartition("palette", "i", "j")))
 
 
 def cb_collapsed_pairs(usage: DataFrame, severity: float = 1.0, distinct: float = 25.0, collapse: float = 10.0, block: int = 512) -> DataFrame:
@@ -46,9 +55,9 @@ def cb_collapsed_pairs(usage: DataFrame, severity: float = 1.0, distinct: float
     ``collapse`` for a type of colour blindness.
 
     Files that share a palette are judged once; only pairs that collapse go out to all of its files."""
-    files, sets = palettes(usage)
-    pairs = palette_pairs(sets, severity, distinct, collapse, block)
-    return files.join(pairs, "palette").select("file", "cb", "hex_a", "hex_b", "de_orig", "de_sim")
+    files, sets = palettes(usage, block)
+    pairs = palette_pairs(sets.where("palette.n > 1"), severity, distinct, collapse, block)
+    return files.where("palette.n > 1").join(pairs, "palette").select("file", "cb", "hex_a", "hex_b", "de_orig", "de_sim")
 
 
 def cb_risk(usage: DataFrame, pairs: DataFrame, only_affected: bool = False) -> DataFrame:

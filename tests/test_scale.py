@@ -154,3 +154,22 @@ def test_sql_normalize(spark):
     assert [(r.v, r.a) for r in rows] == [(r.v, r.b) for r in rows]
     bad = spark.createDataFrame([("x", "<svg")], "file string, content string")
     assert spark.sql("SELECT * FROM {bad}, LATERAL cj_tokens(content)", bad=bad).count() == 0
+
+
+def test_places_of_rows(spark):
+    """Places in plain columns are the places of the formulas, to the last bit, and no place goes through an exchange."""
+    from colorjobs.functions.colors import CB_TYPES, channels, lab_of_rgb, simulate_rgb, with_places
+
+    r = random.Random(5)
+    rows = [(f"#{r.randrange(1 << 24):06X}",) for _ in range(300)] + [("#000000",), ("#FFFFFF",), ("#0a0B0c",), ("none",), (None,)]
+    df = with_places(spark.createDataFrame(rows, "hex string"), 0.7)
+    rgb = F.array(*channels(F.col("hex")))
+    want = F.struct(lab_of_rgb(rgb), *(lab_of_rgb(simulate_rgb(rgb, k, 0.7)) for k in CB_TYPES))
+    for x in df.select("hex", "place", want.alias("want")).collect():
+        if x.hex and x.hex[0] == "#":
+            assert tuple(x.place) == tuple(v for lab in x.want for v in lab), x.hex
+    u = spark.range(40).select(F.format_string("f%d", F.expr("id div 4")).alias("file"), F.format_string("#%06X", F.col("id") * 99991).alias("hex"))
+    for part in accessibility.cb_collapsed_pairs(u)._jdf.queryExecution().optimizedPlan().toString().split("\n"):
+        assert not ("RepartitionByExpression" in part and "place" in part)
+    exchanged = [n for n in accessibility.cb_collapsed_pairs(u)._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in n]
+    assert len(exchanged) == 4, exchanged  # files, blocks alone, blocks of large palettes twice at most, pairs
