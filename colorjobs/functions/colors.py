@@ -259,9 +259,10 @@ def with_places(df: DataFrame, severity: float = 1.0) -> DataFrame:
     return out.select(*kept, F.struct(*(c.alias(f"{n}{side}") for side in sides for n, c in zip("Lab", _lab(three("f", side)), strict=True))).alias("place"))
 
 
-def place_distance(p: str, q: str, side: str = "") -> Column:
+def place_distance(p: str | Column, q: str | Column, side: str = "") -> Column:
     """M3 on two columns of with_places()."""
-    d = [F.col(f"{p}.{k}{side}") - F.col(f"{q}.{k}{side}") for k in "Lab"]
+    p, q = (F.col(v) if isinstance(v, str) else v for v in (p, q))
+    d = [p[f"{k}{side}"] - q[f"{k}{side}"] for k in "Lab"]
     return F.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
 
 

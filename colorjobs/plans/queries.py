@@ -69,6 +69,7 @@ class T:
 
     tokens = property(lambda t: A.color_tokens(t.spark, t.d))
     tasks = property(lambda t: tasks_for(t.spark, A.read(t.spark, t.d, "lineitem").count()))  # from the files' footers
+    wide_tasks = property(lambda t: tasks_for(t.spark, A.read(t.spark, t.d, "lineitem").count(), 250_000))  # where rows carry places
     usage = property(lambda t: usage.usage_counts(t.tokens, t.tasks))
     colors = property(lambda t: t.tokens.select("hex").distinct())
     gmap = property(lambda t: A.global_map(t.spark, t.d))
@@ -544,13 +545,14 @@ pairs AS (SELECT * FROM (SELECT file, p.cb, hex_a, hex_b, de_orig, sqrt(pow(p.L
 
 @query(_PAIRS + " SELECT file, cb, hex_a, hex_b, round(de_orig, 5) AS de_orig, round(de_sim, 5) AS de_sim FROM pairs")
 def cb_collapsed_pairs(spark, d):
-    return accessibility.cb_collapsed_pairs(T(spark, d).usage).withColumn("de_orig", F.round("de_orig", 5)).withColumn("de_sim", F.round("de_sim", 5))
+    t = T(spark, d)
+    return accessibility.cb_collapsed_pairs(t.usage, tasks=t.wide_tasks).withColumn("de_orig", F.round("de_orig", 5)).withColumn("de_sim", F.round("de_sim", 5))
 
 
 @query(_PAIRS + " SELECT f.file, " + ", ".join(f"coalesce(bool_or(cb = '{k}'), false) AS {k}" for k in C.CB_TYPES) + " FROM files f LEFT JOIN pairs p ON f.file = p.file GROUP BY f.file")
 def cb_risk(spark, d):
-    u = T(spark, d).usage
-    return accessibility.cb_risk(u, accessibility.cb_collapsed_pairs(u))
+    t = T(spark, d)
+    return accessibility.cb_risk(t.usage, tasks=t.wide_tasks)
 
 
 @query(f"SELECT * FROM (SELECT hex, {S.simulated('hex', 'deutan')} AS target FROM colors) WHERE hex <> target")

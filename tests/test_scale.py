@@ -142,6 +142,35 @@ def test_collapsed_pairs_in_blocks(spark, block):
         assert got.get(f, set()) == plain_pairs(spark, sorted(set(hs))), f
 
 
+def test_risk_of_small_and_large_files(spark):
+    """Flags of files judged where they lie and of files whose palettes meet in blocks; a usage without a file has none."""
+    from colorjobs.functions.colors import CB_TYPES
+
+    r = random.Random(3)
+    large = [f"#{r.randrange(1 << 24):06X}" for _ in range(20)]
+    sets = {"a": large, "b": large, "c": large[:5], "d": ["#E74C3C", "#46AA3A"], "e": ["#46AA3A", "#E74C3C"], "f": ["#000000"], "g": ["none", "#0066CC", "#FFCC00"]}
+    rows = [(f, h) for f, hs in sets.items() for h in hs for _ in range(2)] + [(None, "#E74C3C"), (None, "#46AA3A"), ("d", None)]
+    usage_ = spark.createDataFrame(rows, "file string, hex string")
+    pairs = plain_pairs(spark, sorted({h for hs in sets.values() for h in hs} - {"none"}))
+    want = {f: {k for k, a, b in pairs if a in hs and b in hs} for f, hs in sets.items()} | {None: set()}
+    assert want["a"] and want["d"] and not want["g"]
+    for small in (1, 4):
+        got = accessibility.cb_risk(usage_, block=7, small=small, tasks=3).collect()
+        assert len(got) == len(want) and {x.file: {k for k in CB_TYPES if x[k]} for x in got} == want
+    got = accessibility.cb_collapsed_pairs(usage_, block=7, small=4).collect()
+    assert {(x.file, x.cb, x.hex_a, x.hex_b) for x in got} == {(f, k, a, b) for f, hs in sets.items() for k, a, b in pairs if a in hs and b in hs}
+
+
+def test_risk_moves_no_pairs(spark):
+    """Flags of small files are made in the task that gathers a file, in as many tasks as are asked for; no exchange follows."""
+    u = spark.range(40).select(F.format_string("f%d", F.expr("id div 4")).alias("file"), F.format_string("#%06X", F.col("id") * 99991).alias("hex"))
+    rows = accessibility.judged(u, 1.0, 25.0, 10.0, 512, 32, 9)
+    assert rows.count() == rows.where("palette is null and hexes is null and found is not null").count() == 10
+    assert accessibility._colours(u, 512, 9).rdd.getNumPartitions() == 9
+    plan = accessibility.cb_risk(u)._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert len([n for n in plan if "Exchange hashpartitioning" in n]) <= 3  # all of them of larger files: blocks, their meetings, flags
+
+
 def test_sql_normalize(spark):
     from colorjobs.functions import color_sql
     from colorjobs.functions.colors import normalize_hex
