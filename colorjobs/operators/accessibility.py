@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from colorjobs.functions.colors import CB_TYPES, place_distance, simulate_cb, with_places
-from colorjobs.functions.svg import recolored_each
+from colorjobs.functions.svg import recolored_by
 from colorjobs.sources.shared import cut, tasks_for
 
 
@@ -129,11 +129,10 @@ def cb_mapping(colors: DataFrame, kind: str, severity: float = 1.0) -> DataFrame
 
 def cb_variants(svgs: DataFrame, usage: DataFrame, types=CB_TYPES, severity: float = 1.0) -> DataFrame:
     """(file, cb, content): one recoloured copy of a document for each type; content moves and is parsed once, the maps are small."""
-    colours = usage.select("hex").distinct().select("hex", *(simulate_cb(F.col("hex"), k, severity).alias(k) for k in types))
-    used = usage.select("file", "hex").join(colours, "hex")
-    maps = used.groupBy("file").agg(*(F.map_from_entries(F.collect_list(F.struct("hex", k))).alias(k) for k in types))  # a document's own colours
-    none = F.create_map().cast("map<string,string>")
-    done = svgs.select("file", "content").join(maps, "file", "left").select("file", "content",
-        recolored_each(F.col("content"), F.array(*(F.coalesce(k, none) for k in types))).alias("made"))
-    copies = done.select("file", "content", F.explode(F.arrays_zip(F.array(*map(F.lit, types)).alias("cb"), F.col("made"))).alias("v"))
-    return copies.select("file", F.col("v.cb").alias("cb"), F.coalesce("v.made", "content").alias("content"))
+    colours = usage.select("hex").where(F.col("hex").rlike(r"^#[0-9a-fA-F]{6}\z")).distinct()
+    lines = colours.select("hex", F.concat_ws(" ", "hex", *(simulate_cb(F.col("hex"), k, severity) for k in types)).alias("line"))
+    own = usage.select("file", "hex").join(lines, "hex").groupBy("file").agg(F.array_join(F.collect_list("line"), "\n").alias("lines"))  # a document's own colours
+    done = svgs.select("file", "content").join(own, "file", "left").select("file", "content",
+        recolored_by(F.col("content"), F.col("lines"), len(types)).alias("made"))
+    copies = done.select("file", "content", F.posexplode(F.array(*map(F.lit, types))).alias("k", "cb"), "made")
+    return copies.select("file", "cb", F.coalesce(F.get("made", F.col("k")), "content").alias("content"))

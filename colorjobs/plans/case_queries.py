@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from colorjobs.functions import color_sql as S
 from colorjobs.functions import colors as C
-from colorjobs.functions.svg import extract
+from colorjobs.functions.svg import document_colors, extract
 from colorjobs.operators import accessibility, batch, changes, mapping, postings, preflight, usage
 from colorjobs.plans import convert as plan
 from colorjobs.plans.queries import _DEV, _FORCE, _NEAR, FACTS, FINE, HEX, PRE, QUERIES, SQL, T, page_mask, page_pixels, query
@@ -459,7 +459,7 @@ def cb_variants(spark, d):
     """R4 for all four types."""
     t = T(spark, d)
     v = accessibility.cb_variants(t.svgs, t.usage).select(F.concat_ws("/", "file", "cb").alias("file"), "content")
-    found = usage.usage_counts(extract(cut(v, "variants"), ("token",)))
+    found = document_colors(cut(v, "variants"))
     return found.select(F.substring_index("file", "/", 1).alias("file"), F.substring_index("file", "/", -1).alias("cb"), "hex", "n")
 
 

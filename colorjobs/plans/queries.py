@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from colorjobs.functions import color_sql as S
 from colorjobs.functions import colors as C
-from colorjobs.functions.svg import extract, recolored_css
+from colorjobs.functions.svg import document_colors, extract, recolored_css
 from colorjobs.operators import accessibility, batch, mapping, palette, preflight, usage
 from colorjobs.plans import convert as plan
 from colorjobs.sources import adapters as A
@@ -813,7 +813,7 @@ def recolor_css(spark, d):
 def cb_variants_protan(spark, d):
     t = T(spark, d)
     v = cut(accessibility.cb_variants(t.svgs, t.usage, ("protan",)).select("file", "content"), "variants")
-    return usage.usage_counts(extract(v, ("token",)))
+    return document_colors(v)
 
 
 def batch_table(t: T) -> DataFrame:
